@@ -20,8 +20,10 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ from .runtime import table
 
 CAPACITY, END_ID, SLACK = 2048, 1, 1 / 64
 #: Distinct chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED_CHUNKS = 800_000
+REMEMBERED_CHUNKS = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -53,6 +55,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None) -> bytes:
@@ -74,15 +79,36 @@ class ChunkTokenizer:
         return b"".join(map(known.__getitem__, chunks))
 
     def _learn(self, chunks: list[str]) -> None:
-        known, rest = self._known, []
+        """Most chunks are letters, with or without a full stop or comma, which is a token of its own."""
+        known, letters, ended, rest = self._known, [], [], []
         for c in chunks:
-            # a final full stop or comma after a letter is a token of its own
-            if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() and (a := known.get(c[:-1])) is not None and (b := known.get(c[-1])) is not None:
-                known[c] = a + b
+            if c.isalpha():
+                letters.append(c)
+            elif c[-1] in ".," and c[:-1].isalpha():
+                ended.append(c)
             else:
                 rest.append(c)
+        if new := {c[:-1] for c in ended}.difference(known, letters):
+            letters += new
+        if letters and not self._learn_letters(letters):
+            rest += letters
+        rest += {c[-1] for c in ended}.difference(known)
         for c, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+            known[c] = array("I", e.ids).tobytes()
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1]]
+
+    def _learn_letters(self, chunks: list[str]) -> bool:
+        """A run of letters is one pre-token, so its ids end with the first that ends a word: all are encoded at once."""
+        ids = np.array(self._tokenizer.encode(" ".join(chunks), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self._ends_word[ids]) + 1
+        if len(ends) != len(chunks):
+            return False
+        raw, start = ids.tobytes(), 0
+        for c, end in zip(chunks, (4 * ends).tolist(), strict=True):
+            self._known[c] = raw[start:end]
+            start = end
+        return True
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}

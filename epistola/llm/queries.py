@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .decontam import op9_decontamination
 from .linededup import op10_line_dedup
+from .ngramjoin import op1_ngram_jaccard_join
 from .packing import op4_harmonic_packing
+from .quality_rules import op7_quality_rules
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_harmonic_packing, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_harmonic_packing, op7_quality_rules, op8_toxicity, op9_decontamination, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -51,10 +51,15 @@ def words(text: str | None) -> list[bytes]:
 class Words:
     """Word hashes of a run of texts; text i has hashes[offsets[i]:offsets[i + 1]]."""
 
-    __slots__ = ("first", "hashes", "offsets")
+    __slots__ = ("_at", "first", "hashes", "offsets")
 
-    def __init__(self, first: int, hashes: np.ndarray, offsets: np.ndarray):
-        self.first, self.hashes, self.offsets = first, hashes, offsets
+    def __init__(self, first: int, hashes: np.ndarray, offsets: np.ndarray, at: tuple[np.ndarray, ...]):
+        self.first, self.hashes, self.offsets, self._at = first, hashes, offsets, at
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes; a word of n bytes or fewer has its own hash."""
+        starts, ends, prefix, inverse = self._at
+        return mix((prefix[np.minimum(ends, starts + n)] - prefix[starts]) * inverse)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
@@ -84,10 +89,11 @@ def _hash_run(first: int, run: list[bytes]) -> Words:
     power, inverse = _tables(len(raw) + 1)
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    inverse = inverse[starts]
+    hashes = mix((prefix[ends] - prefix[starts]) * inverse)
     offsets = np.zeros(len(run) + 1, np.int64)
     offsets[1:] = np.searchsorted(starts, ends_of_texts, "left")
-    return Words(first, hashes, offsets)
+    return Words(first, hashes, offsets, (starts, ends, prefix, inverse))
 
 
 def shingles(run: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
