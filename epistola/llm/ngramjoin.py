@@ -30,18 +30,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import materialize, table
+from .runtime import bound_batches, materialize, table
 from .wordhash import hash_words, mix, shingles
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Shingles that a block holds, about: a worker has two blocks at a time.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 100_000
+#: Largest table of candidates' blocks that is sent to the workers; beyond it, texts are joined with it by id.
+HELD_BYTES = 64 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -95,19 +96,39 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
-def _packed_sets(n: int):
-    """A text's set: its first hash, and its shingles as sorted unsigned 64-bit integers."""
+_ROW_SCHEMA = "id long, copies long, block long, s binary"
 
-    @F.pandas_udf("h1 long, s binary")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        h1, packed = [], []
-        for s, offsets in _sets(texts.tolist(), n):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
-            h1.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
-            packed += [s[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pd.DataFrame({"h1": np.concatenate(h1) if h1 else np.zeros(0, np.int64), "s": packed})
 
-    return sets
+def _packed_sets(n: int, held=None):
+    """(doc_id, text, h1, copies, block) -> (id, copies, block, s): sets as sorted unsigned 64-bit integers.
+
+    With ``held`` (sorted ids, h1, copies, block) the last three come from there, for the ids it has.
+    Rows whose text isn't the one that was chosen for the id (h1 differs) are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+            if held:
+                known, *rest = held.value
+                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                own = np.flatnonzero(known[at] == ids) if len(known) else np.zeros(0, np.int64)
+                h1, copies, block = (r[at[own]] for r in rest) if len(known) else (own, own, own)
+                texts = batch.column(1).take(pa.array(own)).to_pylist()
+                ids = ids[own]
+            else:
+                h1, copies, block = (batch.column(k).to_numpy() for k in (2, 3, 4))
+                texts = batch.column(1).to_pylist()
+            first = 0
+            for s, offsets in _sets(texts, n):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+                m = len(offsets) - 1
+                mine = np.flatnonzero((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64) == h1[first : first + m])
+                packed = pa.array([s[offsets[k] : offsets[k + 1]].tobytes() for k in mine], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[first : first + m][mine], pa.int64()) for c in (ids, copies, block)), packed], names=["id", "copies", "block", "s"])
+                first += m
+
+    return run
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -120,7 +141,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return out
     ka, kb = np.isin(sa, common, kind="sort"), np.isin(sb, common, kind="sort")
     ia, ib, ra, rb = np.searchsorted(common, sa[ka]), np.searchsorted(common, sb[kb]), ra[ka], rb[kb]
-    step = max(64, 8_000_000 // (len(a) + len(b)))
+    step = max(64, 2_000_000 // (len(a) + len(b)))
     for low in range(0, len(common), step):
         xa, xb = (ia >= low) & (ia < low + step), (ib >= low) & (ib < low + step)
         width = min(step, len(common) - low)
@@ -172,10 +193,12 @@ def _unpacked(rows: list) -> tuple[list[int], list[int], list[np.ndarray]]:
 _LINK_SCHEMA = "id long, links long, root long"
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5, block_shingles: int = BLOCK_SHINGLES, held_bytes: int = HELD_BYTES) -> DataFrame:
     bands, rows = choose_bands(threshold, recall, rows)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    spark = docs.sparkSession
+    bound_batches(spark)
     # 1. classes of equal sets
     signed = materialize(_signed(d, n, bands, rows), "signed")
     classes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
@@ -199,10 +222,13 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pairs = bucket.select("key", F.col("block").alias("x")).join(bucket.select("key", F.col("block").alias("y")), "key").where("x < y").select("x", "y").distinct()
 
     # 4. full sets by block, compared
-    texts = d.join(blocks.withColumnRenamed("id", "doc_id"), "doc_id")
-    packed = _packed_sets(n)
-    texts = texts.select(F.col("doc_id").alias("id"), "h1", "copies", "block", packed("text").alias("p")).where("p.h1 = h1").select("id", "copies", "block", F.col("p.s").alias("s"))
-    held = materialize(texts.groupBy("block").agg(F.collect_list(F.struct("id", "copies", "s")).alias("rows")), "blocks")
+    if blocks.count() * 32 <= held_bytes:
+        got = blocks.select("id", "h1", "copies", "block").toArrow().sort_by("id")
+        held = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy() for c in ("id", "h1", "copies", "block")))
+        texts = d.mapInArrow(_packed_sets(n, held), _ROW_SCHEMA)
+    else:
+        texts = d.join(blocks.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "h1", "copies", "block").mapInArrow(_packed_sets(n), _ROW_SCHEMA)
+    members_of = materialize(texts.groupBy("block").agg(F.collect_list(F.struct("id", "copies", "s")).alias("rows")), "blocks")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +242,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 yield _link_batch(*_links(_unpacked(a.as_py()), _unpacked(b.as_py()), threshold))
 
-    beside = pairs.join(held.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x").join(held.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y")
-    links = held.select("rows").mapInArrow(within, _LINK_SCHEMA).union(beside.select("a", "b").mapInArrow(across, _LINK_SCHEMA))
+    beside = pairs.join(members_of.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x").join(members_of.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y")
+    links = members_of.select("rows").mapInArrow(within, _LINK_SCHEMA).union(beside.select("a", "b").mapInArrow(across, _LINK_SCHEMA))
     links = materialize(links, "links")
     groups = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
 

@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SCRATCH = "/tmp/epistola-scratch"
 
 
+#: Rows that go to a Python worker at once, where the session has Spark's default of 10,000: texts may be long.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
