@@ -9,8 +9,9 @@ other and n(t), n(e) documents that hold either:
 * information of e: log2(N / n(e)).
 
 Their ratio says which part of e's information t discloses; 1 means that t gives e away. A word with a
-ratio of at least ``DISCLOSURE`` and n(t, e) of at least ``SUPPORT`` discloses e, and all its places in
-documents that hold e become ``term`` spans. Copies count once: documents are counted by a hash of their text.
+ratio of at least ``DISCLOSURE`` that stands near e in at least ``SUPPORT`` different surroundings discloses
+e, and all its places in documents that hold e become ``term`` spans. Copies count once: documents are
+counted by a hash of their text, surroundings by a hash of their words.
 
 Counts cover all documents. The first pass reads each whole text once and keeps little beside base
 spans; counts are aggregations with map-side combining; document frequencies are counted for candidate
@@ -97,12 +98,12 @@ def base_spans(text: str | None) -> list[Span]:
 
 def entity(kind: str, value: str) -> int:
     """A number for the entity: case, spaces and punctuation of numbers don't matter."""
-    plain = value.lower() if kind in ("email", "ip") else "".join(_DIGITS.findall(value))
+    plain = value.lower() if kind in ("email", "ip", "near") else "".join(_DIGITS.findall(value))
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> tuple[set[tuple[int, str]], list[Span]]:
-    """(entity, word) pairs within the window, and all places in the text of the words among them."""
+def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> tuple[set[tuple[int, str, int]], list[Span]]:
+    """(entity, word, hash of the surroundings) triples within the window, and all places in the text of the words among them."""
     w = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([x[1] for x in w], np.int64)
     inside = np.zeros(len(w), bool)
@@ -114,16 +115,18 @@ def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> tuple[set[
     pairs = set()
     for (kind, a, b), (i, j) in zip(spans, bounds, strict=True):
         e = entity(kind, text[a:b])
-        for k in [*range(max(0, i - window), i), *range(j, min(len(w), j + window))]:
+        around = [*range(max(0, i - window), i), *range(j, min(len(w), j + window))]
+        c = entity("near", " ".join(w[k][0] for k in around))
+        for k in around:
             if not inside[k] and len(w[k][0]) >= MIN_LETTERS and w[k][0].isalpha():
-                pairs.add((e, w[k][0]))
-    terms = {t for _, t in pairs}
+                pairs.add((e, w[k][0], c))
+    terms = {t for _, t, _ in pairs}
     return pairs, [(t, a, b) for k, (t, a, b) in enumerate(w) if t in terms and not inside[k]]
 
 
-_FOUND = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<e:long,t:string>>, places array<struct<t:string,start:long,end:long>>"
+_FOUND = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<e:long,t:string,c:long>>, places array<struct<t:string,start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string())]))
+_PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("c", pa.int64())]))
 _PLACES = pa.list_(pa.struct([("t", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -139,7 +142,7 @@ def _scan(window: int):
                 pairs, places = near_terms(text, spans, window) if spans else ((), ())
                 out["key"].append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63))
                 out["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                out["pairs"].append([{"e": e, "t": t} for e, t in pairs])
+                out["pairs"].append([{"e": e, "t": t, "c": c} for e, t, c in pairs])
                 out["places"].append([{"t": t, "start": a, "end": b} for t, a, b in places])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
 
@@ -175,8 +178,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = materialize(d.mapInArrow(_scan(window), _FOUND), "spans")
     held = found.where(F.size("spans") > 0)
-    pairs = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t").distinct()
-    pairs = materialize(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support), "pairs")
+    pairs = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t", "p.c").distinct()
+    near = pairs.groupBy("e", "t").agg(F.count_distinct("key").alias("n_te"), F.count_distinct("c").alias("near"))
+    pairs = materialize(near.where(F.col("near") >= support).select("e", "t", "n_te"), "pairs")
     entities = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     n = found.select(F.approx_count_distinct("key", 0.01).alias("n")).first()["n"]  # enters by its logarithm
     frequency = _document_frequency(d, pairs.select("t").distinct(), held_bytes)
