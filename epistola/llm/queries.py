@@ -10,6 +10,7 @@ from .quality_rules import op7_quality_rules
 from .nbsvm import op5_quality_classifier
 from .pii import op6_pii_sanitisation
 from .toxicity import op8_toxicity
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_harmonic_packing, op5_quality_classifier, op6_pii_sanitisation, op7_quality_rules, op8_toxicity, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_warc, op4_harmonic_packing, op5_quality_classifier, op6_pii_sanitisation, op7_quality_rules, op8_toxicity, op9_decontamination, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
