@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import materialize, table
+from .runtime import materialize, table, without
 from .wordhash import words
 
 WINDOW = 10
@@ -95,8 +95,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the merged word ranges hit."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    return _by_broadcast(d, b, window) if size <= index_bytes else _by_shuffle(d, b, window)
+    return _by_broadcast(d, b, window) if _size(b) <= index_bytes else _by_shuffle(d, b, window)
+
+
+def _size(b: DataFrame) -> int:
+    return b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+
+
+def _broadcast_index(b: DataFrame, window: int):
+    return b.sparkSession.sparkContext.broadcast(build_index([(r["item"], r["text"]) for r in b.collect()], window))
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,7 +117,7 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _by_broadcast(d: DataFrame, b: DataFrame, window: int) -> DataFrame:
-    index = d.sparkSession.sparkContext.broadcast(build_index([(r["item"], r["text"]) for r in b.collect()], window))
+    index = _broadcast_index(b, window)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
     none = _digest(set())
 
@@ -177,5 +184,20 @@ def _by_shuffle(d: DataFrame, b: DataFrame, window: int) -> DataFrame:
     return d.join(spans, "doc_id", "left").mapInPandas(result, SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    if _size(b) > index_bytes:
+        found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, window=window, index_bytes=index_bytes)
+        return without(docs, found.where("contaminated").select(F.col("doc_id").alias("id")), id_col)
+    index, at = _broadcast_index(b, window), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not scan(words(t.as_py()), index.value)[0] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

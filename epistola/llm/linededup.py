@@ -140,20 +140,21 @@ class LineStore:
 
     # -- use -------------------------------------------------------------------------------------
 
-    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with frequent lines gone from ``text_col``; n_lines and n_dropped are added."""
+    def apply(self, docs: DataFrame, text_col: str = "text", added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """``docs`` with frequent lines gone from ``text_col``; two counts are added, in place of columns of their names."""
         hot = self.frequent().select("h1", "h2")
         sizes = self.filters().agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("b")).first()["b"]
         if hot.count() * 48 + sizes <= self.held_bytes:
-            return self._apply_held(docs, text_col, hot)
-        return self._apply_joined(docs, text_col, hot, sizes <= self.held_bytes)
+            return self._apply_held(docs, text_col, hot, added)
+        return self._apply_joined(docs, text_col, hot, sizes <= self.held_bytes, added)
 
     def _held_filters(self) -> dict[int, bytes]:
         return {r["shard"]: bytes(r["filter"]) for r in self.filters().collect()}
 
-    def _apply_held(self, docs: DataFrame, text_col: str, hot: DataFrame) -> DataFrame:
+    def _apply_held(self, docs: DataFrame, text_col: str, hot: DataFrame, added: tuple[str, str]) -> DataFrame:
         sent = self.spark.sparkContext.broadcast((self.shards, self._held_filters(), {(r["h1"], r["h2"]) for r in hot.collect()}))
-        at, min_chars = docs.columns.index(text_col), self.min_chars
+        docs, names = _with_text(docs, text_col, added)
+        at, min_chars = names.index(text_col), self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards, raw, exact = sent.value
@@ -171,15 +172,14 @@ class LineStore:
                     n_dropped.append(len(ls) - len(kept))
                 columns = batch.columns
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *added])
 
-        docs, names = _with_text(docs, text_col)
-        return docs.mapInArrow(run, _grown(docs))
+        return docs.mapInArrow(run, _grown(docs, added))
 
-    def _apply_joined(self, docs: DataFrame, text_col: str, hot: DataFrame, use_filters: bool) -> DataFrame:
+    def _apply_joined(self, docs: DataFrame, text_col: str, hot: DataFrame, use_filters: bool, added: tuple[str, str]) -> DataFrame:
         sent = self.spark.sparkContext.broadcast((self.shards, self._held_filters())) if use_filters else None
         min_chars = self.min_chars
-        docs, names = _with_text(docs, text_col)
+        docs, names = _with_text(docs, text_col, added)
         # rows have no key of their own: ids may repeat. A row's number holds for the written copy.
         path = f"{self.path}/rows-{self.version}-{np.random.default_rng().integers(1 << 62)}"
         docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
@@ -206,20 +206,20 @@ class LineStore:
         lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
         return (
             rows.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_lines", lines)
-            .withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.size("_gone").cast("long"))
+            .withColumn(added[0], F.size("_lines").cast("long")).withColumn(added[1], F.size("_gone").cast("long"))
             .withColumn(text_col, F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")))
-            .select(*names, "n_lines", "n_dropped")
+            .select(*(f"`{c}`" for c in (*names, *added)))
         )
 
 
-def _with_text(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
+def _with_text(docs: DataFrame, text_col: str, added: tuple[str, str]) -> tuple[DataFrame, list[str]]:
     """Columns that would clash with the two added ones go."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c not in added]
     return docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names)), names
 
 
-def _grown(docs: DataFrame) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+def _grown(docs: DataFrame, added: tuple[str, str]) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
 
 
 def _tester(shards: int, raw: dict[int, bytes]):
@@ -242,11 +242,11 @@ def _tester(shards: int, raw: dict[int, bytes]):
     return test
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", *, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, held_bytes: int = HELD_BYTES, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` without the lines that ``min_docs`` or more of its documents hold."""
     spark = docs.sparkSession
     store = LineStore(spark, shards=shards or max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), min_docs=min_docs, min_chars=min_chars, held_bytes=held_bytes)
-    return store.insert(docs, text_col).apply(docs, text_col)
+    return store.insert(docs, text_col).apply(docs, text_col, added)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

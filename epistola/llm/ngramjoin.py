@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import bound_batches, materialize, table
+from .runtime import bound_batches, materialize, table, without
 from .wordhash import hash_words, mix, shingles
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9998
@@ -262,9 +262,9 @@ def _link_batch(ids: list[int], links: list[int], roots: list[int]) -> pa.Record
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents: that with the smallest id. Rows that
-    repeat a kept id stay, but for equal rows, of which one stays."""
-    gone = ngram_join(docs, id_col=id_col, text_col=text_col).where("class_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    repeat a kept id stay, as do rows without an id."""
+    gone = ngram_join(docs, id_col=id_col, text_col=text_col).where("class_id <> doc_id").select(F.col("doc_id").alias("id"))
+    return without(docs, gone, id_col)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

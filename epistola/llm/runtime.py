@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where ``spark.checkpoint.dir`` is unset, as in local tests.
 LOCAL_SCRATCH = "/tmp/epistola-scratch"
@@ -54,3 +55,15 @@ def drop_scratch(df: DataFrame) -> None:
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles() if "/epistola-" in p}:
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Largest list of ids that is sent to every worker by ``without``, at 16 bytes an id.
+HELD_IDS = 4_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` but for the rows whose id is in ``ids`` (one column, ``id``), which is written first and counted:
+    a short list is broadcast, a longer one joined. Rows with a null id stay."""
+    gone = materialize(ids.distinct(), "ids")
+    few = F.broadcast(gone) if gone.count() <= HELD_IDS else gone
+    return docs.join(few, docs[f"`{id_col}`"].cast("long") == few["id"], "left_anti")
