@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import INVISIBLES, SPACE, blank_to_null, js_trim, strip_invisibles
 
@@ -65,7 +66,7 @@ def decode_entities_text(s: str) -> str:
     return s.translate(_UNSEEN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(values: pd.Series) -> pd.Series:
     return values.map(decode_entities_text, na_action="ignore")
 
@@ -78,7 +79,7 @@ def decode_quoted_printable_text(s: str) -> str:
     return _RUN.sub(lambda m: bytes.fromhex(m[0].replace("=", "")).decode("utf-8", "replace"), _SOFT.sub("", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_quoted_printable(values: pd.Series) -> pd.Series:
     return values.map(decode_quoted_printable_text, na_action="ignore")
 
