@@ -180,13 +180,17 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     held = found.where(F.size("spans") > 0)
     pairs = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t", "p.c").distinct()
     near = pairs.groupBy("e", "t").agg(F.count_distinct("key").alias("n_te"), F.count_distinct("c").alias("near"))
-    pairs = materialize(near.where(F.col("near") >= support).select("e", "t", "n_te"), "pairs")
-    entities = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = pairs.select("key", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    anywhere = pairs.select("key", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_any"))
     n = found.select(F.approx_count_distinct("key", 0.01).alias("n")).first()["n"]  # enters by its logarithm
-    frequency = _document_frequency(d, pairs.select("t").distinct(), held_bytes)
     total = F.lit(float(max(2, n)))
-    ratio = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
-    telling = materialize(pairs.join(entities, "e").join(frequency, "t").where((F.col("n_e") < total) & (ratio >= disclosure)).select("e", "t"), "telling")
+    # A word near any entity in n_any documents is in at least so many: few words can still reach the
+    # threshold, and only theirs are counted over the whole corpus.
+    ratio = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) / F.log2(total / F.col("n_e"))
+    able = near.where(F.col("near") >= support).join(entities, "e").join(anywhere, "t").where((F.col("n_e") < total) & (ratio(F.col("n_any")) >= disclosure))
+    pairs = materialize(able.select("e", "t", "n_te", "n_e"), "pairs")
+    frequency = _document_frequency(d, pairs.select("t").distinct(), held_bytes)
+    telling = materialize(pairs.join(frequency, "t").where(ratio(F.col("n_t")) >= disclosure).select("e", "t"), "telling")
     told = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t").join(telling, ["e", "t"], "left_semi").select("key", "t").distinct()
     places = held.select("key", F.explode("places").alias("p")).select("key", "p.t", "p.start", "p.end").distinct().join(told, ["key", "t"], "left_semi")
     terms = places.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
