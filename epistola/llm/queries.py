@@ -5,13 +5,14 @@ from __future__ import annotations
 from .decontam import op9_decontamination
 from .licenses import op2_license_scan
 from .linededup import op10_line_dedup
+from .nbsvm import op5_quality_classifier
 from .ngramjoin import op1_ngram_jaccard_join
+from .oracles import ORACLE_SQL
 from .packing import op4_harmonic_packing
-from .quality_rules import op7_quality_rules
-from .nbsvm import op5_quality_classifier
 from .pii import op6_pii_sanitisation
+from .quality_rules import op7_quality_rules
 from .toxicity import op8_toxicity
 from .warc import op3_warc
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_warc, op4_harmonic_packing, op5_quality_classifier, op6_pii_sanitisation, op7_quality_rules, op8_toxicity, op9_decontamination, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

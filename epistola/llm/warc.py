@@ -211,4 +211,4 @@ def read_warc(archives: DataFrame, path: str, *, with_payload: bool = False) ->
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    return read_warc(write_warc(table(spark, sf_dir, "pages"), path), path)
+    return read_warc(write_warc(table(spark, sf_dir, "pages"), path), path).drop("archive")
