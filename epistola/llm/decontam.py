@@ -22,7 +22,6 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +135,8 @@ def _by_broadcast(d: DataFrame, b: DataFrame, window: int) -> DataFrame:
 
 
 def _by_shuffle(d: DataFrame, b: DataFrame, window: int) -> DataFrame:
-    """The index as a table: joined by a hash of the rarest word, verified beside the document's surrounding words."""
+    """The index as a table: joined by the rarest word, verified beside the document's surrounding words."""
+    import pandas as pd  # not where the index is broadcast: workers' memory
 
     def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

@@ -108,7 +108,7 @@ NOTICES = [
     ("LGPL", "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("AGPL", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("GPL", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("GFDL", "invariant", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("GFDL", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("MPL-2.0", "subject", "this source code form is subject to the terms of the mozilla public license"),
     ("MPL-1.1", "subject", "the contents of this file are subject to the mozilla public license"),
     ("EPL", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),

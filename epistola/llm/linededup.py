@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +88,8 @@ class LineStore:
         return self._change(docs, text_col, -1)
 
     def _change(self, docs: DataFrame, text_col: str, sign: int) -> LineStore:
+        import pandas as pd  # only where filters are updated: workers' memory
+
         shards, min_docs, to = self.shards, self.min_docs, self.version + 1
         change = self._counted(docs, text_col).withColumn("n", F.col("n") * sign)
         if not self.version:

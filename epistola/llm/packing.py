@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .runtime import table
 
 CAPACITY, END_ID, SLACK = 2048, 1, 1 / 64
-#: Distinct chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED_CHUNKS = 1_500_000
+#: Distinct chunks whose ids a worker remembers, in each of two generations: those of the younger one and those
+#: that were met again since the older one was young.
+REMEMBERED_CHUNKS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -59,6 +60,7 @@ class ChunkTokenizer:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -68,14 +70,16 @@ class ChunkTokenizer:
         if "Σ" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text):
             text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
-        known = self._known
-        if missing := set(chunks).difference(known):
-            if len(known) + len(missing) > REMEMBERED_CHUNKS:
-                known.clear()
-                known[""] = b""
-                missing = set(chunks)
-                missing.discard("")
-            self._learn(list(missing))
+        distinct = set(chunks)
+        if len(self._known) > REMEMBERED_CHUNKS:
+            self._older, self._known = self._known, {"": b""}
+        known, older = self._known, self._older
+        if missing := distinct.difference(known):
+            if older and (again := missing.intersection(older)):
+                known.update((c, older[c]) for c in again)
+                missing -= again
+            if missing:
+                self._learn(list(missing))
         return b"".join(map(known.__getitem__, chunks))
 
     def _learn(self, chunks: list[str]) -> None:

@@ -20,7 +20,7 @@ FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if (b in _WORD_BYTES or 0x41 <
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _powers: list[np.ndarray] = []
 
 

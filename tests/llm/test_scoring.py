@@ -1,0 +1,280 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from epistola.llm import license_rules, licenses, nbsvm, packing, pii, quality_rules, queries, toxicity, warc
+
+from .helpers import awkward, docs, empty, words
+
+# -- licences
+
+
+def brute_base(text):
+    w = words(text)
+    return sorted((label, k) for p, label in license_rules.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+
+
+def test_license_rules():
+    rules = license_rules.build_rules()
+    assert len(rules) > 300 and len({r.name for r in rules}) == len(rules) and all(r.keyword and r.keyword in r.pattern.pattern for r in rules)
+
+
+def test_license_scan(spark):
+    texts = [
+        "Licensed under the Apache License,\nVersion 2.0.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "CC BY-NC 4.0 and cc by",
+        "GNU General Public License GNU general public license", "the mit license mit license", "nothing to see mit", None, "Apache License " * 3,
+    ]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    for i, t in enumerate(texts):
+        assert sorted((x["label"], x["first"]) for x in rows[i]["base"]) == brute_base(t) and rows[i]["n_words"] == len(words(t)) and 0 <= rows[i]["score"] <= 1
+    labels = lambda i: [x["label"] for x in rows[i]["detections"]]
+    assert labels(0) == ["Apache-2.0"] and labels(1) == ["MIT"] and labels(2) == ["MIT"] and rows[6]["score"] == 0 and labels(3) == ["CC-BY-NC-4.0", "cc-by"]
+    for r in rows.values():
+        spans = [(x["first"], x["end"]) for x in r["detections"]]
+        assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in spans for b in spans)
+    assert licenses.scan_licenses(awkward(spark)).count() == 10 and licenses.scan_licenses(empty(awkward(spark))).count() == 0
+
+
+# -- archives
+
+
+def test_archive_round_trip():
+    records = [warc.record(i, "http://x/", f"<p>{i} {'same text ' * 40}</p>".encode(), 0, "D", None) for i in range(200)]
+    raw = warc.write_archive(records)
+    assert raw[:4] == bytes.fromhex("5d2a4d18") and int.from_bytes(raw[4:8], "little") > 0
+    assert list(warc.read_archive(raw)) == records and list(warc.read_archive(warc.write_archive([]))) == []
+    few = warc.write_archive(records[:3])
+    assert few[4:8] == b"\0\0\0\0" and list(warc.read_archive(few)) == records[:3] and len(raw) < len(few) * 40
+
+
+def test_warc_of_pages(spark, tmp_path):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nx", "z" * 300_000, "<p>a</p>", "long " * 40_000]
+    rows = [(i + 1, None if i == 4 else f"http://x/{i} y" if i == 5 else f"http://x/{i}", h, "extra") for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string").repartition(3)
+    for held in (1 << 20, 0):
+        path = f"file://{tmp_path}/w{held}"
+        archives = warc.write_warc(pages, path, archive_bytes=100_000, held_bytes=held)
+        got = {r["page_id"]: r for r in warc.read_warc(archives, path, with_payload=True).collect()}
+        assert len(got) == 8 and not [p for p in (tmp_path / f"w{held}").iterdir() if p.name.startswith(".")]
+        for i, _, h, _ in rows:
+            b = (h or "").encode()
+            first = next(j for j, _, g, _ in rows if (g or "") == (h or ""))
+            r = got[i]
+            assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(b), warc.payload_digest(b), "response" if first == i else "revisit", None if first == i else first)
+            assert first != i or r["payload"] == b
+    path = f"file://{tmp_path}/long"
+    archives = warc.write_warc(pages, path, min_bytes=9)
+    assert warc.read_warc(archives, path).where("record_type = 'revisit'").count() == 0
+    path = f"file://{tmp_path}/none"
+    assert warc.read_warc(warc.write_warc(empty(pages), path), path).count() == 0
+
+
+# -- packing
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 20_000))
+def test_cuts_add_up(n):
+    pieces = packing.cut(n)
+    assert sum(pieces) == n and all(0 < p <= packing.CAPACITY for p in pieces) and len(pieces) <= n // packing.CAPACITY + 8
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 3000), max_size=200))
+def test_packer_fills_classes(lengths):
+    packer, out = packing.HarmonicPacker(), []
+    pieces = [p for n in lengths for p in packing.cut(n)]
+    for i, p in enumerate(pieces):
+        out += packer.add(p, i)
+    out += packer.finish()
+    assert sorted(x[0] for x in out) == list(range(len(pieces)))
+    used = Counter()
+    for i, sequence, offset in out:
+        assert used[sequence] == offset
+        used[sequence] += pieces[i]
+    assert all(u <= packing.CAPACITY for u in used.values())
+
+
+def test_tokens_are_the_tokenizers(spark):
+    t = packing.ChunkTokenizer(packing.default_tokenizer())
+    odd = ["", "<|endoftext|>a b", "<|ENDOFTEXT|>.", "İstanbul Σας ΣΑΣ. été.", "a.. b,. c., 's don't I'LL", "x y\x1cz w  \t q.", "５ ½ ² 1234.5", "日本語。テスト、 ﬁ ǅ", "été É.", "the, the. The,", "́x ́"]
+    for text in odd + [f"{a} {b}" for a in odd for b in odd]:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == t._tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pack_round_trip(spark):
+    texts = ["word " * 5000, None, "", "short text.", "short text.", *("a b c " * k for k in range(1, 60))]
+    tokenizer = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    df = docs(spark, *texts).repartition(2)
+    rows = packing.pack_documents(df, with_ids=True).collect()
+    by = {}
+    for r in rows:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(texts):
+        whole = b"".join(bytes(r["ids"]) for r in sorted(by[i], key=lambda r: r["start"]))
+        assert whole == tokenizer.encode(t) + b"\1\0\0\0" and {r["doc_tokens"] for r in by[i]} == {len(whole) // 4}
+    held = Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert held[r["sequence_id"]] == r["offset"]
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 2048 and len(held) <= sum(held.values()) / 2048 + 3
+    assert packing.pack_documents(awkward(spark)).select("doc_id").distinct().count() == 9 and packing.pack_documents(empty(df)).count() == 0
+
+
+# -- personal data
+
+_EMAIL, _IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD, _PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(text):
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    s = [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    s += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    s += [("card", *m.span()) for m in _CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    s += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(s, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@.-+%_0123459 ()é\n", max_size=60))
+def test_patterns_like_the_contract(text):
+    assert pii.base_spans(text) == brute_pii(text)
+
+
+@pytest.mark.parametrize("text", ["x a.b@c.d@e.f y", "a@b.cx+y@d.e", "1.2.3.4.5.6.7.8 300.1.1.1 1.2.3.4", "4111 1111-1111 1111 and 4111111111111112", "+1 (555) 123-4567. +12", "0000000.1.2.3", "@" * 50 + "a" * 3000])
+def test_patterns(text):
+    assert pii.base_spans(text) == brute_pii(text)
+
+
+def test_disclosing_terms(spark):
+    mail = "jordan.doe@mail.example.com"
+    told = [f"The {a} manager Quarterback wrote {mail} about the {b} plan" for a, b in zip("red blue green grey pink teal".split(), "one two three four five six".split(), strict=True)]
+    rest = [f"The common {w} words about the plan and the manager of nothing" for w in "a b c d e f g h i j k l m n o p".split()] * 3
+    df = docs(spark, *told, *rest)
+    for held in (1 << 20, 0):
+        found = {r["doc_id"]: r for r in pii.find_pii(df, held_bytes=held).collect()}
+        terms = {told[i][s["start"] : s["end"]] for i in range(len(told)) for s in found[i]["spans"] if s["kind"] == "term"}
+        assert "Quarterback" in terms and not terms & {"about", "plan", "manager"} and len(found) == len(told) + len(rest)
+        assert all(not found[len(told) + k]["spans"] for k in range(len(rest)))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "[EMAIL]" in clean[0] and "Quarterback" not in clean[0] and clean[10] == rest[4] and len(clean) == len(told) + len(rest)
+    assert "[TERM]" in pii.sanitise(df, generalise=True).where("doc_id = 0").first()["text"]
+    assert pii.sanitise(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_pii_awkward(spark):
+    rows = pii.find_pii(awkward(spark)).collect()
+    assert len(rows) == 10 and pii.find_pii(empty(awkward(spark))).count() == 0
+    assert pii.digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+# -- quality rules
+
+
+def brute_rules(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {k for v in at.values() if len(v) > 1 for i in v for k in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def test_rules_like_brute_force(spark):
+    texts = ["a b c a b c", "x " * 60, " a b\n\n a b\n c#$|", "é\x0b\x0c\rü", "one two three four " * 20 + "tail", None, "a a a a", "p q r s p q r t q r s"]
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, *texts)).collect()}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_rules(t), t
+        assert r["kept"] == (not r["base_failed"]) or r["class_distance"] is not None
+
+
+def test_rules_find_other_distributions(spark):
+    prose = ["the cat sat on the mat and the dog saw it in the sun by the house of the man " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + (7 * k + i) % 26)}{chr(97 + k // 26)}x" for k in range(60)) for i in range(40)]
+    junk = [" ".join(f"W{k}!!|##" for k in range(90)), " ".join(f"{k * 7919 % 10007:x}{k}" for k in range(90))]
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, *prose, *junk)).collect()}
+    assert all(rows[i]["kept"] for i in range(40)) and not rows[40]["kept"] and not rows[41]["kept"] and not rows[41]["base_failed"]
+    assert quality_rules.judge(awkward(spark)).count() == 10 and quality_rules.judge(empty(awkward(spark))).count() == 0
+    assert quality_rules.judge(awkward(spark)).where("class_distance is null").count() > 0
+
+
+# -- classifiers
+
+
+def test_fold(spark):
+    ids = spark.range(50).withColumnRenamed("id", "doc_id")
+    assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in ids.select("doc_id", toxicity.fold(F.col("doc_id"), 3).alias("f")).collect())
+
+
+def corpus(spark, n=700):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    texts, marks = [], []
+    for i in range(n):
+        w = list(rng.choice(vocabulary, rng.integers(20, 80)))
+        if i % 4 == 0:
+            w[rng.integers(len(w))] = ["foulword", "nastyish", "vilest"][i % 3] + "xyz"[i % 2]
+        texts.append(" ".join(w))
+        marks.append(int(i % 4 == 0))
+    df = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, 1 - m, m) for i, m in enumerate(marks)], "doc_id bigint, quality int, toxic int")
+    return df, labels, marks
+
+
+def test_toxicity_held_out(spark):
+    df, labels, marks = corpus(spark)
+    inputs = toxicity._inputs(df)
+    # labels of the held-out fold play no part, whatever they say
+    wrong = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id"), 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    model, thresholds = toxicity.train(inputs, wrong)
+    rows = toxicity.score(df, model, thresholds).collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert np.mean([(r["score"] >= 0.7) == bool(marks[r["doc_id"]]) for r in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+    again, _ = toxicity.train(inputs.repartition(5), labels)
+    assert np.allclose(again.embedding, model.embedding)
+    kept = toxicity.drop_toxic(df, labels)
+    assert kept.columns == df.columns and abs(kept.count() - marks.count(0)) < 20
+
+
+def test_toxicity_awkward(spark):
+    df, labels, _ = corpus(spark, 200)
+    model, thresholds = toxicity.train(toxicity._inputs(df), labels)
+    rows = toxicity.score(awkward(spark), model, thresholds).collect()
+    assert len(rows) == 10 and all(r["score"] is not None and r["threshold"] == 0.7 or r["threshold"] >= 0.5 for r in rows)
+    assert toxicity.drop_toxic(awkward(spark), labels).columns == awkward(spark).columns
+    untrained, none = toxicity.train(toxicity._inputs(df), labels.where("toxic = 0"))
+    assert not untrained.trained and not none and toxicity.score(df, untrained, none).agg(F.max("score")).first()[0] == 0
+    assert toxicity.score(empty(df), model, thresholds).count() == 0 and toxicity.drop_toxic(empty(df), empty(labels)).count() == 0
+
+
+def test_quality_held_out(spark):
+    df, labels, marks = corpus(spark)
+    model = nbsvm.train(df, labels)
+    rows = nbsvm.score(df, model).collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean([(r["score"] >= 0.3) == (not marks[r["doc_id"]]) for r in held]) > 0.95
+    assert len(nbsvm.score(awkward(spark), model).collect()) == 10 and nbsvm.score(empty(df), model).count() == 0
+    assert nbsvm.score(df, nbsvm.train(df, empty(labels))).select("score").distinct().first()[0] == 0.5
+
+
+def test_indicators_by_text():
+    texts = ["Aa bb AA", "", None, "x! x!", "Aa bb AA"]
+    got = [b[x:y].tolist() for _, b, o in nbsvm.indicators(texts) for x, y in zip(o[:-1], o[1:], strict=True)]
+    assert got[0] == got[4] and got[1] == got[2] == [] and len(got) == 5 and got[0] == sorted(set(got[0]))
+
+
+def test_queries_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
