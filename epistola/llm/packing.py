@@ -75,9 +75,9 @@ class ChunkTokenizer:
             self._older, self._known = self._known, {"": b""}
         known, older = self._known, self._older
         if missing := distinct.difference(known):
-            if older and (again := missing.intersection(older)):
+            if older and (again := [c for c in missing if c in older]):
                 known.update((c, older[c]) for c in again)
-                missing -= again
+                missing.difference_update(again)
             if missing:
                 self._learn(list(missing))
         return b"".join(map(known.__getitem__, chunks))
