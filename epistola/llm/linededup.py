@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cuckoo import CuckooFilter
-from .runtime import scratch_path, table
+from .runtime import delete_at_exit, scratch_path, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Largest size of what is sent to every worker: frequent keys (48 bytes each in a set) or filters.
@@ -62,6 +62,7 @@ class LineStore:
     """Reference counts and filters of a growing set of documents, under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, shards: int = 16, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, held_bytes: int = HELD_BYTES):
+        self._scratch = path is None
         self.spark, self.path, self.shards = spark, path or scratch_path(spark, "lines"), shards
         self.min_docs, self.min_chars, self.held_bytes, self.version = min_docs, min_chars, held_bytes, 0
 
@@ -121,6 +122,8 @@ class LineStore:
         )
         updated.where("not full").select("shard", "filter").unionByName(rebuilt).write.parquet(f"{self.path}/filters-{to}")
         self.version = to
+        if self._scratch:
+            delete_at_exit(self.spark, self.path)
         return self
 
     def _counted(self, docs: DataFrame, text_col: str) -> DataFrame:

@@ -40,11 +40,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/epistola-{name}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver deletes an existing path when it ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` to a Parquet table in the shared folder and read it back: lineage ends there. The table stays until the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

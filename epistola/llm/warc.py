@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, materialize, scratch_path, table
+from .runtime import bound_batches, delete_at_exit, materialize, scratch_path, table
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 32 << 20, 2 << 20, 64 << 10, 3
@@ -211,4 +211,6 @@ def read_warc(archives: DataFrame, path: str, *, with_payload: bool = False) ->
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    return read_warc(write_warc(table(spark, sf_dir, "pages"), path), path).drop("archive")
+    archives = write_warc(table(spark, sf_dir, "pages"), path)
+    delete_at_exit(spark, path)
+    return read_warc(archives, path).drop("archive")
