@@ -109,6 +109,22 @@ class Tools:
     def search(self, query: str, account: str | None = None, limit: int = 15) -> DataFrame:
         return self._hits(S.search(self.ix.messages, self.ix.postings, query, synonyms=True, account=account, limit=limit))
 
+    def search_enriching(self, query: str, account: str | None = None, limit: int = 15) -> tuple[DataFrame, int]:
+        """Search; fetch the bodies that hits lack, where a source has them; search again if any came."""
+        hits = S.search(self.ix.messages, self.ix.postings, query, synonyms=True, account=account, limit=limit).where("body_state = 'meta'").select("account", "message_id")
+        come = None
+        for name, source in self.sources.items():
+            wanted = hits.where(F.col("account") == name)
+            bodies = source.get_full(wanted.select(F.col("message_id").alias("id"))).select(F.lit(name).alias("account"), F.col("id").alias("message_id"), F.col("bodyText").alias("body_text"), F.col("bodyHtml").alias("body_html"))
+            got = M.promote(self.ix.messages, bodies, wanted)
+            come = got if come is None else come.unionByName(got)
+        promoted = come.count() if come is not None else 0
+        if not promoted:
+            return self.search(query, account, limit), 0
+        messages = M.upsert_messages(self.ix.messages, come)
+        ix = replace(self.ix, messages=messages, postings=S.postings(S.search_row(messages)))
+        return Tools(self.spark, ix, self.now, self.sources).search(query, account, limit), promoted
+
     def list_labeled(self, label: str, account: str | None = None, limit: int = 15) -> DataFrame:
         """By id; by name, too, where an account is given."""
         if account:

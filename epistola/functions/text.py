@@ -80,6 +80,11 @@ def message_ref(account: Column, ident: Column) -> Column:
     return F.concat_ws(":", account, ident)
 
 
+def provider_url(url: Column, ident: Column, template: str) -> Column:
+    """The stored address of a message, or the template with its id at the end."""
+    return F.coalesce(blank_to_null(url), F.concat(F.lit(template), ident))
+
+
 def parse_ref(ref: Column) -> Column:
     """struct(account, id), split at the first colon; null unless both sides are there."""
     at = F.instr(ref, ":")

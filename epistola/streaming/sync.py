@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SyncError
+from ..errors import StoreError, SyncError
 from ..operators.merge import upsert_messages
-from ..schemas import IDENTITY, MESSAGES, SYNC_RUNS
+from ..schemas import IDENTITY, MESSAGES, SCHEMA_VERSION, SYNC_RUNS
 from ..sources.mail import MailSource, Scope, to_messages
 
 LOCK_MS = 6 * 3_600_000
@@ -26,7 +26,13 @@ class Store:
     the last one that was finished, so a failed write changes nothing."""
 
     def __init__(self, spark: SparkSession, path: str):
+        """Opens or creates the store; one of a newer schema is refused."""
         self.spark, self.path = spark, path.rstrip("/")
+        held = self.read("schema_version", "version int").agg(F.max("version")).first()[0]
+        if held is not None and held > SCHEMA_VERSION:
+            raise StoreError(f"{path} has schema version {held}; this engine knows {SCHEMA_VERSION}")
+        if held is None or held < SCHEMA_VERSION:
+            self.write("schema_version", spark.createDataFrame([(SCHEMA_VERSION,)], "version int"))
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm

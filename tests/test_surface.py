@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from epistola import render
 from epistola.api import TOOLS, Index, Tools, parse_ref, parse_since, quote_arg
 from epistola.config import parse_config, resolve_account
-from epistola.errors import ConfigError, SyncError, ToolError, WriteUnsupportedError
+from epistola.errors import ConfigError, StoreError, SyncError, ToolError, WriteUnsupportedError
 from epistola.operators import aggregate as A
 from epistola.operators import graph as G
 from epistola.operators import interest as I
 from epistola.operators import search as S
-from epistola.schemas import MESSAGES, SYNC_RUNS
+from epistola.schemas import CONTACT_CURATION, MESSAGES, SNAPSHOTS, SUMMARIES, SYNC_RUNS
 from epistola.sources import mail as M
+from epistola.streaming import derive as D
 from epistola.streaming import sync as Y
 
 from .test_operators import ME, by, conversation, mail, own
@@ -101,6 +102,33 @@ def test_sync_runs(spark, tmp_path):
     assert Y.acquire(store, "a", "sync", None, NOW + 7 * 3_600_000)
 
 
+def test_derived_tables(spark, tmp_path):
+    store = Y.Store(spark, f"file://{tmp_path}/store")
+    Y.sync_account(store, M.TableSource(full_rows(spark), "al@example.com"), "a", M.Scope(), NOW)
+    assert D.should_build_graph(store, "a") and D.rebuild(store, NOW) == {"contacts": 2, "compacted": 0}
+    store.write("contact_curation", spark.createDataFrame([("a", "jo@p.com", "important")], CONTACT_CURATION))
+    assert D.build_graph(store, 3) == {"nodes": 1, "edges": 0, "communities": 1}  # list threads are no part of it
+    assert D.rebuild(store, NOW + 1)["contacts"] == 2
+    jo = D.contacts(store).where("address = 'jo@p.com'").first()
+    assert (jo["curation"], jo["replied_count"], jo["initiated_count"]) == ("important", 0, 1) and jo["centrality"] == pytest.approx(1)
+    assert store.read("contact_stats_snapshot", SNAPSHOTS).count() == 4
+    store.write("message_summaries", spark.createDataFrame([("a", "l1", "short", True, NOW - 8 * 86_400_000)], SUMMARIES))
+    full = store.read("messages", MESSAGES).withColumn("body_state", F.lit("full")).withColumn("body_text", F.lit("x"))
+    store.write("messages", full, ["account"])
+    assert D.rebuild(store, NOW + 2)["compacted"] == 1 and by(store.read("messages", MESSAGES), "message_id")["l1"]["body_state"] == "summary-only"
+    store.write("schema_version", spark.createDataFrame([(99,)], "version int"))
+    with pytest.raises(StoreError):
+        Y.Store(spark, f"file://{tmp_path}/store")
+
+
+def test_search_enriching(tools, spark):
+    source = M.TableSource(full_rows(spark).withColumn("id", F.when(F.col("id") == "d1", "a-recv").otherwise(F.col("id"))))
+    with_source = Tools(spark, tools.ix, NOW, {"a": source})
+    hits, promoted = with_source.search_enriching("deposit")
+    assert promoted == 1 and {r["ref"]: r["body_state"] for r in hits.collect()} == {"a:a-recv": "full", "a:a-sent": "meta"}
+    assert tools.search_enriching("deposit")[1] == 0
+
+
 def test_streams(spark, tmp_path):
     rows = mail(spark, {"message_id": "1", "internal_date": 5}, {"message_id": "1", "internal_date": 5}, {"message_id": "2", "internal_date": 3 * 86_400_000})
     rows.withColumn("at", F.timestamp_millis("internal_date")).coalesce(1).write.parquet(f"{tmp_path}/in")
