@@ -34,7 +34,7 @@ from .runtime import table
 CAPACITY, END_ID, SLACK = 2048, 1, 1 / 64
 #: Distinct chunks whose ids a worker remembers, in each of two generations: those of the younger one and those
 #: that were met again since the older one was young.
-REMEMBERED_CHUNKS = 250_000
+REMEMBERED_CHUNKS = 350_000
 
 
 def default_tokenizer() -> str:
