@@ -195,7 +195,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     places = held.select("key", F.explode("places").alias("p")).select("key", "p.t", "p.start", "p.end").distinct().join(told, ["key", "t"], "left_semi")
     terms = places.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     all_spans = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:long,end:long>>"))), _by_start)
-    return found.join(terms, "key", "left").select("doc_id", "key", F.col("spans").alias("base"), all_spans.alias("spans"))
+    spanless = found.where(F.size("spans") == 0).select("doc_id", "key", F.col("spans").alias("base"), "spans")  # most rows, and no part of the join
+    return held.join(terms, "key", "left").select("doc_id", "key", F.col("spans").alias("base"), all_spans.alias("spans")).unionByName(spanless)
 
 
 def _by_start(a, b):
