@@ -134,12 +134,12 @@ def meaningful_length(text: Column) -> Column:
 
 
 def _value(tag: Column, name: str) -> Column:
-    """An attribute in any of its three quoting forms; null where it is absent."""
+    """An attribute in any of its three quoting forms, its named entities decoded; null where it is absent."""
     pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
     found = F.array_max(F.array(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
     s = js_trim(F.replace(found, F.lit("&amp;"), F.lit("&")))
     s = F.replace(F.replace(s, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
-    return F.when(tag.rlike(pattern), F.when(s.rlike("&#"), s).otherwise(s))
+    return F.when(tag.rlike(pattern), s)
 
 
 def _pixels(tag: Column, name: str) -> Column:
@@ -160,15 +160,15 @@ def parse_images(html: Column) -> Column:
         last = F.element_at(F.concat(F.array(F.lit("</a>")), F.filter(F.slice(tokens, F.lit(1), i), lambda t: opening(t) | closing(t))), -1)
         return F.when(opening(last), _value(last, "href"))
 
+    images = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].rlike(r"(?i)\A<img"))
     each = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            _value(t, "src").alias("src"), _pixels(t, "width").alias("width"), _pixels(t, "height").alias("height"),
-            blank_to_null(_value(t, "alt")).alias("alt"), around(tokens, i).alias("linkedHref"), t.rlike(r"(?i)\A<img").alias("img"),
+        images,
+        lambda x: F.struct(
+            _value(x["t"], "src").alias("src"), _pixels(x["t"], "width").alias("width"), _pixels(x["t"], "height").alias("height"),
+            blank_to_null(_value(x["t"], "alt")).alias("alt"), around(tokens, x["i"]).alias("linkedHref"),
         ),
     )
-    kept = F.filter(each, lambda x: x["img"] & (F.coalesce(x["src"], F.lit("")) != ""))
-    return F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("src", "width", "height", "alt", "linkedHref"))))
+    return F.filter(each, lambda x: F.coalesce(x["src"], F.lit("")) != "")
 
 
 def triage_image(x: Column, min_content: int = MIN_CONTENT, max_icon: int = MAX_ICON) -> Column:
@@ -204,8 +204,9 @@ def triage_image(x: Column, min_content: int = MIN_CONTENT, max_icon: int = MAX_
 
 def classify_images(images: Column) -> Column:
     def full(x: Column) -> Column:
-        v = triage_image(x)
-        return F.struct(*(x[c].alias(c) for c in ("src", "width", "height", "alt", "linkedHref")), v["kind"].alias("kind"), v["score"].alias("score"), v["reasons"].alias("reasons"))
+        # the verdict is bound to an argument, so it is made once
+        put = lambda v: F.struct(*(x[c].alias(c) for c in ("src", "width", "height", "alt", "linkedHref")), v["kind"].alias("kind"), v["score"].alias("score"), v["reasons"].alias("reasons"))
+        return F.get(F.transform(F.array(triage_image(x)), put), F.lit(0))
 
     return F.transform(images, full)
 
