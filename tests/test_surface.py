@@ -207,7 +207,7 @@ def test_arguments():
 
 
 def test_config():
-    accounts = parse_config({"accounts": {"a": {"adapter": "gws", "syncPolicy": {"since": "3d", "limit": 5, "includeSent": False}}}})
+    accounts = parse_config({"accounts": {"a": {"adapter": "table", "syncPolicy": {"since": "3d", "limit": 5, "includeSent": False}}}})
     assert resolve_account(accounts, None).policy == M.Scope(None, "3d", 5, False)
     for bad in ({}, {"accounts": {}}, {"accounts": {"a": {}}}, {"accounts": {"a": {"adapter": "x", "syncPolicy": {"limit": 0}}}}):
         with pytest.raises(ConfigError):
