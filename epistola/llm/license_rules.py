@@ -1,7 +1,8 @@
 """Licence signature rules, built from a table of licences and from hand-written notices.
 
 Rules match the words of a text: lower-cased runs of letters and digits, one space between them, so
-line breaks, quotes and punctuation never matter. Each rule has a keyword that any match must hold.
+line breaks, quotes and punctuation never matter. Each rule has a keyword that any match must hold; a short keyword
+is looked for as a whole word, unless the rule is ``inside``: then it may be part of a longer one (gplv2).
 """
 
 from __future__ import annotations
@@ -91,6 +92,9 @@ LICENSES = {
     "Proprietary": ["proprietary license"],
 }
 
+# Names whose keyword can't be read from the expression: its word runs on into optional parts.
+KEYWORDS = {"gpl ?v?2(?: 0)?": "gpl", "gpl ?v?3(?: 0)?": "gpl", "cc0(?: 1 0)?": "cc0", "odbl(?: 1 0)?": "odbl", "pddl(?: 1 0)?": "pddl"}
+
 # Notices: label, keyword, regular expression over words.
 NOTICES = [
     ("MIT", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -144,6 +148,7 @@ class Rule:
     pattern: re.Pattern
     priority: int
     weight: float
+    inside: bool = False
 
 
 def _keyword(pattern: str) -> str:
@@ -152,8 +157,8 @@ def _keyword(pattern: str) -> str:
     return max(plain.split() or [""], key=len)
 
 
-def _rule(name: str, label: str, pattern: str, priority: int, weight: float, keyword: str | None = None) -> Rule:
-    return Rule(name, label, keyword or _keyword(pattern), re.compile(f"(?<![^ ]){pattern}(?![^ ])"), priority, weight)
+def _rule(name: str, label: str, pattern: str, priority: int, weight: float, keyword: str | None = None, inside: bool = False) -> Rule:
+    return Rule(name, label, keyword or _keyword(pattern), re.compile(f"(?<![^ ]){pattern}(?![^ ])"), priority, weight, inside)
 
 
 def build_rules() -> list[Rule]:
@@ -164,9 +169,9 @@ def build_rules() -> list[Rule]:
         rules.append(_rule(f"spdx-{spdx}", spdx, f"spdx license identifier {tag}(?: only| or later)?", 85, 0.99, "spdx"))
         rules.append(_rule(f"field-{spdx}", spdx, f"licen[cs]e {tag}", 60, 0.6, max(tag.split(), key=len)))
         for k, name in enumerate(names):
-            key = _keyword(name)
+            key, inside = KEYWORDS.get(name) or _keyword(name), name in KEYWORDS
             grant = f"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a )?{name}"
-            rules.append(_rule(f"grant-{spdx}-{k}", spdx, grant, 80, 0.9, key))
-            rules.append(_rule(f"name-{spdx}-{k}", spdx, name, 70, 0.7, key))
+            rules.append(_rule(f"grant-{spdx}-{k}", spdx, grant, 80, 0.9, key, inside))
+            rules.append(_rule(f"name-{spdx}-{k}", spdx, name, 70, 0.7, key, inside))
     rules += [_rule(f"base-{label}", label, phrase, 10, 0.5, max(phrase.split(), key=len)) for phrase, label in BASE.items()]
     return rules

@@ -35,20 +35,23 @@ class Scanner:
         self._base = {f"base-{label}" for label in BASE.values()}
         gates: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            gates.setdefault(r.keyword, []).append(i)
+            gates.setdefault(r.keyword if r.inside or len(r.keyword) >= 4 else f" {r.keyword} ", []).append(i)
         # Of keywords, the rarest decides: very common words would open their gates everywhere.
         self._automaton = ahocorasick.Automaton()
         for keyword, own in gates.items():
-            self._automaton.add_word(f" {keyword} " if len(keyword) < 4 else keyword, own)
+            self._automaton.add_word(keyword, own)
         self._automaton.make_automaton()
 
+    def gated(self, plain: str) -> set[int]:
+        """Places in ``rules`` of those whose keyword these words, with one space between them, hold."""
+        return {i for _, own in self._automaton.iter(f" {plain} ") for i in own}
+
     def scan(self, text: str | None) -> tuple[int, list[Detection], list[Detection]]:
         """Number of words; base places; accepted detections (rule, label, first word, end word, priority, weight)."""
         w = words(text)
         plain = b" ".join(w).decode("utf-8", "replace")
-        gated = {i for _, own in self._automaton.iter(f" {plain} ") for i in own}
         found: list[Detection] = []
-        for i in sorted(gated):
+        for i in sorted(self.gated(plain)):
             r = self.rules[i]
             for m in r.pattern.finditer(plain):
                 first = plain.count(" ", 0, m.start())

@@ -43,6 +43,49 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(awkward(spark)).count() == 10 and licenses.scan_licenses(empty(awkward(spark))).count() == 0
 
 
+def samples(pattern):
+    """Texts that the expression matches: every branch, and each repetition at its least and at its most."""
+    parser = re._parser
+    def expand(nodes):
+        out = [""]
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                parts = [chr(arg)]
+            elif name == "IN":
+                parts = [next(chr(c) for c in range(97, 123) if not any(str(o) == "LITERAL" and a == c for o, a in arg[1:]))] if str(arg[0][0]) == "NEGATE" else [chr(a[0] if str(o) == "RANGE" else a) for o, a in arg]
+            elif name == "NOT_LITERAL":
+                parts = ["x"]
+            elif name == "SUBPATTERN":
+                parts = expand(arg[3])
+            elif name == "BRANCH":
+                parts = [x for b in arg[1] for x in expand(b)]
+            elif name == "MAX_REPEAT":
+                parts = [x * n for x in expand(arg[2]) for n in {arg[0], min(arg[1], arg[0] + 2)}]
+            else:
+                assert name == "ASSERT_NOT", name
+                parts = [""]
+            out = [a + b for a in out for b in dict.fromkeys(parts)]
+        return list(dict.fromkeys(out))
+
+    return expand(parser.parse(pattern))
+
+
+def test_license_matches_pass_their_gate():
+    s = licenses.Scanner(license_rules.build_rules())
+    for i, r in enumerate(s.rules):
+        texts = [t for t in samples(r.pattern.pattern) if r.pattern.search(t)]
+        assert texts and all(i in s.gated(t) for t in texts), r.name
+
+
+@pytest.mark.parametrize(("text", "label", "score"), [("GPLv2", "GPL-2.0", 0.7), ("gpl3", "GPL-3.0", 0.7), ("Licensed under GPLv3.", "GPL-3.0", 0.9), ("released under CC0", "CC0-1.0", 0.9), ("ODbL", "ODbL-1.0", 0.7), ("the PDDL", "PDDL-1.0", 0.7)])
+def test_license_without_other_words(text, label, score):
+    s = licenses.scanner()
+    for around in ("{}", "{} 1 gpl"):
+        found = s.scan(around.format(text))[2]
+        assert [d[1] for d in found] == [label] and abs(max(d[5] for d in found) - score) < 1e-9
+
+
 # -- archives
 
 
