@@ -14,7 +14,8 @@ e, and all its places in documents that hold e become ``term`` spans. Copies cou
 counted by a hash of their text, surroundings by a hash of their words.
 
 Counts cover all documents. The first pass reads each whole text once and keeps little beside base
-spans; counts are aggregations with map-side combining; document frequencies are counted for candidate
+spans; where any word discloses an entity, a last pass lists its places in all texts that hold the entity,
+however far apart; counts are aggregations with map-side combining; document frequencies are counted for candidate
 words only, which are sent to the workers where they take up to ``held_bytes`` and joined beyond.
 
 Sanitising generalises a span to its kind (``[EMAIL]``) and removes disclosing terms or, with
@@ -102,8 +103,8 @@ def entity(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> tuple[set[tuple[int, str, int]], list[Span]]:
-    """(entity, word, hash of the surroundings) triples within the window, and all places in the text of the words among them."""
+def _words_and_spans(text: str, spans: list[Span]) -> tuple[list[tuple[str, int, int]], np.ndarray, list[tuple[int, int]]]:
+    """The words with their places, which of them lie in spans, and each span's range of words."""
     w = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([x[1] for x in w], np.int64)
     inside = np.zeros(len(w), bool)
@@ -112,26 +113,44 @@ def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> tuple[set[
         i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
         inside[i:j] = True
         bounds.append((i, j))
+    return w, inside, bounds
+
+
+def _may_tell(word: str) -> bool:
+    return len(word) >= MIN_LETTERS and word.isalpha()
+
+
+def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> set[tuple[int, str, int]]:
+    """(entity, word, hash of the surroundings) triples within the window."""
+    w, inside, bounds = _words_and_spans(text, spans)
     pairs = set()
     for (kind, a, b), (i, j) in zip(spans, bounds, strict=True):
         e = entity(kind, text[a:b])
         around = [*range(max(0, i - window), i), *range(j, min(len(w), j + window))]
         c = entity("near", " ".join(w[k][0] for k in around))
         for k in around:
-            if not inside[k] and len(w[k][0]) >= MIN_LETTERS and w[k][0].isalpha():
+            if not inside[k] and _may_tell(w[k][0]):
                 pairs.add((e, w[k][0], c))
-    terms = {t for _, t, _ in pairs}
-    return pairs, [(t, a, b) for k, (t, a, b) in enumerate(w) if t in terms and not inside[k]]
+    return pairs
+
+
+def term_places(text: str, spans: list[Span], terms: set[str] | None = None) -> list[Span]:
+    """All places in the text, outside spans, of ``terms``, or of every word that could be one."""
+    w, inside, _ = _words_and_spans(text, spans)
+    return [(t, a, b) for k, (t, a, b) in enumerate(w) if (t in terms if terms is not None else _may_tell(t)) and not inside[k]]
+
 
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
-_FOUND = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<e:long,t:string,c:long>>, places array<struct<t:string,start:long,end:long>>"
+
+_FOUND = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<e:long,t:string,c:long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("c", pa.int64())]))
-_PLACES = pa.list_(pa.struct([("t", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _scan(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("pairs", _PAIRS), ("places", _PLACES)])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("pairs", _PAIRS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +158,66 @@ def _scan(window: int):
             for value in batch.column(1):
                 text = value.as_py() or ""
                 spans = base_spans(text)
-                pairs, places = near_terms(text, spans, window) if spans else ((), ())
-                out["key"].append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63))
+                pairs = near_terms(text, spans, window) if spans else ()
+                out["key"].append(_key(text))
                 out["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 out["pairs"].append([{"e": e, "t": t, "c": c} for e, t, c in pairs])
-                out["places"].append([{"t": t, "start": a, "end": b} for t, a, b in places])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
 
     return run
 
 
+def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFrame:
+    """key, start, end: all places of a telling word in the texts that hold its entity anywhere. A second pass over
+    the texts, with the tellings sent to the workers where they take up to ``held_bytes`` and joined beyond."""
+    spark = docs.sparkSession
+    size = telling.agg(F.coalesce(F.sum(F.octet_length("t") + 200), F.lit(0)).alias("b")).first()["b"]
+    if not size:
+        return spark.createDataFrame([], "key long, start long, end long")
+    held = None
+    if size <= held_bytes:
+        of: dict[int, set[str]] = defaultdict(set)
+        for r in telling.collect():
+            of[r["e"]].add(r["t"])
+        held = spark.sparkContext.broadcast(dict(of))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[int], str, list[Span]]]:
+        for batch in batches:
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                if spans := base_spans(text):
+                    yield _key(text), {entity(k, text[a:b]) for k, a, b in spans}, text, spans
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for key, es, text, spans in texts(batches):
+            if terms := set().union(*(held.value.get(e, ()) for e in es)):
+                out += [(key, a, b) for _, a, b in term_places(text, spans, terms)]
+            if len(out) >= 10_000:
+                yield rows(out, "key start end")
+                out = []
+        yield rows(out, "key start end")
+
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, es, _, _ in texts(batches):
+            yield rows([(key, e) for e in es], "key e")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, text, spans in texts(batches):
+            yield rows([(key, *p) for p in term_places(text, spans)], "key t start end")
+
+    def rows(out: list[tuple], names: str) -> pa.RecordBatch:
+        n = names.split()
+        columns = zip(*out, strict=True) if out else [()] * len(n)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if x == "t" else pa.int64()) for c, x in zip(columns, n, strict=True)], names=n)
+
+    text = docs.select("text")
+    if held:
+        return text.mapInArrow(told, "key long, start long, end long").distinct()
+    of_text = text.mapInArrow(entities, "key long, e long").distinct().join(telling, "e").select("key", "t").distinct()
+    return text.mapInArrow(places, "key long, t string, start long, end long").distinct().join(of_text, ["key", "t"], "left_semi").select("key", "start", "end")
+
+
 def _document_frequency(docs: DataFrame, terms: DataFrame, held_bytes: int) -> DataFrame:
     """t, n_t: distinct texts that hold each of ``terms``."""
     spark = docs.sparkSession
@@ -163,7 +232,7 @@ def _document_frequency(docs: DataFrame, terms: DataFrame, held_bytes: int) -> D
                 own = set(words(text))
                 own = held.value.keys() & own if held else own
                 if own:
-                    k = xxhash.xxh3_64_intdigest((value.as_py() or "").encode("utf-8", "replace")) - (1 << 63)
+                    k = _key(value.as_py() or "")
                     key += [k] * len(own)
                     found += [o.decode("utf-8", "replace") for o in own]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(found, pa.string())], names=["key", "t"])
@@ -191,8 +260,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = materialize(able.select("e", "t", "n_te", "n_e"), "pairs")
     frequency = _document_frequency(d, pairs.select("t").distinct(), held_bytes)
     telling = materialize(pairs.join(frequency, "t").where(ratio(F.col("n_t")) >= disclosure).select("e", "t"), "telling")
-    told = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t").join(telling, ["e", "t"], "left_semi").select("key", "t").distinct()
-    places = held.select("key", F.explode("places").alias("p")).select("key", "p.t", "p.start", "p.end").distinct().join(told, ["key", "t"], "left_semi")
+    places = _told_places(d, telling, held_bytes)
     terms = places.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     all_spans = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:long,end:long>>"))), _by_start)
     spanless = found.where(F.size("spans") == 0).select("doc_id", "key", F.col("spans").alias("base"), "spans")  # most rows, and no part of the join

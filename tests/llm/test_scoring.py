@@ -216,6 +216,20 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    mail, far = "jordan.doe@mail.example.com", "many other words lie between them here "
+    told = [f"The {a} manager Quarterback wrote {mail} about the {b} plan" for a, b in zip("red blue green grey pink teal".split(), "one two three four five six".split(), strict=True)]
+    apart = [f"{mail} {far}and then Quarterback, a quarterback", f"{far} quarterback {far} {mail}", f"{mail} {far}"]
+    rest = [f"The common {w} words about the plan and the manager of nothing" for w in range(300)]
+    df = docs(spark, *told, *apart, *rest, f"x@y.org {far} quarterback", apart[0])
+    for held in (1 << 20, 0):
+        found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, held_bytes=held, disclosure=0.7).collect()}
+        terms = lambda i, t: [t[s["start"] : s["end"]] for s in found[i] if s["kind"] == "term" and t[s["start"] : s["end"]].lower() == "quarterback"]
+        assert terms(6, apart[0]) == ["Quarterback", "quarterback"] == terms(len(found) - 1, apart[0]) and terms(7, apart[1]) == ["quarterback"]
+        assert not terms(8, apart[2]) and not [s for s in found[len(found) - 2] if s["kind"] == "term"]  # without the word; with another entity
+    assert "uarterback" not in pii.sanitise(df, disclosure=0.7).where("doc_id = 6").first()["text"]
+
+
 def test_pii_awkward(spark):
     rows = pii.find_pii(awkward(spark)).collect()
     assert len(rows) == 10 and pii.find_pii(empty(awkward(spark))).count() == 0
