@@ -9,10 +9,12 @@ base 2, from 0 to 1):
 * common words: the words that make up at least ``COMMON_SHARE`` of all words in their language, and
   one class for the rest. That share bounds their number: 1 / COMMON_SHARE a language.
 
-References are sums over all documents of the language. Languages that hold at least
-``LANGUAGE_SHARE`` of the corpus's characters have one, so there are at most 1 / LANGUAGE_SHARE; both
-bounds hold whatever the corpus's size, so references are broadcast. Documents too short for a
-histogram (``MIN_CHARS``, ``MIN_WORDS``) and those in a language without a reference aren't judged by it.
+References are sums over all documents of the language. Every language has one but for those with too
+little text: under ``MIN_LANGUAGE_CHARS`` no class reference, under ``MIN_LANGUAGE_WORDS`` no common words
+(from there on a common word was met ten times at least). Other languages play no part. References that
+take up to ``held_bytes`` are broadcast; beyond that, only those of languages with at least
+``LANGUAGE_SHARE`` of the corpus's characters are (at most 1 / LANGUAGE_SHARE), and the others are joined by
+language. Documents too short for a histogram (``MIN_CHARS``, ``MIN_WORDS``) aren't judged by it.
 
 Per-text work uses let-bindings (``_let``): a lambda's argument is computed once, where an expression
 repeated in a lambda would be computed for each element.
@@ -42,6 +44,8 @@ CLASSES = ("lower", "upper", "digit", "blank", "punct", "symbol", "wide")
 
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 MIN_CHARS, MIN_WORDS = 200, 80
+MIN_LANGUAGE_CHARS, MIN_LANGUAGE_WORDS = 10_000, 2_500
+HELD_BYTES = 32 << 20
 COMMON_SHARE, COMMON_LETTERS, LANGUAGE_SHARE = 0.004, 6, 0.01
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.29, 0.34
 
@@ -115,32 +119,52 @@ def short_tokens(docs: DataFrame) -> DataFrame:
     return words.where(F.length("word") <= COMMON_LETTERS)
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def _bytes(references: DataFrame, *texts: str) -> int:
+    """About what a broadcast of ``references`` takes up, counted."""
+    size = sum((F.octet_length(c) for c in texts), F.lit(120))
+    return references.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
+
+
+def _refer(rows: DataFrame, references: DataFrame, on: list[str], how: str, large: list[str] | None) -> DataFrame:
+    """``rows`` joined with references by ``lang`` and more; all are broadcast, or those of the ``large`` languages only."""
+    if large is None:
+        return rows.join(F.broadcast(references), on, how)
+    # rows without a language go with the broadcast, where they make no group
+    is_large = F.coalesce(F.col("lang").isin(large), F.lit(True))
+    return rows.where(is_large).join(F.broadcast(references.where(is_large)), on, how).unionByName(rows.where(~is_large).join(references.where(~is_large), on, how))
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, held_bytes: int = HELD_BYTES) -> DataFrame:
     """The base measures, base_failed, class_distance, word_distance (null where not judged) and kept."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     m = materialize(measures(d), "measures")
 
     # references: sums over all documents of a language
     classes = m.where("lang is not null").groupBy("lang").agg(F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
-    all_chars = m.agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("all")).first()["all"]
-    classes = materialize(classes.where(F.col("chars") >= LANGUAGE_SHARE * max(1, all_chars)), "classes")
+    classes = materialize(classes, "classes")
+    all_chars = classes.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("all")).first()["all"] + m.where("lang is null").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("all")).first()["all"]
+    large_only = lambda: [r["lang"] for r in classes.where(F.col("chars") >= LANGUAGE_SHARE * max(1, all_chars)).select("lang").collect()]
+    large = None if _bytes(classes, "lang") <= held_bytes else large_only()
     total = sum((F.col(c) for c in CLASSES), F.lit(0))
-    reference = classes.select(F.col("lang"), *((F.col(c) / total).alias(f"r_{c}") for c in CLASSES))
-    counted = short_tokens(d.join(F.broadcast(classes.select("lang")), "lang", "left_semi"))
+    reference = classes.where(F.col("chars") >= MIN_LANGUAGE_CHARS).select(F.col("lang"), *((F.col(c) / total).alias(f"r_{c}") for c in CLASSES))
+    sized = classes.where(F.col("words") >= MIN_LANGUAGE_WORDS).select("lang", "words")
+    counted = short_tokens(_refer(d, sized.select("lang"), ["lang"], "left_semi", large))
     counts = counted.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("n") / F.col("words")).alias("p")
-    common = materialize(counts.join(F.broadcast(classes.select("lang", "words")), "lang").select("lang", "word", share).where(F.col("p") >= COMMON_SHARE), "common")
+    common = materialize(_refer(counts, sized, ["lang"], "inner", large).select("lang", "word", share).where(F.col("p") >= COMMON_SHARE), "common")
+    if large is None and _bytes(common, "lang", "word") > held_bytes:
+        large = large_only()
     shares = common.groupBy("lang").agg(F.sum("p").alias("p_common"), F.count(F.lit(1)).alias("n_common"))
 
     # word histograms of documents, over common words only; rows of one id and text make one histogram
-    hits = counted.join(F.broadcast(common), ["lang", "word"]).groupBy("doc_id", "key", "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
+    hits = _refer(counted, common, ["lang", "word"], "inner", large).groupBy("doc_id", "key", "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
     sizes = m.groupBy("doc_id", "key", "lang").agg(F.sum("n_words").alias("words"))
     words = (
         hits.join(sizes, ["doc_id", "key", "lang"]).withColumn("q", F.least(F.col("n") / F.greatest(F.col("words"), F.lit(1)), F.lit(1.0)))
         .groupBy("doc_id", "key", "lang").agg(F.sum(_part(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p_seen"), F.sum("q").alias("q_seen"))
     )
     n_chars = sum((F.col(c) for c in CLASSES), F.lit(0))
-    out = m.join(F.broadcast(reference), "lang", "left").join(F.broadcast(shares), "lang", "left").join(words, ["doc_id", "key", "lang"], "left")
+    out = _refer(_refer(m, reference, ["lang"], "left", large), shares, ["lang"], "left", large).join(words, ["doc_id", "key", "lang"], "left")
     class_distance = _distance(sum((_part(F.col(f"r_{c}"), F.col(c) / n_chars) for c in CLASSES), F.lit(0.0)))
     p_seen, q_seen, seen = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("p_seen", "q_seen", "seen"))
     # a common word that the document lacks adds half its share

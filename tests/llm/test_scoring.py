@@ -268,6 +268,18 @@ def test_rules_find_other_distributions(spark):
     assert quality_rules.judge(awkward(spark)).where("class_distance is null").count() > 0
 
 
+def test_rules_judge_every_language(spark):
+    prose = ["the cat sat on the mat and the dog saw it in the sun by the house of the man " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + (7 * k + i) % 26)}{chr(97 + k // 26)}x" for k in range(60)) for i in range(40)]
+    junk = " ".join(f"W{k}!!|##" for k in range(90))
+    few = spark.createDataFrame([(i, t, "xx") for i, t in enumerate([*prose, junk])] + [(900, prose[0], "yy"), (901, prose[0], None)], "doc_id bigint, text string, lang string")
+    large = few.unionByName(spark.createDataFrame([(1000 + i, f"{i} " + "some other words in a very long text " * 20_000, "en") for i in range(5)], few.schema))
+    judged = lambda df, **o: {r["doc_id"]: (r["class_distance"] and round(r["class_distance"], 9), r["word_distance"] and round(r["word_distance"], 9), r["kept"]) for r in quality_rules.judge(df, **o).collect() if r["doc_id"] < 1000}
+    alone, among, joined = judged(few), judged(large), judged(large, held_bytes=0)
+    assert alone == among == joined and len(alone) == 43
+    assert not among[40][2] and among[40][0] > quality_rules.MAX_CLASS_DISTANCE and all(among[i][2] and among[i][1] is not None for i in range(40))
+    assert among[900] == (None, None, True) == among[901]  # too little text for a reference; no language
+
+
 # -- classifiers
 
 
