@@ -114,12 +114,14 @@ def bm25(index: DataFrame, phrases: list[Phrase], n_docs: DataFrame | None = Non
     return scored.groupBy(*KEY).agg((-F.sum(part)).alias("score"))
 
 
-def search(messages: DataFrame, index: DataFrame, query: str, *, synonyms: bool = True, account: str | None = None, limit: int = 15, stemmed: bool = True, n_docs: DataFrame | None = None) -> DataFrame:
+def search(messages: DataFrame, index: DataFrame, query: str, *, synonyms: bool = True, account: str | None = None, limit: int | None = 15, stemmed: bool = True, n_docs: DataFrame | None = None) -> DataFrame:
+    """The best ``limit`` hits, or all of them where it is None."""
     hits = bm25(index, parse(query, synonyms, True, stemmed), n_docs)
     out = messages.join(hits, KEY)
     if account:
         out = out.where(F.col("account") == account)
-    return out.orderBy("score", F.col("internal_date").desc_nulls_last(), "message_id").limit(limit)
+    out = out.orderBy("score", F.col("internal_date").desc_nulls_last(), "message_id")
+    return out if limit is None else out.limit(limit)
 
 
 def keyword_search(messages: DataFrame, index: DataFrame, keywords: list[str], since: int | None = None, limit: int = 25, stemmed: bool = True) -> DataFrame:

@@ -331,7 +331,7 @@ def search_phrase(spark: SparkSession, d: str) -> DataFrame:
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed, with synonyms; all hits"""
     m = V.messages(spark, d)
-    return S.search(m, S.postings(S.search_row(m)), "flight receipt", synonyms=True, limit=1_000_000).select("account", "message_id", *_r("score"))
+    return S.search(m, S.postings(S.search_row(m)), "flight receipt", synonyms=True, limit=None).select("account", "message_id", *_r("score"))
 
 
 # -- graph
