@@ -64,6 +64,14 @@ def drop_scratch(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Largest list of ids that is sent to every worker by ``without``, at 16 bytes an id.
 HELD_IDS = 4_000_000
 

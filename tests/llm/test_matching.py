@@ -178,25 +178,59 @@ def contaminated(spark):
     return texts + [None, ""], items
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
-def test_decontamination_like_brute_force(spark, index_bytes):
+#: held by the workers; joined; joined with hot pairs of words dealt over tasks and without the list of rarest words
+WAYS = [{}, {"held_windows": 0}, {"held_windows": 0, "held_words": 0, "hot_places": 2}]
+
+
+def judged(rows):
+    """Results by text, so that repeated and null ids can be told apart."""
+    return sorted((repr(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows)
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_decontamination_like_brute_force(spark, options):
     texts, items = contaminated(spark)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {r["doc_id"]: r for r in decontam.find_contamination(docs(spark, *texts), bench, index_bytes=index_bytes).collect()}
+    got = {r["doc_id"]: r for r in decontam.find_contamination(docs(spark, *texts), bench, **options).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == brute_hits(t, items), t
         assert sum(s["end"] - s["first"] for s in r["spans"]) == r["n_hit"]
-    kept = {r["doc_id"] for r in decontam.drop_contaminated(docs(spark, *texts), bench, index_bytes=index_bytes).collect()}
+    kept = {r["doc_id"] for r in decontam.drop_contaminated(docs(spark, *texts), bench, **options).collect()}
     assert kept == {i for i, t in enumerate(texts) if not brute_hits(t, items)[-1]}
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
-def test_decontamination_awkward(spark, index_bytes):
-    df, bench = awkward(spark), spark.createDataFrame([(1, "one two three"), (None, "word1 and 1")], "item_id bigint, text string")
-    out = decontam.find_contamination(df, bench, index_bytes=index_bytes)
-    if index_bytes:
-        assert out.count() == 10 and out.where("contaminated").count() == 4
-    assert decontam.find_contamination(df, empty(bench), index_bytes=index_bytes).where("contaminated").count() == 0
-    assert decontam.find_contamination(empty(df), bench, index_bytes=index_bytes).count() == 0
-    assert decontam.drop_contaminated(df, bench, index_bytes=index_bytes).columns == df.columns
+@pytest.mark.parametrize("options", WAYS)
+def test_decontamination_by_row(spark, options):
+    """Repeated and null ids: each row has its own result, whichever way the index goes."""
+    item = " ".join(f"b{i}" for i in range(12))
+    rows = [(1, f"x {item} y"), (1, "all clean here"), (None, item), (None, "clean"), (None, None), (2, ""), (1, f"x {item} y"), (3, item[:-3]), (3, " ".join(item.split()[1:5]))]
+    bench = [(None, item), (7, "one two"), (7, item + " more")]
+    df = spark.createDataFrame([(*r, "keep", 1) for r in rows], "doc_id bigint, text string, row string, _row int")
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    named = [("" if i is None else i, t) for i, t in bench]
+    assert judged(decontam.find_contamination(df, b, **options).collect()) == sorted((repr(i), *brute_hits(t, named)) for i, t in rows)
+    kept = decontam.drop_contaminated(df, b, **options)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, df.where("text is null or text not like '%b0 %' and text not like 'b0 %'").collect()))
+
+
+@pytest.mark.parametrize("options", WAYS)
+def test_decontamination_awkward(spark, options):
+    df, items = awkward(spark), [(1, "one two three"), ("", "word1 and 1")]
+    bench = spark.createDataFrame([(i or None, t) for i, t in items], "item_id bigint, text string")
+    texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+    assert judged(decontam.find_contamination(df, bench, **options).collect()) == sorted((repr(i), *brute_hits(t, items)) for i, t in texts)
+    assert decontam.find_contamination(df, empty(bench), **options).where("contaminated").count() == 0
+    assert decontam.find_contamination(empty(df), bench, **options).count() == 0
+    out = decontam.drop_contaminated(df, bench, **options)
+    assert out.columns == df.columns and out.count() == sum(not brute_hits(t, items)[-1] for _, t in texts)
+
+
+def test_window_index_is_small():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    runs = list(wordhash.hash_words(texts))
+    hashes = [r.hashes[a:b] for r in runs for a, b in zip(r.offsets[:-1], r.offsets[1:], strict=True)]
+    index = decontam.build_index([str(i) for i in range(400)], hashes)
+    assert len(index.rare) == 400 * 51 and index.nbytes() < 50 * len(index.rare)
