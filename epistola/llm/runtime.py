@@ -72,6 +72,21 @@ def fresh_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of one key from which ``join_spread`` treats it as hot, and the most keys that can be.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of a written table with one that has a row for each key. Keys that hold many rows of ``left`` are joined by
+    broadcast, so none of them is one task; they are at most ``MOST_HOT`` by their count."""
+    most = max(hot_rows, left.count() // MOST_HOT)
+    hot = materialize(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*on), "hot")
+    if hot.isEmpty():
+        return left.join(right, on)
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    return left.join(few, on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+
+
 #: Largest list of ids that is sent to every worker by ``without``, at 16 bytes an id.
 HELD_IDS = 4_000_000
 
