@@ -17,6 +17,7 @@ empty table gives no rows; only the id and text columns are read, so other colum
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -43,12 +44,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer file says whose pre-tokens are runs of letters, single digits or other visible characters, lower-cased after NFC.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _by_chunks(config: dict) -> bool:
+    """Whether a tokenizer's file says that texts may be encoded chunk by chunk and that a run of letters ends with one ``</w>``."""
+    pre = config.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or []
+    plain = len(steps) == 2 and steps[0] == _SPLIT and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    own = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in config.get("added_tokens") or [])
+    return config.get("normalizer") == _NORMALIZER and plain and own and config["model"].get("end_of_word_suffix") == "</w>" and not config.get("truncation") and not config.get("padding")
+
+
+def _is_word(chunk: str) -> bool:
+    """All letters, also after normalisation and lower-casing, which makes letters and marks of some capitals."""
+    return chunk.isalpha() and (chunk.isascii() or unicodedata.normalize("NFC", chunk).lower().isalpha())
+
+
 class ChunkTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are
+    Where the file says that its pre-tokenizer never joins characters across white space (see ``_by_chunks``), the ids of a text are
     those of its chunks between spaces and line ends, one after another; chunks repeat, and their ids
-    are remembered.
+    are remembered. With any other tokenizer, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,6 +76,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self._chunked = _by_chunks(json.load(f))
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -65,10 +87,15 @@ class ChunkTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self._chunked:
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         # Lower-casing first lets more chunks repeat. Not where Python's lower case depends on a letter's
-        # neighbours, where special tokens may stand, or where normalisation would come after it.
-        if "Σ" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text):
-            text = text.lower()
+        # neighbours, where special tokens may stand, or where normalisation would change letters before or after it.
+        if "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low := text.lower()):
+                text = low
         chunks = text.replace("\n", " ").split(" ")
         distinct = set(chunks)
         if len(self._known) > REMEMBERED_CHUNKS:
@@ -86,9 +113,9 @@ class ChunkTokenizer:
         """Most chunks are letters, with or without a full stop or comma, which is a token of its own."""
         known, letters, ended, rest = self._known, [], [], []
         for c in chunks:
-            if c.isalpha():
+            if _is_word(c):
                 letters.append(c)
-            elif c[-1] in ".," and c[:-1].isalpha():
+            elif c[-1] in ".," and _is_word(c[:-1]):
                 ended.append(c)
             else:
                 rest.append(c)
