@@ -15,7 +15,8 @@ that runs again replaces its archive by an equal one. A worker holds one archive
 a time.
 
 Defined results: a null html is an empty payload; a null or odd url becomes a urn of the page; rows that repeat the
-smallest page_id of their payload are responses each; an empty table writes no archive and reads no record. Only
+smallest page_id of their payload are responses each; a row without a page_id has a record whose id names none: a revisit where a
+page with an id has its payload, else a response; an empty table writes no archive and reads no record. Only
 the id, url and html columns are read.
 """
 
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, delete_at_exit, materialize, scratch_path, table
+from .runtime import bound_batches, delete_at_exit, join_spread, materialize, scratch_path, table
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 32 << 20, 2 << 20, 64 << 10, 3
@@ -47,16 +48,17 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit without payload."""
     if refers_to is None:
         block, kind, extra = _HTTP % len(payload) + payload, "response", ""
     else:
         block, kind = _HTTP % size, "revisit"
         extra = f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{_ID}{refers_to}>\r\n"
-    target = url if url and not any(c <= " " for c in url) else f"{_ID}{page_id}"
+    target = url if url and not any(c <= " " for c in url) else f"{_ID}{'none' if page_id is None else page_id}"
+    own = f"{_ID}{'none' if page_id is None else page_id}"
     head = (
-        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{_ID}{page_id}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {target}\r\n"
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {target}\r\n"
         f"WARC-Payload-Digest: sha1:{digest}\r\n{extra}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
     )
     return head.encode("utf-8", "replace") + block + b"\r\n\r\n"
@@ -78,7 +80,7 @@ def parse(raw: bytes) -> dict:
     refers = fields.get("warc-refers-to")
     if fields["warc-type"] == "response" and (size, digest) != (len(payload), payload_digest(payload)):
         raise ValueError("the payload differs from its digest")
-    number = lambda x: int(x.removeprefix(f"<{_ID}").removesuffix(">"))
+    number = lambda x: None if (n := x.removeprefix(f"<{_ID}").removesuffix(">")) == "none" else int(n)
     return {"page_id": number(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number(refers) if refers else None, "payload": payload}
 
 
@@ -130,8 +132,8 @@ def _plan(pages: DataFrame, min_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([hashlib.sha1(raw[k]).digest() for k in keep], pa.binary())], schema=schema)
 
     each = materialize(pages.select("page_id", "html").mapInArrow(digests, "page_id long, digest binary"), "digests")
-    shared = each.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
-    revisits = each.join(shared, "digest").where("page_id <> refers_to").select("page_id", "refers_to", "digest")
+    shared = each.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
+    revisits = join_spread(each, shared, ["digest"]).where("page_id is null or page_id <> refers_to").select("page_id", "refers_to", "digest")
     return materialize(revisits, "revisits")
 
 
@@ -147,7 +149,8 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         held = spark.sparkContext.broadcast(dict(zip(zip(got.column("page_id").to_pylist(), got.column("digest").to_pylist(), strict=True), got.column("refers_to").to_pylist(), strict=True)))
     else:  # a page_id may repeat with other payloads: the digest is compared, too
         few = revisits.groupBy("page_id").agg(F.collect_set(F.struct("digest", "refers_to")).alias("r"))
-        p = p.join(few, "page_id", "left")
+        few = few.withColumnRenamed("page_id", "own_id")
+        p = p.join(few, p["page_id"].eqNullSafe(few["own_id"]), "left").drop("own_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, records, size, n = TaskContext.get(), [], 0, 0
@@ -180,7 +183,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         if records:
             yield close()
 
-    return materialize(p.where("page_id is not null").mapInArrow(write, "archive string, records long, bytes long"), "archives")
+    return materialize(p.mapInArrow(write, "archive string, records long, bytes long"), "archives")
 
 
 def read_warc(archives: DataFrame, path: str, *, with_payload: bool = False) -> DataFrame:
