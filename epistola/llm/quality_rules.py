@@ -20,7 +20,7 @@ Per-text work uses let-bindings (``_let``): a lambda's argument is computed once
 repeated in a lambda would be computed for each element.
 
 Defined results: null text has no words and fails the base rule; an empty table gives no rows; rows
-that repeat are judged alike and each returned; a null language isn't judged. Only the id, text and language
+that repeat are judged alike and each returned; a null id changes nothing; a null language isn't judged. Only the id, text and language
 columns are read.
 """
 
@@ -80,8 +80,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return _let(F.transform(words, lambda x: F.xxhash64(x)), of_hashes)
 
 
+def _key() -> Column:
+    """A hash of id and text. Null ids have keys of their own, so rows without an id are judged like others."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text").alias("key")
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), lang, the base measures and character classes."""
+    """doc_id, key (a hash of id and text), lang, the base measures and character classes."""
     t = F.col("text")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{_BLANKS}]"))
     of_words = lambda w: F.struct(
@@ -90,7 +95,7 @@ def measures(docs: DataFrame) -> DataFrame:
     # most of a text is lower case and blanks; the other classes are counted in what is left without them
     of_rest = lambda r: F.struct(*((F.length(r) - _without(r, chars)).cast("long").alias(c) for c, chars in (("symbol", SYMBOLS), ("upper", UPPER), ("digit", DIGITS), ("punct", PUNCTUATION))))
     m = docs.select(
-        "doc_id", F.xxhash64("text").alias("key"), "lang",
+        "doc_id", _key(), "lang",
         _let(words_of(t), of_words).alias("w"), _let(F.regexp_replace(t, _PLAIN, ""), of_rest).alias("c"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         F.length(t).cast("long").alias("n_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("wide"),
@@ -114,8 +119,8 @@ def _distance(divergence: Column) -> Column:
 
 
 def short_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, key, lang, word: the lower-cased words of up to ``COMMON_LETTERS`` characters, without punctuation and symbols."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), "lang", F.explode_outer(words_of(F.lower("text"), _ENDS)).alias("word"))
+    """key, lang, word: the lower-cased words of up to ``COMMON_LETTERS`` characters, without punctuation and symbols."""
+    words = docs.select(_key(), "lang", F.explode_outer(words_of(F.lower("text"), _ENDS)).alias("word"))
     return words.where(F.length("word") <= COMMON_LETTERS)
 
 
@@ -157,14 +162,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     shares = common.groupBy("lang").agg(F.sum("p").alias("p_common"), F.count(F.lit(1)).alias("n_common"))
 
     # word histograms of documents, over common words only; rows of one id and text make one histogram
-    hits = _refer(counted, common, ["lang", "word"], "inner", large).groupBy("doc_id", "key", "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
-    sizes = m.groupBy("doc_id", "key", "lang").agg(F.sum("n_words").alias("words"))
+    hits = _refer(counted, common, ["lang", "word"], "inner", large).groupBy("key", "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
+    sizes = m.groupBy("key", "lang").agg(F.sum("n_words").alias("words"))
     words = (
-        hits.join(sizes, ["doc_id", "key", "lang"]).withColumn("q", F.least(F.col("n") / F.greatest(F.col("words"), F.lit(1)), F.lit(1.0)))
-        .groupBy("doc_id", "key", "lang").agg(F.sum(_part(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p_seen"), F.sum("q").alias("q_seen"))
+        hits.join(sizes, ["key", "lang"]).withColumn("q", F.least(F.col("n") / F.greatest(F.col("words"), F.lit(1)), F.lit(1.0)))
+        .groupBy("key", "lang").agg(F.sum(_part(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p_seen"), F.sum("q").alias("q_seen"))
     )
     n_chars = sum((F.col(c) for c in CLASSES), F.lit(0))
-    out = _refer(_refer(m, reference, ["lang"], "left", large), shares, ["lang"], "left", large).join(words, ["doc_id", "key", "lang"], "left")
+    out = _refer(_refer(m, reference, ["lang"], "left", large), shares, ["lang"], "left", large).join(words, ["key", "lang"], "left")
     class_distance = _distance(sum((_part(F.col(f"r_{c}"), F.col(c) / n_chars) for c in CLASSES), F.lit(0.0)))
     p_seen, q_seen, seen = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("p_seen", "q_seen", "seen"))
     # a common word that the document lacks adds half its share

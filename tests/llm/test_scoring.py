@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -116,6 +117,11 @@ def test_warc_of_pages(spark, tmp_path):
     path = f"file://{tmp_path}/long"
     archives = warc.write_warc(pages, path, min_bytes=9)
     assert warc.read_warc(archives, path).where("record_type = 'revisit'").count() == 0
+    same = spark.createDataFrame([(None, None, "<p>a</p>"), (None, "http://x/", "<p>a</p>"), (4, "u", "<p>a</p>"), (3, "u", "<p>a</p>"), (None, None, "alone"), (None, None, "alone"), (None, None, None)], pages.select("page_id", "url", "html").schema)
+    for held in (1 << 20, 0):
+        path = f"file://{tmp_path}/null{held}"
+        got = sorted(repr((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"])) for r in warc.read_warc(warc.write_warc(same, path, held_bytes=held), path).collect())
+        assert got == sorted(map(repr, [(3, 8, "response", None), (4, 8, "revisit", 3), *[(None, 8, "revisit", 3)] * 2, *[(None, 5, "response", None)] * 2, (None, 0, "response", None)]))
     path = f"file://{tmp_path}/none"
     assert warc.read_warc(warc.write_warc(empty(pages), path), path).count() == 0
 
@@ -148,11 +154,31 @@ def test_packer_fills_classes(lengths):
 
 def test_tokens_are_the_tokenizers(spark):
     t = packing.ChunkTokenizer(packing.default_tokenizer())
-    odd = ["", "<|endoftext|>a b", "<|ENDOFTEXT|>.", "İstanbul Σας ΣΑΣ. été.", "a.. b,. c., 's don't I'LL", "x y\x1cz w  \t q.", "５ ½ ² 1234.5", "日本語。テスト、 ﬁ ǅ", "été É.", "the, the. The,", "́x ́"]
+    odd = ["", "<|endoftext|>a b", "<|ENDOFTEXT|>.", "İstanbul Σας ΣΑΣ. été.", "Σ İ, a", "Σ İ. <| y", "a.. b,. c., 's don't I'LL", "x y\x1cz w  \t q.", "５ ½ ² 1234.5", "日本語。テスト、 ﬁ ǅ", "été É.", "the, the. The,", "́x ́"]
     for text in odd + [f"{a} {b}" for a in odd for b in odd]:
         assert np.frombuffer(t.encode(text), "<u4").tolist() == t._tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_random_strings():
+    """Against the tokenizer on 20,000 strings of letters that change under lower-casing or normalisation, marks, digits and stops."""
+    t = packing.ChunkTokenizer(packing.default_tokenizer())
+    rng = random.Random(4)
+    alphabet = list("aAbsStTdDmMvVlLrReE'.,.,  \n\t-<|>019") + list("ΣσςİıǅßẞÅéÉñJ\u030c\u0301\u0327ÇçＡ５½²क\u093c\u0958あ日。、한\u1100\u1161\ufb01\u2126\u212a\u212b\u0130\u00a0\u3000\u200d\U0001f600\u0345\u1fb3") + ["the ", "The ", "ing, ", "<|endoftext|>", "'ll", "'S "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    for text, e in zip(texts, t._tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == e.ids, ascii(text)
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = packing.ChunkTokenizer(path)
+    text = "Σ İ, a  two spaces\n\nand ABC <|endoftext|> don't"
+    assert not t._chunked and packing.ChunkTokenizer(packing.default_tokenizer())._chunked
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == t._tokenizer.encode(text, add_special_tokens=False).ids
+    row = packing.pack_documents(docs(spark, text), path, with_ids=True).first()
+    assert bytes(row["ids"])[:-4] == t.encode(text)
+
+
 def test_pack_round_trip(spark):
     texts = ["word " * 5000, None, "", "short text.", "short text.", *("a b c " * k for k in range(1, 60))]
     tokenizer = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
@@ -272,7 +298,7 @@ def test_rules_judge_every_language(spark):
     prose = ["the cat sat on the mat and the dog saw it in the sun by the house of the man " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + (7 * k + i) % 26)}{chr(97 + k // 26)}x" for k in range(60)) for i in range(40)]
     junk = " ".join(f"W{k}!!|##" for k in range(90))
     few = spark.createDataFrame([(i, t, "xx") for i, t in enumerate([*prose, junk])] + [(900, prose[0], "yy"), (901, prose[0], None)], "doc_id bigint, text string, lang string")
-    large = few.unionByName(spark.createDataFrame([(1000 + i, f"{i} " + "some other words in a very long text " * 20_000, "en") for i in range(5)], few.schema))
+    large = few.unionByName(spark.createDataFrame([(1000 + i, f"{i} " + "some other words in a very long text " * 10_000, "en") for i in range(5)], few.schema))
     judged = lambda df, **o: {r["doc_id"]: (r["class_distance"] and round(r["class_distance"], 9), r["word_distance"] and round(r["word_distance"], 9), r["kept"]) for r in quality_rules.judge(df, **o).collect() if r["doc_id"] < 1000}
     alone, among, joined = judged(few), judged(large), judged(large, held_bytes=0)
     assert alone == among == joined and len(alone) == 43
@@ -280,6 +306,13 @@ def test_rules_judge_every_language(spark):
     assert among[900] == (None, None, True) == among[901]  # too little text for a reference; no language
 
 
+def test_rules_without_ids(spark):
+    text = "the cat sat on the mat and the dog saw it in the sun by the house of the man " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + 7 * k % 26)}{chr(97 + k // 26)}x" for k in range(80))
+    rows = [(k if k % 3 else None, text.replace("cat", f"cat{k % 5}"), "en") for k in range(60)]
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len(found) == 60 and all(r["word_distance"] is not None and r["word_distance"] < 0.2 for r in found) and sum(r["doc_id"] is None for r in found) == 20
+
+
 # -- classifiers
 
 
