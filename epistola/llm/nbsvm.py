@@ -8,10 +8,10 @@ becomes a score by a logistic curve fitted on labelled documents that the model
 
 Labels come from the training fold alone (crc32 of the doc_id as text, modulo 5, not 0). Fitting
 takes at most ``MAX_EACH`` labelled documents of either class, those of the smallest hashes of their ids, each in
-full. The model has a fixed size and is broadcast; scoring reads every whole text in one pass without a shuffle.
+full and one for each id; of either class, those after the one with which ``MAX_BYTES`` of indicators are reached are left out. The model has a fixed size and is broadcast; scoring reads every whole text in one pass without a shuffle.
 
 Defined results: null and empty texts have no features and get the score of the intercept alone; without
-labels of both classes every score is 0.5; repeated labels of an id count once; an empty table gives no rows.
+labels of both classes every score is 0.5; repeated labels of an id count once, as do texts that share one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import table
-from .toxicity import fold, labelled_sample
+from .toxicity import bounded_features, fold, labelled_sample
 from .wordhash import hash_words, mix
 
 FOLDS, HELD_OUT = 5, 0
 MAX_EACH = 4_000
+#: Indicators of the sample that go to the driver, at 4 bytes each.
+MAX_BYTES = 48 << 20
 BUCKETS, ALPHA, COST, EPOCHS = 1 << 18, 1.0, 0.1, 12
 _SPAN = 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +148,7 @@ class NbSvm:
             self.slope, self.shift = float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_each: int = MAX_EACH) -> NbSvm:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_each: int = MAX_EACH, max_bytes: int = MAX_BYTES) -> NbSvm:
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("f", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_eac
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(f, pa.binary())], schema=schema)
 
     sample = labelled_sample(docs, labels, label, {1: max_each, 0: max_each}, FOLDS, HELD_OUT)
-    got = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary").toArrow()
+    got = bounded_features(sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary"), max_bytes)
     ids, y, f = got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(np.int64), got.column("f")
     order = np.argsort(ids, kind="stable")
     if not len(order):
