@@ -39,38 +39,55 @@ class CuckooFilter:
         fp, a, b = self._places(keys)
         return (self.table[a] == fp[:, None]).any(1) | (self.table[b] == fp[:, None]).any(1)
 
+    def _fill(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Puts fingerprints into free slots of their buckets, as many as there are; which were put."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        rank = np.arange(len(bucket)) - np.searchsorted(bucket, bucket, "left")
+        free = self.table[bucket] == 0
+        ok = rank < free.sum(1)
+        slot = (np.cumsum(free, 1) == rank[:, None] + 1).argmax(1)
+        self.table[bucket[ok], slot[ok]] = fp[order[ok]]
+        done = np.zeros(len(at), bool)
+        done[order[ok]] = True
+        return done
+
     def insert(self, keys: np.ndarray) -> bool:
-        fps, a, b = self._places(keys)
-        return all(self._put(f, x, y) for f, x, y in zip(fps, a, b, strict=True))
-
-    def _put(self, fp: np.uint16, a: int, b: int) -> bool:
-        for at in (a, b):
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = fp
-                return True
-        at = b
+        fp, a, b = self._places(keys)
+        left = ~self._fill(fp, a)
+        fp, at = fp[left], b[left]
         for _ in range(_KICKS):
-            slot = int(self._rng.integers(_SLOTS))
-            fp, self.table[at, slot] = self.table[at, slot], fp
-            at = int(self._other(np.array([at]), np.array([fp]))[0])
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = fp
+            left = ~self._fill(fp, at)
+            fp, at = fp[left], at[left]
+            if not len(fp):
                 return True
+            # one fingerprint of each full bucket gives way and goes to its other bucket; the others wait
+            one = np.unique(at, return_index=True)[1]
+            bucket, slot = at[one], self._rng.integers(_SLOTS, size=len(one))
+            gone = self.table[bucket, slot]
+            self.table[bucket, slot] = fp[one]
+            fp[one], at[one] = gone, self._other(bucket, gone)
         return False
 
+    def _take(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Removes a copy of each fingerprint from its bucket, as many as there are; which were removed."""
+        order = np.lexsort((fp, at))
+        both = at[order] * (1 << 16) + fp[order]
+        rank = np.arange(len(both)) - np.searchsorted(both, both, "left")
+        same = self.table[at[order]] == fp[order][:, None]
+        ok = rank < same.sum(1)
+        slot = (np.cumsum(same, 1) == rank[:, None] + 1).argmax(1)
+        self.table[at[order[ok]], slot[ok]] = 0
+        done = np.zeros(len(at), bool)
+        done[order[ok]] = True
+        return done
+
     def delete(self, keys: np.ndarray) -> int:
         """The number of keys of which a fingerprint was found and removed."""
-        done = 0
-        for fp, a, b in zip(*self._places(keys), strict=True):
-            for at in (a, b):
-                found = np.flatnonzero(self.table[at] == fp)
-                if len(found):
-                    self.table[at, found[0]] = 0
-                    done += 1
-                    break
-        return done
+        fp, a, b = self._places(keys)
+        done = self._take(fp, a)
+        left = np.flatnonzero(~done)
+        return int(done.sum() + self._take(fp[left], b[left]).sum())
 
     def to_bytes(self) -> bytes:
         return self.table.astype("<u2").tobytes()

@@ -174,6 +174,35 @@ def test_line_dedup_like_brute_force(spark, held_bytes):
     assert [got[i]["n_lines"] - got[i]["n_dropped"] for i in range(len(texts))] == [len(b.split("\n")) if b or (t or "").split("\n").count("") else 0 for t, b in zip(texts, brute_lines(texts), strict=True)]
 
 
+def holds_frequent(store):
+    held = {r["shard"]: CuckooFilter.from_bytes(bytes(r["filter"])) for r in store.filters().collect()}
+    for r in store.frequent().collect():
+        assert held[r["h1"] % store.shards].contains(np.array([r["h1"]]).view(np.uint64))[0]
+
+
+def test_line_store_opens_again(spark, tmp_path):
+    """Insert, open again, insert, open again, delete: counts as if at once; old versions go; a change that failed is overwritten."""
+    texts, more = some_lines(), some_lines(90)[60:]
+    path = f"file://{tmp_path}/store"
+    linededup.LineStore(spark, path, shards=2, min_docs=5).insert(docs(spark, *texts))
+    again = linededup.LineStore(spark, path)
+    assert (again.version, again.shards, again.min_docs) == (1, 2, 5) and again.refs().count() > 0
+    before = sorted(map(tuple, again.refs().collect()))
+    (tmp_path / "store" / "changed-2").mkdir()
+    (tmp_path / "store" / "changed-2" / "left").write_text("by a change that failed")
+    again.insert(docs(spark, *more))
+    third = linededup.LineStore(spark, path, keys_per_shard=1)
+    at_once = linededup.LineStore(spark, min_docs=5).insert(docs(spark, *texts, *more))
+    assert third.version == 2 and sorted(map(tuple, third.refs().collect())) == sorted(map(tuple, at_once.refs().collect()))
+    assert [r["text"] for r in third.apply(docs(spark, *texts)).orderBy("doc_id").collect()] == brute_lines([*texts, *more], 5)[: len(texts)]
+    third.delete(docs(spark, *more))
+    assert third.shards > 2 and sorted(map(tuple, third.refs().collect())) == before
+    holds_frequent(third)
+    last = linededup.LineStore(spark, path)
+    assert (last.version, last.shards) == (3, third.shards) and [r["text"] for r in last.apply(docs(spark, *texts)).orderBy("doc_id").collect()] == brute_lines(texts, 5)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")) == [f"{k}-{v}" for k in ("commit", "filters", "refs") for v in (2, 3)]
+
+
 def test_line_store_is_reversible(spark):
     a, b = docs(spark, *some_lines()), docs(spark, *some_lines(90)[60:])
     store = linededup.LineStore(spark, shards=3).insert(a)
@@ -181,19 +210,22 @@ def test_line_store_is_reversible(spark):
     hot = lambda s: {r["h1"] for r in s.frequent().collect()}
     first = hot(store)
     store.insert(b)
-    assert hot(store) >= first and store.refs().agg({"n": "sum"}).first()[0] > sum(r[3] for r in before)
+    assert hot(store) >= first and store.refs().agg({"n": "sum"}).first()[0] > sum(r[2] for r in before)
     store.delete(b)
     assert sorted(map(tuple, store.refs().collect())) == before and hot(store) == first
-    held = {r["shard"]: CuckooFilter.from_bytes(bytes(r["filter"])) for r in store.filters().collect()}
-    for r in store.frequent().collect():
-        assert held[r["shard"]].contains(np.array([r["h1"]]).view(np.uint64))[0]
+    with pytest.raises(ValueError):
+        store.delete(docs(spark, "never held"))
+    assert sorted(map(tuple, store.refs().collect())) == before
+    holds_frequent(store)
     store.delete(a)
     assert store.refs().count() == 0 and sum(int((f.table > 0).sum()) for f in (CuckooFilter.from_bytes(bytes(r["filter"])) for r in store.filters().collect())) == 0
 
 
 def test_line_dedup_awkward(spark):
-    df = awkward(spark)
+    df = awkward(spark).withColumns({"row": F.lit("r"), "_row": F.lit(1), "gone": F.lit(2), "lines": F.lit("l"), "h1": F.lit(0)})
+    joined = linededup.dedup_lines(df, min_docs=2, added=("_a", "_b"), held_bytes=0)
     out = linededup.dedup_lines(df, min_docs=2, added=("_a", "_b"))
+    assert joined.columns == out.columns and sorted(map(repr, joined.collect())) == sorted(map(repr, out.collect()))
     got = [(r["doc_id"], r["text"], r["_a"], r["_b"]) for r in out.collect()]
     assert out.columns == [*df.columns, "_a", "_b"] and len(got) == 10
     assert (0, "", 1, 0) in got and (1, "", 1, 0) in got and got.count((4, "", 1, 1)) == 2 and (7, "a\n\na\nb\r\nB \n", 6, 0) in got
@@ -206,6 +238,9 @@ def test_cuckoo_filter():
     assert f.contains(keys).all() and f.contains(keys + np.uint64(1)).mean() < 0.01
     g = CuckooFilter.from_bytes(f.to_bytes())
     assert g.delete(keys[:2500]) == 2500 and g.contains(keys[2500:]).all() and g.contains(keys[:2500]).mean() < 0.01
+    twice = CuckooFilter(64)
+    assert twice.insert(np.array([7, 7, 7], np.uint64)) and twice.delete(np.array([7, 7], np.uint64)) == 2 and twice.contains(np.array([7], np.uint64))[0]
+    assert twice.delete(np.array([7, 7], np.uint64)) == 1 and not twice.table.any()
     small = CuckooFilter(4)
     assert not small.insert(keys[:100])
 

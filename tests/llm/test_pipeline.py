@@ -4,6 +4,7 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from epistola.llm import decontam, toxicity
 from epistola.llm.queries import ORACLE_SQL, QUERIES
@@ -65,7 +66,8 @@ def test_awkward_documents_pass_every_stage(spark, sf, tmp_path):
         d.mkdir()
         for t in ("labels", "benchmark"):
             shutil.copy(f"{sf}/{t}.parquet", d / f"{t}.parquet")
-        docs = awkward(spark) if kind == "awkward" else empty(awkward(spark))
+        docs = awkward(spark).withColumns({c: F.lit(c) for c in ("lines", "lines_dropped", "row", "_lines_before")})
+        docs = docs if kind == "awkward" else empty(docs)
         for name, stage in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = materialize(stage(spark, docs, str(d)), name)
