@@ -1,4 +1,4 @@
-"""Licence signature rules, built from a table of licences and from hand-written notices.
+"""Licence signature rules: hand-written names of licences and notices (``license_notices``), and for each licence its tag and, for each name, grants of it.
 
 Rules match the words of a text: lower-cased runs of letters and digits, one space between them, so
 line breaks, quotes and punctuation never matter. Each rule has a keyword that any match must hold; a short keyword
@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from .license_notices import NOTICES, PLAIN
+
 # The phrases whose places are counted, and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -95,51 +97,6 @@ LICENSES = {
 # Names whose keyword can't be read from the expression: its word runs on into optional parts.
 KEYWORDS = {"gpl ?v?2(?: 0)?": "gpl", "gpl ?v?3(?: 0)?": "gpl", "cc0(?: 1 0)?": "cc0", "odbl(?: 1 0)?": "odbl", "pddl(?: 1 0)?": "pddl"}
 
-# Notices: label, keyword, regular expression over words.
-NOTICES = [
-    ("MIT", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("MIT", "noninfringement", "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("ISC", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"),
-    ("0BSD", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
-    ("BSD-2-Clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("BSD-3-Clause", "endorse", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products"),
-    ("BSD-4-Clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("Apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
-    ("Apache-2.0", "contributor", "licensed to the (?:[^ ]+ ){1,6}under one or more contributor license agreements"),
-    ("GPL", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("GPL-2.0", "version", "either version 2 (?:of the license )?or at your option any later version"),
-    ("GPL-3.0", "version", "either version 3 (?:of the license )?or at your option any later version"),
-    ("LGPL", "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("AGPL", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("GPL", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("GFDL", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("MPL-2.0", "subject", "this source code form is subject to the terms of the mozilla public license"),
-    ("MPL-1.1", "subject", "the contents of this file are subject to the mozilla public license"),
-    ("EPL", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("CDDL", "subject", "the contents of this file are subject to the terms of the common development and distribution license"),
-    ("Zlib", "misrepresented", "the origin of this software must not be misrepresented"),
-    ("BSL-1.0", "distributed", "distributed under the boost software license"),
-    ("Unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("CC0-1.0", "dedicated", "dedicated (?:the work )?to the public domain"),
-    ("CC-BY", "creativecommons", "creativecommons org licenses by [0-9] [0-9]"),
-    ("CC-BY-SA", "creativecommons", "creativecommons org licenses by sa [0-9] [0-9]"),
-    ("CC-BY-NC", "creativecommons", "creativecommons org licenses by nc [0-9] [0-9]"),
-    ("CC-BY-ND", "creativecommons", "creativecommons org licenses by nd [0-9] [0-9]"),
-    ("CC0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
-    ("CC-BY", "creative", "creative commons attribution (?:[0-9] [0-9] )?international license"),
-    ("OFL-1.1", "font", "this font software is licensed under the sil open font license"),
-    ("WTFPL", "copying", "terms and conditions for copying distribution and modification 0 you just do what"),
-    ("Public-Domain", "domain", "(?:is|are|placed|released) (?:in|into) the public domain"),
-    ("Proprietary", "confidential", "proprietary and confidential"),
-    ("Proprietary", "unauthorized", "unauthorized copying of this file"),
-    ("All-Rights-Reserved", "reserved", "all rights reserved"),
-    ("Copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("GPL", "gpl", "licensed under (?:the )?gpl"),
-    ("LGPL", "lgpl", "licensed under (?:the )?lgpl"),
-    ("BSD", "bsd", "bsd style license"),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -158,12 +115,13 @@ def _keyword(pattern: str) -> str:
 
 
 def _rule(name: str, label: str, pattern: str, priority: int, weight: float, keyword: str | None = None, inside: bool = False) -> Rule:
-    return Rule(name, label, keyword or _keyword(pattern), re.compile(f"(?<![^ ]){pattern}(?![^ ])"), priority, weight, inside)
+    return Rule(name, label, keyword or _keyword(pattern), re.compile(f"(?<![^ ])(?:{pattern})(?![^ ])"), priority, weight, inside)
 
 
 def build_rules() -> list[Rule]:
-    """Ordered: notices first, then tags, grants, names with a version and plain names; the base phrases last."""
+    """Ordered: notices first, then tags, grants, names, fields and names without a version; the base phrases last."""
     rules = [_rule(f"notice-{i}", label, pattern, 90, 0.95, keyword) for i, (label, keyword, pattern) in enumerate(NOTICES)]
+    rules += [_rule(f"plain-{i}", label, pattern, 50, 0.6, keyword) for i, (label, keyword, pattern) in enumerate(PLAIN)]
     for spdx, names in LICENSES.items():
         tag = re.escape(re.sub(r"[^a-z0-9]+", " ", spdx.lower())).replace(r"\ ", " ")
         rules.append(_rule(f"spdx-{spdx}", spdx, f"spdx license identifier {tag}(?: only| or later)?", 85, 0.99, "spdx"))

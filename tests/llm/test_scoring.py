@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from epistola.llm import license_rules, licenses, nbsvm, packing, pii, quality_rules, queries, toxicity, warc
+from epistola.llm import license_notices, license_rules, licenses, nbsvm, packing, pii, quality_rules, queries, toxicity, warc
 
 from .helpers import awkward, docs, empty, words
 
@@ -72,6 +73,48 @@ def samples(pattern):
     return expand(parser.parse(pattern))
 
 
+def brute_licenses(text, rules):
+    """Every rule on every text, each detection against all that were accepted: detections, labels and score."""
+    plain = " ".join(words(text))
+    found = [(r, plain[: m.start()].count(" "), plain[: m.end()].count(" ") + 1) for r in rules for m in r.pattern.finditer(plain)]
+    kept = []
+    for r, a, b in sorted(found, key=lambda f: (-f[0].priority, f[1] - f[2], f[1], f[0].name)):
+        if not any(x <= a and b <= y for _, x, y in kept):
+            kept.append((r, a, b))
+    rest = 1.0
+    for r in {r.name: r for r, _, _ in kept}.values():
+        rest *= 1 - r.weight
+    labels = {r.label for r, _, _ in kept} | {r.label for r, _, _ in found if r.name.startswith("base-")}
+    return sorted((r.name, a, b) for r, a, b in kept), ",".join(sorted(labels)), round(1 - rest, 9)
+
+
+def test_license_scan_like_brute_force(spark):
+    rules, rng = license_rules.build_rules(), random.Random(6)
+    pool = [t for r in rules for t in samples(r.pattern.pattern)[:3]]
+    texts = [" ".join(rng.choice([rng.choice(pool), "word", "the", "gpl", "license", "under", "MIT", "2 0", "Ünï"]) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        labels = ",".join(sorted({d["label"] for d in r["detections"]} | {b["label"] for b in r["base"]}))
+        assert (sorted((d["rule"], d["first"], d["end"]) for d in r["detections"]), labels, round(r["score"], 9)) == brute_licenses(t, rules), t
+
+
+def test_license_rules_are_written_by_hand():
+    names = [n for names in license_rules.LICENSES.values() for n in names]
+    assert len(set(names)) + len({p for _, _, p in license_notices.NOTICES + license_notices.PLAIN}) >= 300
+
+
+def test_license_scan_of_long_repeats_is_not_quadratic():
+    s, line = licenses.scanner(), "Licensed under the Apache License, Version 2.0. GNU General Public License v2\n"
+    took = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        words_, base, found = s.scan(line * n)
+        took.append(time.perf_counter() - began)
+        assert words_ == 13 * n and len(base) == 2 * n and len(found) == 2 * n
+    assert took[1] < 24 * took[0]
+
+
 def test_license_matches_pass_their_gate():
     s = licenses.Scanner(license_rules.build_rules())
     for i, r in enumerate(s.rules):
