@@ -1,35 +1,36 @@
-"""Information-theoretic sanitisation of personal data (op6).
+"""Information-theoretic sanitisation of personal data and secrets (op6).
 
-Protected entities are what the base patterns find: e-mail and IP addresses, card and phone numbers.
-Words near an entity may reveal it even where the entity itself is masked. For a word t within
-``WINDOW`` words of entity e, over all documents, with n(t, e) documents that hold both near each
-other and n(t), n(e) documents that hold either:
+Protected entities are what the base patterns find, e-mail and IP addresses, card and phone numbers, and secrets: long runs of
+letters and digits whose characters carry at least ``SECRET_BITS`` bits each. Words near an entity may reveal it, or that one is there, even where the entity
+itself is masked. An entity belongs to two classes, itself and its kind. For a word t within ``WINDOW`` words of an entity of class c,
+over all documents, with n(t, c) documents that hold both near each other and n(t), n(c) documents that hold either:
 
-* point-wise mutual information: log2(N n(t, e) / (n(t) n(e)));
-* information of e: log2(N / n(e)).
+* point-wise mutual information: log2(N n(t, c) / (n(t) n(c)));
+* information of c: log2(N / n(c)).
 
-Their ratio says which part of e's information t discloses; 1 means that t gives e away. A word with a
-ratio of at least ``DISCLOSURE`` that stands near e in at least ``SUPPORT`` different surroundings discloses
-e, and all its places in documents that hold e become ``term`` spans. Copies count once: documents are
-counted by a hash of their text, surroundings by a hash of their words.
+Their ratio says which part of c's information t discloses; 1 means that t gives c away. A word with a
+ratio of at least ``DISCLOSURE`` that stands near c in at least ``SUPPORT`` different surroundings discloses
+c, and all its places in documents that hold c become ``term`` spans. Surroundings are told apart by a hash of
+their words without entities, so copies alone support nothing.
 
-Counts cover all documents. The first pass reads each whole text once and keeps little beside base
-spans; where any word discloses an entity, a last pass lists its places in all texts that hold the entity,
-however far apart; counts are aggregations with map-side combining; document frequencies are counted for candidate
-words only, which are sent to the workers where they take up to ``held_bytes`` and joined beyond.
+Counts cover all documents. The first pass reads each whole text once and keeps little beside spans; where a
+word stands near a class in enough surroundings, a pass counts the documents that hold it, and where any word discloses a class, a last one lists its
+places in all texts that hold the class, however far apart. Counts are combined by batch and task before they shuffle, also those of kinds, which all entities share. Candidate
+words and tellings are sent to the workers where they take up to ``held_bytes`` and joined beyond.
 
 Sanitising generalises a span to its kind (``[EMAIL]``) and removes disclosing terms or, with
 ``generalise``, replaces them by ``[TERM]``.
 
-Defined results: null and empty texts have no spans; rows that repeat each get their spans; an empty
-table gives no rows. Only the id and text columns are read.
+Defined results: null and empty texts have no spans; rows that repeat each get their spans, whatever their ids; an empty
+table gives no rows. Only the id and text columns are read; no column name clashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import materialize, table
+from .runtime import bound_batches, fresh_name, materialize, table
 from .wordhash import words
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 WINDOW, SUPPORT, DISCLOSURE, MIN_LETTERS = 5, 4, 0.9, 4
+#: A secret's least number of characters, of its letters and digits each, and bits a character.
+SECRET_CHARS, SECRET_EACH, SECRET_BITS = 20, 4, 3.0
 HELD_BYTES = 32 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +55,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_SECRET = re.compile(rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 Span = tuple[str, int, int]
@@ -97,12 +101,45 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def bits(text: str) -> float:
+    """Shannon entropy of the characters, in bits a character."""
+    n = len(text)
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+
+
+def secret_spans(text: str | None, base: list[Span]) -> list[Span]:
+    """Runs that look drawn at random, apart from base spans."""
+    out = []
+    for m in _SECRET.finditer(text or ""):
+        run = m[0].strip("=-/+_")
+        letters = sum(c.isalpha() for c in run)
+        digits = sum(c.isdigit() for c in run)
+        a = m.start() + m[0].index(run) if run else m.start()
+        b = a + len(run)
+        if len(run) >= SECRET_CHARS and min(letters, digits) >= SECRET_EACH and bits(run) >= SECRET_BITS and not any(x < b and a < y for _, x, y in base):
+            out.append(("secret", a, b))
+    return out
+
+
+def protected_spans(text: str | None) -> list[Span]:
+    base = base_spans(text)
+    return sorted(base + secret_spans(text, base), key=lambda s: (s[1], KINDS.index(s[0])))
+
+
 def entity(kind: str, value: str) -> int:
     """A number for the entity: case, spaces and punctuation of numbers don't matter."""
-    plain = value.lower() if kind in ("email", "ip", "near") else "".join(_DIGITS.findall(value))
+    plain = value.lower() if kind in ("email", "ip", "near", "kind") else value if kind == "secret" else "".join(_DIGITS.findall(value))
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode("utf-8", "replace")) - (1 << 63)
 
 
+#: The classes that all entities of a kind share.
+KIND_CLASSES = {k: entity("kind", k) for k in KINDS[:-1]}
+
+
+def classes(text: str, spans: list[Span]) -> set[int]:
+    return {x for k, a, b in spans for x in (entity(k, text[a:b]), KIND_CLASSES[k])}
+
+
 def _words_and_spans(text: str, spans: list[Span]) -> tuple[list[tuple[str, int, int]], np.ndarray, list[tuple[int, int]]]:
     """The words with their places, which of them lie in spans, and each span's range of words."""
     w = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -121,17 +158,16 @@ def _may_tell(word: str) -> bool:
 
 
 def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> set[tuple[int, str, int]]:
-    """(entity, word, hash of the surroundings) triples within the window."""
+    """(class, word, hash of the surroundings) triples within the window."""
     w, inside, bounds = _words_and_spans(text, spans)
-    pairs = set()
+    out = set()
     for (kind, a, b), (i, j) in zip(spans, bounds, strict=True):
-        e = entity(kind, text[a:b])
-        around = [*range(max(0, i - window), i), *range(j, min(len(w), j + window))]
+        around = [k for k in (*range(max(0, i - window), i), *range(j, min(len(w), j + window))) if not inside[k]]
         c = entity("near", " ".join(w[k][0] for k in around))
         for k in around:
-            if not inside[k] and _may_tell(w[k][0]):
-                pairs.add((e, w[k][0], c))
-    return pairs
+            if _may_tell(w[k][0]):
+                out |= {(entity(kind, text[a:b]), w[k][0], c), (KIND_CLASSES[kind], w[k][0], c)}
+    return out
 
 
 def term_places(text: str, spans: list[Span], terms: set[str] | None = None) -> list[Span]:
@@ -144,31 +180,36 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-_FOUND = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, pairs array<struct<e:long,t:string,c:long>>"
+_FOUND = "row long, doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, classes array<long>, pairs array<struct<e:long,t:string,c:long,one:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("c", pa.int64())]))
+_PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("c", pa.int64()), ("one", pa.int32())]))
 
 
 def _scan(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("pairs", _PAIRS)])
+    """row, doc_id, text -> ``_FOUND``. ``one`` is 1 in one triple of each class and word, so its sum counts documents."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("classes", pa.list_(pa.int64())), ("pairs", _PAIRS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = defaultdict(list)
-            for value in batch.column(1):
+            for value in batch.column(2):
                 text = value.as_py() or ""
-                spans = base_spans(text)
-                pairs = near_terms(text, spans, window) if spans else ()
+                spans = protected_spans(text)
                 out["key"].append(_key(text))
                 out["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                out["pairs"].append([{"e": e, "t": t, "c": c} for e, t, c in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
+                out["classes"].append(sorted(classes(text, spans)) if spans else [])
+                pairs, before = [], None
+                for e, t, c in sorted(near_terms(text, spans, window)) if spans else ():
+                    pairs.append({"e": e, "t": t, "c": c, "one": int((e, t) != before)})
+                    before = e, t
+                out["pairs"].append(pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(out[f.name], f.type) for f in list(schema)[2:])], schema=schema)
 
     return run
 
 
 def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFrame:
-    """key, start, end: all places of a telling word in the texts that hold its entity anywhere. A second pass over
+    """key, start, end: all places of a telling word in the texts that hold its class anywhere. A pass over
     the texts, with the tellings sent to the workers where they take up to ``held_bytes`` and joined beyond."""
     spark = docs.sparkSession
     size = telling.agg(F.coalesce(F.sum(F.octet_length("t") + 200), F.lit(0)).alias("b")).first()["b"]
@@ -185,8 +226,8 @@ def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFr
         for batch in batches:
             for value in batch.column(0):
                 text = value.as_py() or ""
-                if spans := base_spans(text):
-                    yield _key(text), {entity(k, text[a:b]) for k, a, b in spans}, text, spans
+                if spans := protected_spans(text):
+                    yield _key(text), classes(text, spans), text, spans
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -198,7 +239,7 @@ def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFr
                 out = []
         yield rows(out, "key start end")
 
-    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, es, _, _ in texts(batches):
             yield rows([(key, e) for e in es], "key e")
 
@@ -214,57 +255,68 @@ def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFr
     text = docs.select("text")
     if held:
         return text.mapInArrow(told, "key long, start long, end long").distinct()
-    of_text = text.mapInArrow(entities, "key long, e long").distinct().join(telling, "e").select("key", "t").distinct()
-    return text.mapInArrow(places, "key long, t string, start long, end long").distinct().join(of_text, ["key", "t"], "left_semi").select("key", "start", "end")
+    # places of words are joined by text and word, so the texts of a kind aren't one task
+    own = text.mapInArrow(held_classes, "key long, e long").distinct()
+    words_of = text.mapInArrow(places, "key long, t string, start long, end long").distinct()
+    tell = telling.groupBy("t").agg(F.collect_set("e").alias("es"))  # classes of a word
+    of_text = own.groupBy("key").agg(F.collect_set("e").alias("own"))  # classes of a text
+    return words_of.join(tell, "t").join(of_text, "key").where(F.arrays_overlap("es", "own")).select("key", "start", "end")
 
 
 def _document_frequency(docs: DataFrame, terms: DataFrame, held_bytes: int) -> DataFrame:
-    """t, n_t: distinct texts that hold each of ``terms``."""
+    """t, n_t: documents that hold each of ``terms``."""
     spark = docs.sparkSession
     size = terms.agg(F.coalesce(F.sum(F.octet_length("t") + 80), F.lit(0)).alias("b")).first()["b"]
-    held = spark.sparkContext.broadcast({r["t"].encode(): r["t"] for r in terms.collect()}) if size <= held_bytes else None
+    held = spark.sparkContext.broadcast(frozenset(r["t"].encode() for r in terms.collect())) if size <= held_bytes else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, found = [], []
+            found: Counter[bytes] = Counter()
             for value in batch.column(0):
-                text = (value.as_py() or "").lower()
-                own = set(words(text))
-                own = held.value.keys() & own if held else own
-                if own:
-                    k = _key(value.as_py() or "")
-                    key += [k] * len(own)
-                    found += [o.decode("utf-8", "replace") for o in own]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(found, pa.string())], names=["key", "t"])
-
-    each = docs.select("text").mapInArrow(run, "key long, t string")
+                own = set(words((value.as_py() or "").lower()))
+                found.update(own & held.value if held else own)
+            yield pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "replace") for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
+
+    each = docs.select("text").mapInArrow(run, "t string, n long")
     each = each if held else each.join(terms, "t", "left_semi")
-    return each.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    return each.groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """doc_id, key (a hash of the text), base (spans by the patterns) and spans (with disclosing terms)."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(d.mapInArrow(_scan(window), _FOUND), "spans")
+def disclosing(found: DataFrame, docs: DataFrame, support: int, disclosure: float, held_bytes: int) -> DataFrame:
+    """e, t, ratio: the words that disclose a class. found: as written by the first pass."""
     held = found.where(F.size("spans") > 0)
-    pairs = held.select("key", F.explode("pairs").alias("p")).select("key", "p.e", "p.t", "p.c").distinct()
-    near = pairs.groupBy("e", "t").agg(F.count_distinct("key").alias("n_te"), F.count_distinct("c").alias("near"))
-    entities = pairs.select("key", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    anywhere = pairs.select("key", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_any"))
-    n = found.select(F.approx_count_distinct("key", 0.01).alias("n")).first()["n"]  # enters by its logarithm
-    total = F.lit(float(max(2, n)))
-    # A word near any entity in n_any documents is in at least so many: few words can still reach the
-    # threshold, and only theirs are counted over the whole corpus.
-    ratio = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) / F.log2(total / F.col("n_e"))
-    able = near.where(F.col("near") >= support).join(entities, "e").join(anywhere, "t").where((F.col("n_e") < total) & (ratio(F.col("n_any")) >= disclosure))
-    pairs = materialize(able.select("e", "t", "n_te", "n_e"), "pairs")
-    frequency = _document_frequency(d, pairs.select("t").distinct(), held_bytes)
-    telling = materialize(pairs.join(frequency, "t").where(ratio(F.col("n_t")) >= disclosure).select("e", "t"), "telling")
+    near = held.select(F.explode("pairs").alias("p")).groupBy("p.e", "p.t", "p.c").agg(F.sum("p.one").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("near"))
+    near = materialize(near.where(F.col("near") >= support).select("e", "t", "n_te"), "near")
+    counts = held.select(F.explode("classes").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    counts = materialize(counts.join(near.select("e").distinct(), "e", "left_semi"), "counts")
+    total = F.lit(float(found.count()))
+    frequency = materialize(_document_frequency(docs, near.select("t").distinct(), held_bytes), "frequency")
+    # the few classes of kinds, which most words are near, go by broadcast
+    kinds = list(KIND_CLASSES.values())
+    of_kind = F.col("e").isin(kinds)
+    each = near.where(of_kind).join(F.broadcast(counts.where(of_kind)), "e").unionByName(near.where(~of_kind).join(counts.where(~of_kind), "e"))
+    ratio = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
+    return each.join(frequency, "t").where(F.col("n_e") < total).select("e", "t", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)
+
+
+def _found(d: DataFrame, window: int, support: int, disclosure: float, held_bytes: int) -> DataFrame:
+    """d: row, doc_id, text -> row, doc_id, base, spans."""
+    found = materialize(d.mapInArrow(_scan(window), _FOUND), "spans")
+    telling = materialize(disclosing(found, d, support, disclosure, held_bytes).select("e", "t"), "telling")
     places = _told_places(d, telling, held_bytes)
     terms = places.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    held = found.where(F.size("spans") > 0)
+    base = F.filter("spans", lambda s: s["kind"] != "secret").alias("base")
     all_spans = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:long,end:long>>"))), _by_start)
-    spanless = found.where(F.size("spans") == 0).select("doc_id", "key", F.col("spans").alias("base"), "spans")  # most rows, and no part of the join
-    return held.join(terms, "key", "left").select("doc_id", "key", F.col("spans").alias("base"), all_spans.alias("spans")).unionByName(spanless)
+    spanless = found.where(F.size("spans") == 0).select("row", "doc_id", F.col("spans").alias("base"), "spans")  # most rows, and no part of the join
+    return held.join(terms, "key", "left").select("row", "doc_id", base, all_spans.alias("spans")).unionByName(spanless)
+
+
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """doc_id, base (spans by the base patterns) and spans (with secrets and disclosing terms)."""
+    bound_batches(docs.sparkSession)
+    d = docs.select(F.lit(0).cast("long").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _found(d, window, support, disclosure, held_bytes).drop("row")
 
 
 def _by_start(a, b):
@@ -273,20 +325,21 @@ def _by_start(a, b):
     return F.coalesce(order(a["start"], b["start"]), order(rank(a), rank(b)), order(a["end"], b["end"]), F.lit(0))
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", generalise: bool = False, **options) -> DataFrame:
-    """``docs`` with base spans generalised to their kind and disclosing terms removed or generalised."""
-    spans = find_pii(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("key").alias("_key")).dropDuplicates(["_id", "_key"])
-
-    @F.pandas_udf("long")
-    def key_of(texts):
-        return texts.fillna("").map(lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63))
+def sanitise(docs: DataFrame, *, text_col: str = "text", generalise: bool = False, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """``docs`` with spans generalised to their kind and disclosing terms removed or generalised; each row is treated by itself."""
+    bound_batches(docs.sparkSession)
+    row, spans_of, columns = fresh_name(docs, "row"), fresh_name(docs, "spans"), docs.columns
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    d = rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    spans = _found(d, window, support, disclosure, held_bytes).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans_of))
 
     @F.pandas_udf("string")
     def masked(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None or t is None else mask(t, [(x["kind"], x["start"], x["end"]) for x in s], generalise))
 
-    joined = docs.withColumn("_key2", key_of(F.col(text_col).cast("string"))).join(spans, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_key2") == F.col("_key")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(text_col, "_spans"))).select(*(f"`{c}`" for c in docs.columns))
+    text = F.col(f"`{text_col}`")
+    joined = rows.join(spans, row, "left")
+    return joined.withColumn(text_col, F.when(F.col(spans_of).isNull(), text).otherwise(masked(text, F.col(spans_of)))).select(*(f"`{c}`" for c in columns))
 
 
 def mask(text: str, spans: list[Span], generalise: bool = False) -> str:
