@@ -69,7 +69,7 @@ class Index:
     threads: DataFrame
     runs: DataFrame
     labels: DataFrame
-    postings: DataFrame
+    postings: S.SearchIndex
     profile: DataFrame
     bulk: DataFrame | None = None
 
@@ -122,7 +122,7 @@ class Tools:
         if not promoted:
             return self.search(query, account, limit), 0
         messages = M.upsert_messages(self.ix.messages, come)
-        ix = replace(self.ix, messages=messages, postings=S.postings(S.search_row(messages)))
+        ix = replace(self.ix, messages=messages, postings=S.with_messages(self.ix.postings, S.search_row(messages.join(come.select(*S.KEY), S.KEY, "left_semi"))))
         return Tools(self.spark, ix, self.now, self.sources).search(query, account, limit), promoted
 
     def list_labeled(self, label: str, account: str | None = None, limit: int = 15) -> DataFrame:

@@ -61,7 +61,7 @@ def decode_entities_text(s: str) -> str:
     """Hexadecimal, then decimal, then named; each pass sees what the one before made."""
     if "&" in s:
         s = _HEX.sub(lambda m: _character(int(m[1], 16)), s)
-        s = _DEC.sub(lambda m: _character(int(m[1])) if len(m[1]) < 9 else "", s)
+        s = _DEC.sub(lambda m: _character(int(d or 0)) if len(d := m[1].lstrip("0")) < 9 else "", s)
         s = _NAMED.sub(lambda m: ENTITIES.get(m[1].lower(), m[0]), s)
     return s.translate(_UNSEEN)
 
@@ -133,13 +133,39 @@ def meaningful_length(text: Column) -> Column:
 # -- images ----------------------------------------------------------------------------------------
 
 
+def _character_of(digits: Column, base: int) -> Column:
+    """The character of a code point written in ``base`` without leading zeros; nothing where there is none."""
+    code = F.conv(F.when(F.length(digits) <= 7, F.concat(F.lit("0"), digits)), base, 10).cast("long")
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), wide), F.lit(""))
+
+
+def _numeric(s: Column, prefix: str, digit: str, base: int) -> Column:
+    """Numeric references decoded: what follows each ``&#`` that begins one starts with it."""
+
+    def put(part: Column, i: Column) -> Column:
+        digits = F.regexp_extract(part, rf"(?i)\A{prefix}0*({digit}*);", 1)
+        return F.when(i == 0, part).otherwise(F.concat(_character_of(digits, base), F.regexp_replace(part, rf"(?i)\A{prefix}{digit}+;", "")))
+
+    parts = F.split(s, rf"(?i)&#(?={prefix}{digit}+;)", -1)
+    return F.array_join(F.transform(parts, put), "")
+
+
+def _unquoted(s: Column) -> Column:
+    return F.regexp_replace(s, r"""(?s)\A"([^"]*)"\z|\A'([^']*)'\z""", "$1$2")
+
+
 def _value(tag: Column, name: str) -> Column:
-    """An attribute in any of its three quoting forms, its named entities decoded; null where it is absent."""
-    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
-    found = F.array_max(F.array(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
-    s = js_trim(F.replace(found, F.lit("&amp;"), F.lit("&")))
-    s = F.replace(F.replace(s, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
-    return F.when(tag.rlike(pattern), s)
+    """An attribute in any of its three quoting forms, its entities decoded; null where it is absent."""
+    found = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+
+    def decoded(raw: Column) -> Column:
+        s = F.replace(js_trim(_unquoted(raw)), F.lit("&amp;"), F.lit("&"))
+        numbers = lambda x: F.when(F.contains(x, F.lit("&#")), _numeric(_numeric(x, "x", "[0-9a-f]", 16), "", "[0-9]", 10)).otherwise(x)
+        s = F.get(F.transform(F.array(s), numbers), F.lit(0))
+        return F.replace(F.replace(s, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'"))
+
+    return F.get(F.transform(F.array(found), lambda raw: F.when(raw != "", decoded(raw))), F.lit(0))
 
 
 def _pixels(tag: Column, name: str) -> Column:

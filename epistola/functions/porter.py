@@ -89,3 +89,19 @@ def tokenize_udf(stemmed: bool = True):
         return values.map(lambda t: tokens(t, stemmed))
 
     return tokenize
+
+
+def places(text: str | None, stemmed: bool = True) -> list[dict]:
+    """Each term of the text with its positions, in the order of their first ones."""
+    found: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens(text, stemmed)):
+        found.setdefault(t, []).append(i)
+    return [{"term": t, "positions": p} for t, p in found.items()]
+
+
+def places_udf(stemmed: bool = True):
+    @F.pandas_udf("array<struct<term:string,positions:array<int>>>")
+    def located(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: places(t, stemmed))
+
+    return located

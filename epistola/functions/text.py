@@ -19,19 +19,29 @@ INVISIBLES = "­͏​‌‍‎‏⁠﻿"
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+_SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+# Expressions name their input once, so projections that are merged don't repeat it.
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def first_match(value: Column, pattern: str, group: int = 0) -> Column:
+    """The first match, or null."""
+    return F.get(F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def extract_address(value: Column) -> Column:
-    """The bare, lower-cased address in a header value, or null."""
-    angle = F.regexp_extract(value, r"<([^>]+)>", 1)
-    candidate = js_trim(F.when(angle != "", angle).otherwise(value))
-    return F.lower(blank_to_null(F.regexp_extract(candidate, r"[^\s<>@]+@[^\s<>@]+", 0)))
+    """The bare, lower-cased address in a header value, or null: in the first angle brackets, if there are any."""
+    plain = rf"[^<>@{SPACE[1:-1]}]+"
+    return F.lower(first_match(F.coalesce(first_match(value, "<[^>]+>"), value), f"{plain}@{plain}"))
 
 
 def display_name(value: Column) -> Column:
@@ -42,7 +52,7 @@ def display_name(value: Column) -> Column:
 
 def host_of(address: Column) -> Column:
     """After the last @, lower-cased; null if it is missing or last."""
-    return F.lower(blank_to_null(F.regexp_extract(address, r"(?s)@([^@]+)\z", 1)))
+    return F.lower(first_match(address, r"(?s)@([^@]+)\z", 1))
 
 
 def split_recipients(value: Column) -> Column:
@@ -57,13 +67,14 @@ def recipient_addresses(*values: Column) -> Column:
     return F.filter(F.transform(parts, extract_address), lambda x: x.isNotNull())
 
 
+_SUFFIXES = "|".join(x.replace(".", r"\.") for x in MULTIPART_SUFFIXES)
+
+
 def registrable_domain(host: Column) -> Column:
-    """The last two labels, or three under a two-label public suffix."""
-    h = F.lower(js_trim(host))
-    h = F.regexp_replace(F.regexp_replace(h, r"(?s):.*\z", ""), r"\.\z", "")
-    labels = F.filter(F.split(h, r"\."), lambda x: x != "")
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    return blank_to_null(F.when(F.size(labels) <= 2, F.array_join(labels, ".")).when(last(2).isin(*MULTIPART_SUFFIXES), last(3)).otherwise(last(2)))
+    """The last two labels, or three under a two-label public suffix; empty labels, a port and a final dot play no part."""
+    ends = r"(?=\.*(?::|\z))"
+    found = first_match(F.lower(js_trim(host)), rf"(?:[^.:]+\.+)?(?:{_SUFFIXES}){ends}|(?:[^.:]+\.+)?[^.:]+{ends}")
+    return F.replace(F.replace(found, F.lit(".."), F.lit(".")), F.lit(".."), F.lit("."))
 
 
 def strip_invisibles(c: Column) -> Column:

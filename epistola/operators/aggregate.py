@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, display_name, extract_address, host_of, recipient_addresses, registrable_domain, split_recipients
 
+
 def with_addresses(messages: DataFrame) -> DataFrame:
     return messages.withColumn("sender", extract_address(F.col("from_addr")))
 
@@ -21,17 +22,19 @@ def touches(messages: DataFrame, own: DataFrame) -> DataFrame:
     replied: someone got mail from the address earlier in the thread. initiated: the thread's first message, unless replied.
     own: account, address.
     """
-    m = with_addresses(messages)
-    in_thread = Window.partitionBy("account", "thread_id").orderBy(F.col("internal_date").asc_nulls_first(), "message_id")
-    m = m.withColumn("first", F.coalesce(F.col("thread_id") != "", F.lit(False)) & (F.row_number().over(in_thread) == 1))
-    common = ["account", "message_id", "thread_id", "internal_date", "first", "unread", "starred", "important", "direction"]
+    # mail without a thread, however much there is of it, is a thread of its own each: no task gathers it
+    threaded = F.coalesce(F.col("thread_id") != "", F.lit(False))
+    m = with_addresses(messages).withColumn("thread", F.struct(F.when(threaded, F.col("thread_id")).alias("id"), F.when(~threaded, F.col("message_id")).alias("alone")))
+    in_thread = Window.partitionBy("account", "thread").orderBy(F.col("internal_date").asc_nulls_first(), "message_id")
+    m = m.withColumn("first", threaded & (F.row_number().over(in_thread) == 1))
+    common = ["account", "message_id", "thread_id", "thread", "internal_date", "first", "unread", "starred", "important", "direction"]
     got = m.where((F.col("direction") == "received") & F.col("sender").isNotNull()).select(*common, F.col("sender").alias("address"), display_name(F.col("from_addr")).alias("name"), F.lit(0).alias("pos"))
     parts = F.concat(split_recipients(F.col("to_addr")), split_recipients(F.col("cc_addr")))
     sent = m.where(F.col("direction") == "sent").select(*common, F.posexplode(parts).alias("pos", "part"))
     sent = sent.select(*common, extract_address(F.col("part")).alias("address"), display_name(F.col("part")).alias("name"), "pos").where("address is not null")
     both = got.unionByName(sent).join(F.broadcast(own.select("account", "address").distinct()), ["account", "address"], "left_anti")
-    before = Window.partitionBy("account", "thread_id", "address").orderBy(F.col("internal_date").asc_nulls_first(), F.col("message_id"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.max(F.col("direction") == "received").over(before), F.lit(False)) & F.coalesce(F.col("thread_id") != "", F.lit(False))
+    before = Window.partitionBy("account", "thread", "address").orderBy(F.col("internal_date").asc_nulls_first(), F.col("message_id"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.max(F.col("direction") == "received").over(before), F.lit(False)) & threaded
     replied = (F.col("direction") == "sent") & earlier
     return both.withColumn("replied", replied).withColumn("initiated", (F.col("direction") == "sent") & F.col("first") & ~replied)
 

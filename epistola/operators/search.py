@@ -1,8 +1,9 @@
-"""Weighted BM25 search over a postings table.
+"""Weighted BM25 search over an inverted index.
 
-Postings are a pure function of messages: a row for each term of each column, with its positions. They are meant to be
-written sorted by term, so a query's term filter skips row groups. Statistics (documents, mean length, document frequency)
-are over all accounts; the account filter applies to hits only.
+The index has two tables. Postings hold a row for each term of each column of a message, with its positions, dealt by a hash of the term and sorted by
+it, so a query's term or prefix skips files' row groups. Lengths hold a row a message. ``build_index`` writes both; queries then read only the postings of their
+terms, without Python. ``without_messages`` and ``with_messages`` keep an index up to date by message key. Statistics (documents, mean length, document
+frequency) are over all accounts; the account filter applies to hits only.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.porter import tokenize_udf, tokens
+from ..functions.porter import places_udf, tokens
 from ..functions.text import project_body, project_recipients
+from ..scratch import written
 
 # Column weights, BM25 constants, query synonyms.
 WEIGHTS = {"subject": 10.0, "sender": 8.0, "recipients": 4.0, "body": 1.0}
@@ -68,14 +70,48 @@ def search_row(messages: DataFrame) -> DataFrame:
     )
 
 
-def postings(rows: DataFrame, stemmed: bool = True) -> DataFrame:
-    """account, message_id, col, term, positions, length (tokens of the whole row)."""
-    cut = tokenize_udf(stemmed)
-    t = rows.select(*KEY, *(cut(c).alias(c) for c in WEIGHTS))
-    t = t.withColumn("length", sum((F.size(c) for c in WEIGHTS), F.lit(0)).cast("long"))
+@dataclass(frozen=True)
+class SearchIndex:
+    """postings: account, message_id, col, term, positions. lengths: account, message_id, length (tokens of the whole row)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+POSTINGS = "account string, message_id string, col string, term string, positions array<int>"
+LENGTHS = "account string, message_id string, length bigint"
+
+
+def index_of(rows: DataFrame, stemmed: bool = True) -> SearchIndex:
+    """The index of ``rows``, tokenised once into a written table."""
+    cut = places_udf(stemmed)
+    t = written(rows.select(*KEY, *(cut(c).alias(c) for c in WEIGHTS)), "tokens")
+    count = sum((F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.size(x["positions"])) for c in WEIGHTS), F.lit(0).cast("long"))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("terms")) for c in WEIGHTS))).alias("x")
-    t = t.select(*KEY, "length", each).select(*KEY, "length", "x.col", F.posexplode("x.terms").alias("pos", "term"))
-    return t.groupBy(*KEY, "length", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    found = t.select(*KEY, each).select(*KEY, "x.col", F.explode("x.terms").alias("p")).select(*KEY, "col", "p.term", "p.positions")
+    return SearchIndex(by_term(found), t.select(*KEY, count.alias("length")).where("length > 0"))
+
+
+def by_term(postings: DataFrame) -> DataFrame:
+    return postings.repartition("term").sortWithinPartitions("term")
+
+
+def build_index(rows: DataFrame, stemmed: bool = True) -> SearchIndex:
+    """Written to the shared folder."""
+    ix = index_of(rows, stemmed)
+    return SearchIndex(written(ix.postings, "postings"), written(ix.lengths, "lengths"))
+
+
+def without_messages(index: SearchIndex, keys: DataFrame) -> SearchIndex:
+    """The index without the messages of ``keys`` (account, message_id)."""
+    gone = keys.select(*KEY).distinct()
+    return SearchIndex(index.postings.join(gone, KEY, "left_anti"), index.lengths.join(gone, KEY, "left_anti"))
+
+
+def with_messages(index: SearchIndex, rows: DataFrame, stemmed: bool = True) -> SearchIndex:
+    """The index with ``rows`` in place of what it had of their messages."""
+    kept, new = without_messages(index, rows), index_of(rows, stemmed)
+    return SearchIndex(by_term(kept.postings.unionByName(new.postings)), kept.lengths.unionByName(new.lengths))
 
 
 def _term_matches(term: Column, text: str, prefix: bool) -> Column:
@@ -83,7 +119,7 @@ def _term_matches(term: Column, text: str, prefix: bool) -> Column:
 
 
 def phrase_counts(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """account, message_id, col, n: places of the phrase."""
+    """account, message_id, col, n: places of the phrase. index: postings."""
     steps = [(t, phrase.prefix and i == len(phrase.terms) - 1) for i, t in enumerate(phrase.terms)]
     if len(steps) == 1:
         hit = index.where(_term_matches(F.col("term"), *steps[0]))
@@ -96,11 +132,11 @@ def phrase_counts(index: DataFrame, phrase: Phrase) -> DataFrame:
     return out.groupBy(*KEY, "col").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bm25(index: DataFrame, phrases: list[Phrase], n_docs: DataFrame | None = None) -> DataFrame:
+def bm25(index: SearchIndex, phrases: list[Phrase], n_docs: DataFrame | None = None) -> DataFrame:
     """account, message_id, score; smaller is better. n_docs: one row (n, avgdl), taken from the index if absent."""
+    lengths, index = index.lengths, index.postings
     if not phrases:
         return index.select(*KEY, F.lit(0.0).alias("score")).limit(0)
-    lengths = index.select(*KEY, "length").distinct()
     stats = n_docs if n_docs is not None else lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     parts = None
     weight = F.coalesce(*(F.when(F.col("col") == c, w) for c, w in WEIGHTS.items()))
@@ -114,7 +150,7 @@ def bm25(index: DataFrame, phrases: list[Phrase], n_docs: DataFrame | None = Non
     return scored.groupBy(*KEY).agg((-F.sum(part)).alias("score"))
 
 
-def search(messages: DataFrame, index: DataFrame, query: str, *, synonyms: bool = True, account: str | None = None, limit: int | None = 15, stemmed: bool = True, n_docs: DataFrame | None = None) -> DataFrame:
+def search(messages: DataFrame, index: SearchIndex, query: str, *, synonyms: bool = True, account: str | None = None, limit: int | None = 15, stemmed: bool = True, n_docs: DataFrame | None = None) -> DataFrame:
     """The best ``limit`` hits, or all of them where it is None."""
     hits = bm25(index, parse(query, synonyms, True, stemmed), n_docs)
     out = messages.join(hits, KEY)
@@ -124,12 +160,12 @@ def search(messages: DataFrame, index: DataFrame, query: str, *, synonyms: bool
     return out if limit is None else out.limit(limit)
 
 
-def keyword_search(messages: DataFrame, index: DataFrame, keywords: list[str], since: int | None = None, limit: int = 25, stemmed: bool = True) -> DataFrame:
+def keyword_search(messages: DataFrame, index: SearchIndex, keywords: list[str], since: int | None = None, limit: int = 25, stemmed: bool = True) -> DataFrame:
     """Whole words, no prefix, no synonyms; the newest first."""
     found = None
     for k in keywords:
         if terms := tuple(tokens(k, stemmed)):
-            hit = phrase_counts(index, Phrase(terms, False)).select(*KEY)
+            hit = phrase_counts(index.postings, Phrase(terms, False)).select(*KEY)
             found = hit if found is None else found.union(hit)
     m = messages.limit(0) if found is None else messages.join(found.distinct(), KEY, "left_semi")
     if since is not None:

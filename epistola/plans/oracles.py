@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.graph import DAMPING, ROUNDS, TOLERANCE
 from ..operators.search import B, IDF_FLOOR, K1
 from ..views import DAY, NOW, SQL_CONTACTS, SQL_DOMAINS, SQL_MESSAGES, SQL_RUNS, SQL_SCORED, SQL_THREADS
 from .queries import _IMAGES, SINCE
@@ -16,7 +17,7 @@ def _suggested(score: str, mostly: str) -> str:
     return f"CASE WHEN {score} >= 2e0 THEN 'important' WHEN {mostly} OR {score} <= -0.5e0 THEN 'muted' ELSE 'none' END"
 
 
-def _bm25(rows: str, phrases: list[str], where: str = "", limit: int = 30, order: str = "internal_date DESC") -> str:
+def _bm25(rows: str, phrases: list[str], where: str = "", limit: int | None = 30, order: str = "internal_date DESC") -> str:
     """rows: a CTE r (account, message_id, internal_date, subject, sender, recipients, body). phrases: SQL over lists of tokens t, giving the number of places."""
     cut = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     count = lambda p, c: p.replace("{t}", c)
@@ -30,7 +31,7 @@ def _bm25(rows: str, phrases: list[str], where: str = "", limit: int = 30, order
     hit AS (SELECT * FROM ({parts}) WHERE f > 0),
     freq AS (SELECT phrase, count(*) AS n_i FROM hit GROUP BY 1),
     scored AS (SELECT account, message_id, internal_date, -sum(greatest(ln((n - n_i + 0.5e0) / (n_i + 0.5e0)), {IDF_FLOOR}) * f * {K1 + 1}e0 / (f + {K1}e0 * ({1 - B}e0 + {B}e0 * d / avgdl))) AS score FROM hit JOIN freq USING (phrase), stats GROUP BY 1, 2, 3)
-    SELECT account, message_id, round(score, 6) AS score FROM scored {where} ORDER BY score, {order}, message_id LIMIT {limit}"""
+    SELECT account, message_id, round(score, 6) AS score FROM scored {where} ORDER BY score, {order}, message_id{f" LIMIT {limit}" if limit else ""}"""
 
 
 _DOC_ROWS = "r AS (SELECT lang AS account, CAST(doc_id AS VARCHAR) AS message_id, doc_id AS internal_date, string_split(text, chr(10))[1] AS subject, source AS sender, NULL AS recipients, text AS body FROM documents)"
@@ -66,18 +67,18 @@ members AS (SELECT DISTINCT t.account, t.thread_id, p.address FROM (SELECT accou
 edges AS (SELECT x.account, x.address AS a, y.address AS b, count(*) AS weight FROM members x JOIN members y ON x.account = y.account AND x.thread_id = y.thread_id AND x.address < y.address GROUP BY 1, 2, 3)"""
 
 
-def _pagerank(rounds: int) -> str:
-    sql = f"""WITH {_GRAPH},
+_PAGERANK = f"""WITH RECURSIVE {_GRAPH},
     nodes AS (SELECT account, address, count(*) OVER (PARTITION BY account) AS n FROM (SELECT DISTINCT account, address FROM members)),
-    arcs AS (SELECT account, a AS src, b AS dst, weight FROM edges UNION ALL SELECT account, b, a, weight FROM edges),
-    outs AS (SELECT account, src, sum(weight) AS o FROM arcs GROUP BY 1, 2),
-    r0 AS (SELECT account, address, n, 1e0 / n AS r FROM nodes)"""
-    for i in range(rounds):
-        sql += f""",
-    g{i} AS (SELECT arcs.account, dst AS address, sum(r * weight / o) AS got FROM arcs JOIN outs USING (account, src) JOIN r{i} ON r{i}.account = arcs.account AND r{i}.address = arcs.src GROUP BY 1, 2),
-    l{i} AS (SELECT r.account, coalesce(sum(r.r) FILTER (o.src IS NULL), 0) AS loose FROM r{i} r LEFT JOIN outs o ON o.account = r.account AND o.src = r.address GROUP BY 1),
-    r{i + 1} AS (SELECT r.account, r.address, n, 0.15e0 / n + 0.85e0 * (coalesce(got, 0) + loose / n) AS r FROM r{i} r LEFT JOIN g{i} USING (account, address) JOIN l{i} USING (account))"""
-    return sql + f" SELECT account, address, round(r, 6) AS centrality FROM r{rounds}"
+    arcs0 AS (SELECT account, a AS src, b AS dst, weight FROM edges UNION ALL SELECT account, b, a, weight FROM edges),
+    outs AS (SELECT account, src, sum(weight) AS o FROM arcs0 GROUP BY 1, 2),
+    arcs AS (SELECT account, src, dst, weight / o AS share FROM arcs0 JOIN outs USING (account, src)),
+    walk AS (SELECT account, address, n, 1e0 / n AS r, 0 AS round, true AS moving FROM nodes
+      UNION ALL SELECT account, address, n, new, round + 1, sum(abs(new - r)) OVER (PARTITION BY account) >= n * {TOLERANCE} FROM (
+        SELECT w.account, w.address, w.n, w.r, w.round, {1 - DAMPING}e0 / w.n + {DAMPING}e0 * (coalesce(got, 0) + loose / w.n) AS new FROM walk w
+        LEFT JOIN (SELECT x.account, dst AS address, sum(r * share) AS got FROM arcs x JOIN walk y ON y.account = x.account AND y.address = x.src GROUP BY 1, 2) g ON g.account = w.account AND g.address = w.address
+        JOIN (SELECT z.account, coalesce(sum(r) FILTER (o IS NULL), 0) AS loose FROM walk z LEFT JOIN outs ON outs.account = z.account AND outs.src = z.address GROUP BY 1) l ON l.account = w.account
+        WHERE w.moving AND w.round < {ROUNDS}))
+    SELECT account, address, round(arg_max(r, round), 6) AS centrality FROM walk GROUP BY 1, 2"""
 
 
 _DOC = "account, address, display_name, msgs_received, msgs_sent, msgs_sent > 0 AS correspondent"
@@ -109,7 +110,7 @@ ORACLE_SQL = {
     "completed_syncs": f"WITH {SQL_RUNS} SELECT account, count(*) AS completed FROM runs WHERE phase = 'sync' AND finished_at IS NOT NULL AND error IS NULL GROUP BY 1",
     "accounts_union": f"WITH {SQL_MESSAGES}, {SQL_RUNS} SELECT account FROM msgs UNION SELECT account FROM runs",
     "classify_messages": f"WITH {SQL_MESSAGES} SELECT account, category, is_list, direction, unread, starred, important, is_list OR coalesce(category IN ('promotions', 'social', 'updates', 'forums'), false) AS bulk, count(*) AS n FROM msgs GROUP BY ALL",
-    "label_membership": f"WITH {SQL_MESSAGES} SELECT {_SHOWN} FROM msgs WHERE account = 'a1' AND starred ORDER BY internal_date DESC, message_id LIMIT 30",
+    "label_membership": f"WITH {SQL_MESSAGES} SELECT {_SHOWN} FROM msgs WHERE starred ORDER BY internal_date DESC, message_id LIMIT 30",
     "label_names": f"""WITH {SQL_MESSAGES}, l AS (SELECT account, unnest(list_filter([CASE WHEN direction = 'sent' THEN 'SENT' ELSE 'INBOX' END, CASE event_type WHEN 'view' THEN 'CATEGORY_UPDATES' WHEN 'click' THEN 'CATEGORY_PROMOTIONS' WHEN 'signup' THEN 'CATEGORY_PERSONAL' END, CASE WHEN unread THEN 'UNREAD' END, CASE WHEN starred THEN 'STARRED' END, CASE WHEN important THEN 'IMPORTANT' END], lambda x: x IS NOT NULL)) AS label FROM msgs)
       SELECT account, CASE WHEN account = 'a0' AND label = 'INBOX' THEN 'Inbox' WHEN account = 'a0' AND label = 'UNREAD' THEN 'Unread' WHEN account = 'a1' AND label = 'STARRED' THEN 'Kept' ELSE label END AS label, count(*) AS n FROM l GROUP BY 1, 2""",
     "label_edit": f"""WITH {SQL_MESSAGES}, l AS (SELECT *, list_filter([CASE WHEN direction = 'sent' THEN 'SENT' WHEN NOT starred THEN 'INBOX' END, CASE event_type WHEN 'view' THEN 'CATEGORY_UPDATES' WHEN 'click' THEN 'CATEGORY_PROMOTIONS' WHEN 'signup' THEN 'CATEGORY_PERSONAL' END, CASE WHEN unread AND NOT starred THEN 'UNREAD' END, CASE WHEN starred THEN 'STARRED' END, CASE WHEN important THEN 'IMPORTANT' END, CASE WHEN starred THEN 'CATEGORY_SOCIAL' END], lambda x: x IS NOT NULL) AS ls FROM msgs)
@@ -130,7 +131,7 @@ ORACLE_SQL = {
     "list_contacts_volume": f"WITH {SQL_SCORED} SELECT {_DOC} FROM scored ORDER BY msgs_received + msgs_sent DESC, address, account LIMIT 20",
     "list_contacts_recency": f"WITH {SQL_SCORED} SELECT {_DOC} FROM scored ORDER BY last_seen DESC, address, account LIMIT 20",
     "correspondents": f"WITH {SQL_CONTACTS} SELECT account, address, msgs_sent FROM contacts WHERE msgs_sent > 0",
-    "threads_for_contact": f"WITH {SQL_MESSAGES}, {SQL_THREADS} SELECT account, thread_id, subject, msg_count, last_at FROM threads WHERE list_contains(participants, 'me@a1.example.net') AND len(participants) > 1 ORDER BY last_at DESC, account, thread_id LIMIT 20",
+    "threads_for_contact": f"WITH {SQL_MESSAGES}, {SQL_THREADS} SELECT account, thread_id, subject, msg_count, last_at FROM threads WHERE list_contains(participants, 'me@a1.example.net') ORDER BY last_at DESC, account, thread_id LIMIT 20",
     "threads_for_query": f"WITH {SQL_MESSAGES}, {SQL_THREADS}, h AS (SELECT DISTINCT account, thread_id FROM msgs WHERE contains(coalesce(body_text, ''), 'receipt')) SELECT account, thread_id, msg_count, last_at FROM threads JOIN h USING (account, thread_id) ORDER BY last_at DESC, account, thread_id LIMIT 20",
     "categorize_candidates": f"WITH {SQL_CONTACTS}, {SQL_DOMAINS} SELECT c.account, c.domain, count(*) AS correspondents, CAST(sum(msgs_received + msgs_sent) AS BIGINT) AS msgs FROM contacts c JOIN domains d ON d.account = c.account AND d.domain = c.domain WHERE msgs_sent > 0 AND d.category IS NULL GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 2, 1 LIMIT 30",
     "categorize_samples": f"""WITH {SQL_CONTACTS}, {SQL_DOMAINS}, picked AS (SELECT c.account, c.domain, count(*) AS n1, sum(msgs_received + msgs_sent) AS n2 FROM contacts c JOIN domains d ON d.account = c.account AND d.domain = c.domain WHERE msgs_sent > 0 AND d.category IS NULL GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 2, 1 LIMIT 30),
@@ -143,11 +144,11 @@ ORACLE_SQL = {
     "search_stemmed": _bm25(
         f"{SQL_MESSAGES}, r AS (SELECT account, message_id, internal_date, subject, CASE WHEN direction = 'sent' THEN 'Me <' || sender || '>' ELSE user_name || ' <' || sender || '>' END AS sender, concat_ws(' ', CASE WHEN direction = 'sent' THEN user_name || ' <' || user_address || '>' ELSE 'Me <me@' || account || '.example.net>' END, cc_name || ' <' || cc_address || '>') AS recipients, concat_ws(' ', snippet, body_text, summary_text) AS body FROM msgs)",
         ["len(list_filter({t}, lambda x: starts_with(x, 'flight')))", "len(list_filter({t}, lambda x: starts_with(x, 'airfar')))", "len(list_filter({t}, lambda x: starts_with(x, 'itinerari')))", "len(list_filter({t}, lambda x: starts_with(x, 'receipt')))", "len(list_filter({t}, lambda x: starts_with(x, 'invoic')))", "len(list_filter({t}, lambda x: starts_with(x, 'bill')))"],
-        limit=1_000_000,
+        limit=None,
     ),
     "graph_edges": f"WITH {_GRAPH} SELECT * FROM edges",
     "graph_neighbors": f"WITH {SQL_SCORED}{_GRAPH[len(SQL_CONTACTS):]}, e AS (SELECT account, CASE WHEN a = 'u3@x.y.b3.com.au' THEN b ELSE a END AS address, weight FROM edges WHERE a = 'u3@x.y.b3.com.au' OR b = 'u3@x.y.b3.com.au') SELECT account, address, weight AS shared_threads, msgs_sent FROM e JOIN scored USING (account, address) ORDER BY weight DESC, engagement_score DESC NULLS LAST, address LIMIT 15",
-    "graph_pagerank": _pagerank(3),
+    "graph_pagerank": _PAGERANK,
     "address_parse": f"WITH {SQL_MESSAGES} SELECT message_id, sender AS address, CASE WHEN direction = 'sent' THEN 'Me' ELSE user_name END AS name, split_part(sender, '@', 2) AS host, CAST(1 + CASE WHEN cc_address IS NULL THEN 0 ELSE 1 END AS INTEGER) AS recipients FROM msgs",
     "registrable_domain": f"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), ':.*$', '') AS h FROM pages) SELECT {_REG.format(h='h')} AS domain, count(*) AS pages FROM h GROUP BY 1",
     "html_to_text": f"SELECT page_id, md5({_NORMAL.format(x='t')}) AS text_md5 FROM (SELECT page_id, regexp_replace({_MARKUP}, {_UNSEEN}, '', 'g') AS t FROM pages)",

@@ -16,6 +16,7 @@ from ..operators import interest as I
 from ..operators import merge as M
 from ..operators import people as P
 from ..operators import search as S
+from ..scratch import written
 
 QUERIES = {}
 SINCE = V.NOW - 10 * V.DAY
@@ -46,7 +47,8 @@ def cadence_by_brand(spark: SparkSession, d: str) -> DataFrame:
 @query
 def cadence_by_category(spark: SparkSession, d: str) -> DataFrame:
     """E4, D6, C3"""
-    rows = A.cadence(V.messages(spark, d), V.curated_domains(spark, d), category="cat2", since=SINCE)
+    mail = V.Mail(spark, d)
+    rows = A.cadence(mail.messages, mail.domains, category="cat2", since=SINCE)
     return rows.select("account", "domain", "category", "msgs", "senders", *_r("per_week", "per_month"))
 
 
@@ -78,13 +80,14 @@ def reply_initiate(spark: SparkSession, d: str) -> DataFrame:
 @query
 def engagement_scores(spark: SparkSession, d: str) -> DataFrame:
     """M1, I22, I23, D11, E9, C10"""
-    return V.scored_contacts(spark, d).select("account", "address", "bulk_count", *_r("engagement_score"))
+    mail = V.Mail(spark, d)
+    return mail.scored.select("account", "address", "bulk_count", *_r("engagement_score"))
 
 
 @query
 def snapshot_trend(spark: SparkSession, d: str) -> DataFrame:
     """J12, F6 (an extension): two generations, the change between them"""
-    m = V.messages(spark, d)
+    m = V.Mail(spark, d).messages
     c, b = A.contact_rollup(m, V.own_addresses(spark)), A.bulk_counts(m)
     one, two = (I.snapshot(I.score_contacts(c, b, t), t) for t in (V.NOW, V.NOW + 30 * V.DAY))
     return I.snapshot_trend(I.append_snapshot(one, two)).select("account", "address", "taken_at", *_r("engagement_score", "change"))
@@ -93,13 +96,15 @@ def snapshot_trend(spark: SparkSession, d: str) -> DataFrame:
 @query
 def curation_proposal(spark: SparkSession, d: str) -> DataFrame:
     """N2, G9, B11, I24, I25"""
-    return I.propose_contacts(V.scored_contacts(spark, d).drop("curation"), None, 50).drop("curation")
+    mail = V.Mail(spark, d)
+    return I.propose_contacts(mail.scored.drop("curation"), None, 50).drop("curation")
 
 
 @query
 def curation_proposal_domains(spark: SparkSession, d: str) -> DataFrame:
     """N2, G9, I24"""
-    return I.propose_domains(V.scored_contacts(spark, d), 50)
+    mail = V.Mail(spark, d)
+    return I.propose_domains(mail.scored, 50)
 
 
 # -- feeds and status
@@ -108,26 +113,29 @@ def curation_proposal_domains(spark: SparkSession, d: str) -> DataFrame:
 @query
 def digest_sources(spark: SparkSession, d: str) -> DataFrame:
     """D3, E5, G4, C9"""
-    return P.digest_sources(V.messages(spark, d), V.scored_contacts(spark, d), SINCE).select("account", "address", "display_name", "issues", "unread", "unsummarized", *_r("engagement_score"))
+    mail = V.Mail(spark, d)
+    return P.digest_sources(mail.messages, mail.scored, SINCE).select("account", "address", "display_name", "issues", "unread", "unsummarized", *_r("engagement_score"))
 
 
 @query
 def catch_up_important(spark: SparkSession, d: str) -> DataFrame:
     """D4, D5, C7, C8, G3"""
-    return _shown(P.from_important(V.messages(spark, d), V.scored_contacts(spark, d), V.curated_domains(spark, d), SINCE, 50))
+    mail = V.Mail(spark, d)
+    return _shown(P.from_important(mail.messages, mail.scored, mail.domains, SINCE, 50))
 
 
 @query
 def catch_up_threads(spark: SparkSession, d: str) -> DataFrame:
     """D2, G3"""
-    return _shown(P.in_own_threads(V.messages(spark, d), V.threads(spark, d), SINCE, 50))
+    mail = V.Mail(spark, d)
+    return _shown(P.in_own_threads(mail.messages, mail.threads, SINCE, 50))
 
 
 @query
 def catch_up_keywords(spark: SparkSession, d: str) -> DataFrame:
     """L6, C3"""
-    m = V.messages(spark, d)
-    return _shown(S.keyword_search(m, S.postings(S.search_row(m), False), ["signup invoice", "flight 7"], SINCE, 40, False))
+    m = V.Mail(spark, d).messages
+    return _shown(S.keyword_search(m, S.build_index(S.search_row(m), False), ["signup invoice", "flight 7"], SINCE, 40, False))
 
 
 @query
@@ -181,7 +189,7 @@ def classify_messages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def label_membership(spark: SparkSession, d: str) -> DataFrame:
     """C4, G2"""
-    return _shown(P.labeled(V.messages(spark, d).where("account = 'a1'"), "STARRED", 30))
+    return _shown(P.labeled(V.messages(spark, d), "STARRED", 30))
 
 
 @query
@@ -198,7 +206,7 @@ def label_names(spark: SparkSession, d: str) -> DataFrame:
 @query
 def label_edit(spark: SparkSession, d: str) -> DataFrame:
     """H4, N5, I6"""
-    m = V.messages(spark, d)
+    m = V.Mail(spark, d).messages
     changes = m.where("starred").select("account", "message_id", F.array(F.lit("CATEGORY_SOCIAL")).alias("add"), F.array(F.lit("UNREAD"), F.lit("INBOX")).alias("remove"))
     out = M.apply_label_changes(m, changes)
     return out.select("message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "category", "unread", "starred", "important")
@@ -207,7 +215,7 @@ def label_edit(spark: SparkSession, d: str) -> DataFrame:
 @query
 def inbox_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """J4, D9, H2, E13"""
-    m = V.messages(spark, d)
+    m = V.Mail(spark, d).messages
     k = F.col("message_id").cast("long")
     live = m.where((F.array_contains("labels", "INBOX") & (k % 3 > 0)) | (k % 10 == 1)).select("account", "message_id").unionByName(m.where(k % 50 == 0).select("account", F.concat(F.lit("new"), "message_id").alias("message_id")))
     changes = M.reconcile_inbox(m, live)
@@ -233,14 +241,16 @@ def enrich_candidates_direct(spark: SparkSession, d: str) -> DataFrame:
 @query
 def enrich_candidates_profile(spark: SparkSession, d: str) -> DataFrame:
     """C13, H3"""
-    return _shown(M.profile_candidates(V.messages(spark, d), V.scored_contacts(spark, d), V.curated_domains(spark, d)))
+    mail = V.Mail(spark, d)
+    return _shown(M.profile_candidates(mail.messages, mail.scored, mail.domains))
 
 
 @query
 def compact_eligible(spark: SparkSession, d: str) -> DataFrame:
     """States before and after"""
-    m = V.messages(spark, d)
-    gone = M.compact_eligible(m, V.scored_contacts(spark, d), V.curated_domains(spark, d), V.threads(spark, d), V.NOW - 7 * V.DAY)
+    mail = V.Mail(spark, d)
+    m = mail.messages
+    gone = M.compact_eligible(m, mail.scored, mail.domains, mail.threads, V.NOW - 7 * V.DAY)
     return M.demote(m, gone).groupBy("account", "body_state").agg(F.count(F.lit(1)).alias("n"), F.count("body_text").alias("bodies"))
 
 
@@ -254,25 +264,29 @@ def _people(rows: DataFrame) -> DataFrame:
 @query
 def find_person(spark: SparkSession, d: str) -> DataFrame:
     """C20, G7"""
-    return _people(P.find_person(V.scored_contacts(spark, d), "USER 1", 25))
+    mail = V.Mail(spark, d)
+    return _people(P.find_person(mail.scored, "USER 1", 25))
 
 
 @query
 def list_contacts_engagement(spark: SparkSession, d: str) -> DataFrame:
     """G6, B5, C6"""
-    return _people(P.list_contacts(V.scored_contacts(spark, d), "engagement", "important", 20))
+    mail = V.Mail(spark, d)
+    return _people(P.list_contacts(mail.scored, "engagement", "important", 20))
 
 
 @query
 def list_contacts_volume(spark: SparkSession, d: str) -> DataFrame:
     """G6, B5"""
-    return _people(P.list_contacts(V.scored_contacts(spark, d), "volume", None, 20))
+    mail = V.Mail(spark, d)
+    return _people(P.list_contacts(mail.scored, "volume", None, 20))
 
 
 @query
 def list_contacts_recency(spark: SparkSession, d: str) -> DataFrame:
     """G6, B5"""
-    return _people(P.list_contacts(V.scored_contacts(spark, d), "recency", None, 20))
+    mail = V.Mail(spark, d)
+    return _people(P.list_contacts(mail.scored, "recency", None, 20))
 
 
 @query
@@ -285,29 +299,32 @@ def correspondents(spark: SparkSession, d: str) -> DataFrame:
 def threads_for_contact(spark: SparkSession, d: str) -> DataFrame:
     """D15, G13"""
     t = V.threads(spark, d)
-    return P.threads_of_contact(t.where("size(participants) > 1"), "me@a1.example.net", 20).select("account", "thread_id", "subject", "msg_count", "last_at")
+    return P.threads_of_contact(t, "me@a1.example.net", 20).select("account", "thread_id", "subject", "msg_count", "last_at")
 
 
 @query
 def threads_for_query(spark: SparkSession, d: str) -> DataFrame:
     """D16, L8"""
-    m = V.messages(spark, d)
-    hits = S.bm25(S.postings(S.search_row(m), False), S.parse("receipt", False, True, False))
-    return P.threads_of_hits(V.threads(spark, d), m.join(hits, ["account", "message_id"], "left_semi"), 20).select("account", "thread_id", "msg_count", "last_at")
+    mail = V.Mail(spark, d)
+    m = mail.messages
+    hits = S.bm25(S.build_index(S.search_row(m), False), S.parse("receipt", False, True, False))
+    return P.threads_of_hits(mail.threads, m.join(hits, ["account", "message_id"], "left_semi"), 20).select("account", "thread_id", "msg_count", "last_at")
 
 
 @query
 def categorize_candidates(spark: SparkSession, d: str) -> DataFrame:
     """D13, N4, G10"""
-    return P.domains_to_categorize(V.contacts(spark, d), V.curated_domains(spark, d), limit=30).select("account", "domain", "correspondents", "msgs")
+    mail = V.Mail(spark, d)
+    return P.domains_to_categorize(mail.contacts, mail.domains, limit=30).select("account", "domain", "correspondents", "msgs")
 
 
 @query
 def categorize_samples(spark: SparkSession, d: str) -> DataFrame:
     """D14, F5, B12"""
-    c = V.contacts(spark, d)
-    some = P.domains_to_categorize(c, V.curated_domains(spark, d), limit=30)
-    return P.categorize_samples(some, c, V.messages(spark, d)).select("account", "domain", "address", "rank", F.array_join("subjects", "|").alias("subjects"))
+    mail = V.Mail(spark, d)
+    c = mail.contacts
+    some = P.domains_to_categorize(c, mail.domains, limit=30)
+    return P.categorize_samples(some, c, mail.messages).select("account", "domain", "address", "rank", F.array_join("subjects", "|").alias("subjects"))
 
 
 # -- search
@@ -317,21 +334,21 @@ def categorize_samples(spark: SparkSession, d: str) -> DataFrame:
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Two prefix terms over documents, unstemmed"""
     m = V.document_messages(spark, d)
-    return S.search(m, S.postings(S.search_row(m), False), "thre ando", synonyms=False, limit=30, stemmed=False).select("account", "message_id", *_r("score"))
+    return S.search(m, S.build_index(S.search_row(m), False), "thre ando", synonyms=False, limit=30, stemmed=False).select("account", "message_id", *_r("score"))
 
 
 @query
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """L3, L4: a term with punctuation is a phrase, its last word a prefix; hits of one account, statistics of all"""
     m = V.document_messages(spark, d)
-    return S.search(m, S.postings(S.search_row(m), False), "licensed-under-the", synonyms=False, account="en", limit=20, stemmed=False).select("account", "message_id", *_r("score"))
+    return S.search(m, S.build_index(S.search_row(m), False), "licensed-under-the", synonyms=False, account="en", limit=20, stemmed=False).select("account", "message_id", *_r("score"))
 
 
 @query
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed, with synonyms; all hits"""
-    m = V.messages(spark, d)
-    return S.search(m, S.postings(S.search_row(m)), "flight receipt", synonyms=True, limit=None).select("account", "message_id", *_r("score"))
+    m = V.Mail(spark, d).messages
+    return S.search(m, S.build_index(S.search_row(m)), "flight receipt", synonyms=True, limit=None).select("account", "message_id", *_r("score"))
 
 
 # -- graph
@@ -340,39 +357,34 @@ def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """D8, E10, M3, M4, C15, I32"""
-    return G.edges(G.participants(V.threads(spark, d), V.contacts(spark, d)))
+    mail = V.Mail(spark, d)
+    return G.edges(G.participants(mail.threads, mail.contacts))
 
 
 @query
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of each account's first contact by address"""
-    c = V.scored_contacts(spark, d)
-    e = G.edges(G.participants(V.threads(spark, d), c))
+    """Neighbours of one address, in every account"""
+    mail = V.Mail(spark, d)
+    c = mail.scored
+    e = G.edges(G.participants(mail.threads, c))
     return G.neighbours(e, c, "u3@x.y.b3.com.au", 15).select("account", "address", "shared_threads", "msgs_sent")
 
 
-def _supplier_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers that share an order's lines: a wider graph than the mail's."""
-    t = V.table(spark, d, "lineitem").where("l_orderkey % 40 = 0")
-    people = t.select(F.lit("s").alias("account"), F.col("l_orderkey").alias("thread_id"), F.format_string("s%d", "l_suppkey").alias("address"))
-    return people.select("account", "address").distinct(), G.edges(people)
-
-
 @query
 def graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """M5: three rounds"""
-    c = V.contacts(spark, d)
-    people = G.participants(V.threads(spark, d), c)
-    return G.pagerank(people.select("account", "address").distinct(), G.edges(people), 3).select("account", "address", *_r("centrality"))
+    """M5: to convergence"""
+    mail = V.Mail(spark, d)
+    people = G.participants(mail.threads, mail.contacts)
+    return G.pagerank(people.select("account", "address").distinct(), G.edges(people)).select("account", "address", *_r("centrality"))
 
 
 @query
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     """M6, E11, M7"""
-    c = V.contacts(spark, d)
-    people = G.participants(V.threads(spark, d), c)
-    nodes, e = people.select("account", "address").distinct(), G.edges(people)
-    found = G.with_metrics(c, G.pagerank(nodes, e, 3), G.communities(nodes, e))
+    mail = V.Mail(spark, d)
+    people = G.participants(mail.threads, mail.contacts)
+    nodes, e = written(people.select("account", "address").distinct(), "nodes"), written(G.edges(people), "edges")
+    found = G.with_metrics(mail.contacts, G.pagerank(nodes, e), G.communities(nodes, e))
     return G.community_overview(found).select("account", "community_id", "size", F.array_join("members", ",").alias("members"))
 
 
@@ -469,5 +481,6 @@ def image_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
     """I24 by account"""
-    s = V.scored_contacts(spark, d).withColumn("suggested", suggestion(F.col("engagement_score"), F.col("bulk_count") * 2 > F.col("msgs_received")))
+    mail = V.Mail(spark, d)
+    s = mail.scored.withColumn("suggested", suggestion(F.col("engagement_score"), F.col("bulk_count") * 2 > F.col("msgs_received")))
     return s.groupBy("account", "suggested").agg(F.count(F.lit(1)).alias("n"))

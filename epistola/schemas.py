@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 # Enumerations of the data model, the ladder in its order.
 BODY_STATES = ("meta", "full", "summary-only")

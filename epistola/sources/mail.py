@@ -6,14 +6,17 @@ and limit here.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import ConfigError, WriteUnsupportedError
 
@@ -21,12 +24,9 @@ FULL = (
     "id string, threadId string, internalDate bigint, dateHeader string, `from` string, `to` string, cc string, subject string, labels array<string>, snippet string, "
     "sizeEstimate bigint, headers map<string,string>, bodyText string, bodyHtml string, mimeType string"
 )
-#: A provider's message. Parts nest; three levels below the top are read.
-_PART = "struct<mimeType:string,body:struct<data:string,size:bigint>"
-PAYLOAD = (
-    "id string, threadId string, snippet string, internalDate string, labelIds array<string>, sizeEstimate bigint, payload struct<mimeType:string,headers:array<struct<name:string,value:string>>,"
-    f"body:struct<data:string,size:bigint>,parts:array<{_PART},parts:array<{_PART},parts:array<{_PART}>>>>>>>"
-)
+#: A provider's message. The payload, whose parts nest to any depth, stays JSON.
+PAYLOAD = "id string, threadId string, snippet string, internalDate string, labelIds array<string>, sizeEstimate bigint, payload string"
+_HEADERS = "headers array<struct<name:string,value:string>>"
 
 
 @dataclass(frozen=True)
@@ -84,33 +84,41 @@ def decode_body(data: Column) -> Column:
     return F.decode(F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="), F.lit("base64")), "UTF-8")
 
 
-def _flat(payload: Column) -> Column:
-    """Parts in document order, each with its type and data."""
-
-    def own(p: Column) -> Column:
-        return F.array(F.struct(p["mimeType"].alias("mimeType"), p["body"]["data"].alias("data")))
+def first_parts(payload: str | None) -> dict[str, str | None]:
+    """The data of the first text/plain and text/html parts that have some, in document order, however deep."""
+    found: dict[str, str | None] = {"plain": None, "html": None}
+    try:
+        waiting = [json.loads(payload)] if payload else []
+    except (ValueError, RecursionError):
+        return found
+    while waiting and None in found.values():
+        part = waiting.pop()
+        if not isinstance(part, dict):
+            continue
+        kind = str(part.get("mimeType") or "").lower().removeprefix("text/")
+        data = (part.get("body") or {}).get("data")
+        if kind in found and str(part.get("mimeType")).lower() == f"text/{kind}" and data and found[kind] is None:
+            found[kind] = data
+        waiting.extend(reversed(part.get("parts") or []))
+    return found
 
-    none = F.array().cast("array<struct<mimeType:string,data:string>>")
 
-    def below(p: Column, depth: int) -> Column:
-        if not depth:
-            return own(p)
-        return F.concat(own(p), F.coalesce(F.flatten(F.transform(p["parts"], lambda q: below(q, depth - 1))), none))
-
-    return below(payload, 3)
+@F.pandas_udf(StructType([StructField("plain", StringType()), StructField("html", StringType())]))
+def _first_parts(payloads: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([first_parts(p) for p in payloads], columns=["plain", "html"])
 
 
 def extract_bodies(payload: Column) -> Column:
-    """struct(bodyText, bodyHtml, mimeType): the first part of either type that has data."""
-    parts = _flat(payload)
-    first = lambda kind: F.get(F.filter(parts, lambda p: (F.lower(p["mimeType"]) == kind) & (F.coalesce(p["data"], F.lit("")) != "")), F.lit(0))["data"]
-    text, html = decode_body(first("text/plain")), decode_body(first("text/html"))
+    """struct(bodyText, bodyHtml, mimeType) of a payload as JSON."""
+    parts = _first_parts(payload)
+    text, html = decode_body(parts["plain"]), decode_body(parts["html"])
     return F.struct(text.alias("bodyText"), html.alias("bodyHtml"), F.when(text.isNotNull(), "text/plain").when(html.isNotNull(), "text/html").alias("mimeType"))
 
 
 def to_full(payloads: DataFrame) -> DataFrame:
     """Provider messages as ``FULL`` rows."""
-    h, b = F.col("payload.headers"), extract_bodies(F.col("payload"))
+    payloads = payloads.withColumn("_headers", F.from_json("payload", _HEADERS)["headers"]).withColumn("_bodies", extract_bodies(F.col("payload")))
+    h, b = F.col("_headers"), F.col("_bodies")
     named = {k: header(h, k) for k in ("Date", "From", "To", "Cc", "Subject")}
     return payloads.select(
         "id", "threadId", F.expr("try_cast(nullif(internalDate, '') as bigint)").alias("internalDate"), named["Date"].alias("dateHeader"), named["From"].alias("from"), named["To"].alias("to"), named["Cc"].alias("cc"),
@@ -196,8 +204,13 @@ class TableSource(MailSource):
         return done
 
 
+#: Bytes of a file that one partition reads.
+SPLIT_BYTES = 128 << 20
+
+
 class JsonLinesMail(DataSource):
-    """``spark.read.format("mail_jsonl").load(folder)``: provider messages, a file a partition; options since_ms and include_sent are applied while reading."""
+    """``spark.read.format("mail_jsonl").load(folder)``: provider messages, a partition for each ``split_bytes`` of a file; options since_ms
+    and include_sent are applied while reading."""
 
     @classmethod
     def name(cls) -> str:
@@ -210,37 +223,53 @@ class JsonLinesMail(DataSource):
         return _JsonLinesReader(self.options)
 
 
+@dataclass
+class _Split(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
 class _JsonLinesReader(DataSourceReader):
     def __init__(self, options: dict):
-        from pyarrow import fs
-
         if "path" not in options:
             raise ConfigError("mail_jsonl needs a path")
         self.path = options["path"]
         self.since = int(options["since_ms"]) if "since_ms" in options else None
         self.sent = str(options.get("include_sent", "true")).lower() != "false"
-        store, root = fs.FileSystem.from_uri(self.path)
-        self.files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".jsonl"))
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in self.files] or [InputPartition(None)]
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path)
+        files = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".jsonl"))
+        return [_Split(path, at, min(size, at + self.split)) for path, size in files for at in range(0, size, self.split)] or [_Split("", 0, 0)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: _Split) -> Iterator[tuple]:
+        """The lines that start within the partition's bytes."""
         from pyarrow import fs
 
-        if partition.value is None:
+        if not partition.path:
             return
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(partition.value) as f:
-            for line in f.read().decode("utf-8", "replace").splitlines():
-                if not line.strip():
-                    continue
-                m = json.loads(line)
-                at = int(m["internalDate"]) if m.get("internalDate") else None
-                labels = m.get("labelIds") or []
-                if (self.since is not None and (at is None or at < self.since)) or (not self.sent and "SENT" in labels):
-                    continue
-                yield m.get("id"), m.get("threadId"), at, labels, json.dumps(m.get("payload") or {})
+        with store.open_input_file(partition.path) as raw:
+            raw.seek(max(0, partition.start - 1))
+            f = io.BufferedReader(raw)
+            at = partition.start
+            if at:  # the line that the byte before belongs to is another partition's
+                at += len(f.readline()) - 1
+            while at < partition.end and (line := f.readline()):
+                at += len(line)
+                if line.strip() and (row := self._row(json.loads(line.decode("utf-8", "replace")))):
+                    yield row
+
+    def _row(self, m: dict) -> tuple | None:
+        at = int(m["internalDate"]) if m.get("internalDate") else None
+        labels = m.get("labelIds") or []
+        if (self.since is not None and (at is None or at < self.since)) or (not self.sent and "SENT" in labels):
+            return None
+        return m.get("id"), m.get("threadId"), at, labels, json.dumps(m.get("payload") or {})
 
 
 def register(spark: SparkSession) -> None:

@@ -9,9 +9,11 @@ from ..operators import aggregate as A
 from ..operators import graph as G
 from ..operators import interest as I
 from ..operators import merge as M
+from ..operators import search as S
 from ..operators.curation import with_overlay
 from ..operators.people import completed_syncs
 from ..schemas import CONTACT_CURATION, DOMAIN_OVERLAY, IDENTITY, MESSAGES, SNAPSHOTS, SUMMARIES, SYNC_RUNS
+from ..scratch import written
 from .sync import Store
 
 GRACE_MS = 7 * 86_400_000
@@ -54,7 +56,7 @@ def should_build_graph(store: Store, account: str, everything: bool = False) ->
     return everything or done is None or done["completed"] <= 1
 
 
-def build_graph(store: Store, iterations: int = G.ITERATIONS) -> dict[str, int]:
+def build_graph(store: Store, rounds: int = G.ROUNDS) -> dict[str, int]:
     """Writes centrality and communities; an empty graph writes nothing."""
     c = contacts(store)
     people = G.participants(A.thread_rollup(store.read("messages", MESSAGES)), c)
@@ -62,7 +64,23 @@ def build_graph(store: Store, iterations: int = G.ITERATIONS) -> dict[str, int]:
     n = nodes.count()
     if not n:
         return {"nodes": 0, "edges": 0, "communities": 0}
-    found = G.pagerank(nodes, edges, iterations).join(G.communities(nodes, edges), ["account", "address"])
+    found = G.pagerank(nodes, edges, rounds).join(G.communities(nodes, edges), ["account", "address"])
     store.write("graph_metrics", found.select("account", "address", "centrality", "community_id"))
     metrics = store.read("graph_metrics", METRICS)
     return {"nodes": n, "edges": edges.count(), "communities": metrics.select("account", "community_id").distinct().count()}
+
+
+def read_index(store: Store) -> S.SearchIndex:
+    return S.SearchIndex(store.read("postings", S.POSTINGS), store.read("lengths", S.LENGTHS))
+
+
+def update_index(store: Store, keys: DataFrame | None = None) -> None:
+    """The stored search index, brought up to date for the messages of ``keys`` (account, message_id; those that are gone leave it), or built anew."""
+    m = messages(store)
+    if keys is None:
+        ix = S.index_of(S.search_row(m))
+    else:
+        changed = written(keys.select(*S.KEY).distinct(), "changed")
+        ix = S.with_messages(S.without_messages(read_index(store), changed), S.search_row(m.join(changed, S.KEY, "left_semi")))
+    store.write("postings", ix.postings)
+    store.write("lengths", ix.lengths)

@@ -1,14 +1,15 @@
 """Sync runs: micro-batches of messages into the message table, then derived tables. Batch and streaming forms.
 
-The streaming form is an extension: the reference has no event time, watermarks or windows.
+The streaming form, with event time and watermarks, is an extension.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,56 @@ from pyspark.sql import functions as F
 from ..errors import StoreError, SyncError
 from ..operators.merge import upsert_messages
 from ..schemas import IDENTITY, MESSAGES, SCHEMA_VERSION, SYNC_RUNS
+from ..scratch import numbered, scratch_path, written
 from ..sources.mail import MailSource, Scope, to_messages
 
 LOCK_MS = 6 * 3_600_000
+#: Ids that are fetched at once, and how long a driver may hold a table's lock before it is taken for dead.
+BATCH_IDS, HELD_SECONDS = 500_000, 120
+
+
+def _with_search_index(store: Store) -> None:
+    from .derive import update_index
+
+    if store.versions("messages"):
+        update_index(store)
+
+
+#: What leads to each schema version from the one before it, in order.
+MIGRATIONS: dict[int, Callable[[Store], None]] = {2: _with_search_index}
 
 
 class Store:
     """Versioned Parquet tables under one folder that all executors share. A write makes a new version; readers see
     the last one that was finished, so a failed write changes nothing."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        """Opens or creates the store; one of a newer schema is refused."""
+    def __init__(self, spark: SparkSession, path: str, migrations: dict[int, Callable[[Store], None]] | None = None):
+        """Opens or creates the store. An older schema is migrated version by version, each recorded when it is done; a newer one is refused."""
         self.spark, self.path = spark, path.rstrip("/")
+        steps = MIGRATIONS if migrations is None else migrations
+        known = max([SCHEMA_VERSION, *steps]) if migrations is not None else SCHEMA_VERSION
         held = self.read("schema_version", "version int").agg(F.max("version")).first()[0]
-        if held is not None and held > SCHEMA_VERSION:
-            raise StoreError(f"{path} has schema version {held}; this engine knows {SCHEMA_VERSION}")
-        if held is None or held < SCHEMA_VERSION:
-            self.write("schema_version", spark.createDataFrame([(SCHEMA_VERSION,)], "version int"))
+        if held is not None and held > known:
+            raise StoreError(f"{path} has schema version {held}; this engine knows {known}")
+        for version in [known] if held is None else range(held + 1, known + 1):
+            if held is not None and version in steps:
+                steps[version](self)
+            self.write("schema_version", spark.createDataFrame([(version,)], "version int"))
+
+    @contextmanager
+    def lock(self, name: str) -> Iterator[None]:
+        """Between drivers: a file that only one can create. One older than ``HELD_SECONDS`` is a dead driver's."""
+        jvm, files = self._fs()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/lock-{name}")
+        if files.exists(at) and time.time() - files.getFileStatus(at).getModificationTime() / 1000 > HELD_SECONDS:
+            files.delete(at, False)
+        files.mkdirs(at.getParent())
+        if not files.createNewFile(at):
+            raise SyncError(f"another driver writes {name}")
+        try:
+            yield
+        finally:
+            files.delete(at, False)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -77,43 +111,61 @@ def guard_identity(store: Store, account: str, address: str | None, now_ms: int,
 
 
 def acquire(store: Store, account: str, phase: str, selector: str | None, now_ms: int) -> int:
-    """An open run is the lock; one older than six hours is taken for dead. A driver writes alone."""
-    runs = store.read("sync_runs", SYNC_RUNS)
-    if runs.where((F.col("account") == account) & F.col("finished_at").isNull() & (F.col("started_at") >= now_ms - LOCK_MS)).limit(1).count():
-        raise SyncError(f"a run of {account} is under way")
-    ident = (runs.agg(F.max("id")).first()[0] or 0) + 1
-    row = store.spark.createDataFrame([(ident, account, phase, selector or None, now_ms, None, None, None, None)], SYNC_RUNS)
-    store.write("sync_runs", runs.unionByName(row))
+    """An open run is the account's lock; one older than six hours is taken for dead. Looking and entering are one step."""
+    with store.lock("sync_runs"):
+        runs = store.read("sync_runs", SYNC_RUNS)
+        if not runs.where((F.col("account") == account) & F.col("finished_at").isNull() & (F.col("started_at") >= now_ms - LOCK_MS)).isEmpty():
+            raise SyncError(f"a run of {account} is under way")
+        ident = (runs.agg(F.max("id")).first()[0] or 0) + 1
+        row = store.spark.createDataFrame([(ident, account, phase, selector or None, now_ms, None, None, None, None)], SYNC_RUNS)
+        store.write("sync_runs", runs.unionByName(row))
     return ident
 
 
 def finish(store: Store, ident: int, now_ms: int, fetched: int, indexed: int, error: str | None = None) -> None:
-    runs = store.read("sync_runs", SYNC_RUNS)
-    mine = F.col("id") == ident
-    values = {"finished_at": F.lit(now_ms).cast("long"), "fetched": F.lit(fetched).cast("long"), "indexed": F.lit(indexed).cast("long"), "error": F.lit(error).cast("string")}
-    store.write("sync_runs", runs.select(*(F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in runs.columns)))
+    with store.lock("sync_runs"):
+        runs = store.read("sync_runs", SYNC_RUNS)
+        mine = F.col("id") == ident
+        values = {"finished_at": F.lit(now_ms).cast("long"), "fetched": F.lit(fetched).cast("long"), "indexed": F.lit(indexed).cast("long"), "error": F.lit(error).cast("string")}
+        store.write("sync_runs", runs.select(*(F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in runs.columns)))
 
 
-def sync_account(store: Store, source: MailSource, account: str, scope: Scope, now_ms: int, after: Callable[[Store, str], None] | None = None) -> SyncResult:
-    """Scan, classify, upsert; the audit row is closed whatever happens. ``after`` rebuilds derived tables."""
+def sync_account(store: Store, source: MailSource, account: str, scope: Scope, now_ms: int, after: Callable[[Store, str], None] | None = None, batch_ids: int = BATCH_IDS, progress: Callable[[int, int], None] | None = None) -> SyncResult:
+    """Scan, fetch in batches of ids, newest first, classify, upsert once; the audit row is closed whatever happens. Batches that came before a
+    failure are kept. The source is read once. ``progress`` gets the ids fetched and their total after each batch; ``after`` rebuilds derived tables."""
     probe = source.check()
     if probe.get("ok"):
         guard_identity(store, account, probe.get("address"), now_ms)
     ident = acquire(store, account, "sync", str(scope), now_ms)
+    done = indexed = 0
+    staged: list[DataFrame] = []
+
+    def keep() -> None:
+        if staged:
+            store.write("messages", upsert_messages(store.read("messages", MESSAGES), reduce(DataFrame.unionByName, staged)), ["account"])
+
     try:
-        ids = source.list_ids(scope)
+        ids = numbered(source.list_ids(scope).withColumn("_k", F.monotonically_increasing_id()), "_k").select("id", "n")
+        total = ids.count()
         own = [r["address"] for r in store.read("account_identity", IDENTITY).where(F.col("account") == account).collect()]
-        new = to_messages(source.get_metadata(ids).withColumn("bodyText", F.lit(None)), account, own)
-        old = store.read("messages", MESSAGES)
-        fetched, indexed = ids.count(), new.count()
-        store.write("messages", upsert_messages(old, new), ["account"])
+        for low in range(0, total, batch_ids):
+            some = ids.where((F.col("n") >= low) & (F.col("n") < low + batch_ids)).select("id")
+            new = written(to_messages(source.get_metadata(some).withColumn("bodyText", F.lit(None)), account, own), "fetched")
+            staged.append(new)
+            indexed += new.count()
+            done = min(total, low + batch_ids)
+            if progress:
+                progress(done, total)
+        keep()
         if after:
             after(store, account)
     except Exception as e:
-        finish(store, ident, now_ms, 0, 0, f"{type(e).__name__}: {e}"[:500])
+        if done and done < total:
+            keep()
+        finish(store, ident, now_ms, done, indexed, f"{type(e).__name__}: {e}"[:500])
         raise
-    finish(store, ident, now_ms, fetched, indexed)
-    return SyncResult(fetched, indexed)
+    finish(store, ident, now_ms, done, indexed)
+    return SyncResult(done, indexed)
 
 
 def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: int) -> dict[str, SyncResult | str]:
@@ -128,7 +180,8 @@ def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: in
 
 
 def stream_messages(stream: DataFrame, store: Store, checkpoint: str, now_ms: int):
-    """Arriving message rows, with ``arrival``, into the message table; the query of an available-now run."""
+    """Arriving message rows, with ``arrival``, into the message table; the query of an available-now run. A batch that comes again after a failure changes
+    nothing: an upsert of the same rows is the same table."""
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         old = store.read("messages", MESSAGES)
@@ -145,5 +198,4 @@ def windowed_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 day
 
 def scratch_checkpoint(spark: SparkSession) -> str:
     """A folder for a stream's progress, in the shared folder that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "epistola-streams")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")

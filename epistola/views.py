@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.classify import category, direction, flags, is_list
 from .operators.aggregate import bulk_counts, contact_rollup, domain_rollup, thread_rollup
 from .operators.interest import score_contacts
+from .scratch import written
 
 #: "Now" in queries: 2024-02-01T00:00:00Z. The events are of January 2024.
 NOW = 1_706_745_600_000
@@ -18,13 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt over all cores where its files have fewer splits than half of them, as one small file has; left alone otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 _HOST = "CASE {u} % 4 WHEN 0 THEN concat('mail.b', {u} % 20, '.co.uk') WHEN 1 THEN concat('news.b', {u} % 20, '.com') WHEN 2 THEN concat('b', {u} % 20, '.org') ELSE concat('x.y.b', {u} % 20, '.com.au') END"
 _USER = "concat('User ', {u}, ' <U', {u}, '@', " + _HOST + ", '>')"
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a source yields for ``events``: headers, labels and bodies, nothing classified."""
-    e = table(spark, sf_dir, "events").selectExpr(
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts", "props"), "event_id").selectExpr(
         "event_id", "user_id AS u", "event_type", "value", "unix_micros(cast(ts AS timestamp)) div 1000 AS ms", "cast(get_json_object(props, '$.k') AS bigint) AS k",
         "date_format(ts, 'yyyy-MM-dd') AS day",
     ).withColumn("v", F.expr("u + 3 * (1 + k % 5)"))
@@ -96,22 +105,41 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact_rollup(messages(spark, sf_dir), own_addresses(spark))
 
 
-def scored_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts with score and a curation that stands in for the user's: important, muted or blocked by user number."""
-    m = messages(spark, sf_dir)
-    s = score_contacts(contact_rollup(m, own_addresses(spark)), bulk_counts(m), NOW)
-    n = F.regexp_extract("address", r"u(\d+)@", 1).try_cast("long")
-    return s.withColumn("curation", F.when(n % 10 == 0, "important").when(n % 10 == 1, "muted").when(n % 10 == 2, "blocked"))
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thread_rollup(messages(spark, sf_dir))
 
 
-def curated_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = domain_rollup(contacts(spark, sf_dir))
-    n = F.regexp_extract("domain", r"b(\d+)\.", 1).try_cast("long")
-    return d.withColumn("curation", F.when(n == 7, "important").when(n == 9, "muted")).withColumn("category", F.when(n % 2 == 0, F.format_string("cat%d", n % 4)))
+class Mail:
+    """Messages and what is derived from them, for a query that needs more than one of them: messages and contacts are written
+    once, as the engine's store holds them, and the rest is derived from those."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thread_rollup(messages(spark, sf_dir))
+    @cached_property
+    def messages(self) -> DataFrame:
+        return written(messages(self.spark, self.sf_dir), "messages")
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        return written(contact_rollup(self.messages, own_addresses(self.spark)), "contacts")
+
+    @cached_property
+    def threads(self) -> DataFrame:
+        return thread_rollup(self.messages)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Contacts with score and a curation that stands in for the user's: important, muted or blocked by user number."""
+        s = score_contacts(self.contacts, bulk_counts(self.messages), NOW)
+        n = F.regexp_extract("address", r"u(\d+)@", 1).try_cast("long")
+        return s.withColumn("curation", F.when(n % 10 == 0, "important").when(n % 10 == 1, "muted").when(n % 10 == 2, "blocked"))
+
+    @cached_property
+    def domains(self) -> DataFrame:
+        d = domain_rollup(self.contacts)
+        n = F.regexp_extract("domain", r"b(\d+)\.", 1).try_cast("long")
+        return d.withColumn("curation", F.when(n == 7, "important").when(n == 9, "muted")).withColumn("category", F.when(n % 2 == 0, F.format_string("cat%d", n % 4)))
 
 
 def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

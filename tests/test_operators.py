@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,11 +125,61 @@ def test_graph(spark):
     top = G.community_overview(G.with_metrics(c, G.pagerank(nodes, e, 5), groups), 2).collect()
     assert [r["size"] for r in top] == [4, 3] and top[0]["members"][0] == "hub@x.com"
     none = people.limit(0)
-    assert G.edges(none).count() == 0 and G.communities(none.select("account", "address"), G.edges(none)).count() == 0
-
-
-def test_louvain_without_edges_is_singletons():
-    assert G.louvain({}, ["b", "a"]) == {"a": 0, "b": 1}
+    assert G.edges(none).count() == 0 and G.communities(none.select("account", "address"), G.edges(none)).count() == 0 and G.pagerank(none.select("account", "address"), G.edges(none)).count() == 0
+
+
+def test_louvain_without_edges_is_singletons(spark):
+    nodes = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "x")], "account string, address string")
+    none = nodes.select("account", F.col("address").alias("a"), F.col("address").alias("b"), F.lit(1).alias("weight")).limit(0)
+    for held in (10, 0):
+        assert sorted(map(tuple, G.communities(nodes, none, held).collect())) == [("a", "x", 0), ("a", "y", 1), ("b", "x", 0)]
+
+
+def random_graph(spark, seed=3, n=48, groups=4):
+    rng = random.Random(seed)
+    pairs = {}
+    for _ in range(160):
+        i = rng.randrange(n)
+        j = (i + groups * rng.randrange(1, n // groups)) % n if rng.random() < 0.9 else rng.randrange(n)
+        if i != j:
+            k = (f"n{min(i, j):02}", f"n{max(i, j):02}")
+            pairs[k] = pairs.get(k, 0) + 1
+    e = spark.createDataFrame([("p", *k, w) for k, w in pairs.items()] + [("q", "x", "y", 2)], "account string, a string, b string, weight bigint")
+    nodes = spark.createDataFrame([("p", f"n{i:02}") for i in range(n)] + [("p", "alone"), ("q", "x"), ("q", "y")], "account string, address string")
+    return nodes, e, pairs
+
+
+def test_large_graphs_like_small_ones(spark):
+    """By joins and in one task: the same communities, the same ranks; modularity near that of the planted groups."""
+    nodes, e, pairs = random_graph(spark)
+    one, many = (sorted(map(tuple, G.communities(nodes, e, held).collect())) for held in (1000, 0))
+    assert one == many and len({c for a, _, c in one if a == "p"}) < 12
+    planted = nodes.where("account = 'p'").withColumn("community_id", F.when(F.col("address") == "alone", 9).otherwise(F.regexp_extract("address", "n(.*)", 1).try_cast("long") % 4))
+    q = lambda m: G.modularity(e.where("account = 'p'"), m).first()["modularity"]
+    assert q(G.communities(nodes, e).where("account = 'p'")) > 0.9 * q(planted) > 0.3
+    ranks = [{(r["account"], r["address"]): r["centrality"] for r in G.pagerank(nodes, e, held_edges=held).collect()} for held in (1000, 0)]
+    assert ranks[0].keys() == ranks[1].keys() and all(abs(ranks[0][k] - ranks[1][k]) < 1e-12 for k in ranks[0])
+
+
+def test_pagerank_converges(spark):
+    """Against the solution of the linear equations."""
+    nodes, e, pairs = random_graph(spark, 5)
+    names = [f"n{i:02}" for i in range(48)] + ["alone"]
+    w = np.zeros((49, 49))
+    for (a, b), k in pairs.items():
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = k
+    out = w.sum(1)
+    step = np.where(out[:, None] > 0, w / np.maximum(out, 1)[:, None], 1 / 49)
+    exact = np.linalg.solve(np.eye(49) - 0.85 * step.T, np.full(49, 0.15 / 49))
+    got = {r["address"]: r["centrality"] for r in G.pagerank(nodes, e).where("account = 'p'").collect()}
+    assert max(abs(got[n] - x) for n, x in zip(names, exact, strict=True)) < 49e-6
+    assert abs(got["alone"] - exact[48]) < 1e-5
+
+
+def test_edges_of_a_large_thread(spark):
+    people = spark.range(300).select(F.lit("a").alias("account"), F.lit("t").alias("thread_id"), F.format_string("p%03d", "id").alias("address")).unionByName(spark.createDataFrame([("a", "u", "p001"), ("a", "u", "p002"), ("a", "v", "p001")], "account string, thread_id string, address string"))
+    one, dealt = (sorted(map(tuple, G.edges(people, most).collect())) for most in (1000, 40))
+    assert one == dealt and len(one) == 300 * 299 // 2 and ("a", "p001", "p002", 2) in one
 
 
 def test_upsert_never_downgrades(spark):
@@ -234,7 +287,7 @@ def test_bm25_by_hand(spark):
     import math
 
     m = mail(spark, {"message_id": "1", "subject": "invoice due", "internal_date": 1}, {"message_id": "2", "snippet": "your invoices and more words here", "internal_date": 2}, {"message_id": "3", "subject": "hello", "internal_date": 3}, {"message_id": "4", "subject": "other", "internal_date": 4}, {"message_id": "5", "subject": "thing", "internal_date": 5})
-    ix = S.postings(S.search_row(m))
+    ix = S.build_index(S.search_row(m))
     got = {r["message_id"]: r["score"] for r in S.bm25(ix, S.parse("invoicing")).collect()}
     idf, avg = math.log((5 - 2 + 0.5) / 2.5), (2 + 6 + 1 + 1 + 1) / 5
     part = lambda f, d: -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg))
@@ -253,7 +306,7 @@ def test_query_building():
 
 def test_demoted_text_stops_matching(spark):
     m = mail(spark, {"message_id": "1", "body_state": "full", "body_text": "needle"})
-    found = lambda x: S.bm25(S.postings(S.search_row(x)), S.parse("needle")).count()
+    found = lambda x: S.bm25(S.build_index(S.search_row(x)), S.parse("needle")).count()
     assert found(m) == 1 and found(M.demote(m, m)) == 0
 
 

@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ONE_ROW_CROSS - {"graph_pagerank", "graph_communities"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ONE_ROW_CROSS - {"graph_communities"}))
 def test_no_theta_joins(spark, sf, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan(QUERIES[name](spark, sf)))
 
@@ -31,5 +31,28 @@ def test_scans_read_what_they_need(spark, sf):
 
 
 def test_no_python_in_relational_queries(spark, sf):
-    for name in ("cadence_by_brand", "contact_rollup", "thread_rollup", "engagement_scores", "inbox_reconcile", "deboilerplate", "image_triage"):
+    for name in ("cadence_by_brand", "contact_rollup", "thread_rollup", "engagement_scores", "inbox_reconcile", "deboilerplate", "image_triage", "search_bm25", "search_phrase", "search_stemmed", "catch_up_keywords"):
         assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow", plan(QUERIES[name](spark, sf)))
+
+
+def counted(df):
+    """Regular-expression calls and scans of the optimised plan."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"regexp_\w+\(|RLIKE", text)), len(re.findall(r"(?m)Relation \[", text))
+
+
+def test_expressions_are_not_repeated(spark, sf):
+    assert counted(QUERIES["cadence_by_brand"](spark, sf))[0] < 10
+    for name in ("contact_rollup", "thread_rollup", "graph_edges", "engagement_scores"):
+        assert counted(QUERIES[name](spark, sf))[0] < 25
+
+
+def test_tables_are_derived_once(spark, sf):
+    """Queries of several derived tables read what was written for them, not the events again."""
+    for name in ("enrich_candidates_profile", "compact_eligible", "catch_up_important", "digest_sources"):
+        text = plan(QUERIES[name](spark, sf))
+        assert "events.parquet" not in text, name
+
+
+def test_search_reads_the_terms_it_needs(spark, sf):
+    assert re.search(r"PushedFilters: \[.*StringStartsWith\(term,thre\)", plan(QUERIES["search_bm25"](spark, sf)))

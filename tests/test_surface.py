@@ -67,6 +67,26 @@ def test_payloads(spark):
     assert (r["internalDate"], r["from"], r["headers"]["X"], r["bodyText"], r["bodyHtml"], r["mimeType"], r["labels"]) == (None, "a@b.c", "2", "ü >?", "<p>é</p>", "text/plain", [])
 
 
+def test_bodies_nest_to_any_depth(spark):
+    code = lambda t: base64.urlsafe_b64encode(t.encode()).decode()
+    part = {"mimeType": "text/plain", "body": {"data": code("deep")}}
+    for _ in range(60):
+        part = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "text/plain", "body": {}}, part, {"mimeType": "text/plain", "body": {"data": code("later")}}, {"mimeType": "text/html", "body": {"data": code("<b>")}}]}
+    rows = [json.dumps(part), json.dumps({"parts": None, "mimeType": "TEXT/HTML", "body": {"data": code("x")}}), "{broken", None, json.dumps({"mimeType": "text/plain", "body": {"data": "!!"}})]
+    got = [tuple(r["b"]) for r in spark.createDataFrame([(r,) for r in rows], "p string").select(M.extract_bodies(F.col("p")).alias("b")).collect()]
+    assert got == [("deep", "<b>", "text/plain"), (None, "x", "text/html"), (None, None, None), (None, None, None), (None, None, None)]
+
+
+def test_json_lines_are_split(spark, tmp_path):
+    M.register(spark)
+    rows = [{"id": f"é{i}" + "x" * (i % 7), "threadId": "t", "internalDate": str(i)} for i in range(200)]
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
+    for split in (1, 37, 1000, 1 << 20):
+        df = spark.read.format("mail_jsonl").option("split_bytes", split if split > 1 else 200).load(f"file://{tmp_path}")
+        assert sorted(r["id"] for r in df.collect()) == sorted(r["id"] for r in rows)
+    assert spark.read.format("mail_jsonl").option("split_bytes", 1000).load(f"file://{tmp_path}").rdd.getNumPartitions() > 5
+
+
 def test_json_lines_source(spark, tmp_path):
     M.register(spark)
     for k in range(2):
@@ -102,6 +122,57 @@ def test_sync_runs(spark, tmp_path):
     assert Y.acquire(store, "a", "sync", None, NOW + 7 * 3_600_000)
 
 
+def test_sync_in_batches(spark, tmp_path):
+    store, steps = Y.Store(spark, f"file://{tmp_path}/store"), []
+    source = M.TableSource(full_rows(spark), "al@example.com")
+    assert Y.sync_account(store, source, "a", M.Scope(), NOW, batch_ids=2, progress=lambda *x: steps.append(x)) == Y.SyncResult(3, 3) and steps == [(2, 3), (3, 3)]
+
+    class Failing(M.TableSource):
+        def get_metadata(self, ids):
+            if ids.where("id = 's1'").count():
+                raise RuntimeError("late")
+            return super().get_metadata(ids)
+
+    with pytest.raises(RuntimeError):
+        Y.sync_account(store, Failing(full_rows(spark)), "b", M.Scope(), NOW, batch_ids=2)
+    assert {r["message_id"] for r in store.read("messages", MESSAGES).where("account = 'b'").collect()} == {"d1", "l1"}  # the newest two came
+    run = store.read("sync_runs", SYNC_RUNS).where("account = 'b'").first()
+    assert (run["fetched"], run["indexed"], run["error"]) == (2, 2, "RuntimeError: late")
+    with store.lock("sync_runs"), pytest.raises(SyncError, match="another driver"):
+        Y.acquire(store, "c", "sync", None, NOW)
+    assert Y.acquire(store, "c", "sync", None, NOW)
+
+
+def test_migrations_run_in_order(spark, tmp_path):
+    path, ran = f"file://{tmp_path}/store", []
+    store = Y.Store(spark, path)
+    store.write("schema_version", spark.createDataFrame([(1,)], "version int"))
+    steps = {k: lambda s, k=k: ran.append(k) for k in (4, 2, 3)}
+    Y.Store(spark, path, steps)
+    assert ran == [2, 3, 4] and Y.Store(spark, path, steps) and ran == [2, 3, 4]
+    with pytest.raises(StoreError):
+        Y.Store(spark, path)
+
+
+def test_stored_search_index(spark, tmp_path):
+    """Brought up to date by key: what a fresh build gives; an old schema gets its index when it is opened."""
+    path = f"file://{tmp_path}/store"
+    store = Y.Store(spark, path)
+    m = mail(spark, {"message_id": "1", "subject": "needle one"}, {"message_id": "2", "subject": "needle two"}, {"message_id": "3", "subject": "hay"}).select(*(f"`{c.split()[0]}`" for c in MESSAGES.split(", ")))
+    store.write("messages", m, ["account"])
+    store.write("schema_version", spark.createDataFrame([(1,)], "version int"))
+    store = Y.Store(spark, path)
+    found = lambda: {r["message_id"] for r in S.bm25(D.read_index(store), S.parse("needle")).collect()}
+    assert found() == {"1", "2"}
+    store.write("messages", m.where("message_id <> '2'").withColumn("subject", F.when(F.col("message_id") == "3", "needles").otherwise(F.col("subject"))), ["account"])
+    D.update_index(store, m.where("message_id <> '1'"))
+    assert found() == {"1", "3"}
+    rows = lambda ix: (sorted(map(repr, ix.postings.collect())), sorted(map(repr, ix.lengths.collect())))
+    updated = rows(D.read_index(store))
+    D.update_index(store)
+    assert rows(D.read_index(store)) == updated
+
+
 def test_derived_tables(spark, tmp_path):
     store = Y.Store(spark, f"file://{tmp_path}/store")
     Y.sync_account(store, M.TableSource(full_rows(spark), "al@example.com"), "a", M.Scope(), NOW)
@@ -154,7 +225,7 @@ def tools(spark):
     runs = spark.createDataFrame([("a", "sync", NOW - 9, NOW - 5, None)], "account string, phase string, started_at bigint, finished_at bigint, error string")
     labels = spark.createDataFrame([("a", "L1", "Review")], "account string, label_id string, name string")
     profile = spark.createDataFrame([("a", ["deposit terms"], 1)], "account string, keywords array<string>, updated_at bigint")
-    ix = Index(m, G.with_metrics(c, G.pagerank(nodes, e, 2), G.communities(nodes, e)).cache(), d, t, runs, labels, S.postings(S.search_row(m)).cache(), profile)
+    ix = Index(m, G.with_metrics(c, G.pagerank(nodes, e, 2), G.communities(nodes, e)).cache(), d, t, runs, labels, S.build_index(S.search_row(m)), profile)
     return Tools(spark, ix, NOW)
 
 
