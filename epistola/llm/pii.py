@@ -13,8 +13,8 @@ ratio of at least ``DISCLOSURE`` that stands near c in at least ``SUPPORT`` diff
 c, and all its places in documents that hold c become ``term`` spans. Surroundings are told apart by a hash of
 their words without entities, so copies alone support nothing.
 
-Counts cover all documents. The first pass reads each whole text once and keeps little beside spans; where a
-word stands near a class in enough surroundings, a pass counts the documents that hold it, and where any word discloses a class, a last one lists its
+Counts cover all documents. The first pass reads each whole text once and keeps little beside spans, and of texts that have some their words: these bound from below how
+many documents hold a word. Words that can still reach the threshold are counted over all documents by a second pass, and where any word discloses a class, a last one lists its
 places in all texts that hold the class, however far apart. Counts are combined by batch and task before they shuffle, also those of kinds, which all entities share. Candidate
 words and tellings are sent to the workers where they take up to ``held_bytes`` and joined beyond.
 
@@ -180,14 +180,15 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-_FOUND = "row long, doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, classes array<long>, pairs array<struct<e:long,t:string,c:long,one:int>>"
+_FOUND = "row long, doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, classes array<long>, pairs array<struct<e:long,t:string,c:long,one:int>>, words array<string>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _PAIRS = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("c", pa.int64()), ("one", pa.int32())]))
 
 
 def _scan(window: int):
-    """row, doc_id, text -> ``_FOUND``. ``one`` is 1 in one triple of each class and word, so its sum counts documents."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("classes", pa.list_(pa.int64())), ("pairs", _PAIRS)])
+    """row, doc_id, text -> ``_FOUND``. ``one`` is 1 in one triple of each class and word, so its sum counts documents; words
+    are those that may tell, of documents with spans."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("spans", _SPANS), ("classes", pa.list_(pa.int64())), ("pairs", _PAIRS), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +204,7 @@ def _scan(window: int):
                     pairs.append({"e": e, "t": t, "c": c, "one": int((e, t) != before)})
                     before = e, t
                 out["pairs"].append(pairs)
+                out["words"].append(sorted(t for w in set(words(text.lower())) if _may_tell(t := w.decode("utf-8", "replace"))) if spans else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(out[f.name], f.type) for f in list(schema)[2:])], schema=schema)
 
     return run
@@ -286,17 +288,19 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int, disclosure: floa
     """e, t, ratio: the words that disclose a class. found: as written by the first pass."""
     held = found.where(F.size("spans") > 0)
     near = held.select(F.explode("pairs").alias("p")).groupBy("p.e", "p.t", "p.c").agg(F.sum("p.one").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("near"))
-    near = materialize(near.where(F.col("near") >= support).select("e", "t", "n_te"), "near")
+    near = near.where(F.col("near") >= support).select("e", "t", "n_te")
     counts = held.select(F.explode("classes").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     counts = materialize(counts.join(near.select("e").distinct(), "e", "left_semi"), "counts")
     total = F.lit(float(found.count()))
-    frequency = materialize(_document_frequency(docs, near.select("t").distinct(), held_bytes), "frequency")
     # the few classes of kinds, which most words are near, go by broadcast
-    kinds = list(KIND_CLASSES.values())
-    of_kind = F.col("e").isin(kinds)
-    each = near.where(of_kind).join(F.broadcast(counts.where(of_kind)), "e").unionByName(near.where(~of_kind).join(counts.where(~of_kind), "e"))
-    ratio = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
-    return each.join(frequency, "t").where(F.col("n_e") < total).select("e", "t", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)
+    of_kind = F.col("e").isin(list(KIND_CLASSES.values()))
+    each = near.where(of_kind).join(F.broadcast(counts.where(of_kind)), "e").unionByName(near.where(~of_kind).join(counts.where(~of_kind), "e")).where(F.col("n_e") < total)
+    ratio = lambda n: F.log2(total * F.col("n_te") / (n * F.col("n_e"))) / F.log2(total / F.col("n_e"))
+    # A word is in at least as many documents as in those with spans: few words can still reach the threshold, and only theirs are counted over all.
+    beside = held.select(F.explode("words").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_beside"))
+    able = materialize(each.join(beside, "t").where(ratio(F.col("n_beside")) >= disclosure).drop("n_beside"), "able")
+    frequency = _document_frequency(docs, able.select("t").distinct(), held_bytes)
+    return able.join(frequency, "t").select("e", "t", ratio(F.col("n_t")).alias("ratio")).where(F.col("ratio") >= disclosure)
 
 
 def _found(d: DataFrame, window: int, support: int, disclosure: float, held_bytes: int) -> DataFrame:
