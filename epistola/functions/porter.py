@@ -78,30 +78,19 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     """Runs of letters and digits, case and diacritics folded."""
     if not text:
         return []
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    plain = text.lower()
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", plain)
+        plain = plain.translate({ord(c): None for c in set(plain) if unicodedata.combining(c)})
     found = _TOKEN.findall(plain)
     return [stem(t) for t in found] if stemmed else found
 
 
-def tokenize_udf(stemmed: bool = True):
-    @F.pandas_udf("array<string>")
-    def tokenize(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: tokens(t, stemmed))
 
-    return tokenize
 
-
-def places(text: str | None, stemmed: bool = True) -> list[dict]:
+def places(text: str | None, stemmed: bool = True) -> dict[str, list[int]]:
     """Each term of the text with its positions, in the order of their first ones."""
     found: dict[str, list[int]] = {}
     for i, t in enumerate(tokens(text, stemmed)):
         found.setdefault(t, []).append(i)
-    return [{"term": t, "positions": p} for t, p in found.items()]
-
-
-def places_udf(stemmed: bool = True):
-    @F.pandas_udf("array<struct<term:string,positions:array<int>>>")
-    def located(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: places(t, stemmed))
-
-    return located
+    return found

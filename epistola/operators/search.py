@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.porter import places_udf, tokens
+from ..functions.porter import places, tokens
 from ..functions.text import project_body, project_recipients
 from ..scratch import written
 
@@ -82,14 +82,43 @@ POSTINGS = "account string, message_id string, col string, term string, position
 LENGTHS = "account string, message_id string, length bigint"
 
 
+def _located(stemmed: bool):
+    """account, message_id and the searched columns -> postings, and for each message with terms a row without column and term that holds its length."""
+    import pyarrow as pa
+
+    schema = pa.schema([("account", pa.string()), ("message_id", pa.string()), ("col", pa.string()), ("term", pa.string()), ("positions", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            row, col, term, flat, ends = [], [], [], [], [0]
+            texts = [c.to_pylist() for c in batch.columns[len(KEY) :]]
+            for i in range(batch.num_rows):
+                length = 0
+                for name, values in zip(WEIGHTS, texts, strict=True):
+                    for t, at in places(values[i], stemmed).items():
+                        row.append(i)
+                        col.append(name)
+                        term.append(t)
+                        flat += at
+                        ends.append(len(flat))
+                        length += len(at)
+                if length:
+                    row.append(i)
+                    col.append(None)
+                    term.append(None)
+                    flat.append(length)
+                    ends.append(len(flat))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            keys = (batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(KEY)))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(col, pa.string()), pa.array(term, pa.string()), positions], schema=schema)
+
+    return run
+
+
 def index_of(rows: DataFrame, stemmed: bool = True) -> SearchIndex:
     """The index of ``rows``, tokenised once into a written table."""
-    cut = places_udf(stemmed)
-    t = written(rows.select(*KEY, *(cut(c).alias(c) for c in WEIGHTS)), "tokens")
-    count = sum((F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.size(x["positions"])) for c in WEIGHTS), F.lit(0).cast("long"))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("terms")) for c in WEIGHTS))).alias("x")
-    found = t.select(*KEY, each).select(*KEY, "x.col", F.explode("x.terms").alias("p")).select(*KEY, "col", "p.term", "p.positions")
-    return SearchIndex(by_term(found), t.select(*KEY, count.alias("length")).where("length > 0"))
+    t = written(rows.select(*KEY, *WEIGHTS).mapInArrow(_located(stemmed), POSTINGS), "located")
+    return SearchIndex(by_term(t.where("term is not null")), t.where("term is null").select(*KEY, F.element_at("positions", 1).cast("long").alias("length")))
 
 
 def by_term(postings: DataFrame) -> DataFrame:

@@ -409,39 +409,39 @@ def registrable_domain(spark: SparkSession, d: str) -> DataFrame:
 @query
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     """Markup and white space only; entities stay"""
-    return V.table(spark, d, "pages").select("page_id", F.md5(H.normalize_whitespace(X.strip_invisibles(H.strip_markup(F.col("html"))))).alias("text_md5"))
+    return V.spread(V.table(spark, d, "pages"), "page_id").select("page_id", F.md5(H.normalize_whitespace(X.strip_invisibles(H.strip_markup(F.col("html"))))).alias("text_md5"))
 
 
 @query
 def distill_pages(spark: SparkSession, d: str) -> DataFrame:
     """Whole distillation with entities"""
-    return V.table(spark, d, "pages").select("page_id", F.length(H.distill(F.lit(None).cast("string"), F.col("html"))).alias("chars"))
+    return V.spread(V.table(spark, d, "pages"), "page_id").select("page_id", F.length(H.distill(F.lit(None).cast("string"), F.col("html"))).alias("chars"))
 
 
 @query
 def deboilerplate(spark: SparkSession, d: str) -> DataFrame:
     """Over documents with markers put in at line ends by id"""
     line = F.when(F.col("doc_id") % 3 == 0, "\n> quoted\nrest").when(F.col("doc_id") % 3 == 1, "\nTo unsubscribe click\nrest").otherwise("\n-- \nrest")
-    return V.table(spark, d, "documents").select("doc_id", F.md5(H.deboilerplate(F.concat("text", line))).alias("text_md5"))
+    return V.spread(V.table(spark, d, "documents"), "doc_id").select("doc_id", F.md5(H.deboilerplate(F.concat("text", line))).alias("text_md5"))
 
 
 @query
 def normalize_ws(spark: SparkSession, d: str) -> DataFrame:
     """I16"""
     t = F.concat(F.replace("text", F.lit(" "), F.lit(" \t")), F.lit("\r\n\n\n\n end "))
-    return V.table(spark, d, "documents").select("doc_id", F.md5(H.normalize_whitespace(t)).alias("text_md5"))
+    return V.spread(V.table(spark, d, "documents"), "doc_id").select("doc_id", F.md5(H.normalize_whitespace(t)).alias("text_md5"))
 
 
 @query
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """B9, B1, B2"""
-    return V.table(spark, d, "documents").select("doc_id", X.compact_snippet(F.col("text")).alias("snippet"), F.length(X.project_body(F.col("lang"), F.lit(""), F.col("source"))).alias("projected"))
+    return V.spread(V.table(spark, d, "documents"), "doc_id").select("doc_id", X.compact_snippet(F.col("text")).alias("snippet"), F.length(X.project_body(F.col("lang"), F.lit(""), F.col("source"))).alias("projected"))
 
 
 @query
 def meaningful_length(spark: SparkSession, d: str) -> DataFrame:
     """I21"""
-    return V.table(spark, d, "documents").select("doc_id", H.meaningful_length(F.concat("text", F.lit("&nbsp; &#8203;x"))).alias("n"))
+    return V.spread(V.table(spark, d, "documents"), "doc_id").select("doc_id", H.meaningful_length(F.concat("text", F.lit("&nbsp; &#8203;x"))).alias("n"))
 
 
 @query
@@ -467,7 +467,7 @@ _IMAGES = """<p><img src="https://x/pixel.gif" width=1 height="1"><a href="https
 def image_triage(spark: SparkSession, d: str) -> DataFrame:
     """A body with one image of each kind beside each page"""
     verdicts = H.classify_images(H.parse_images(F.concat(F.lit(_IMAGES), F.col("html"))))
-    v = V.table(spark, d, "pages").select("page_id", F.posexplode(verdicts).alias("n", "v"))
+    v = V.spread(V.table(spark, d, "pages"), "page_id").select("page_id", F.posexplode(verdicts).alias("n", "v"))
     return v.select("page_id", "n", "v.src", "v.width", "v.height", "v.alt", "v.linkedHref", "v.kind", "v.score")
 
 
@@ -475,7 +475,7 @@ def image_triage(spark: SparkSession, d: str) -> DataFrame:
 def image_candidates(spark: SparkSession, d: str) -> DataFrame:
     """G12, C19"""
     images = H.ocr_candidates(H.classify_images(H.parse_images(F.concat(F.lit(_IMAGES), F.col("html")))))
-    return V.table(spark, d, "pages").select("page_id", F.array_join(F.transform(images, lambda x: x["src"]), ",").alias("sources"), H.image_only(F.lit("short"), images).alias("image_only"))
+    return V.spread(V.table(spark, d, "pages"), "page_id").select("page_id", F.array_join(F.transform(images, lambda x: x["src"]), ",").alias("sources"), H.image_only(F.lit("short"), images).alias("image_only"))
 
 
 @query

@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Dealt over all cores where its files have fewer splits than half of them, as one small file has; left alone otherwise."""
+    """Dealt over all cores where a scan has no more splits than those, of which small files' fill only some; left alone otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
 
 
 _HOST = "CASE {u} % 4 WHEN 0 THEN concat('mail.b', {u} % 20, '.co.uk') WHEN 1 THEN concat('news.b', {u} % 20, '.com') WHEN 2 THEN concat('b', {u} % 20, '.org') ELSE concat('x.y.b', {u} % 20, '.com.au') END"
@@ -93,7 +93,7 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as searched messages: subject the first line, sender the source, account the language."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return d.select(
         F.col("lang").alias("account"), F.col("doc_id").cast("string").alias("message_id"), F.format_string("d%d", F.col("doc_id") % 100).alias("thread_id"), F.col("doc_id").alias("internal_date"),
         F.col("source").alias("from_addr"), F.lit(None).cast("string").alias("to_addr"), F.lit(None).cast("string").alias("cc_addr"), F.split(F.col("text"), "\n")[0].alias("subject"),
