@@ -6,9 +6,6 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-
 _TOKEN = re.compile(r"[^\W_]+", re.UNICODE)
 
 # Suffix replacements of the published algorithm's steps 2, 3 and 4.
@@ -86,8 +83,6 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     return [stem(t) for t in found] if stemmed else found
 
 
-
-
 def places(text: str | None, stemmed: bool = True) -> dict[str, list[int]]:
     """Each term of the text with its positions, in the order of their first ones."""
     found: dict[str, list[int]] = {}
