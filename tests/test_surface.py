@@ -292,4 +292,25 @@ def test_rendering(tools):
     lines = [r["value"] for r in render.hit_lines(tools.search("deposit")).collect()]
     assert all(" · " in x and "Deposit terms" in x for x in lines)
     assert json.loads(render.as_json(tools.sync_status()[0]).first()["value"])["meta"] == 4
-    assert render.cadence_lines(tools.cadence()).count() == 2 and "meta 4" in render.status_lines(tools.sync_status()[0]).first()["value"]
+    rows = lambda df: [r["value"] for r in df.collect()]
+    table = rows(render.cadence_lines(tools.cadence(), "a", since="1w"))
+    assert table[0].startswith("Inbound cadence — a (2 brands, ") and table[2].split() == ["DOMAIN", "MSGS", "SNDRS", "FIRST", "LAST", "/MO"] and len(table) == 5 and len({len(x) for x in table[2:]}) == 1
+    assert rows(render.cadence_lines(tools.cadence().limit(0), "a", "shop", "1w")) == ["No inbound mail for a category=shop since 1w."]
+    status = rows(render.status_lines(tools.sync_status()[0], tools.sync_status()[1], tools.ix.contacts))
+    assert "bodies: meta 4, full 0, summary-only 0\n  messages: 4, contacts: 3" in status[0] and status[1] == "\nTotal: 4 messages, 3 contacts (meta 4, full 0, summary-only 0)"
+    hits = tools.list_labeled("INBOX")
+    labelled = rows(render.label_lines(tools.search("deposit"), "INBOX"))
+    assert labelled[0] == f"{len(lines)} messages labeled INBOX:" and labelled[1:] == lines and rows(render.label_lines(hits.limit(0), "X")) == ["No messages labeled X."] and rows(render.result_lines(hits.limit(0), ["a", "b"])) == ['No matches for "a b".']
+
+
+def test_rendering_of_messages_and_runs(spark):
+    m = mail(spark, {"message_id": "1", "subject": "S", "from_addr": "f@x.y", "internal_date": 60_000, "unread": True, "is_list": True, "body_state": "full", "body_text": "text"}, {"message_id": "2", "snippet": "snip"})
+    images = F.when(F.col("message_id") == "2", F.array(F.struct(F.lit("i.png").alias("src"), F.lit(3).alias("width"), F.lit(4).alias("height")))).otherwise(F.array().cast("array<struct<src:string,width:int,height:int>>"))
+    shown = {r["value"].split("\n")[0]: r["value"] for r in render.show_text(m.withColumn("images", images), True).collect()}
+    assert shown["ref:      a:1"] == "ref:      a:1\nsubject:  S\nfrom:     f@x.y\ndate:     1970-01-01 00:01\nflags:    unread, list, received\nbody:     full (just enriched)\n\ntext"
+    assert shown["ref:      a:2"] == "ref:      a:2\ndate:     ?\nflags:    received\nbody:     meta (just enriched)\nimages:   1 OCR candidate(s) — offer likely in images, not text\n            • i.png (3x4)\n\n(no distilled body available — snippet: snip)"
+    runs = spark.createDataFrame([("a", 3, 2, "since=3d"), ("b", 1, 1, None)], "account string, fetched long, indexed long, selector string")
+    assert [r["value"] for r in render.sync_lines(runs).collect()] == ["a: fetched 3, indexed 2 (since=3d)", "b: fetched 1, indexed 1 (whole mailbox)"]
+    changed = spark.createDataFrame([("a", "1", ["X", "Y"]), ("a", "2", []), ("a", "3", None)], "account string, message_id string, names array<string>")
+    assert [r["value"] for r in render.change_lines("archived", changed).collect()] == ["archived a:1 — local labels now: X, Y", "archived a:2 — local labels now: ∅", "archived a:3 — message not in local index (provider updated; will reconcile on next sync)"]
+    assert render.graph_line("a", {"nodes": 1, "edges": 2, "communities": 3}) == "a: 1 contacts, 2 co-recipiency edges, 3 communities"
