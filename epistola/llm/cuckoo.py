@@ -7,7 +7,6 @@ import numpy as np
 from .wordhash import mix
 
 _SLOTS, _KICKS = 4, 500
-_HEAD = np.dtype("<u8")
 
 
 class CuckooFilter:
