@@ -76,4 +76,28 @@ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r)
 j AS (SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY r, doc_id"""
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_line_dedup": OP10}
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+sized AS (SELECT r, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0), total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM sized),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM sized) GROUP BY 1, 2),
+i AS (SELECT row_number() OVER () AS i, item_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM benchmark), q AS (SELECT DISTINCT i, item_id, t FROM (SELECT i, item_id, unnest(w) AS t FROM i)),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM q) GROUP BY 1), total),
+parts AS (SELECT r, tf.t, weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l))) AS part FROM tf JOIN weights USING (t) JOIN sized USING (r), total),
+s AS (SELECT i, item_id, r, CAST(sum(part) AS BIGINT) AS score FROM q JOIN parts USING (t) GROUP BY 1, 2, 3 HAVING sum(part) > 0),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN sized USING (r))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+_P = "(1 + (1000000000::HUGEINT * ({c} + 1)) // {d})"
+_F = "(({p} - {q}) * ({p} - {q})) // {q}"
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format(x="coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d), groups AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3), own AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS c, k.n AS c_lang FROM groups g JOIN kept k USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+totals AS (SELECT lang, source, sum(c) + count(*) AS d, sum(c_lang) + count(*) AS d_lang FROM cells GROUP BY 1, 2),
+p AS (SELECT lang, source, term, c, {_P.format(c="c", d="d")} AS p, {_P.format(c="c_lang", d="d_lang")} AS q FROM cells JOIN totals USING (lang, source)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum({_F.format(p="a.p", q="b.p")}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_F.format(p="p", q="q")} AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+ORACLE_SQL = {"op11_lexical_search": OP11, "op12_source_audit": OP12, "op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_line_dedup": OP10}

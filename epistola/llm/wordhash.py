@@ -65,12 +65,12 @@ class Words:
         return np.diff(self.offsets)
 
 
-def hash_words(texts: Iterable[str | None], span: int = _SPAN) -> Iterator[Words]:
-    """Word hashes in runs of about ``span`` bytes; a longer text is a run of its own."""
+def hash_words(texts: Iterable[str | None], span: int = _SPAN, fold: bytes = FOLD) -> Iterator[Words]:
+    """Word hashes in runs of about ``span`` bytes; a longer text is a run of its own. ``fold`` maps bytes that part words to a space."""
     run: list[bytes] = []
     size = first = 0
     for i, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "replace").translate(FOLD)
+        raw = (text or "").encode("utf-8", "replace").translate(fold)
         if run and size + len(raw) > span:
             yield _hash_run(first, run)
             run, size, first = [], 0, i
