@@ -44,12 +44,11 @@ m0 AS (SELECT w.r, doc_id, lang, t, len(w) AS n_words, length(array_to_string(w,
 m1 AS (SELECT *, (chars - word_chars) * 1e0 AS blank, n_symbols * 1e0 AS symbol, greatest(word_chars - upper - digit - punct - n_symbols - wide, 0) * 1e0 AS lower FROM m0),
 m AS (SELECT *, lower + upper + digit + blank + punct + symbol + wide AS total FROM m1),
 l AS (SELECT lang, sum(chars) AS chars, sum(n_words) AS words, sum(total) AS total, {", ".join(f"sum({c}) AS {c}" for c in Q.CLASSES)} FROM m WHERE lang IS NOT NULL GROUP BY 1),
-refs AS (SELECT lang, words, {", ".join(f"{c} / total AS {c}" for c in Q.CLASSES)} FROM l WHERE chars >= {Q.LANGUAGE_SHARE} * (SELECT greatest(1, sum(chars)) FROM m)),
-tok AS (SELECT r, lang, unnest(regexp_extract_all(lower(t), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS word FROM d JOIN refs USING (lang)),
-short AS (SELECT * FROM tok WHERE length(word) <= {Q.COMMON_LETTERS}),
-common AS (SELECT lang, word, n * 1e0 / words AS p FROM (SELECT lang, word, count(*) AS n FROM short GROUP BY 1, 2) JOIN refs USING (lang) WHERE n * 1e0 / words >= {Q.COMMON_SHARE}),
+refs AS (SELECT lang, {", ".join(f"{c} / total AS {c}" for c in Q.CLASSES)} FROM l WHERE chars >= {Q.MIN_LANGUAGE_CHARS}), sized AS (SELECT lang, words FROM l WHERE words >= {Q.MIN_LANGUAGE_WORDS}),
+tok AS (SELECT r, lang, unnest(regexp_extract_all(lower(t), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS word FROM d JOIN sized USING (lang)),
+common AS (SELECT lang, word, n * 1e0 / words AS p FROM (SELECT lang, word, count(*) AS n FROM tok GROUP BY 1, 2) JOIN sized USING (lang) WHERE n * 1e0 / words >= {Q.COMMON_SHARE}),
 shares AS (SELECT lang, sum(p) AS p_common FROM common GROUP BY 1),
-hist AS (SELECT r, s.lang, word, p, least(count(*) * 1e0 / greatest(n_words, 1), 1e0) AS q FROM short s JOIN common USING (lang, word) JOIN m USING (r) GROUP BY r, s.lang, word, p, n_words),
+hist AS (SELECT r, s.lang, word, p, least(count(*) * 1e0 / greatest(n_words, 1), 1e0) AS q FROM tok s JOIN common USING (lang, word) JOIN m USING (r) GROUP BY r, s.lang, word, p, n_words),
 seen AS (SELECT r, sum({_JS.format(p="p", q="q")}) AS seen, sum(p) AS p_seen, sum(q) AS q_seen FROM hist GROUP BY 1),
 j AS (SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words AS base_failed,
   CASE WHEN r.lang IS NOT NULL AND m.chars >= {Q.MIN_CHARS} THEN sqrt(least(greatest({_CLASS}, 0), 1)) END AS class_distance,

@@ -1,13 +1,13 @@
 """Quality rules with distribution divergence from language references (op7), DataFrame functions only.
 
-Base measures come from one pass over each text. The method then compares two histograms of a document
-with its language's reference, by the Jensen-Shannon distance (square root of the divergence to
+One pass over each text writes its base measures and how often it has each of its words; everything else is derived from that table. The method then compares two
+histograms of a document with its language's reference, by the Jensen-Shannon distance (square root of the divergence to
 base 2, from 0 to 1):
 
 * character classes: lower case, upper case, digits, white space, punctuation, symbols, and the bytes
   that non-ASCII characters take beyond one;
-* common words: the words that make up at least ``COMMON_SHARE`` of all words in their language, and
-  one class for the rest. That share bounds their number: 1 / COMMON_SHARE a language.
+* common words: the words, of any length, that make up at least ``COMMON_SHARE`` of all words in their language, and
+  one class for the rest. That share bounds their number: 1 / COMMON_SHARE a language. Words are held as 64-bit hashes.
 
 References are sums over all documents of the language. Every language has one but for those with too
 little text: under ``MIN_LANGUAGE_CHARS`` no class reference, under ``MIN_LANGUAGE_WORDS`` no common words
@@ -46,7 +46,7 @@ MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 MIN_CHARS, MIN_WORDS = 200, 80
 MIN_LANGUAGE_CHARS, MIN_LANGUAGE_WORDS = 10_000, 2_500
 HELD_BYTES = 32 << 20
-COMMON_SHARE, COMMON_LETTERS, LANGUAGE_SHARE = 0.004, 6, 0.01
+COMMON_SHARE, LANGUAGE_SHARE = 0.004, 0.01
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.29, 0.34
 
 
@@ -80,13 +80,18 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return _let(F.transform(words, lambda x: F.xxhash64(x)), of_hashes)
 
 
-def _key() -> Column:
-    """A hash of id and text. Null ids have keys of their own, so rows without an id are judged like others."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text").alias("key")
+def word_counts(text: Column) -> Column:
+    """h (a hash) and n of each lower-cased word, without punctuation and symbols."""
+
+    def of_sorted(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.coalesce(F.get(s, x["i"] - 1) != x["h"], F.lit(True)))
+        return _let(first, lambda f: F.transform(f, lambda x, i: F.struct(x["h"].alias("h"), (F.coalesce(F.get(f, i + 1)["i"], F.size(s)) - x["i"]).alias("n"))))
+
+    return _let(F.sort_array(F.transform(words_of(F.lower(text), _ENDS), lambda w: F.xxhash64(w))), of_sorted)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of id and text), lang, the base measures and character classes."""
+    """row (a number of its own), doc_id, lang, counts (of words), the base measures and character classes."""
     t = F.col("text")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{_BLANKS}]"))
     of_words = lambda w: F.struct(
@@ -95,13 +100,13 @@ def measures(docs: DataFrame) -> DataFrame:
     # most of a text is lower case and blanks; the other classes are counted in what is left without them
     of_rest = lambda r: F.struct(*((F.length(r) - _without(r, chars)).cast("long").alias(c) for c, chars in (("symbol", SYMBOLS), ("upper", UPPER), ("digit", DIGITS), ("punct", PUNCTUATION))))
     m = docs.select(
-        "doc_id", _key(), "lang",
+        "doc_id", "lang", word_counts(t).alias("counts"),
         _let(words_of(t), of_words).alias("w"), _let(F.regexp_replace(t, _PLAIN, ""), of_rest).alias("c"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         F.length(t).cast("long").alias("n_chars"), (F.octet_length(t) - F.length(t)).cast("long").alias("wide"),
     )
     return m.select(
-        "doc_id", "key", "lang", "w.n_words", "w.word_chars", F.col("c.symbol").alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "n_chars", "c.*", "wide",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "counts", "w.n_words", "w.word_chars", F.col("c.symbol").alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "n_chars", "c.*", "wide",
         (F.col("n_chars") - F.col("w.word_chars")).alias("blank"),
         F.greatest(F.col("w.word_chars") - F.col("c.upper") - F.col("c.digit") - F.col("c.punct") - F.col("c.symbol") - F.col("wide"), F.lit(0)).alias("lower"),
     )
@@ -118,12 +123,6 @@ def _distance(divergence: Column) -> Column:
     return F.sqrt(F.least(F.greatest(divergence, F.lit(0.0)), F.lit(1.0)))
 
 
-def short_tokens(docs: DataFrame) -> DataFrame:
-    """key, lang, word: the lower-cased words of up to ``COMMON_LETTERS`` characters, without punctuation and symbols."""
-    words = docs.select(_key(), "lang", F.explode_outer(words_of(F.lower("text"), _ENDS)).alias("word"))
-    return words.where(F.length("word") <= COMMON_LETTERS)
-
-
 def _bytes(references: DataFrame, *texts: str) -> int:
     """About what a broadcast of ``references`` takes up, counted."""
     size = sum((F.octet_length(c) for c in texts), F.lit(120))
@@ -153,23 +152,20 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     total = sum((F.col(c) for c in CLASSES), F.lit(0))
     reference = classes.where(F.col("chars") >= MIN_LANGUAGE_CHARS).select(F.col("lang"), *((F.col(c) / total).alias(f"r_{c}") for c in CLASSES))
     sized = classes.where(F.col("words") >= MIN_LANGUAGE_WORDS).select("lang", "words")
-    counted = short_tokens(_refer(d, sized.select("lang"), ["lang"], "left_semi", large))
-    counts = counted.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = _refer(m.select("row", "lang", "n_words", "counts"), sized.select("lang"), ["lang"], "left_semi", large).select("row", "lang", "n_words", F.explode("counts").alias("c"))
+    each = each.select("row", "lang", "n_words", F.col("c.h").alias("word"), F.col("c.n").alias("n"))
+    counts = each.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     share = (F.col("n") / F.col("words")).alias("p")
     common = materialize(_refer(counts, sized, ["lang"], "inner", large).select("lang", "word", share).where(F.col("p") >= COMMON_SHARE), "common")
-    if large is None and _bytes(common, "lang", "word") > held_bytes:
+    if large is None and _bytes(common, "lang") > held_bytes:
         large = large_only()
     shares = common.groupBy("lang").agg(F.sum("p").alias("p_common"), F.count(F.lit(1)).alias("n_common"))
 
-    # word histograms of documents, over common words only; rows of one id and text make one histogram
-    hits = _refer(counted, common, ["lang", "word"], "inner", large).groupBy("key", "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"))
-    sizes = m.groupBy("key", "lang").agg(F.sum("n_words").alias("words"))
-    words = (
-        hits.join(sizes, ["key", "lang"]).withColumn("q", F.least(F.col("n") / F.greatest(F.col("words"), F.lit(1)), F.lit(1.0)))
-        .groupBy("key", "lang").agg(F.sum(_part(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p_seen"), F.sum("q").alias("q_seen"))
-    )
+    # word histograms of documents, over common words only
+    hits = _refer(each, common, ["lang", "word"], "inner", large).withColumn("q", F.least(F.col("n") / F.greatest(F.col("n_words"), F.lit(1)), F.lit(1.0)))
+    words = hits.groupBy("row").agg(F.sum(_part(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p_seen"), F.sum("q").alias("q_seen"))
     n_chars = sum((F.col(c) for c in CLASSES), F.lit(0))
-    out = _refer(_refer(m, reference, ["lang"], "left", large), shares, ["lang"], "left", large).join(words, ["key", "lang"], "left")
+    out = _refer(_refer(m.drop("counts"), reference, ["lang"], "left", large), shares, ["lang"], "left", large).join(words, "row", "left")
     class_distance = _distance(sum((_part(F.col(f"r_{c}"), F.col(c) / n_chars) for c in CLASSES), F.lit(0.0)))
     p_seen, q_seen, seen = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("p_seen", "q_seen", "seen"))
     # a common word that the document lacks adds half its share

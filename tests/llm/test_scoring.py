@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -404,7 +405,72 @@ def test_rules_like_brute_force(spark):
     for i, t in enumerate(texts):
         r = rows[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_rules(t), t
-        assert r["kept"] == (not r["base_failed"]) or r["class_distance"] is not None
+        assert r["class_distance"] is None and r["word_distance"] is None and r["kept"] == (not r["base_failed"])  # too little text for references
+
+
+def brute_distances(rows):
+    """(class distance, word distance) of rows (text, lang), from the definitions."""
+    classes = lambda t: [sum(len(re.findall(p, t)) for p in (x,)) for x in ("[A-Z]", "[0-9]", "[\x20\x09-\x0D]", "[.,;:!?'\"()-]", "[#*$%&|<>]")]
+
+    def histogram(t):
+        wide, found = len(t.encode()) - len(t), classes(t)
+        return [max(0, len(t) - sum(found) - wide), *found, wide]
+
+    counts = lambda t: Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower()))
+    js = lambda pairs: math.sqrt(min(1, max(0, sum(x * math.log2(2 * x / (p + q)) / 2 for p, q in pairs for x in (p, q) if x > 0))))
+    out = []
+    of = {}
+    for lang in {x for _, x in rows if x is not None}:
+        texts = [t or "" for t, x in rows if x == lang]
+        h, c = [sum(x) for x in zip(*map(histogram, texts), strict=True)], sum(map(counts, texts), Counter())
+        n_words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts)
+        common = {w: n / n_words for w, n in c.items() if n / n_words >= quality_rules.COMMON_SHARE} if n_words >= quality_rules.MIN_LANGUAGE_WORDS else {}
+        of[lang] = [x / sum(h) for x in h] if sum(map(len, texts)) >= quality_rules.MIN_LANGUAGE_CHARS else None, common
+    for t, lang in rows:
+        t = t or ""
+        reference, common = of.get(lang, (None, {}))
+        h, n_words = histogram(t), len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        of_class = js(zip(reference, [x / sum(h) for x in h], strict=True)) if reference and len(t) >= quality_rules.MIN_CHARS else None
+        q = {w: min(1, counts(t)[w] / max(1, n_words)) for w in common}
+        rest = max(0, 1 - sum(common.values())), max(0, 1 - sum(q.values()))
+        out.append((of_class, js([*((common[w], q[w]) for w in common), rest]) if common and n_words >= quality_rules.MIN_WORDS else None))
+    return out
+
+
+def language_rows():
+    """A large language, one of half a percent of it with long words, one without blanks, and one too small for a reference."""
+    rng = random.Random(4)
+    zipf = lambda stems, n: " ".join(rng.choices(stems, [1 / (k + 1) for k in range(len(stems))], k=n))
+    english = ["the", "of", "and", "Elephants", *(f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")]
+    long_words = [f"{a}{b}ungsgesellschaft" for a in ("ver", "ent", "über", "aus") for b in "abcdefghijklmn"]
+    rows = [(zipf(english, 900) + ".", "en") for _ in range(700)] + [(zipf(long_words, 100).title(), "de") for _ in range(32)]
+    rows += [(zipf([w[::-1] for w in long_words], 100), "de"), (zipf(english, 100), "de"), ("漢字仮名" * 100, "ja")] + [("漢字仮名" * 900, "ja")] * 12
+    return rows + [(zipf(english, 120), "xx"), (zipf(english, 120), None), (None, "en"), ("", "de"), ("W! 1" * 70, "en")]
+
+
+@pytest.mark.parametrize("options", [{}, {"held_bytes": 0}])
+def test_distances_like_brute_force(spark, options):
+    rows = language_rows()
+    assert 2_500 < 100 * 34 < 0.006 * 900 * 700  # a small language, but not too small
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string"), **options).collect()}
+    for i, (of_class, of_words) in enumerate(brute_distances(rows)):
+        for name, x, most in (("class_distance", of_class, quality_rules.MAX_CLASS_DISTANCE), ("word_distance", of_words, quality_rules.MAX_WORD_DISTANCE)):
+            assert (got[i][name] is None) == (x is None) and (x is None or abs(got[i][name] - x) < 1e-9 and abs(x - most) > 1e-6), (i, name)
+        far = (of_class or 0) > quality_rules.MAX_CLASS_DISTANCE or (of_words or 0) > quality_rules.MAX_WORD_DISTANCE
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not far)
+    assert got[732]["word_distance"] > quality_rules.MAX_WORD_DISTANCE and not got[732]["kept"] and got[700]["kept"]  # a stranger among long words
+
+
+def test_rules_and_their_sql_agree_on_small_languages(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, *r) for i, r in enumerate(language_rows())]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op7_quality_rules"])
+    names = [d[0] for d in found.description]
+    mine = queries.QUERIES["op7_quality_rules"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, found.fetchall()))
 
 
 def test_rules_find_other_distributions(spark):
