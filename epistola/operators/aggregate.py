@@ -43,20 +43,45 @@ def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
 
 
+_COUNTS = ("msgs_received", "msgs_sent", "read_count", "replied_count", "initiated_count", "starred_count", "important_count")
+
+
+def _contact_counts() -> dict[str, Column]:
+    got, sent = F.col("direction") == "received", F.col("direction") == "sent"
+    return dict(zip(_COUNTS, (got, sent, got & ~F.col("unread"), F.col("replied"), F.col("initiated"), got & F.col("starred"), got & F.col("important")), strict=True))
+
+
 def contact_rollup(messages: DataFrame, own: DataFrame) -> DataFrame:
     t = touches(messages, own)
-    got, sent = F.col("direction") == "received", F.col("direction") == "sent"
     order = F.struct(F.col("internal_date").isNotNull(), "internal_date", "message_id", "pos")
     return t.groupBy("account", "address").agg(
         F.min_by("name", F.when(F.col("name").isNotNull(), order)).alias("display_name"),
         F.first(host_of(F.col("address"))).alias("domain"),
-        _count(got).alias("msgs_received"), _count(sent).alias("msgs_sent"), _count(got & ~F.col("unread")).alias("read_count"),
-        _count(F.col("replied")).alias("replied_count"), _count(F.col("initiated")).alias("initiated_count"),
-        _count(got & F.col("starred")).alias("starred_count"), _count(got & F.col("important")).alias("important_count"),
+        *(_count(c).alias(n) for n, c in _contact_counts().items()),
         F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"),
     )
 
 
+def contact_parts(messages: DataFrame, own: DataFrame) -> DataFrame:
+    """What each thread, or message without one, adds to each contact: account, fold, address, name with its place in order, and what ``contact_rollup`` counts.
+    messages: with ``fold``, and whole threads."""
+    t = touches(messages, own)
+    fold = F.when(F.col("thread.id").isNotNull(), F.concat(F.lit("t:"), F.col("thread.id"))).otherwise(F.concat(F.lit("m:"), F.col("thread.alone")))
+    order = F.struct(F.col("internal_date").isNotNull().alias("dated"), "internal_date", "message_id", "pos")
+    named = F.when(F.col("name").isNotNull(), order)
+    return t.groupBy("account", fold.alias("fold"), "address").agg(
+        F.min_by("name", named).alias("name"), F.min(named).alias("named"), F.first(host_of(F.col("address"))).alias("domain"),
+        *(_count(c).alias(n) for n, c in _contact_counts().items()), F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"),
+    )
+
+
+def combine_contacts(parts: DataFrame) -> DataFrame:
+    """Contacts as the sums of their parts: what ``contact_rollup`` gives of all the messages."""
+    return parts.groupBy("account", "address").agg(
+        F.min_by("name", "named").alias("display_name"), F.first("domain").alias("domain"), *(F.sum(n).alias(n) for n in _COUNTS), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+
+
 def domain_rollup(contacts: DataFrame) -> DataFrame:
     return contacts.where("domain is not null").groupBy("account", "domain").agg(
         F.sum(F.col("msgs_received") + F.col("msgs_sent")).cast("long").alias("msgs"), F.count(F.lit(1)).alias("distinct_contacts"),

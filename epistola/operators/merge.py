@@ -25,13 +25,19 @@ def upsert_messages(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     n = new if "arrival" in new.columns else new.withColumn("arrival", F.lit(1).cast("long"))
     both = old.withColumn("arrival", F.lit(0).cast("long")).unionByName(n.withColumn("arrival", F.col("arrival") + 1), allowMissingColumns=True)
-    rest = [c for c in old.columns if c not in KEY and c not in BODY_COLUMNS]
-    body = [c for c in BODY_COLUMNS if c in old.columns]
-    g = both.groupBy(*KEY).agg(
+    return reduce_arrivals(both).select(*old.columns)
+
+
+def reduce_arrivals(rows: DataFrame) -> DataFrame:
+    """A row a key, without ``arrival``: the rule of ``upsert_messages`` over all that ever arrived."""
+    names = [c for c in rows.columns if c != "arrival"]
+    rest = [c for c in names if c not in KEY and c not in BODY_COLUMNS]
+    body = [c for c in BODY_COLUMNS if c in names]
+    g = rows.groupBy(*KEY).agg(
         F.max_by(F.struct(*rest), F.struct("arrival")).alias("meta"),
         F.max_by(F.struct(*body), F.struct(body_rank(F.col("body_state")), "arrival")).alias("body"),
     )
-    return g.select(*KEY, "meta.*", "body.*").select(*old.columns)
+    return g.select(*KEY, "meta.*", "body.*").select(*names)
 
 
 def enrich_candidates(messages: DataFrame, rule: str | None = None, sender: str | None = None, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:

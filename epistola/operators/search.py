@@ -1,6 +1,6 @@
 """Weighted BM25 search over an inverted index.
 
-The index has two tables. Postings hold a row for each term of each column of a message, with its positions, dealt by a hash of the term and sorted by
+The index has two tables. Postings hold a row for each term of each column of a message, with its positions, dealt by ranges of the term and the message and sorted by
 it, so a query's term or prefix skips files' row groups. Lengths hold a row a message. ``build_index`` writes both; queries then read only the postings of their
 terms, without Python. ``without_messages`` and ``with_messages`` keep an index up to date by message key. Statistics (documents, mean length, document
 frequency) are over all accounts; the account filter applies to hits only.
@@ -77,52 +77,78 @@ class SearchIndex:
     postings: DataFrame
     lengths: DataFrame
 
+    def hits(self, phrases: list[Phrase], k: int | None = None, account: str | None = None) -> DataFrame:
+        """account, message_id, score of all hits; an index that finds the ``k`` best without scoring all may give those and their ties only."""
+        found = bm25(self, phrases)
+        return found.where(F.col("account") == account) if account else found
+
 
 POSTINGS = "account string, message_id string, col string, term string, positions array<int>"
 LENGTHS = "account string, message_id string, length bigint"
 
 
+#: ``doc`` numbers the messages; ``f`` is the message's count of the term over all columns, weighted, ``lead`` marks one row of each message and term; rows without a term hold the message's length.
+LOCATED = "account string, message_id string, doc bigint, col string, term string, positions array<int>, f double, lead boolean, length bigint"
+
+
 def _located(stemmed: bool):
-    """account, message_id and the searched columns -> postings, and for each message with terms a row without column and term that holds its length."""
+    """account, message_id and the searched columns -> ``LOCATED``."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    schema = pa.schema([("account", pa.string()), ("message_id", pa.string()), ("col", pa.string()), ("term", pa.string()), ("positions", pa.list_(pa.int32()))])
+    schema = pa.schema([
+        ("account", pa.string()), ("message_id", pa.string()), ("doc", pa.int64()), ("col", pa.string()), ("term", pa.string()), ("positions", pa.list_(pa.int32())),
+        ("f", pa.float64()), ("lead", pa.bool_()), ("length", pa.int64()),
+    ])
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            row, col, term, flat, ends = [], [], [], [], [0]
+            row, doc, col, term, flat, ends, f, lead, total = [], [], [], [], [], [0], [], [], []
             texts = [c.to_pylist() for c in batch.columns[len(KEY) :]]
             for i in range(batch.num_rows):
-                length = 0
-                for name, values in zip(WEIGHTS, texts, strict=True):
-                    for t, at in places(values[i], stemmed).items():
-                        row.append(i)
-                        col.append(name)
-                        term.append(t)
-                        flat += at
-                        ends.append(len(flat))
-                        length += len(at)
-                if length:
+                found = [(name, places(values[i], stemmed)) for name, values in zip(WEIGHTS, texts, strict=True)]
+                length = sum(len(at) for _, own in found for at in own.values())
+                if not length:
+                    continue
+                weighted: dict[str, float] = {}
+                for name, own in found:
+                    for t, at in own.items():
+                        weighted[t] = weighted.get(t, 0.0) + WEIGHTS[name] * len(at)
+                led = set()
+                rows = [(name, t, at) for name, own in found for t, at in own.items()]
+                for name, t, at in [*rows, (None, None, ())]:
                     row.append(i)
-                    col.append(None)
-                    term.append(None)
-                    flat.append(length)
+                    doc.append(number)
+                    col.append(name)
+                    term.append(t)
+                    flat += at
                     ends.append(len(flat))
+                    f.append(weighted.get(t))
+                    lead.append(t not in led)
+                    total.append(length)
+                    led.add(t)
+                number += 1
             positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             keys = (batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(KEY)))
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(col, pa.string()), pa.array(term, pa.string()), positions], schema=schema)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(doc, pa.int64()), pa.array(col, pa.string()), pa.array(term, pa.string()), positions, pa.array(f, pa.float64()), pa.array(lead, pa.bool_()), pa.array(total, pa.int64())], schema=schema)
 
     return run
 
 
+def located(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+    return rows.select(*KEY, *WEIGHTS).mapInArrow(_located(stemmed), LOCATED)
+
+
 def index_of(rows: DataFrame, stemmed: bool = True) -> SearchIndex:
     """The index of ``rows``, tokenised once into a written table."""
-    t = written(rows.select(*KEY, *WEIGHTS).mapInArrow(_located(stemmed), POSTINGS), "located")
-    return SearchIndex(by_term(t.where("term is not null")), t.where("term is null").select(*KEY, F.element_at("positions", 1).cast("long").alias("length")))
+    t = written(located(rows, stemmed), "located")
+    return SearchIndex(by_term(t.where("term is not null").select(*KEY, "col", "term", "positions")), t.where("term is null").select(*KEY, "length"))
 
 
 def by_term(postings: DataFrame) -> DataFrame:
-    return postings.repartition("term").sortWithinPartitions("term")
+    """Dealt by ranges of (term, message), so that a common term is many tasks' and files'."""
+    return postings.repartitionByRange("term", *KEY).sortWithinPartitions("term")
 
 
 def build_index(rows: DataFrame, stemmed: bool = True) -> SearchIndex:
@@ -138,12 +164,12 @@ def without_messages(index: SearchIndex, keys: DataFrame) -> SearchIndex:
 
 
 def with_messages(index: SearchIndex, rows: DataFrame, stemmed: bool = True) -> SearchIndex:
-    """The index with ``rows`` in place of what it had of their messages."""
+    """The index with ``rows`` in place of what it had of their messages; read as both are, nothing is dealt or written anew but ``rows``."""
     kept, new = without_messages(index, rows), index_of(rows, stemmed)
-    return SearchIndex(by_term(kept.postings.unionByName(new.postings)), kept.lengths.unionByName(new.lengths))
+    return SearchIndex(kept.postings.unionByName(new.postings), kept.lengths.unionByName(new.lengths))
 
 
-def _term_matches(term: Column, text: str, prefix: bool) -> Column:
+def term_matches(term: Column, text: str, prefix: bool) -> Column:
     return term.startswith(text) if prefix else term == text
 
 
@@ -151,12 +177,12 @@ def phrase_counts(index: DataFrame, phrase: Phrase) -> DataFrame:
     """account, message_id, col, n: places of the phrase. index: postings."""
     steps = [(t, phrase.prefix and i == len(phrase.terms) - 1) for i, t in enumerate(phrase.terms)]
     if len(steps) == 1:
-        hit = index.where(_term_matches(F.col("term"), *steps[0]))
+        hit = index.where(term_matches(F.col("term"), *steps[0]))
         return hit.groupBy(*KEY, "col").agg(F.sum(F.size("positions")).cast("long").alias("n"))
     out = None
     for i, (t, p) in enumerate(steps):
         shift = F.lit(i)
-        at = index.where(_term_matches(F.col("term"), t, p)).select(*KEY, "col", F.explode(F.transform("positions", lambda x: x - shift)).alias("start")).distinct()
+        at = index.where(term_matches(F.col("term"), t, p)).select(*KEY, "col", F.explode(F.transform("positions", lambda x: x - shift)).alias("start")).distinct()
         out = at if out is None else out.join(at, [*KEY, "col", "start"])
     return out.groupBy(*KEY, "col").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,12 +205,9 @@ def bm25(index: SearchIndex, phrases: list[Phrase], n_docs: DataFrame | None = N
     return scored.groupBy(*KEY).agg((-F.sum(part)).alias("score"))
 
 
-def search(messages: DataFrame, index: SearchIndex, query: str, *, synonyms: bool = True, account: str | None = None, limit: int | None = 15, stemmed: bool = True, n_docs: DataFrame | None = None) -> DataFrame:
-    """The best ``limit`` hits, or all of them where it is None."""
-    hits = bm25(index, parse(query, synonyms, True, stemmed), n_docs)
-    out = messages.join(hits, KEY)
-    if account:
-        out = out.where(F.col("account") == account)
+def search(messages: DataFrame, index: SearchIndex, query: str, *, synonyms: bool = True, account: str | None = None, limit: int | None = 15, stemmed: bool = True) -> DataFrame:
+    """The best ``limit`` hits, or all of them where it is None. index: or anything with ``hits``."""
+    out = messages.join(index.hits(parse(query, synonyms, True, stemmed), limit, account), KEY)
     out = out.orderBy("score", F.col("internal_date").desc_nulls_last(), "message_id")
     return out if limit is None else out.limit(limit)
 

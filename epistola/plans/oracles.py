@@ -17,9 +17,13 @@ def _suggested(score: str, mostly: str) -> str:
     return f"CASE WHEN {score} >= 2e0 THEN 'important' WHEN {mostly} OR {score} <= -0.5e0 THEN 'muted' ELSE 'none' END"
 
 
-def _bm25(rows: str, phrases: list[str], where: str = "", limit: int | None = 30, order: str = "internal_date DESC") -> str:
+def _cut(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def bm25_sql(rows: str, phrases: list[str], where: str = "", limit: int | None = 30, order: str = "internal_date DESC") -> str:
     """rows: a CTE r (account, message_id, internal_date, subject, sender, recipients, body). phrases: SQL over lists of tokens t, giving the number of places."""
-    cut = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    cut = _cut
     count = lambda p, c: p.replace("{t}", c)
     parts = " UNION ALL ".join(
         f"SELECT account, message_id, internal_date, d, {i} AS phrase, 10e0 * {count(p, 't1')} + 8e0 * {count(p, 't2')} + 4e0 * {count(p, 't3')} + 1e0 * {count(p, 't4')} AS f FROM toks" for i, p in enumerate(phrases)
@@ -62,12 +66,12 @@ _TRIAGED = """(0, 'https://x/pixel.gif', 1, 1, NULL, NULL, 'pixel', 0), (1, 'htt
 assert _IMAGES.count("<img") == 8
 
 _BULK = "(is_list OR coalesce(category = 'promotions', false))"
-_GRAPH = f"""{SQL_CONTACTS}, {SQL_THREADS},
+GRAPH_SQL = f"""{SQL_CONTACTS}, {SQL_THREADS},
 members AS (SELECT DISTINCT t.account, t.thread_id, p.address FROM (SELECT account, thread_id, unnest(participants) AS address FROM threads WHERE NOT any_list) p JOIN threads t USING (account, thread_id) JOIN contacts c ON c.account = t.account AND c.address = p.address),
 edges AS (SELECT x.account, x.address AS a, y.address AS b, count(*) AS weight FROM members x JOIN members y ON x.account = y.account AND x.thread_id = y.thread_id AND x.address < y.address GROUP BY 1, 2, 3)"""
 
 
-_PAGERANK = f"""WITH RECURSIVE {_GRAPH},
+_PAGERANK = f"""WITH RECURSIVE {GRAPH_SQL},
     nodes AS (SELECT account, address, count(*) OVER (PARTITION BY account) AS n FROM (SELECT DISTINCT account, address FROM members)),
     arcs0 AS (SELECT account, a AS src, b AS dst, weight FROM edges UNION ALL SELECT account, b, a, weight FROM edges),
     outs AS (SELECT account, src, sum(weight) AS o FROM arcs0 GROUP BY 1, 2),
@@ -139,15 +143,21 @@ ORACLE_SQL = {
       t AS (SELECT account, sender, subject, row_number() OVER (PARTITION BY account, sender ORDER BY internal_date DESC, message_id) AS n FROM msgs WHERE direction = 'received' AND subject IS NOT NULL),
       u AS (SELECT account, sender, string_agg(subject, '|' ORDER BY n) AS subjects FROM t WHERE n <= 3 GROUP BY 1, 2)
       SELECT s.account, s.domain, s.address, s.rank, coalesce(subjects, '') AS subjects FROM s LEFT JOIN u ON u.account = s.account AND u.sender = s.address WHERE rank <= 5""",
-    "search_bm25": _bm25(_DOC_ROWS, [_PREFIX.format(p="thre"), _PREFIX.format(p="ando")]),
-    "search_phrase": _bm25(_DOC_ROWS, ["len(list_filter(range(1, len({t}) + 1), lambda i: {t}[i] = 'licensed' AND {t}[i + 1] = 'under' AND starts_with({t}[i + 2], 'the')))"], "WHERE account = 'en'", 20),
-    "search_stemmed": _bm25(
+    "search_bm25": bm25_sql(_DOC_ROWS, [_PREFIX.format(p="thre"), _PREFIX.format(p="ando")]),
+    "search_index": f"WITH {_DOC_ROWS}, t AS (SELECT message_id, unnest(list_distinct(list_concat({_cut('subject')}, {_cut('sender')}, {_cut('body')}))) AS term FROM r) SELECT term, count(*) AS n FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
+    "search_blocks": bm25_sql(_DOC_ROWS, [f"len(list_filter({{t}}, lambda x: x = '{w}'))" for w in ("the", "and", "licensed")], limit=25),
+    "search_updated": bm25_sql(
+        "r AS (SELECT lang AS account, CAST(doc_id AS VARCHAR) AS message_id, doc_id AS internal_date, string_split(text, chr(10))[1] AS subject, source AS sender, NULL AS recipients, CASE WHEN lang = 'fr' THEN text END AS body FROM documents WHERE lang <> 'es')",
+        [_PREFIX.format(p=p) for p in ("les", "the", "de")], limit=None,
+    ),
+    "search_phrase": bm25_sql(_DOC_ROWS, ["len(list_filter(range(1, len({t}) + 1), lambda i: {t}[i] = 'licensed' AND {t}[i + 1] = 'under' AND starts_with({t}[i + 2], 'the')))"], "WHERE account = 'en'", 20),
+    "search_stemmed": bm25_sql(
         f"{SQL_MESSAGES}, r AS (SELECT account, message_id, internal_date, subject, CASE WHEN direction = 'sent' THEN 'Me <' || sender || '>' ELSE user_name || ' <' || sender || '>' END AS sender, concat_ws(' ', CASE WHEN direction = 'sent' THEN user_name || ' <' || user_address || '>' ELSE 'Me <me@' || account || '.example.net>' END, cc_name || ' <' || cc_address || '>') AS recipients, concat_ws(' ', snippet, body_text, summary_text) AS body FROM msgs)",
         ["len(list_filter({t}, lambda x: starts_with(x, 'flight')))", "len(list_filter({t}, lambda x: starts_with(x, 'airfar')))", "len(list_filter({t}, lambda x: starts_with(x, 'itinerari')))", "len(list_filter({t}, lambda x: starts_with(x, 'receipt')))", "len(list_filter({t}, lambda x: starts_with(x, 'invoic')))", "len(list_filter({t}, lambda x: starts_with(x, 'bill')))"],
         limit=None,
     ),
-    "graph_edges": f"WITH {_GRAPH} SELECT * FROM edges",
-    "graph_neighbors": f"WITH {SQL_SCORED}{_GRAPH[len(SQL_CONTACTS):]}, e AS (SELECT account, CASE WHEN a = 'u3@x.y.b3.com.au' THEN b ELSE a END AS address, weight FROM edges WHERE a = 'u3@x.y.b3.com.au' OR b = 'u3@x.y.b3.com.au') SELECT account, address, weight AS shared_threads, msgs_sent FROM e JOIN scored USING (account, address) ORDER BY weight DESC, engagement_score DESC NULLS LAST, address LIMIT 15",
+    "graph_edges": f"WITH {GRAPH_SQL} SELECT * FROM edges",
+    "graph_neighbors": f"WITH {SQL_SCORED}{GRAPH_SQL[len(SQL_CONTACTS):]}, e AS (SELECT account, CASE WHEN a = 'u3@x.y.b3.com.au' THEN b ELSE a END AS address, weight FROM edges WHERE a = 'u3@x.y.b3.com.au' OR b = 'u3@x.y.b3.com.au') SELECT account, address, weight AS shared_threads, msgs_sent FROM e JOIN scored USING (account, address) ORDER BY weight DESC, engagement_score DESC NULLS LAST, address LIMIT 15",
     "graph_pagerank": _PAGERANK,
     "address_parse": f"WITH {SQL_MESSAGES} SELECT message_id, sender AS address, CASE WHEN direction = 'sent' THEN 'Me' ELSE user_name END AS name, split_part(sender, '@', 2) AS host, CAST(1 + CASE WHEN cc_address IS NULL THEN 0 ELSE 1 END AS INTEGER) AS recipients FROM msgs",
     "registrable_domain": f"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), ':.*$', '') AS h FROM pages) SELECT {_REG.format(h='h')} AS domain, count(*) AS pages FROM h GROUP BY 1",

@@ -16,7 +16,9 @@ from ..operators import interest as I
 from ..operators import merge as M
 from ..operators import people as P
 from ..operators import search as S
-from ..scratch import written
+from ..scratch import scratch_path, written
+from ..streaming.segments import StoredIndex
+from ..streaming.store import Store
 
 QUERIES = {}
 SINCE = V.NOW - 10 * V.DAY
@@ -134,8 +136,8 @@ def catch_up_threads(spark: SparkSession, d: str) -> DataFrame:
 @query
 def catch_up_keywords(spark: SparkSession, d: str) -> DataFrame:
     """L6, C3"""
-    m = V.Mail(spark, d).messages
-    return _shown(S.keyword_search(m, S.build_index(S.search_row(m), False), ["signup invoice", "flight 7"], SINCE, 40, False))
+    mail = V.Mail(spark, d)
+    return _shown(S.keyword_search(mail.messages, mail.index(False), ["signup invoice", "flight 7"], SINCE, 40, False))
 
 
 @query
@@ -307,7 +309,7 @@ def threads_for_query(spark: SparkSession, d: str) -> DataFrame:
     """D16, L8"""
     mail = V.Mail(spark, d)
     m = mail.messages
-    hits = S.bm25(S.build_index(S.search_row(m), False), S.parse("receipt", False, True, False))
+    hits = mail.index(False).hits(S.parse("receipt", False, True, False))
     return P.threads_of_hits(mail.threads, m.join(hits, ["account", "message_id"], "left_semi"), 20).select("account", "thread_id", "msg_count", "last_at")
 
 
@@ -330,25 +332,51 @@ def categorize_samples(spark: SparkSession, d: str) -> DataFrame:
 # -- search
 
 
+@query
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index of all documents, built anew; its terms by how many documents hold them"""
+    index = StoredIndex(Store(spark, scratch_path(spark, "index")), stemmed=False)
+    index.rebuild(S.search_row(V.document_messages(spark, d)))
+    return index.terms().orderBy(F.col("n").desc(), "term").limit(200)
+
+
 @query
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Two prefix terms over documents, unstemmed"""
-    m = V.document_messages(spark, d)
-    return S.search(m, S.build_index(S.search_row(m), False), "thre ando", synonyms=False, limit=30, stemmed=False).select("account", "message_id", *_r("score"))
+    """Two prefix terms over the stored index of documents, unstemmed"""
+    return S.search(V.document_messages(spark, d), V.document_index(spark, d), "thre ando", synonyms=False, limit=30, stemmed=False).select("account", "message_id", *_r("score"))
 
 
 @query
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """L3, L4: a term with punctuation is a phrase, its last word a prefix; hits of one account, statistics of all"""
+    return S.search(V.document_messages(spark, d), V.document_index(spark, d), "licensed-under-the", synonyms=False, account="en", limit=20, stemmed=False).select("account", "message_id", *_r("score"))
+
+
+@query
+def search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole words, by block bounds: blocks with the highest first, then only those that reach the threshold"""
+    phrases = S.parse("the and licensed", False, False, False)
+    hits = V.document_index(spark, d).search(phrases, 25, few_blocks=0, first_blocks=2).hits
+    m = V.document_messages(spark, d).select("account", "message_id", "internal_date")
+    return m.join(hits, ["account", "message_id"]).orderBy("score", F.col("internal_date").desc_nulls_last(), "message_id").limit(25).select("account", "message_id", *_r("score"))
+
+
+@query
+def search_updated(spark: SparkSession, d: str) -> DataFrame:
+    """An index of subjects only, then the French bodies come and Spanish documents go; all hits"""
     m = V.document_messages(spark, d)
-    return S.search(m, S.build_index(S.search_row(m), False), "licensed-under-the", synonyms=False, account="en", limit=20, stemmed=False).select("account", "message_id", *_r("score"))
+    index = StoredIndex(Store(spark, scratch_path(spark, "index")), stemmed=False)
+    index.rebuild(S.search_row(m.withColumn("body_state", F.lit("meta"))))
+    changed = m.where("account in ('fr', 'es')")
+    index.update(S.search_row(m.where("account = 'fr'")), changed.select("account", "message_id"))
+    return index.hits(S.parse("les the de", False, True, False)).select("account", "message_id", *_r("score"))
 
 
 @query
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed, with synonyms; all hits"""
-    m = V.Mail(spark, d).messages
-    return S.search(m, S.build_index(S.search_row(m)), "flight receipt", synonyms=True, limit=None).select("account", "message_id", *_r("score"))
+    mail = V.Mail(spark, d)
+    return S.search(mail.messages, mail.index(), "flight receipt", synonyms=True, limit=None).select("account", "message_id", *_r("score"))
 
 
 # -- graph

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +14,14 @@ from ..functions import html as H
 from ..functions import text as X
 from ..operators import curation as C
 from ..operators import merge as M
-from ..scratch import scratch_path
-from ..schemas import CONTACT_CURATION, DOMAIN_OVERLAY, INTEREST_PROFILE, LABELS, MESSAGES, SUMMARIES, SYNC_RUNS
+from ..schemas import CONTACT_CURATION, DOMAIN_OVERLAY, INTEREST_PROFILE, LABELS, SUMMARIES
 from ..sources import mail as S
-from ..streaming import sync as Y
 from ..views import DAY, NOW, SQL_CONTACTS, SQL_DOMAINS, SQL_MESSAGES, SQL_RUNS, SQL_SCORED, SQL_THREADS
+from .oracles import bm25_sql, GRAPH_SQL
 
 QUERIES = {}
 ORACLE_SQL = {}
+_EDGES = GRAPH_SQL[len(SQL_CONTACTS) :]
 
 
 def query(sql: str):
@@ -34,7 +37,7 @@ def _tools(spark: SparkSession, d: str) -> tuple[V.Mail, Tools]:
     labels = spark.createDataFrame([("a0", "STARRED", "Kept", "system", 0), ("a1", "STARRED", "Marked", "system", 0)], LABELS)
     profile = spark.createDataFrame([(f"a{i}", [f"flight {i}", "signup invoice"], 0) for i in range(3)], INTEREST_PROFILE)
     domains = mail.domains.withColumns({"category_note": F.lit(None).cast("string"), "categorized_at": F.lit(None).cast("long")})
-    return mail, Tools(spark, Index(mail.messages, mail.scored, domains, mail.threads, V.sync_runs(spark, d), labels, None, profile), NOW)
+    return mail, Tools(spark, Index(mail.messages, mail.scored, domains, mail.threads, V.sync_runs(spark, d), labels, mail.index(), profile), NOW)
 
 
 def _first(mail: V.Mail):
@@ -109,18 +112,75 @@ _SINCE = NOW - 10 * DAY
     f"WITH {SQL_SCORED}, {SQL_DOMAINS}, {SQL_THREADS}, m AS (SELECT * FROM msgs WHERE account = 'a0' AND direction = 'received' AND internal_date >= {_SINCE}), "
     "i AS (SELECT 'important' AS feed, account, message_id, internal_date FROM m WHERE EXISTS (SELECT 1 FROM curated c WHERE c.account = m.account AND c.address = m.sender AND c.curation = 'important') OR EXISTS (SELECT 1 FROM domains d WHERE d.account = m.account AND d.domain = m.host AND d.curation = 'important') ORDER BY internal_date DESC, message_id LIMIT 25), "
     "t AS (SELECT 'threads' AS feed, m.account, message_id, internal_date FROM m JOIN threads t ON t.account = m.account AND t.thread_id = m.thread_id WHERE user_participated ORDER BY internal_date DESC, message_id LIMIT 25) "
-    "SELECT feed, account || ':' || message_id AS ref FROM i UNION ALL SELECT feed, account || ':' || message_id FROM t"
+    "k AS (SELECT 'keywords' AS feed, account, message_id, internal_date FROM msgs WHERE account = 'a0' AND internal_date >= " + str(_SINCE) + " AND (regexp_matches(lower(concat_ws(' ', snippet, body_text)), '\\bsignup invoice\\b') OR regexp_matches(lower(coalesce(body_text, '')), '\\bflight 0\\b')) ORDER BY internal_date DESC, message_id LIMIT 25) "
+    "SELECT feed, account || ':' || message_id AS ref FROM i UNION ALL SELECT feed, account || ':' || message_id FROM t UNION ALL SELECT feed, account || ':' || message_id FROM k"
 )
 def tool_catch_up(spark: SparkSession, d: str) -> DataFrame:
-    """O catch_up, D2, D4, D5, G3, I26: the feeds of important senders and own threads"""
+    """O catch_up, D2, D4, D5, G3, I26, L6: the three feeds of ten days"""
+    feeds = _tools(spark, d)[1].catch_up("2024-01-22", "a0")
+    return reduce(DataFrame.unionByName, (f.select(F.lit(k).alias("feed"), "ref") for k, f in feeds.items()))
+
+
+_MAIL_ROWS = f"{SQL_MESSAGES}, r AS (SELECT account, message_id, internal_date, subject, CASE WHEN direction = 'sent' THEN 'Me <' || sender || '>' ELSE user_name || ' <' || sender || '>' END AS sender, concat_ws(' ', CASE WHEN direction = 'sent' THEN user_name || ' <' || user_address || '>' ELSE 'Me <me@' || account || '.example.net>' END, cc_name || ' <' || cc_address || '>') AS recipients, concat_ws(' ', snippet, body_text, summary_text) AS body FROM msgs)"
+
+
+def _starting(*stems: str) -> list[str]:
+    return [f"len(list_filter({{t}}, lambda x: starts_with(x, '{s}')))" for s in stems]
+
+
+@query("SELECT account || ':' || message_id AS ref FROM (" + bm25_sql(_MAIL_ROWS, _starting("purchas", "user"), "WHERE account = 'a1'", 15) + ")")
+def tool_search(spark: SparkSession, d: str) -> DataFrame:
+    """O search, D1, G1, L2, L3, L5, I28: one account's best hits over the stored index"""
+    return _tools(spark, d)[1].search("purchases user", "a1").select("ref")
+
+
+@query(
+    f"WITH {SQL_MESSAGES}, x AS (SELECT *, (direction <> 'sent' AND event_id % 3 > 0) OR event_id % 10 = 1 AS live FROM msgs WHERE account = 'a0') SELECT account || ':' || message_id AS ref, "
+    "(SELECT count(*) FILTER (direction <> 'sent' AND NOT live) FROM x) AS archived, (SELECT count(*) FILTER (direction = 'sent' AND live) FROM x) AS restored FROM x WHERE live ORDER BY internal_date DESC, message_id LIMIT 15"
+)
+def tool_refresh_inbox(spark: SparkSession, d: str) -> DataFrame:
+    """O refresh_inbox, H2, J4, D9, C1: the provider's inbox differs from the index: some mail was archived there, some sent mail is in it"""
     mail, tools = _tools(spark, d)
-    m = tools._in(mail.messages, "a0")
-    since = V.NOW - 10 * V.DAY
-    from ..operators import people as P
+    k = F.col("id").cast("long")
+    rows = source_of(spark, d, "a0").rows
+    there = ((~F.array_contains("labels", "SENT")) & (k % 3 > 0)) | (k % 10 == 1)
+    provider = S.TableSource(rows.withColumn("labels", F.when(there, F.array_union("labels", F.array(F.lit("INBOX")))).otherwise(F.array_remove("labels", "INBOX"))), "me@a0.example.net")
+    hits, info = Tools(spark, tools.ix, NOW, {"a0": provider}).refresh_inbox("a0")
+    return hits.select("ref", F.lit(info["archived"]).cast("long").alias("archived"), F.lit(info["restored"]).cast("long").alias("restored"))
+
+
+@query(
+    f"WITH {SQL_SCORED}{_EDGES}, e AS (SELECT account, CASE WHEN a = 'u3@x.y.b3.com.au' THEN b ELSE a END AS address, weight FROM edges WHERE account = 'a0' AND 'u3@x.y.b3.com.au' IN (a, b)) "
+    "SELECT account, address, display_name, weight AS shared_threads FROM e JOIN scored USING (account, address) ORDER BY weight DESC, engagement_score DESC NULLS LAST, address LIMIT 15"
+)
+def tool_graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """O graph_neighbors, D12, M8, G8: one account's"""
+    return _tools(spark, d)[1].graph_neighbors("U3@x.y.b3.com.au".lower(), "a0")
+
+
+@query(
+    f"WITH {SQL_SCORED}, c AS (SELECT account, address, n % 3 AS community_id, msgs_received * 1e0 AS centrality FROM scored WHERE account = 'a1' AND n % 5 < 4), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY centrality DESC, address) AS r FROM c) "
+    "SELECT community_id, count(*) AS size, string_agg(address, ',' ORDER BY r) FILTER (r <= 4) AS members FROM k GROUP BY 1"
+)
+def tool_graph_communities(spark: SparkSession, d: str) -> DataFrame:
+    """O graph_communities, E11: sizes and most central members of communities that are given"""
+    _, tools = _tools(spark, d)
+    n = F.regexp_extract("address", r"u(\d+)@", 1).try_cast("long")
+    contacts = tools.ix.contacts.withColumn("community_id", F.when(n % 5 < 4, n % 3)).withColumn("centrality", F.col("msgs_received").cast("double"))
+    found, hint = Tools(spark, replace(tools.ix, contacts=contacts), NOW).graph_communities("a1", 4)
+    return found.select("community_id", "size", F.array_join("members", ",").alias("members"))
 
-    feeds = {"important": P.from_important(m, tools.ix.contacts, tools.ix.domains, since), "threads": P.in_own_threads(m, tools.ix.threads, since)}
-    rows = [tools._hits(f).select(F.lit(k).alias("feed"), "ref") for k, f in feeds.items()]
-    return rows[0].unionByName(rows[1])
+
+@query(
+    f"WITH {SQL_SCORED}, {SQL_DOMAINS} SELECT 'contact' AS what, address AS name, curation FROM curated WHERE account = 'a2' AND curation IS NOT NULL UNION ALL SELECT 'domain', domain, curation FROM domains WHERE account = 'a2' AND curation IS NOT NULL "
+    "UNION ALL SELECT 'keywords', 'flight 2|signup invoice', NULL"
+)
+def tool_interest_get(spark: SparkSession, d: str) -> DataFrame:
+    """O interest_get, N1: what an account has curated"""
+    contacts, domains, profile = _tools(spark, d)[1].interest_get("a2")
+    rows = [contacts.select(F.lit("contact").alias("what"), F.col("address").alias("name"), "curation"), domains.select(F.lit("domain").alias("what"), F.col("domain").alias("name"), "curation")]
+    return rows[0].unionByName(rows[1]).unionByName(profile.select(F.lit("keywords").alias("what"), F.array_join("keywords", "|").alias("name"), F.lit(None).cast("string").alias("curation")))
 
 
 @query(
@@ -164,7 +224,7 @@ _PICKED = "picked AS (SELECT account, address, row_number() OVER (ORDER BY addre
     "SELECT 'contact' AS what, account, address AS name, curation, CAST(NULL AS BIGINT) AS skipped FROM after WHERE account = 'a0' AND curation IS NOT NULL UNION ALL SELECT 'keywords', 'a0', 'One|two', NULL, 1"
 )
 def tool_interest_set(spark: SparkSession, d: str) -> DataFrame:
-    """O interest_set, O interest_get, N1, G14, H5, C1: labels set, cleared and skipped; keywords without repeats"""
+    """O interest_set, N1, G14, H5, C1: labels set, cleared and skipped; keywords without repeats"""
     mail, tools = _tools(spark, d)
     names = [r["address"] for r in mail.contacts.where("account = 'a0'").orderBy("address").limit(3).collect()]
     out = tools.interest_set("a0", {**dict(zip(names, ("important", None, "muted"), strict=True)), "nobody@nowhere.org": "blocked"}, keywords=[" One", "two", "ONE", " "])
@@ -183,11 +243,18 @@ def tool_save_summary(spark: SparkSession, d: str) -> DataFrame:
     return tools.save_summary(held, f"{r['account']}:{r['message_id']}", " the new one ")
 
 
-@query(f"SELECT * FROM (VALUES ('a0', 'x.org', 'important', 'travel', 'before', {NOW}), ('a0', 'y.org', NULL, 'news', 'n', 5)) v(account, domain, curation, category, category_note, categorized_at)")
+@query(
+    f"WITH {SQL_CONTACTS}, {SQL_DOMAINS}, one AS (SELECT account, domain FROM domains ORDER BY account, domain LIMIT 1) SELECT d.account, d.domain, curation, CASE WHEN o.domain IS NOT NULL THEN 'travel' ELSE category END AS category, 'n' || n AS category_note, CASE WHEN o.domain IS NOT NULL THEN {NOW} ELSE n END AS categorized_at "
+    f"FROM domains d LEFT JOIN one o ON o.account = d.account AND o.domain = d.domain UNION ALL SELECT 'a9', 'new.org', NULL, 'news', 'first', {NOW}"
+)
 def tool_save_domain_category(spark: SparkSession, d: str) -> DataFrame:
-    """O save_domain_category, N5, N7: what isn't given stays"""
-    held = spark.createDataFrame([("a0", "x.org", "important", "shop", "before", 1), ("a0", "y.org", None, "news", "n", 5)], DOMAIN_OVERLAY)
-    return _tools(spark, d)[1].save_domain_category(held, "a0", " X.org", "travel")
+    """O save_domain_category, N7: of the table's domains, one is filed anew; what isn't given stays, an unknown domain is entered"""
+    mail, tools = _tools(spark, d)
+    n = F.regexp_extract("domain", r"b(\d+)\.", 1).try_cast("long")
+    held = mail.domains.select("account", "domain", "curation", "category", F.concat(F.lit("n"), n.cast("string")).alias("category_note"), n.alias("categorized_at"))
+    r = held.orderBy("account", "domain").first()
+    once = tools.save_domain_category(held, r["account"], f" {r['domain'].upper()}", "travel")
+    return tools.save_domain_category(once, "a9", "new.org", "news", "first")
 
 
 @query(f"WITH {SQL_CONTACTS}, {SQL_DOMAINS} SELECT c.account, c.domain, count(*) AS correspondents FROM contacts c JOIN domains d ON d.account = c.account AND d.domain = c.domain WHERE msgs_sent > 0 AND c.account = 'a1' GROUP BY 1, 2 ORDER BY 3 DESC, sum(msgs_received + msgs_sent) DESC, 2 LIMIT 20")
@@ -233,7 +300,7 @@ def provider_payloads(spark: SparkSession, d: str) -> DataFrame:
     return full.select("id", "from", F.col("headers")["X-A"].alias("extra"), "bodyText", "bodyHtml", "mimeType", "internalDate")
 
 
-def _source(spark: SparkSession, d: str, account: str) -> S.TableSource:
+def source_of(spark: SparkSession, d: str, account: str) -> S.TableSource:
     m = V.raw_messages(spark, d).where(F.col("account") == account)
     none = F.lit(None).cast("string")
     rows = m.select(
@@ -243,34 +310,12 @@ def _source(spark: SparkSession, d: str, account: str) -> S.TableSource:
     return S.TableSource(rows, f"me@{account}.example.net")
 
 
-@query(f"WITH {SQL_MESSAGES} SELECT account, message_id, direction, category, is_list, unread, starred, important, 'meta' AS body_state FROM msgs WHERE account = 'a0' AND direction = 'received'")
-def sync_messages(spark: SparkSession, d: str) -> DataFrame:
-    """A source without sent mail, synced twice in batches"""
-    store = Y.Store(spark, scratch_path(spark, "store"))
-    for turn in (0, 1):
-        Y.sync_account(store, _source(spark, d, "a0"), "a0", S.Scope(include_sent=False), NOW + turn, batch_ids=400_000)
-    return store.read("messages", MESSAGES).select("account", "message_id", "direction", "category", "is_list", "unread", "starred", "important", "body_state")
-
-
-@query(f"WITH {SQL_MESSAGES} SELECT 'a1' AS account, 'sync' AS phase, count(*) AS fetched, count(*) AS indexed, CAST(NULL AS VARCHAR) AS error FROM msgs WHERE account = 'a1' UNION ALL SELECT 'a2', 'sync', 0, 0, 'RuntimeError: away'")
-def sync_runs_audit(spark: SparkSession, d: str) -> DataFrame:
-    """One account fails by itself, every run is closed"""
-
-    class Away(S.TableSource):
-        def list_ids(self, scope: S.Scope) -> DataFrame:
-            raise RuntimeError("away")
-
-    store = Y.Store(spark, scratch_path(spark, "store"))
-    Y.sync_all(store, {"a1": (_source(spark, d, "a1"), S.Scope()), "a2": (Away(_source(spark, d, "a2").rows), S.Scope())}, NOW)
-    return store.read("sync_runs", SYNC_RUNS).where("finished_at is not null").select("account", "phase", "fetched", "indexed", "error")
-
-
 @query(
-    f"WITH {SQL_MESSAGES} SELECT account, message_id, 'full' AS body_state, 'Body ' || message_id || chr(10) || 'end' AS body_text, unread, category FROM msgs WHERE body_state = 'meta' AND account = 'a1' AND NOT (is_list OR coalesce(category = 'promotions', false)) AND event_id % 2 = 0"
+    f"WITH {SQL_MESSAGES} SELECT account, message_id, 'full' AS body_state, 'Body ' || message_id || chr(10) || 'end' AS body_text, unread, category FROM msgs WHERE body_state = 'meta' AND NOT (is_list OR coalesce(category = 'promotions', false)) AND event_id % 2 = 0"
 )
 def promote_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by the direct rule, whose bodies half are there, distilled"""
-    m = V.Mail(spark, d).messages.where("account = 'a1'").withColumn("body_html", F.lit(None).cast("string"))
+    m = V.Mail(spark, d).messages.withColumn("body_html", F.lit(None).cast("string"))
     ids = M.enrich_candidates(m, "direct")
     has = m.where(F.col("message_id").cast("long") % 2 == 0)
     bodies = has.select("account", "message_id", F.concat(F.lit("Body  "), "message_id", F.lit("\r\n> quoted\r\nend \n--\nme")).alias("body_text"), F.lit("<p>x</p>").alias("body_html"))
@@ -288,7 +333,7 @@ def enrich_candidates_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_CONTACTS} SELECT account, address, msgs_received, CASE WHEN msgs_sent > 0 THEN 'muted' END AS curation FROM contacts UNION ALL SELECT 'a9', 'gone@x.org', NULL, 'important'")
 def curation_survives_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Derived rows are new, what users own stays, also of contacts that vanished"""
+    """Derived rows are new, what users own stays, also of contacts that vanished"""
     c = V.Mail(spark, d).contacts
     own = c.where("msgs_sent > 0").select("account", "address", F.lit("muted").alias("curation")).unionByName(spark.createDataFrame([("a9", "gone@x.org", "important")], CONTACT_CURATION))
     return C.with_overlay(c, own, ["account", "address"], keep_orphans=True).select("account", "address", "msgs_received", "curation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/epistola-scratch"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = LOCAL_SCRATCH
-    return f"{root.rstrip('/')}/epistola-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/epistola-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,9 +30,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def held_path(spark: SparkSession, name: str, sources: list[str]) -> str:
+    """A folder of this application's for what is derived from the tables at ``sources`` as they are now: their files, sizes and times are part of its name."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = [name]
+    for source in sources:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+        state += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in at.getFileSystem(conf).listStatus(at))
+    digest = hashlib.sha256("\n".join(state).encode()).hexdigest()[:24]
+    return f"{scratch_root(spark)}/epistola-held-{name}-{spark.sparkContext.applicationId}-{digest}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def drop(df: DataFrame) -> None:

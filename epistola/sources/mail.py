@@ -1,4 +1,4 @@
-"""Sources of messages: provider payloads, an in-memory source, and a Spark data source over JSON lines.
+"""Sources of messages: provider payloads and a source over a table; ``files`` has those over folders.
 
 Scope (query, since, includeSent, limit) is a pushed-down predicate: ``provider_query`` for a remote provider, a filter
 and limit here.
@@ -6,17 +6,16 @@ and limit here.
 
 from __future__ import annotations
 
-import io
 import json
 import re
-from collections.abc import Iterator
+import time
 from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..errors import ConfigError, WriteUnsupportedError
 
@@ -26,7 +25,6 @@ FULL = (
 )
 #: A provider's message. The payload, whose parts nest to any depth, stays JSON.
 PAYLOAD = "id string, threadId string, snippet string, internalDate string, labelIds array<string>, sizeEstimate bigint, payload string"
-_HEADERS = "headers array<struct<name:string,value:string>>"
 
 
 @dataclass(frozen=True)
@@ -48,6 +46,20 @@ def normalise_since(since: str) -> str:
     return f"{m[1]}m" if m else since.strip()
 
 
+_SINCE_MS = {"h": 3_600_000, "d": 86_400_000, "w": 7 * 86_400_000, "m": 30 * 86_400_000, "y": 365 * 86_400_000}
+
+
+def since_ms(since: str, now_ms: int) -> int:
+    """``12h``, ``3d``, ``2w``, ``6mo`` (or ``6m``, as providers write it) and ``1y`` before now, or an ISO date; epoch milliseconds."""
+    if m := re.fullmatch(r"(\d+)\s*([hdwmy])", normalise_since(since)):
+        return now_ms - int(m[1]) * _SINCE_MS[m[2]]
+    try:
+        at = datetime.fromisoformat(since.strip().replace("Z", "+00:00"))
+    except ValueError:
+        raise ConfigError(f"not a time: {since!r}; use 12h, 3d, 2w, 6mo, 1y or an ISO date") from None
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+
+
 def provider_query(scope: Scope) -> str:
     parts = [scope.query.strip() if scope.query else "", f"newer_than:{normalise_since(scope.since)}" if scope.since else "", "" if scope.include_sent else "-in:sent"]
     return " ".join(p for p in parts if p)
@@ -84,40 +96,98 @@ def decode_body(data: Column) -> Column:
     return F.decode(F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="), F.lit("base64")), "UTF-8")
 
 
-def first_parts(payload: str | None) -> dict[str, str | None]:
-    """The data of the first text/plain and text/html parts that have some, in document order, however deep."""
-    found: dict[str, str | None] = {"plain": None, "html": None}
+_TOKENS = re.compile(r'\s*([{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+)', re.S)
+
+
+def parse_json(text: str):
+    """JSON of any depth. What Python's parser gives up on, as nested too deep, is parsed with a stack."""
     try:
-        waiting = [json.loads(payload)] if payload else []
-    except (ValueError, RecursionError):
+        return json.loads(text)
+    except RecursionError:
+        pass
+    top: list = []
+    open_: list = [top]  # containers being filled
+    keys: list = []  # of each open object: the key that waits for its value
+    at, end = 0, len(text.rstrip())
+    expect_key = False
+    while at < end:
+        m = _TOKENS.match(text, at)
+        if not m:
+            raise ValueError("not JSON")
+        t, at = m[1], m.end()
+        if t in "]}":
+            if len(open_) == 1 or isinstance(open_[-1], dict) != (t == "}"):
+                raise ValueError("not JSON")
+            if isinstance(open_.pop(), dict):
+                keys.pop()
+            expect_key = False
+        elif t == ",":
+            expect_key = isinstance(open_[-1], dict)
+        elif t == ":":
+            expect_key = False
+        elif expect_key:
+            keys[-1] = json.loads(t)
+        else:
+            value = {} if t == "{" else [] if t == "[" else json.loads(t)
+            if isinstance(open_[-1], dict):
+                open_[-1][keys[-1]] = value
+            else:
+                open_[-1].append(value)
+            if t in "{[":
+                open_.append(value)
+                if t == "{":
+                    keys.append(None)
+                    expect_key = True
+    if len(open_) != 1 or len(top) != 1:
+        raise ValueError("not JSON")
+    return top[0]
+
+
+def first_parts(payload: str | None) -> dict:
+    """The data of the first text/plain and text/html parts that have some, in document order, however deep, and the headers of the message. What isn't a payload has none."""
+    found: dict = {"plain": None, "html": None, "headers": None}
+    try:
+        top = parse_json(payload) if payload else None
+    except ValueError:
         return found
-    while waiting and None in found.values():
+    listed = lambda x: x if isinstance(x, list) else []
+    waiting = [top]
+    if isinstance(top, dict) and isinstance(top.get("headers"), list):
+        found["headers"] = [{k: None if h.get(k) is None else str(h[k]) for k in ("name", "value")} for h in top["headers"] if isinstance(h, dict)]
+    while waiting and (found["plain"] is None or found["html"] is None):
         part = waiting.pop()
         if not isinstance(part, dict):
             continue
         kind = str(part.get("mimeType") or "").lower().removeprefix("text/")
-        data = (part.get("body") or {}).get("data")
-        if kind in found and str(part.get("mimeType")).lower() == f"text/{kind}" and data and found[kind] is None:
+        body = part.get("body")
+        data = body.get("data") if isinstance(body, dict) else None
+        if kind in ("plain", "html") and str(part.get("mimeType")).lower() == f"text/{kind}" and data and isinstance(data, str) and found[kind] is None:
             found[kind] = data
-        waiting.extend(reversed(part.get("parts") or []))
+        waiting.extend(reversed(listed(part.get("parts"))))
     return found
 
 
-@F.pandas_udf(StructType([StructField("plain", StringType()), StructField("html", StringType())]))
+_HEADER_LIST = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
+
+
+@F.pandas_udf(StructType([StructField("plain", StringType()), StructField("html", StringType()), StructField("headers", _HEADER_LIST)]))
 def _first_parts(payloads: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([first_parts(p) for p in payloads], columns=["plain", "html"])
+    return pd.DataFrame([first_parts(p) for p in payloads], columns=["plain", "html", "headers"])
 
 
-def extract_bodies(payload: Column) -> Column:
-    """struct(bodyText, bodyHtml, mimeType) of a payload as JSON."""
-    parts = _first_parts(payload)
+def _bodies(parts: Column) -> Column:
     text, html = decode_body(parts["plain"]), decode_body(parts["html"])
     return F.struct(text.alias("bodyText"), html.alias("bodyHtml"), F.when(text.isNotNull(), "text/plain").when(html.isNotNull(), "text/html").alias("mimeType"))
 
 
+def extract_bodies(payload: Column) -> Column:
+    """struct(bodyText, bodyHtml, mimeType) of a payload as JSON."""
+    return _bodies(_first_parts(payload))
+
+
 def to_full(payloads: DataFrame) -> DataFrame:
-    """Provider messages as ``FULL`` rows."""
-    payloads = payloads.withColumn("_headers", F.from_json("payload", _HEADERS)["headers"]).withColumn("_bodies", extract_bodies(F.col("payload")))
+    """Provider messages as ``FULL`` rows. A payload is parsed once."""
+    payloads = payloads.withColumn("_parts", _first_parts("payload")).withColumns({"_headers": F.col("_parts.headers"), "_bodies": _bodies(F.col("_parts"))})
     h, b = F.col("_headers"), F.col("_bodies")
     named = {k: header(h, k) for k in ("Date", "From", "To", "Cc", "Subject")}
     return payloads.select(
@@ -150,6 +220,9 @@ def to_messages(full: DataFrame, account: str, known: list[str]) -> DataFrame:
 class MailSource:
     """A pluggable source. Ids come newest first; ids that it doesn't know are left out."""
 
+    #: Whether many ids are best fetched at once, as from a table, or in batches.
+    one_pass = False
+
     def check(self) -> dict:
         raise NotImplementedError
 
@@ -172,8 +245,10 @@ class MailSource:
 class TableSource(MailSource):
     """Over a DataFrame of ``FULL`` rows. Label changes are logged in ``changes``; blank labels and empty changes are dropped."""
 
-    def __init__(self, rows: DataFrame, address: str | None = None, labels: DataFrame | None = None, reason: str | None = None):
-        self.rows, self.address, self.labels, self.reason = rows, address, labels, reason
+    one_pass = True
+
+    def __init__(self, rows: DataFrame, address: str | None = None, labels: DataFrame | None = None, reason: str | None = None, now_ms: int | None = None):
+        self.rows, self.address, self.labels, self.reason, self.now_ms = rows, address, labels, reason, now_ms
         self.changes: DataFrame | None = None
 
     def check(self) -> dict:
@@ -185,6 +260,9 @@ class TableSource(MailSource):
             r = r.where(~F.array_contains("labels", "SENT"))
         if scope.query and "in:inbox" in scope.query:
             r = r.where(F.array_contains("labels", "INBOX"))
+        if scope.since:
+            now = int(time.time() * 1000) if self.now_ms is None else self.now_ms
+            r = r.where(F.col("internalDate") >= since_ms(scope.since, now))
         r = r.orderBy(F.col("internalDate").desc_nulls_last(), "id").select("id")
         return r.limit(scope.limit) if scope.limit is not None else r
 
@@ -202,75 +280,3 @@ class TableSource(MailSource):
         done = changes.withColumn("add", clean("add")).withColumn("remove", clean("remove")).where("size(add) > 0 or size(remove) > 0")
         self.changes = done if self.changes is None else self.changes.unionByName(done)
         return done
-
-
-#: Bytes of a file that one partition reads.
-SPLIT_BYTES = 128 << 20
-
-
-class JsonLinesMail(DataSource):
-    """``spark.read.format("mail_jsonl").load(folder)``: provider messages, a partition for each ``split_bytes`` of a file; options since_ms
-    and include_sent are applied while reading."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "mail_jsonl"
-
-    def schema(self) -> str:
-        return "id string, threadId string, internalDate bigint, labelIds array<string>, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _JsonLinesReader(self.options)
-
-
-@dataclass
-class _Split(InputPartition):
-    path: str
-    start: int
-    end: int
-
-
-class _JsonLinesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        if "path" not in options:
-            raise ConfigError("mail_jsonl needs a path")
-        self.path = options["path"]
-        self.since = int(options["since_ms"]) if "since_ms" in options else None
-        self.sent = str(options.get("include_sent", "true")).lower() != "false"
-        self.split = int(options.get("split_bytes", SPLIT_BYTES))
-
-    def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path)
-        files = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".jsonl"))
-        return [_Split(path, at, min(size, at + self.split)) for path, size in files for at in range(0, size, self.split)] or [_Split("", 0, 0)]
-
-    def read(self, partition: _Split) -> Iterator[tuple]:
-        """The lines that start within the partition's bytes."""
-        from pyarrow import fs
-
-        if not partition.path:
-            return
-        store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(partition.path) as raw:
-            raw.seek(max(0, partition.start - 1))
-            f = io.BufferedReader(raw)
-            at = partition.start
-            if at:  # the line that the byte before belongs to is another partition's
-                at += len(f.readline()) - 1
-            while at < partition.end and (line := f.readline()):
-                at += len(line)
-                if line.strip() and (row := self._row(json.loads(line.decode("utf-8", "replace")))):
-                    yield row
-
-    def _row(self, m: dict) -> tuple | None:
-        at = int(m["internalDate"]) if m.get("internalDate") else None
-        labels = m.get("labelIds") or []
-        if (self.since is not None and (at is None or at < self.since)) or (not self.sent and "SENT" in labels):
-            return None
-        return m.get("id"), m.get("threadId"), at, labels, json.dumps(m.get("payload") or {})
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(JsonLinesMail)

@@ -13,8 +13,9 @@ from ..operators import search as S
 from ..operators.curation import with_overlay
 from ..operators.people import completed_syncs
 from ..schemas import CONTACT_CURATION, DOMAIN_OVERLAY, IDENTITY, MESSAGES, SNAPSHOTS, SUMMARIES, SYNC_RUNS
-from ..scratch import written
-from .sync import Store
+from ..scratch import drop, written
+from .segments import StoredIndex
+from .store import Store
 
 GRACE_MS = 7 * 86_400_000
 METRICS = "account string, address string, centrality double, community_id bigint"
@@ -43,10 +44,10 @@ def rebuild(store: Store, now_ms: int, grace_ms: int = GRACE_MS) -> dict[str, in
     store.write("threads", threads)
     store.write("contact_stats_snapshot", I.append_snapshot(store.read("contact_stats_snapshot", SNAPSHOTS), I.snapshot(scored, now_ms)))
     curated = store.read("domain_overlay", DOMAIN_OVERLAY)
-    gone = M.compact_eligible(m, c, curated, threads, now_ms - grace_ms).select(*M.KEY)
+    gone = written(M.compact_eligible(m, c, curated, threads, now_ms - grace_ms).select(*M.KEY), "gone")
     n = gone.count()
     if n:
-        store.write("messages", M.demote(store.read("messages", MESSAGES), gone), ["account"])
+        store.put("messages", M.demote(store.read("messages", MESSAGES).join(gone, M.KEY, "left_semi"), gone))  # only the demoted rows are written
     return {"contacts": scored.count(), "compacted": n}
 
 
@@ -71,16 +72,15 @@ def build_graph(store: Store, rounds: int = G.ROUNDS) -> dict[str, int]:
 
 
 def read_index(store: Store) -> S.SearchIndex:
-    return S.SearchIndex(store.read("postings", S.POSTINGS), store.read("lengths", S.LENGTHS))
+    return StoredIndex(store).as_index()
 
 
 def update_index(store: Store, keys: DataFrame | None = None) -> None:
     """The stored search index, brought up to date for the messages of ``keys`` (account, message_id; those that are gone leave it), or built anew."""
     m = messages(store)
     if keys is None:
-        ix = S.index_of(S.search_row(m))
+        StoredIndex(store).rebuild(S.search_row(m))
     else:
         changed = written(keys.select(*S.KEY).distinct(), "changed")
-        ix = S.with_messages(S.without_messages(read_index(store), changed), S.search_row(m.join(changed, S.KEY, "left_semi")))
-    store.write("postings", ix.postings)
-    store.write("lengths", ix.lengths)
+        StoredIndex(store).update(S.search_row(m.join(changed, S.KEY, "left_semi")), changed)
+        drop(changed)

@@ -5,92 +5,23 @@ The streaming form, with event time and watermarks, is an extension.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StoreError, SyncError
+from ..errors import SyncError
 from ..operators.merge import upsert_messages
-from ..schemas import IDENTITY, MESSAGES, SCHEMA_VERSION, SYNC_RUNS
+from ..schemas import IDENTITY, MESSAGES, SYNC_RUNS
 from ..scratch import numbered, scratch_path, written
 from ..sources.mail import MailSource, Scope, to_messages
+from .store import Store
 
 LOCK_MS = 6 * 3_600_000
-#: Ids that are fetched at once, and how long a driver may hold a table's lock before it is taken for dead.
-BATCH_IDS, HELD_SECONDS = 500_000, 120
-
-
-def _with_search_index(store: Store) -> None:
-    from .derive import update_index
-
-    if store.versions("messages"):
-        update_index(store)
-
-
-#: What leads to each schema version from the one before it, in order.
-MIGRATIONS: dict[int, Callable[[Store], None]] = {2: _with_search_index}
-
-
-class Store:
-    """Versioned Parquet tables under one folder that all executors share. A write makes a new version; readers see
-    the last one that was finished, so a failed write changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str, migrations: dict[int, Callable[[Store], None]] | None = None):
-        """Opens or creates the store. An older schema is migrated version by version, each recorded when it is done; a newer one is refused."""
-        self.spark, self.path = spark, path.rstrip("/")
-        steps = MIGRATIONS if migrations is None else migrations
-        known = max([SCHEMA_VERSION, *steps]) if migrations is not None else SCHEMA_VERSION
-        held = self.read("schema_version", "version int").agg(F.max("version")).first()[0]
-        if held is not None and held > known:
-            raise StoreError(f"{path} has schema version {held}; this engine knows {known}")
-        for version in [known] if held is None else range(held + 1, known + 1):
-            if held is not None and version in steps:
-                steps[version](self)
-            self.write("schema_version", spark.createDataFrame([(version,)], "version int"))
-
-    @contextmanager
-    def lock(self, name: str) -> Iterator[None]:
-        """Between drivers: a file that only one can create. One older than ``HELD_SECONDS`` is a dead driver's."""
-        jvm, files = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/lock-{name}")
-        if files.exists(at) and time.time() - files.getFileStatus(at).getModificationTime() / 1000 > HELD_SECONDS:
-            files.delete(at, False)
-        files.mkdirs(at.getParent())
-        if not files.createNewFile(at):
-            raise SyncError(f"another driver writes {name}")
-        try:
-            yield
-        finally:
-            files.delete(at, False)
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self, name: str) -> list[int]:
-        jvm, files = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not files.exists(root):
-            return []
-        found = [s.getPath() for s in files.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        versions = self.versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{versions[-1]}")
-
-    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        version = (self.versions(name) or [0])[-1] + 1
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}/v{version}")
+#: Ids that are fetched at once.
+BATCH_IDS = 500_000
 
 
 @dataclass
@@ -100,92 +31,109 @@ class SyncResult:
 
 
 def guard_identity(store: Store, account: str, address: str | None, now_ms: int, provider: str = "table") -> None:
-    """A label stays with the mailbox that it was first used for."""
-    known = store.read("account_identity", IDENTITY)
-    held = known.where(F.col("account") == account).select("address").first()
-    if held and address and held["address"].lower() != address.lower():
-        raise SyncError(f"account {account} is {held['address']}, not {address}")
-    if address and not held:
-        row = store.spark.createDataFrame([(account, address.lower(), provider, now_ms, now_ms)], IDENTITY)
-        store.write("account_identity", known.unionByName(row))
+    """A label stays with the mailbox that it was first used for. Looking and entering are one commit."""
+
+    def enter(known: DataFrame) -> DataFrame | None:
+        held = known.where(F.col("account") == account).select("address").first()
+        if held and address and held["address"].lower() != address.lower():
+            raise SyncError(f"account {account} is {held['address']}, not {address}")
+        if held or not address:
+            return None
+        return known.unionByName(store.spark.createDataFrame([(account, address.lower(), provider, now_ms, now_ms)], IDENTITY))
+
+    store.update("account_identity", IDENTITY, enter)
 
 
 def acquire(store: Store, account: str, phase: str, selector: str | None, now_ms: int) -> int:
-    """An open run is the account's lock; one older than six hours is taken for dead. Looking and entering are one step."""
-    with store.lock("sync_runs"):
-        runs = store.read("sync_runs", SYNC_RUNS)
-        if not runs.where((F.col("account") == account) & F.col("finished_at").isNull() & (F.col("started_at") >= now_ms - LOCK_MS)).isEmpty():
+    """An open run is the account's lock; one older than six hours is taken for dead. Looking and entering are one commit, and
+    drivers that enter runs of other accounts at the same time only make it look again."""
+    ident = 0
+
+    def enter(runs: DataFrame) -> DataFrame:
+        nonlocal ident
+        open_run = F.col("account").eqNullSafe(account) & F.col("finished_at").isNull() & (F.col("started_at") >= now_ms - LOCK_MS)
+        seen = runs.agg(F.max("id").alias("id"), F.bool_or(open_run).alias("open")).first()
+        if seen["open"]:
             raise SyncError(f"a run of {account} is under way")
-        ident = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        row = store.spark.createDataFrame([(ident, account, phase, selector or None, now_ms, None, None, None, None)], SYNC_RUNS)
-        store.write("sync_runs", runs.unionByName(row))
+        ident = (seen["id"] or 0) + 1
+        return runs.unionByName(store.spark.createDataFrame([(ident, account, phase, selector or None, now_ms, None, None, None, None)], SYNC_RUNS)).coalesce(1)
+
+    store.update("sync_runs", SYNC_RUNS, enter)
     return ident
 
 
 def finish(store: Store, ident: int, now_ms: int, fetched: int, indexed: int, error: str | None = None) -> None:
-    with store.lock("sync_runs"):
-        runs = store.read("sync_runs", SYNC_RUNS)
-        mine = F.col("id") == ident
-        values = {"finished_at": F.lit(now_ms).cast("long"), "fetched": F.lit(fetched).cast("long"), "indexed": F.lit(indexed).cast("long"), "error": F.lit(error).cast("string")}
-        store.write("sync_runs", runs.select(*(F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in runs.columns)))
+    mine = F.col("id") == ident
+    values = {"finished_at": F.lit(now_ms).cast("long"), "fetched": F.lit(fetched).cast("long"), "indexed": F.lit(indexed).cast("long"), "error": F.lit(error).cast("string")}
+    store.update("sync_runs", SYNC_RUNS, lambda runs: runs.select(*(F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in runs.columns)))
 
 
 def sync_account(store: Store, source: MailSource, account: str, scope: Scope, now_ms: int, after: Callable[[Store, str], None] | None = None, batch_ids: int = BATCH_IDS, progress: Callable[[int, int], None] | None = None) -> SyncResult:
-    """Scan, fetch in batches of ids, newest first, classify, upsert once; the audit row is closed whatever happens. Batches that came before a
-    failure are kept. The source is read once. ``progress`` gets the ids fetched and their total after each batch; ``after`` rebuilds derived tables."""
+    """Scan, fetch in batches of ids, newest first, classify, add to the store; the audit row is closed whatever happens. Each batch is a commit of its own, so those before a
+    failure are kept, and costs what its rows cost. A source with ``one_pass`` is joined with all ids at once, and batches are cut from what that gave; others are asked a batch at a time.
+    ``progress`` gets the ids fetched and their total after each batch; ``after`` rebuilds derived tables."""
     probe = source.check()
     if probe.get("ok"):
         guard_identity(store, account, probe.get("address"), now_ms)
     ident = acquire(store, account, "sync", str(scope), now_ms)
     done = indexed = 0
-    staged: list[DataFrame] = []
-
-    def keep() -> None:
-        if staged:
-            store.write("messages", upsert_messages(store.read("messages", MESSAGES), reduce(DataFrame.unionByName, staged)), ["account"])
-
     try:
         ids = numbered(source.list_ids(scope).withColumn("_k", F.monotonically_increasing_id()), "_k").select("id", "n")
+        ids = written(ids.withColumn("batch", F.floor(F.col("n") / batch_ids).cast("int")), "ids")
         total = ids.count()
         own = [r["address"] for r in store.read("account_identity", IDENTITY).where(F.col("account") == account).collect()]
-        for low in range(0, total, batch_ids):
-            some = ids.where((F.col("n") >= low) & (F.col("n") < low + batch_ids)).select("id")
-            new = written(to_messages(source.get_metadata(some).withColumn("bodyText", F.lit(None)), account, own), "fetched")
-            staged.append(new)
-            indexed += new.count()
-            done = min(total, low + batch_ids)
+        fetch = lambda some: to_messages(source.get_metadata(some).withColumn("bodyText", F.lit(None)), account, own)
+        numbers = range(-(-total // batch_ids))
+        staged: dict[int, list[dict]] = {}
+        if source.one_pass and total:
+            of = ids.groupBy(F.col("id").alias("message_id")).agg(F.min("batch").alias("batch"))
+            staged = store.stage("messages", fetch(ids.select("id")).join(of, "message_id").select(*store_columns(), "batch"), "batch")
+        for k in numbers:
+            if not source.one_pass:
+                staged = store.stage("messages", fetch(ids.where(F.col("batch") == k).select("id")).withColumn("batch", F.lit(k)).select(*store_columns(), "batch"), "batch")
+            if k in staged:
+                store.add("messages", staged[k])
+                indexed += store.rows_of("messages", staged[k])
+            done = min(total, (k + 1) * batch_ids)
             if progress:
                 progress(done, total)
-        keep()
         if after:
             after(store, account)
     except Exception as e:
-        if done and done < total:
-            keep()
         finish(store, ident, now_ms, done, indexed, f"{type(e).__name__}: {e}"[:500])
         raise
     finish(store, ident, now_ms, done, indexed)
     return SyncResult(done, indexed)
 
 
-def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: int) -> dict[str, SyncResult | str]:
-    """One account's failure is its own."""
-    out: dict[str, SyncResult | str] = {}
-    for account, (source, scope) in jobs.items():
+def store_columns() -> list:
+    """What a synced message brings; the columns of the message table that a source hasn't are null."""
+    given = {f.split()[0] for f in MESSAGES.split(", ")} - {"url"}
+    return [F.col(f.split()[0]) if f.split()[0] in given else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in MESSAGES.split(", ")]
+
+
+def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: int, parallel: int = 1) -> dict[str, SyncResult | str]:
+    """One account's failure is its own. ``parallel`` accounts at a time."""
+
+    def one(account: str) -> SyncResult | str:
+        source, scope = jobs[account]
         try:
-            out[account] = sync_account(store, source, account, scope, now_ms)
+            return sync_account(store, source, account, scope, now_ms)
         except Exception as e:  # reported with its account, and in its audit row
-            out[account] = f"{type(e).__name__}: {e}"
-    return out
+            return f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return dict(zip(jobs, pool.map(one, jobs), strict=True))
 
 
 def stream_messages(stream: DataFrame, store: Store, checkpoint: str, now_ms: int):
-    """Arriving message rows, with ``arrival``, into the message table; the query of an available-now run. A batch that comes again after a failure changes
-    nothing: an upsert of the same rows is the same table."""
+    """Arriving message rows, with ``arrival``, into the message table; the query of an available-now run. A batch adds its own rows, reduced by key; one that comes again after a failure
+    changes nothing, as a merge of the same rows is the same table."""
+    names = [f.split()[0] for f in MESSAGES.split(", ")]
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        old = store.read("messages", MESSAGES)
-        store.write("messages", upsert_messages(old, batch), ["account"])
+        none = store.spark.createDataFrame([], MESSAGES)
+        store.put("messages", upsert_messages(none, batch).select(*names))
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

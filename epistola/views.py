@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from .functions.classify import category, direction, flags, is_list
 from .operators.aggregate import bulk_counts, contact_rollup, domain_rollup, thread_rollup
 from .operators.interest import score_contacts
-from .scratch import written
+from .operators.search import search_row
+from .scratch import delete_at_exit, exists, held_path
+from .streaming.segments import StoredIndex
+from .streaming.store import Store
 
 #: "Now" in queries: 2024-02-01T00:00:00Z. The events are of January 2024.
 NOW = 1_706_745_600_000
@@ -109,20 +113,47 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thread_rollup(messages(spark, sf_dir))
 
 
+def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], tables: tuple[str, ...] = ("events",)) -> DataFrame:
+    """A table of the engine's store, as derived from the driver's tables in their present state: written by the first query of the application that needs it, opened by the others, which
+    then read the columns and rows that they need."""
+    path = held_path(spark, name, [f"{sf_dir}/{t}.parquet" for t in tables])
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+        delete_at_exit(spark, path)
+    return spark.read.parquet(path)
+
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame], stemmed: bool, tables: tuple[str, ...]) -> StoredIndex:
+    """The stored search index of ``rows``, built by the first query of the application that needs it."""
+    path = held_path(spark, name, [f"{sf_dir}/{t}.parquet" for t in tables])
+    index = StoredIndex(Store(spark, path), stemmed=stemmed)
+    if not index.segments():
+        delete_at_exit(spark, path)
+        index.rebuild(rows())
+    return index
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    return stored_index(spark, sf_dir, "documents", lambda: search_row(document_messages(spark, sf_dir)), False, ("documents",))
+
+
 class Mail:
-    """Messages and what is derived from them, for a query that needs more than one of them: messages and contacts are written
-    once, as the engine's store holds them, and the rest is derived from those."""
+    """Messages and what is derived from them. Messages and contacts are opened where the engine's store holds them (``held``); the rest is derived from those."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
     def messages(self) -> DataFrame:
-        return written(messages(self.spark, self.sf_dir), "messages")
+        return held(self.spark, self.sf_dir, "messages", lambda: messages(self.spark, self.sf_dir))
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return written(contact_rollup(self.messages, own_addresses(self.spark)), "contacts")
+        return held(self.spark, self.sf_dir, "contacts", lambda: contact_rollup(self.messages, own_addresses(self.spark)))
+
+    def index(self, stemmed: bool = True) -> StoredIndex:
+        """The stored search index of the messages."""
+        return stored_index(self.spark, self.sf_dir, "stemmed" if stemmed else "unstemmed", lambda: search_row(self.messages), stemmed, ("events",))
 
     @cached_property
     def threads(self) -> DataFrame:
