@@ -9,8 +9,8 @@ node that no training text has met says one half. Probabilities of all texts sum
 
 As Spark runs it. Grams (``DEPTH`` + 1 bytes, in one integer) are counted a task at a time and summed by key; nodes of full depth follow from them, and each shallower level by a sum over the nodes
 whose context is longer by a byte: ``DEPTH`` aggregations of ever smaller tables, in column expressions. The way down multiplies the weights along each path, so that a node says what a path that ends there
-predicts. Texts then need one number a gram. Tables that take up to ``held_bytes`` are broadcast as sorted arrays; beyond, the grams and words of each text are joined with them by key, hot keys by broadcast. Both ways give the same
-figures but for the order of sums.
+predicts. Grams of texts that aren't learned from are listed with the counts, so that each gram of any text gets its one number beforehand. Numbers of grams and counts of words are broadcast as sorted arrays where they
+take up to ``held_bytes``; beyond, those of the most frequent keys are, as many as fit, and only the rare keys of each text are joined with the rest. All splits give the same figures but for the order of sums.
 
 The baseline adds log10((c + 1) / (N + V + 1)) over tokens: words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and one end a text. Words are held as 64-bit hashes.
 
@@ -21,6 +21,7 @@ and scored each; where nothing is learned from, each bit has a probability of on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .wordhash import hash_words
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 4
-HELD_BYTES, HELD_COUNTS, SPAN = 192 << 20, 1_000_000, 1 << 19
+HELD_BYTES, HELD_COUNTS, SPAN = 128 << 20, 1_000_000, 1 << 19
 END = 0xFF
 WORD, GRAM = 0, 1
 LOG10_2 = float(np.log10(2.0))
@@ -87,9 +88,10 @@ class _Counts:
     def __init__(self, kind: int, held: int):
         self.kind, self.held, self.parts, self.size = kind, held, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
+    def add(self, keys: np.ndarray, learned: bool = True) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(keys, return_counts=True)
+        self.parts.append((keys, n * learned))
+        self.size += len(keys)
         if self.size > 2 * self.held:
             self._settle()
             if self.size > self.held:
@@ -112,22 +114,25 @@ class _Counts:
         self.parts, self.size = [], 0
 
 
-def count_corpus(texts: DataFrame, depth: int = DEPTH, held: int = HELD_COUNTS) -> DataFrame:
-    """kind, key, n: words with ends, and grams, of all texts (one column)."""
+def count_corpus(rows: DataFrame, depth: int = DEPTH, held: int = HELD_COUNTS) -> DataFrame:
+    """kind, key, n: words with ends, and grams, of the texts to learn from; grams that only other texts have come with 0. rows: text, learn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = _Counts(WORD, held), _Counts(GRAM, held)
         for batch in batches:
-            given = batch.column(0).to_pylist()
-            for first, end in _runs(given):
-                some = given[first:end]
-                hashes = [word_keys(r.hashes) for r in hash_words(some, SPAN, _TOKEN)]
-                yield from words.add(np.concatenate([*hashes, np.full(len(some), END_KEY, np.int64)]))
-                yield from found.add(grams(some, depth)[0])
+            given, learn = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for learned in (True, False):
+                own = [t for t, x in zip(given, learn, strict=True) if bool(x) is learned]
+                for first, end in _runs(own):
+                    some = own[first:end]
+                    if learned:
+                        hashes = [word_keys(r.hashes) for r in hash_words(some, SPAN, _TOKEN)]
+                        yield from words.add(np.concatenate([*hashes, np.full(len(some), END_KEY, np.int64)]))
+                    yield from found.add(grams(some, depth)[0], learned)
         yield from words.out()
         yield from found.out()
 
-    return texts.mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.select("text", "learn").mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 # -- the trees -------------------------------------------------------------------------------------
@@ -200,9 +205,9 @@ def _decisions(keys: DataFrame) -> DataFrame:
     return x.select("key", "ctx", F.expr("cast(shiftleft(1, j) | shiftright(x, 8 - j) as int)").alias("node"), F.expr("shiftright(x, 7 - j) & 1").alias("bit"))
 
 
-def unseen_values(keys: DataFrame, said: DataFrame, depth: int) -> DataFrame:
+def unseen_values(new: DataFrame, said: DataFrame, depth: int) -> DataFrame:
     """key, value (log10) of grams that training has not met: each decision by the deepest node on its path."""
-    each = _decisions(keys)
+    each = _decisions(new.select("key"))
     d = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
     at = each.select("key", "node", "bit", "ctx", d).withColumn("at", F.expr("cast(d as bigint) * 72057594037927936 + (ctx & (shiftleft(1L, 8 * d) - 1)) * 256 + node"))
     met = at.join(said.withColumnRenamed("key", "at"), "at", "left").where("d = 0 or l0 is not null")
@@ -221,56 +226,47 @@ def gram_values(counted: DataFrame, said: DataFrame, depth: int) -> DataFrame:
 # -- scoring ---------------------------------------------------------------------------------------
 
 
+@dataclass
 class Held:
-    """The model as sorted arrays."""
-
-    def __init__(self, words: pa.Table, grams: pa.Table, nodes: pa.Table, total: int, depth: int):
-        self.total, self.kinds, self.depth = total, words.num_rows, depth
-        self.words, self.counts = self._sorted(words, "n")
-        self.grams, self.values = self._sorted(grams, "value")
-        self.nodes, self.zero, self.one = self._sorted(nodes, "l0", "l1")
-
-    @staticmethod
-    def _sorted(t: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
-        keys = t.column("key").to_numpy()
-        order = np.argsort(keys)
-        return keys[order], *(t.column(c).to_numpy()[order] for c in columns)
-
-    @staticmethod
-    def _find(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (log10) by sorted key of each kind. Whether they are all that there are, and what a word has that isn't among them then."""
+
+    keys: list[np.ndarray]
+    values: list[np.ndarray]
+    whole: bool
+    unknown: float
+
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 where it isn't here, and whether it is."""
+        held, values = self.keys[kind], self.values[kind]
         if not len(held):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-        return at, held[at] == keys
-
-    def word_values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each word's probability, and whether it is known."""
-        at, known = self._find(self.words, keys)
-        c = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
-        return np.log10((c + 1) / (self.total + self.kinds + 1)), known
-
-    def gram_values(self, keys: np.ndarray) -> np.ndarray:
-        at, known = self._find(self.grams, keys)
-        out = np.where(known, self.values[at] if len(self.values) else 0.0, 0.0)
-        new = np.flatnonzero(~known)
-        if len(new):
-            out[new] = self._unseen(keys[new])
-        return out
-
-    def _unseen(self, keys: np.ndarray) -> np.ndarray:
-        ctx, x = keys >> 8, keys & 255
-        out = np.zeros(len(keys))
-        for j in range(8):
-            node, bit = (1 << j) | (x >> (8 - j)), (x >> (7 - j)) & 1
-            said = np.full(len(keys), -LOG10_2)
-            for d in range(self.depth + 1):  # deeper nodes take the place of shallower ones
-                at, met = self._find(self.nodes, (d << 56) + ((ctx & ((1 << 8 * d) - 1)) << 8) + node)
-                said[met] = np.where(bit == 1, self.one[at], self.zero[at])[met] if len(self.nodes) else said[met]
-            out += said
-        return out
-
-
-_SCORED = "n_tokens long, n_known long, n_bytes long, base_score double, score double"
+        known = held[at] == keys
+        return np.where(known, values[at], 0.0), known
+
+
+def hold(model: DataFrame, held_bytes: int, unknown: float) -> tuple[Held, int]:
+    """The values of the most frequent keys, as many as fit, and the count from which a key is held (0: all are). model: kind, key, n, value."""
+    room = held_bytes // 16
+    power = F.when(F.col("n") > 0, F.floor(F.log2(F.col("n").cast("double")))).otherwise(-1).cast("int")
+    sizes = {r["p"]: r["c"] for r in model.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 65 rows
+    least, whole = 0, sum(sizes.values()) <= room
+    if not whole:
+        least, total = 1 << 62, 0
+        for p in sorted(sizes, reverse=True):
+            total += sizes[p]
+            if total > room or p < 0:
+                break
+            least = 1 << p
+    t = model.where(F.col("n") >= least).select("kind", "key", "value").orderBy("kind", "key").toArrow()
+    kind = t.column("kind").to_numpy()
+    cut = int(np.searchsorted(kind, GRAM))
+    part = lambda c: [t.column(c).slice(0, cut).to_numpy(), t.column(c).slice(cut).to_numpy()]
+    return Held(part("key"), part("value"), whole, unknown), least
+
+
+_SUMS = "n_tokens long, n_known long, n_bytes long, base_score double, score double"
+_RARE = "row long, kind tinyint, key long, n long"
 
 
 def _by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -279,58 +275,78 @@ def _by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(np.diff(offsets) > 0, total, 0)
 
 
-def _score_held(rows: DataFrame, held: Held, names: list[str]) -> DataFrame:
-    model = rows.sparkSession.sparkContext.broadcast(held)
+def _summed(rows: DataFrame, held: Held, depth: int) -> DataFrame:
+    """row, doc_id, held_out and sums of what is held; where not all is, also rows with a row's rare keys. rows: row, doc_id, held_out, text."""
+    broadcast = rows.sparkSession.sparkContext.broadcast(held)
+    names = [c.split()[0] for c in _SUMS.split(", ")]
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.float64() if "score" in n else pa.int64()) for n in names), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def sums(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
+        n = batch.num_rows
+        arrays = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays, pa.nulls(n, pa.int8()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+
+    def rare(rows_: np.ndarray, kind: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(keys):
+            return
+        order = np.lexsort((keys, rows_))
+        r, k = rows_[order], keys[order]
+        first = np.concatenate([[0], np.flatnonzero((r[1:] != r[:-1]) | (k[1:] != k[:-1])) + 1])
+        n = len(first)
+        none = {f.name: pa.nulls(n, f.type) for f in schema}
+        of = none | {"row": pa.array(r[first]), "kind": pa.array(np.full(n, kind, np.int8)), "key": pa.array(k[first]), "n": pa.array(np.diff(first, append=len(r)))}
+        yield pa.RecordBatch.from_arrays([of[f.name] for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        end, end_known = m.word_values(np.array([END_KEY], np.int64))
+        m = broadcast.value
+        end, end_known = m.find(WORD, np.array([END_KEY], np.int64))
+        if m.whole and not end_known[0]:
+            end = np.array([m.unknown])
         for batch in batches:
-            texts, parts = batch.column(batch.num_columns - 1).to_pylist(), []
+            if not batch.num_rows:
+                continue
+            numbers, texts, parts = batch.column(0).to_numpy(), batch.column(3).to_pylist(), []
             for first, last in _runs(texts):
-                some = texts[first:last]
+                some, own = texts[first:last], numbers[first:last]
                 n, known, base = [], [], []
                 for r in hash_words(some, SPAN, _TOKEN):
-                    value, met = m.word_values(word_keys(r.hashes))
+                    keys = word_keys(r.hashes)
+                    value, met = m.find(WORD, keys)
+                    if m.whole:
+                        value[~met] = m.unknown
+                    else:
+                        yield from rare(np.repeat(own[r.first : r.first + len(r.counts())], r.counts())[~met], WORD, keys[~met])
                     n.append(r.counts() + 1)
                     known.append(_by_text(met.astype(np.int64), r.offsets) + int(end_known[0]))
                     base.append(_by_text(value, r.offsets) + end[0])
-                keys, sizes = grams(some, m.depth)
+                if not m.whole and not end_known[0]:
+                    yield from rare(own, WORD, np.full(len(own), END_KEY, np.int64))
+                keys, sizes = grams(some, depth)
                 each, back = np.unique(keys, return_inverse=True)
-                score = _by_text(m.gram_values(each)[back.reshape(-1)], np.concatenate([[0], np.cumsum(sizes)]))
-                parts.append((np.concatenate(n), np.concatenate(known), sizes, np.concatenate(base), score))
-            arrays = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64, np.float64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, arrays)], names=[*names, *(c.split()[0] for c in _SCORED.split(", "))])
-
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), _SCORED]))
-
-
-def _score_joined(rows: DataFrame, words: DataFrame, values: DataFrame, said: DataFrame, total: int, kinds: int, depth: int) -> DataFrame:
-    """The same by joins. rows: row, doc_id, held_out, text."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.concatenate([*(word_keys(r.hashes) for r in hash_words([text], SPAN, _TOKEN)), [END_KEY]]), grams([text], depth)[0]
-                (k0, n0), (k1, n1) = (np.unique(k, return_counts=True) for k in own)
-                kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(k0), len(k1)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), row)), pa.array(kind), pa.array(np.concatenate([k0, k1])), pa.array(np.concatenate([n0, n1]))], names=["row", "kind", "key", "n"])
-
-    each = materialize(rows.select("row", "text").mapInArrow(features, "row long, kind tinyint, key long, n long"), "features")
-    w = words.select(F.lit(WORD).cast("tinyint").alias("kind"), "key", F.log10((F.col("n") + 1) / F.lit(total + kinds + 1)).alias("value"), F.lit(True).alias("known"))
-    g = values.select(F.lit(GRAM).cast("tinyint").alias("kind"), "key", "value", F.lit(True).alias("known"))
-    known = w.unionByName(g)
-    new = each.select("kind", "key").distinct().join(known.select("kind", "key"), ["kind", "key"], "left_anti")
-    new = materialize(new, "new")
-    w0 = new.where(F.col("kind") == WORD).select("kind", "key", F.lit(float(np.log10(1 / (total + kinds + 1)))).alias("value"), F.lit(False).alias("known"))
-    g0 = unseen_values(new.where(F.col("kind") == GRAM).select("key"), said, depth).select(F.lit(GRAM).cast("tinyint").alias("kind"), "key", "value", F.lit(False).alias("known"))
-    valued = join_spread(each, known.unionByName(w0).unionByName(g0), ["kind", "key"])
-    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
+                value, met = m.find(GRAM, each)
+                back = back.reshape(-1)
+                if not m.whole:
+                    lost = ~met[back]
+                    yield from rare(np.repeat(own, sizes)[lost], GRAM, keys[lost])
+                parts.append((np.concatenate(n), np.concatenate(known), sizes, np.concatenate(base), _by_text(value[back], np.concatenate([[0], np.cumsum(sizes)]))))
+            yield sums(batch, parts)
+
+    return rows.select("row", "doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id long, held_out boolean, {_SUMS}, kind tinyint, key long, n long")
+
+
+def _with_rare(summed: DataFrame, model: DataFrame, least: int, unknown: float) -> DataFrame:
+    """``summed`` and what the rare keys add, from the part of the model that isn't held."""
+    rare = summed.where("kind is not null").select(*(c.split()[0] for c in _RARE.split(", ")))
+    few = model.where(F.col("n") < least).select("kind", "key", "value", (F.col("n") > 0).alias("met"))
+    # rare keys have few rows each, but with nothing held all keys are here, and common ones are hot
+    known = join_spread(rare, few, ["kind", "key"])
+    new = rare.where(F.col("kind") == WORD).join(few.where(F.col("kind") == WORD).select("kind", "key"), ["kind", "key"], "left_anti").withColumns({"value": F.lit(unknown), "met": F.lit(False)})
+    each = known.unionByName(new)
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     n, v = F.col("n"), F.col("n") * F.col("value")
-    sums = valued.groupBy("row").agg(
-        of(WORD, n).alias("n_tokens"), of(WORD, F.when(F.col("known"), n).otherwise(0)).alias("n_known"), of(GRAM, n).alias("n_bytes"), of(WORD, v).alias("base_score"), of(GRAM, v).alias("score")
-    )
-    return rows.drop("text").join(sums, "row").drop("row")
+    more = each.groupBy("row").agg(of(WORD, F.when(F.col("met"), n).otherwise(0)).alias("more_known"), of(WORD, v).alias("more_base"), of(GRAM, v).alias("more_score"))
+    out = summed.where("kind is null").drop("kind", "key", "n").join(more, "row", "left").na.fill(0, ["more_known", "more_base", "more_score"])
+    return out.withColumns({"n_known": F.col("n_known") + F.col("more_known"), "base_score": F.col("base_score") + F.col("more_base"), "score": F.col("score") + F.col("more_score")})
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, held_bytes: int = HELD_BYTES, held_counts: int = HELD_COUNTS) -> DataFrame:
@@ -340,17 +356,22 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     bound_batches(docs.sparkSession)
     ident = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(ident.alias("doc_id"), (F.crc32(ident.cast("string").cast("binary")) % folds == held_out).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = materialize(count_corpus(rows.where("not held_out").select("text"), depth, held_counts), "counted")
-    words, found = counted.where(F.col("kind") == WORD).select("key", "n"), counted.where(F.col("kind") == GRAM).select("key", "n")
+    counted = materialize(count_corpus(rows.select("text", (~F.col("held_out")).alias("learn")), depth, held_counts), "counted")
+    words, found = counted.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n"), counted.where(F.col("kind") == GRAM).select("key", "n")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    said = materialize(predictions(trees(found, depth)), "said")
-    values = materialize(gram_values(found, said, depth), "values")
-    if 16 * (size["v"] + values.count()) + 24 * said.count() <= held_bytes:
-        held = Held(words.toArrow(), values.toArrow(), said.toArrow(), size["n"], depth)
-        scored = _score_held(rows, held, ["doc_id", "held_out"])
+    total = size["n"] + size["v"] + 1
+    seen, new = found.where("n > 0"), found.where("n = 0")
+    said = materialize(predictions(trees(seen, depth)), "said")
+    values = gram_values(seen, said, depth).join(seen, "key").unionByName(unseen_values(new, said, depth).withColumn("n", F.lit(0).cast("long")))
+    of = lambda kind, x: x.select(F.lit(kind).cast("tinyint").alias("kind"), "key", "n", "value")
+    model = materialize(of(WORD, words.withColumn("value", F.log10((F.col("n") + 1) / F.lit(total)))).unionByName(of(GRAM, values)), "model")
+    unknown = -float(np.log10(total))
+    held, least = hold(model, held_bytes, unknown)
+    if held.whole:
+        scored = _summed(rows.withColumn("row", F.lit(0).cast("long")), held, depth)
     else:
         numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        scored = _score_joined(numbered, words, values, said, size["n"], size["v"], depth)
+        scored = _with_rare(materialize(_summed(numbered, held, depth), "summed"), model, least, unknown)
     bits = -F.col("score") / LOG10_2 / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
