@@ -145,7 +145,7 @@ ORACLE_SQL = {
       SELECT s.account, s.domain, s.address, s.rank, coalesce(subjects, '') AS subjects FROM s LEFT JOIN u ON u.account = s.account AND u.sender = s.address WHERE rank <= 5""",
     "search_bm25": bm25_sql(_DOC_ROWS, [_PREFIX.format(p="thre"), _PREFIX.format(p="ando")]),
     "search_index": f"WITH {_DOC_ROWS}, t AS (SELECT message_id, unnest(list_distinct(list_concat({_cut('subject')}, {_cut('sender')}, {_cut('body')}))) AS term FROM r) SELECT term, count(*) AS n FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
-    "search_blocks": bm25_sql(_DOC_ROWS, [f"len(list_filter({{t}}, lambda x: x = '{w}'))" for w in ("the", "and", "licensed")], limit=25),
+    "search_blocks": bm25_sql(_DOC_ROWS, [f"len(list_filter({{t}}, lambda x: x = '{w}'))" for w in ("licensed", "worthless")], limit=25),
     "search_updated": bm25_sql(
         "r AS (SELECT lang AS account, CAST(doc_id AS VARCHAR) AS message_id, doc_id AS internal_date, string_split(text, chr(10))[1] AS subject, source AS sender, NULL AS recipients, CASE WHEN lang = 'fr' THEN text END AS body FROM documents WHERE lang <> 'es')",
         [_PREFIX.format(p=p) for p in ("les", "the", "de")], limit=None,

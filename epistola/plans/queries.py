@@ -355,7 +355,7 @@ def search_phrase(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Whole words, by block bounds: blocks with the highest first, then only those that reach the threshold"""
-    phrases = S.parse("the and licensed", False, False, False)
+    phrases = S.parse("licensed worthless", False, False, False)
     hits = V.document_index(spark, d).search(phrases, 25, few_blocks=0, first_blocks=2).hits
     m = V.document_messages(spark, d).select("account", "message_id", "internal_date")
     return m.join(hits, ["account", "message_id"]).orderBy("score", F.col("internal_date").desc_nulls_last(), "message_id").limit(25).select("account", "message_id", *_r("score"))

@@ -44,7 +44,7 @@ def sync_messages(spark: SparkSession, d: str) -> DataFrame:
     jobs = {a: (source_of(spark, d, a), S.Scope(include_sent=False)) for a in ACCOUNTS}
     batch = max(1, V.table(spark, d, "events").count() // 9)
     for turn in (0, 1):
-        done = Y.sync_all(store, jobs, NOW + turn, parallel=3) if turn else {a: Y.sync_account(store, *jobs[a][:1], a, jobs[a][1], NOW, batch_ids=batch) for a in ACCOUNTS}
+        done = Y.sync_all(store, jobs, NOW + turn, parallel=3, batch_ids=batch)
         failed = [r for r in done.values() if isinstance(r, str)]
         if failed:
             raise RuntimeError("; ".join(failed))

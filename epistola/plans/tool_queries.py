@@ -111,7 +111,7 @@ _SINCE = NOW - 10 * DAY
 @query(
     f"WITH {SQL_SCORED}, {SQL_DOMAINS}, {SQL_THREADS}, m AS (SELECT * FROM msgs WHERE account = 'a0' AND direction = 'received' AND internal_date >= {_SINCE}), "
     "i AS (SELECT 'important' AS feed, account, message_id, internal_date FROM m WHERE EXISTS (SELECT 1 FROM curated c WHERE c.account = m.account AND c.address = m.sender AND c.curation = 'important') OR EXISTS (SELECT 1 FROM domains d WHERE d.account = m.account AND d.domain = m.host AND d.curation = 'important') ORDER BY internal_date DESC, message_id LIMIT 25), "
-    "t AS (SELECT 'threads' AS feed, m.account, message_id, internal_date FROM m JOIN threads t ON t.account = m.account AND t.thread_id = m.thread_id WHERE user_participated ORDER BY internal_date DESC, message_id LIMIT 25) "
+    "t AS (SELECT 'threads' AS feed, m.account, message_id, internal_date FROM m JOIN threads t ON t.account = m.account AND t.thread_id = m.thread_id WHERE user_participated ORDER BY internal_date DESC, message_id LIMIT 25), "
     "k AS (SELECT 'keywords' AS feed, account, message_id, internal_date FROM msgs WHERE account = 'a0' AND internal_date >= " + str(_SINCE) + " AND (regexp_matches(lower(concat_ws(' ', snippet, body_text)), '\\bsignup invoice\\b') OR regexp_matches(lower(coalesce(body_text, '')), '\\bflight 0\\b')) ORDER BY internal_date DESC, message_id LIMIT 25) "
     "SELECT feed, account || ':' || message_id AS ref FROM i UNION ALL SELECT feed, account || ':' || message_id FROM t UNION ALL SELECT feed, account || ':' || message_id FROM k"
 )

@@ -112,13 +112,13 @@ def store_columns() -> list:
     return [F.col(f.split()[0]) if f.split()[0] in given else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in MESSAGES.split(", ")]
 
 
-def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: int, parallel: int = 1) -> dict[str, SyncResult | str]:
+def sync_all(store: Store, jobs: dict[str, tuple[MailSource, Scope]], now_ms: int, parallel: int = 1, batch_ids: int = BATCH_IDS) -> dict[str, SyncResult | str]:
     """One account's failure is its own. ``parallel`` accounts at a time."""
 
     def one(account: str) -> SyncResult | str:
         source, scope = jobs[account]
         try:
-            return sync_account(store, source, account, scope, now_ms)
+            return sync_account(store, source, account, scope, now_ms, batch_ids=batch_ids)
         except Exception as e:  # reported with its account, and in its audit row
             return f"{type(e).__name__}: {e}"
 
