@@ -96,8 +96,8 @@ class _Ladder(StatefulProcessor):
         pass
 
 
-def ladder(arriving: DataFrame, grace_ms: int = GRACE_MS, late: str = "0 seconds") -> DataFrame:
-    """Streaming rows of the message table with ``ARRIVING`` -> the message rows that changed. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
+def ladder(arriving: DataFrame, grace_ms: int = GRACE_MS, late: str = "30 days") -> DataFrame:
+    """Streaming rows of the message table with ``ARRIVING`` -> the message rows that changed. Rows whose event is more than ``late`` behind the newest are dropped, as Spark drops late rows, and timers wait as long. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
     own = arriving.select(*NAMES, *(f.split()[0] for f in ARRIVING.split(", "))).withWatermark("at", late)
     return own.groupBy(*KEY).transformWithStateInPandas(_Ladder(grace_ms), outputStructType=MESSAGES, outputMode="Update", timeMode="EventTime")
 

@@ -29,9 +29,9 @@ def arriving(spark, rows):
     return df.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")
 
 
-def run(spark, folder, out, check, schema):
+def run(spark, folder, out, check, schema, late="30 days"):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    L.into_store(L.ladder(stream), Store(spark, out), check).awaitTermination()
+    L.into_store(L.ladder(stream, late=late), Store(spark, out), check).awaitTermination()
 
 
 def test_ladder_equals_the_batch_upsert(spark, tmp_path, rocksdb):
@@ -61,15 +61,15 @@ def test_bodies_go_after_the_grace_period(spark, tmp_path, rocksdb):
     put = lambda *rows: arriving(spark, rows).coalesce(1).write.mode("append").parquet(folder)
     states = lambda: {r["message_id"]: (r["body_state"], r["body_text"]) for r in Store(spark, out).read("messages", MESSAGES).collect()}
     put(("1", "s", [], "full", "body", 1, 2 * DAY, 2), ("2", "s", [], "full", "kept", 1, None, 2), ("3", "s", [], "meta", None, 1, 2 * DAY, 2))
-    run(spark, folder, out, f"{tmp_path}/check", schema)
+    run(spark, folder, out, f"{tmp_path}/check", schema, "0 seconds")
     assert states() == {"1": ("full", "body"), "2": ("full", "kept"), "3": ("meta", None)}
     put(("4", "s", [], "meta", None, 1, None, 8))
-    run(spark, folder, out, f"{tmp_path}/check", schema)
+    run(spark, folder, out, f"{tmp_path}/check", schema, "0 seconds")
     assert states()["1"] == ("full", "body")  # six days
     put(("5", "s", [], "meta", None, 1, None, 10))
-    run(spark, folder, out, f"{tmp_path}/check", schema)
+    run(spark, folder, out, f"{tmp_path}/check", schema, "0 seconds")
     assert states()["1"] == ("summary-only", None) and states()["2"] == ("full", "kept") and states()["3"] == ("meta", None)
-    put(("1", "new subject", [], "full", "again", 2, None, 10))
-    run(spark, folder, out, f"{tmp_path}/check", schema)
+    put(("1", "new subject", [], "full", "again", 2, None, 11))
+    run(spark, folder, out, f"{tmp_path}/check", schema, "0 seconds")
     row = Store(spark, out).read("messages", MESSAGES).where("message_id = '1'").first()
     assert (row["body_state"], row["body_text"], row["subject"]) == ("summary-only", None, "new subject")
