@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cuckoo import CuckooFilter
-from .runtime import bound_batches, delete_at_exit, fresh_name, scratch_path, table
+from .runtime import bound_batches, delete_at_exit, fresh_name, join_spread, materialize, scratch_path, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Largest size of what is sent to every worker: frequent keys (16 bytes each) and filters.
@@ -269,7 +269,9 @@ class LineStore:
                         h1, h2 = _columns([digests[k] for k in keep])
                         yield pa.RecordBatch.from_arrays([pa.array([number[k] for k in keep], pa.int64()), pa.array([pos[k] for k in keep], pa.int32()), pa.array(h1), pa.array(h2)], names=[row, "pos", "h1", "h2"])
 
-        gone = rows.select(row, f"`{text_col}`").mapInArrow(places, f"`{row}` long, pos int, h1 long, h2 long").join(hot, ["h1", "h2"], "left_semi").groupBy(row).agg(F.collect_set("pos").alias(gone_of))
+        found = materialize(rows.select(row, f"`{text_col}`").mapInArrow(places, f"`{row}` long, pos int, h1 long, h2 long"), "line-places")
+        # a line that every document holds is many tasks
+        gone = join_spread(found, hot, ["h1", "h2"]).groupBy(row).agg(F.collect_set("pos").alias(gone_of))
         text = F.col(f"`{text_col}`")
         lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
         return (
