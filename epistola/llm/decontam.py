@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, fresh_name, materialize, table
+from .runtime import bound_batches, fresh_name, join_spread, materialize, table
 from .wordhash import Words, hash_words, mix
 
 WINDOW = 10
@@ -310,7 +310,7 @@ def _hits(rows: DataFrame, row: str, text: str, b: DataFrame, window: int, held_
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc[ok] + r.first]), pa.array((own - low)[ok], pa.int64()), pa.array(before[ok], pa.int32()), pa.array(key), around], names=["row", "i", "before", "key", "around"])
 
     p = rows.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(places, "row long, i long, before int, key long, around binary")
-    p = materialize(p.join(windows.select("key").distinct(), "key", "left_semi"), "places")
+    p = materialize(join_spread(materialize(p, "rare-places"), windows.select("key").distinct(), ["key"]), "places")
     hot = materialize(p.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_places).select("key", F.ceil(F.col("c") / hot_places).cast("int").alias("parts")), "hot")
     one = F.lit(1)
     p = p.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("row", "i"), F.coalesce("parts", one)).cast("int"))
