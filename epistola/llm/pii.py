@@ -11,7 +11,8 @@ over all documents, with n(t, c) documents that hold both near each other and n(
 Their ratio says which part of c's information t discloses; 1 means that t gives c away. A word with a
 ratio of at least ``DISCLOSURE`` that stands near c in at least ``SUPPORT`` different surroundings discloses
 c, and all its places in documents that hold c become ``term`` spans. Surroundings are told apart by a hash of
-their words without entities, so copies alone support nothing.
+their words without entities, so copies alone support nothing. Words of under ``MIN_LETTERS`` letters, and those with anything but letters in them, are never taken as disclosing: they
+are articles, numbers and parts of entities, which stand everywhere.
 
 Counts cover all documents. The first pass reads each whole text once and keeps little beside spans, and of texts that have some their words: these bound from below how
 many documents hold a word. Words that can still reach the threshold are counted over all documents by a second pass, and where any word discloses a class, a last one lists its
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, fresh_name, materialize, table
+from .runtime import bound_batches, fresh_name, join_spread, materialize, table
 from .wordhash import words
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
@@ -262,7 +263,8 @@ def _told_places(docs: DataFrame, telling: DataFrame, held_bytes: int) -> DataFr
     words_of = text.mapInArrow(places, "key long, t string, start long, end long").distinct()
     tell = telling.groupBy("t").agg(F.collect_set("e").alias("es"))  # classes of a word
     of_text = own.groupBy("key").agg(F.collect_set("e").alias("own"))  # classes of a text
-    return words_of.join(tell, "t").join(of_text, "key").where(F.arrays_overlap("es", "own")).select("key", "start", "end")
+    # a telling word that most texts hold is many tasks
+    return join_spread(materialize(words_of, "word-places"), tell, ["t"]).join(of_text, "key").where(F.arrays_overlap("es", "own")).select("key", "start", "end")
 
 
 def _document_frequency(docs: DataFrame, terms: DataFrame, held_bytes: int) -> DataFrame:
