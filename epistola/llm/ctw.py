@@ -33,7 +33,7 @@ from .wordhash import hash_words
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 4
-HELD_BYTES, HELD_COUNTS, SPAN = 128 << 20, 1_000_000, 1 << 19
+HELD_BYTES, HELD_COUNTS, SPAN = 48 << 20, 1_000_000, 1 << 19
 END = 0xFF
 WORD, GRAM = 0, 1
 LOG10_2 = float(np.log10(2.0))
@@ -370,7 +370,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     if held.whole:
         scored = _summed(rows.withColumn("row", F.lit(0).cast("long")), held, depth)
     else:
-        numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        # rows are numbered in the pass that writes both their sums and their rare keys
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())
         scored = _with_rare(materialize(_summed(numbered, held, depth), "summed"), model, least, unknown)
     bits = -F.col("score") / LOG10_2 / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

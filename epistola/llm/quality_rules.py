@@ -46,6 +46,8 @@ MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 MIN_CHARS, MIN_WORDS = 200, 80
 MIN_LANGUAGE_CHARS, MIN_LANGUAGE_WORDS = 10_000, 2_500
 HELD_BYTES = 32 << 20
+#: How the counts of words are written: hashes repeat across documents, so pages have a dictionary of them.
+PACKED = {"parquet.dictionary.page.size": str(16 << 20), "compression": "zstd"}
 COMMON_SHARE, LANGUAGE_SHARE = 0.004, 0.01
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.29, 0.34
 
@@ -141,7 +143,7 @@ def _refer(rows: DataFrame, references: DataFrame, on: list[str], how: str, larg
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, held_bytes: int = HELD_BYTES) -> DataFrame:
     """The base measures, base_failed, class_distance, word_distance (null where not judged) and kept."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    m = materialize(measures(d), "measures")
+    m = materialize(measures(d), "measures", **PACKED)
 
     # references: sums over all documents of a language
     classes = m.where("lang is not null").groupBy("lang").agg(F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))

@@ -46,11 +46,11 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the shared folder and read it back: lineage ends there. The table stays until the driver ends."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to a Parquet table in the shared folder and read it back: lineage ends there. The table stays until the driver ends. options: the writer's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -221,6 +221,36 @@ def test_line_store_is_reversible(spark):
     assert store.refs().count() == 0 and sum(int((f.table > 0).sum()) for f in (CuckooFilter.from_bytes(bytes(r["filter"])) for r in store.filters().collect())) == 0
 
 
+def spread_from(monkeypatch, module, rows):
+    """The module's joins treat keys of more than ``rows`` rows as hot; gives how often one was."""
+    seen = []
+
+    def spread(left, right, on):
+        seen.append(left.groupBy(*on).count().where(F.col("count") > rows).count())
+        return join_spread(left, right, on, rows)
+
+    monkeypatch.setattr(module, "join_spread", spread)
+    return seen
+
+
+def test_line_dedup_with_a_line_in_every_document(spark, monkeypatch):
+    texts = [f"own {i}\nin all of them\n\n{'twice' if i % 500 == 0 else i}" for i in range(3000)]
+    held = linededup.dedup_lines(docs(spark, *texts), min_docs=2)
+    seen = spread_from(monkeypatch, linededup, 1000)
+    joined = linededup.dedup_lines(docs(spark, *texts), min_docs=2, held_bytes=0)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, held.collect())) and max(seen) >= 1
+    assert joined.where("text like '%in all of them%'").count() == 0
+
+
+def test_decontamination_with_a_pair_in_every_document(spark, monkeypatch):
+    item = " ".join(f"rare{i}" for i in range(10))
+    texts = [f"{i} {item} {i}" if i % 10 == 0 else f"rare0 rare1 rare2 {i} rare4 rare5 rare6" for i in range(2000)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    held = judged(decontam.find_contamination(docs(spark, *texts), bench).collect())
+    seen = spread_from(monkeypatch, decontam, 100)
+    assert judged(decontam.find_contamination(docs(spark, *texts), bench, held_windows=0, hot_places=50).collect()) == held and max(seen) >= 1
+
+
 def test_line_dedup_awkward(spark):
     df = awkward(spark).withColumns({"row": F.lit("r"), "_row": F.lit(1), "gone": F.lit(2), "lines": F.lit("l"), "h1": F.lit(0)})
     joined = linededup.dedup_lines(df, min_docs=2, added=("_a", "_b"), held_bytes=0)
