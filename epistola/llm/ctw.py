@@ -33,7 +33,7 @@ from .wordhash import hash_words
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 4
-HELD_BYTES, HELD_COUNTS, SPAN = 48 << 20, 1_000_000, 1 << 19
+HELD_BYTES, HELD_COUNTS, SPAN = 16 << 20, 1_000_000, 1 << 19
 END = 0xFF
 WORD, GRAM = 0, 1
 LOG10_2 = float(np.log10(2.0))
