@@ -22,6 +22,7 @@ from .operators import merge as M
 from .operators import people as P
 from .operators import search as S
 from .operators.aggregate import cadence, cadence_ordered
+from .scratch import few
 from .sources.mail import MailSource, Scope
 
 TOOLS = (
@@ -98,7 +99,7 @@ class Tools:
     def _hits(self, rows: DataFrame) -> DataFrame:
         names = self.ix.labels.groupBy("account").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "name"))).alias("_names"))
         none = F.create_map().cast("map<string,string>")
-        out = rows.join(F.broadcast(names), "account", "left")
+        out = rows.join(few(names), "account", "left")
         return out.select(
             message_ref(F.col("account"), F.col("message_id")).alias("ref"), "account", "thread_id", F.col("from_addr").alias("from"), "subject", iso_millis(F.col("internal_date")).alias("date"),
             label_names(F.col("labels"), F.coalesce("_names", none)).alias("labels"), "category", compact_snippet(F.col("snippet")).alias("snippet"), "body_state", F.col("summary_text").isNotNull().alias("has_summary"), "unread",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, display_name, extract_address, host_of, recipient_addresses, registrable_domain, split_recipients
+from ..scratch import few
 
 
 def with_addresses(messages: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def touches(messages: DataFrame, own: DataFrame) -> DataFrame:
     parts = F.concat(split_recipients(F.col("to_addr")), split_recipients(F.col("cc_addr")))
     sent = m.where(F.col("direction") == "sent").select(*common, F.posexplode(parts).alias("pos", "part"))
     sent = sent.select(*common, extract_address(F.col("part")).alias("address"), display_name(F.col("part")).alias("name"), "pos").where("address is not null")
-    both = got.unionByName(sent).join(F.broadcast(own.select("account", "address").distinct()), ["account", "address"], "left_anti")
+    both = got.unionByName(sent).join(few(own.select("account", "address").distinct()), ["account", "address"], "left_anti")
     before = Window.partitionBy("account", "thread", "address").orderBy(F.col("internal_date").asc_nulls_first(), F.col("message_id"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.max(F.col("direction") == "received").over(before), F.lit(False)) & threaded
     replied = (F.col("direction") == "sent") & earlier

@@ -191,7 +191,8 @@ def _move_rounds(nodes: DataFrame, e: DataFrame) -> DataFrame:
             near = arcs.join(place, ["account", "j"]).groupBy("account", "i", "to").agg(F.sum("w").alias("k")).unionByName(state.select("account", "i", F.col("c").alias("to"), F.lit(0).cast("long").alias("k")))
             near = near.groupBy("account", "i", "to").agg(F.sum("k").alias("k")).join(of.withColumnRenamed("c", "to"), ["account", "to"]).join(state.join(of.select("account", "c", F.col("size").alias("own_size")), ["account", "c"]), ["account", "i"])
             own = F.col("to") == F.col("c")
-            gain = F.col("m2") * F.col("k") - F.col("degree") * (F.col("total") - F.when(own, F.col("degree")).otherwise(0))
+            wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of two weights pass 64 bits in an account of 10**10
+            gain = wide(F.col("m2")) * wide(F.col("k")) - wide(F.col("degree")) * wide(F.col("total") - F.when(own, F.col("degree")).otherwise(0))
             barred = ~own & (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("to") > F.col("c"))
             best = near.groupBy("account", "i").agg(F.min_by("to", F.struct(barred, -gain, ~own, "to")).alias("best"))
             moved = written(state.join(best, ["account", "i"]), "moved")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import category, flags, is_bulk
 from ..functions.text import edit_labels, extract_address, host_of
 from ..schemas import body_rank
+from ..scratch import few
 
 KEY = ["account", "message_id"]
 BODY_COLUMNS = ("body_state", "body_text", "body_html")
@@ -85,7 +86,7 @@ def reconcile_inbox(messages: DataFrame, live: DataFrame, label: str = "INBOX")
 
     live: account, message_id. Only accounts that were listed are compared.
     """
-    stored = messages.where(F.array_contains("labels", label)).select(*KEY).join(F.broadcast(live.select("account").distinct()), "account", "left_semi")
+    stored = messages.where(F.array_contains("labels", label)).select(*KEY).join(few(live.select("account").distinct()), "account", "left_semi")
     known = messages.select(*KEY)
     listed = live.select(*KEY).distinct()
     change = lambda df, name: df.select(*KEY, F.lit(name).alias("change"))

@@ -16,7 +16,7 @@ from ..operators import interest as I
 from ..operators import merge as M
 from ..operators import people as P
 from ..operators import search as S
-from ..scratch import scratch_path, written
+from ..scratch import few, scratch_path, written
 from ..streaming.segments import StoredIndex
 from ..streaming.store import Store
 
@@ -200,7 +200,7 @@ def label_names(spark: SparkSession, d: str) -> DataFrame:
     old = spark.createDataFrame([("a0", "INBOX", "Old", "system", 0), ("a1", "STARRED", "Kept", "system", 0)], "account string, label_id string, name string, type string, updated_at bigint")
     new = spark.createDataFrame([("a0", "INBOX", "Inbox", "system", 1), ("a0", "UNREAD", "Unread", "system", 1), ("a0", "", "none", "user", 1)], "account string, label_id string, name string, type string, updated_at bigint")
     names = M.replace_labels(old, new).groupBy("account").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "name"))).alias("names"))
-    m = V.messages(spark, d).join(F.broadcast(names), "account", "left")
+    m = V.messages(spark, d).join(few(names), "account", "left")
     shown = X.label_names(F.col("labels"), F.coalesce("names", F.create_map().cast("map<string,string>")))
     return m.select("account", F.explode(shown).alias("label")).groupBy("account", "label").agg(F.count(F.lit(1)).alias("n"))
 

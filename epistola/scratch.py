@@ -63,6 +63,15 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows up to which a table is sent to all workers.
+FEW_ROWS = 100_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """For a join: ``df`` to be broadcast if it has at most ``most`` rows, which are counted that far; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def numbered(df: DataFrame, *order: Column | str, by: str | None = None, name: str = "n") -> DataFrame:
     """``df``, written, with numbers from 0 in ``order``, without gaps; with ``by``, the first column of the order, within each of its values. No task
     sees more than its part of the sorted rows."""

@@ -270,16 +270,13 @@ class _LabelWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.path)
-        store.create_dir(root, recursive=True)
-        paths = sorted(m.path for m in messages if m is not None and m.path)
-        body = b""
-        for p in paths:
-            with store.open_input_file(p) as f:
-                body += f.read()
-        with store.open_output_stream(f"{root}/.{self.batch}.tmp") as f:
-            f.write(body)
-        store.move(f"{root}/.{self.batch}.tmp", f"{root}/{self.batch}.changes")
-        self._clear(store, root)
+        paths = {m.path for m in messages if m is not None and m.path}
+        aside = f"{root}/_aside/{self.batch}"
+        if paths:
+            for f in store.get_file_info(fs.FileSelector(aside)):
+                if f.path not in paths:
+                    store.delete_file(f.path)
+            store.move(aside, f"{root}/{self.batch}.changes")  # a folder gets its name at once
 
     def abort(self, messages: list) -> None:
         from pyarrow import fs

@@ -12,7 +12,7 @@ from .functions.classify import category, direction, flags, is_list
 from .operators.aggregate import bulk_counts, contact_rollup, domain_rollup, thread_rollup
 from .operators.interest import score_contacts
 from .operators.search import search_row
-from .scratch import delete_at_exit, exists, held_path
+from .scratch import delete_at_exit, exists, few, held_path
 from .streaming.segments import StoredIndex
 from .streaming.store import Store
 
@@ -66,9 +66,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(raw: DataFrame, own: DataFrame) -> DataFrame:
-    """own: account, address; a few rows."""
+    """own: account, address."""
     mine = own.groupBy("account").agg(F.collect_set("address").alias("own"))
-    m = raw.join(F.broadcast(mine), "account", "left")
+    m = raw.join(few(mine), "account", "left")
     out = m.withColumns({"category": category(F.col("labels")), "is_list": is_list(F.col("headers")), "direction": direction(F.col("labels"), F.col("from_addr"), F.coalesce("own", F.array().cast("array<string>")))} | flags(F.col("labels")))
     return out.drop("own", "headers")
 
