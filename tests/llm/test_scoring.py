@@ -649,3 +649,89 @@ def test_indicators_by_text():
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+# -- classifiers by hand
+
+_MASK = (1 << 64) - 1
+
+
+def scalar_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
+def word_hash(word, part=None):
+    run = next(iter(toxicity.hash_words([word])))
+    return int((run.hashes if part is None else run.heads(part))[0])
+
+
+SCORED = ["Foo foo BAR 12!", "", None, "a", "the cat, the cat sat -- on 3,14 ÉTÉ été\tx\n\nx", "one two three four five six seven", "!!! ...", "Foo 12! foo"]
+
+
+def test_toxicity_scores_by_hand():
+    """Each text by itself, position by position, for a model of random numbers."""
+    rng = np.random.default_rng(2)
+    model = toxicity.ConvText()
+    model.embedding = rng.normal(0, 1, model.embedding.shape).astype(np.float32)
+    model.offsets = [rng.normal(0, 1, o.shape).astype(np.float32) for o in model.offsets]
+    model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+    model.trained = True
+    got = np.concatenate([model.scores(toxicity.features(r), r.offsets) for r in toxicity.hash_words(SCORED)])
+    pad = [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+    for text, score in zip(SCORED, got, strict=True):
+        vectors = []
+        for w in words(text):
+            buckets = [(h ^ (h >> 32)) % toxicity.BUCKETS for h in (word_hash(w), word_hash(w, 4) ^ 4, word_hash(w, 5) ^ 5)]
+            vectors.append(sum(model.embedding[b].astype(float) for b in buckets))
+        rows = [*pad, *vectors, *pad]
+        pooled = []
+        for width, f, o in zip(toxicity.WIDTHS, model.filters, model.offsets, strict=True):
+            pooled += np.max([sum(rows[i + k] @ f[k].astype(float) for k in range(width)) + o for i in range(len(pad) + len(vectors))], axis=0).tolist()
+        z = np.maximum(pooled, 0) @ model.weights.astype(float) + float(model.bias)
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-4, text
+
+
+def brute_indicators(text):
+    """Buckets of a text: words, pairs of words, one to three token shapes, and a word beside itself."""
+    text = text or ""
+    own = [word_hash(w) for w in words(text)]
+    shapes = []
+    for token in re.split(r"[ \t\n\x0b\x0c\r]+", text):
+        kinds = []
+        for b in token.encode():
+            c = chr(b)
+            kind = "a" if b >= 0x80 or "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else c
+            if not kinds or kinds[-1] != kind:
+                kinds.append(kind)
+        if kinds:
+            value = 0
+            for k in kinds[:8]:
+                value = (value * 257 + ord(k)) & _MASK
+            shapes.append(scalar_mix(value))
+    found = {99} if any(a == b for a, b in zip(own, own[1:], strict=False)) else set()
+    for items, sizes, salt in ((own, (1, 2), 0), (shapes, (1, 2, 3), 16)):
+        for n in sizes:
+            for i in range(len(items) - n + 1):
+                h = n + salt
+                for x in items[i : i + n]:
+                    h = scalar_mix((h * 0x9E3779B97F4A7C15 + x) & _MASK)
+                found.add(h)
+    return {h % nbsvm.BUCKETS for h in found}
+
+
+def test_quality_scores_by_hand():
+    rng = np.random.default_rng(3)
+    model = nbsvm.NbSvm()
+    model.weights, model.bias, model.slope, model.shift = rng.normal(0, 1, nbsvm.BUCKETS).astype(np.float32), 0.25, 1.5, -0.5
+    at = 0
+    for first, buckets, offsets in nbsvm.indicators(SCORED):
+        scores = model.scores(buckets, offsets)
+        for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            mine = brute_indicators(SCORED[first + k])
+            assert set(buckets[a:b].tolist()) == mine, SCORED[first + k]
+            z = sum(float(model.weights[x]) for x in mine) / math.sqrt(max(1, len(mine))) + model.bias
+            assert abs(scores[k] - 1 / (1 + math.exp(-(model.slope * z + model.shift)))) < 1e-6
+            at += 1
+    assert at == len(SCORED)
