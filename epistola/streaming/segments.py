@@ -30,7 +30,7 @@ from .store import KEPT_VERSIONS, TRIES, Store
 BLOCK_BITS = 9
 BLOCK_DOCS = 1 << BLOCK_BITS
 FILE_ROWS = 2_000_000
-#: Blocks that are scored first; block rows of a query up to which all of them are; segments, share of gone messages and file names that are too many.
+#: Blocks that are scored first; blocks up to which all of them are; segments, share of gone messages and file names that are too many.
 FIRST_BLOCKS, FEW_BLOCKS, MOST_SEGMENTS, MOST_GONE, MOST_FILES = 16, 64, 8, 0.25, 1_000
 
 _POSTINGS = "term string, block long, doc long, account string, message_id string, col string, positions array<int>, f double, lead boolean, length long"
@@ -229,7 +229,7 @@ class StoredIndex:
         mean = tokens / n_docs
         idf = [max(math.log((n_docs - n + 0.5) / (n + 0.5)), IDF_FLOOR) for n in df]
         total = sum(r["rows"] for r in seen.values())
-        if k is None or total <= few_blocks:
+        if k is None or min(total, sum((s["docs"] >> BLOCK_BITS) + 1 for s in parts)) <= few_blocks:
             return Found(self._best(self._scores(held, stems, idf, mean), k, account), total, total)
         # what a message of each block can reach: of a phrase, the count of its rarest stem in the longest of the shortest messages
         by_stem = each.groupBy("s", "block", "phrase", "stem").agg(F.sum("most").alias("most"), F.min("shortest").alias("shortest"))
