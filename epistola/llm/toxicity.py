@@ -7,11 +7,11 @@ the text. Training is by Adagrad on the log loss; the gradient flows through the
 backward pass touches few words. The embeddings start from the classes' smoothed log-count ratio in one
 coordinate, which lets the maxima find telling words from the first step on.
 
-Labels come from the training fold alone (crc32 of the doc_id as text, modulo 3, not 1). Training takes
-at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, those of the smallest hashes of their ids, each in
-full and one for each id; of either class, those after the one with which ``MAX_BYTES`` of features are reached are left out. A fifth of
-the sample is kept for calibration. The model has a fixed size and is broadcast; scoring
-reads every whole text in one pass without a shuffle.
+Labels come from the training fold alone (crc32 of the doc_id as text, modulo 3, not 1): every labelled document of it takes part, whole and once an id.
+Four fifths are learnt from, a fifth is kept for calibration. Counts of documents that hold a bucket are sums over all of them. Training then goes in ``EPOCHS`` rounds:
+documents are dealt once into shards of about ``SHARD_DOCS`` by their id; in a round each shard starts from the model so far and learns from its documents, and what the shards
+changed is averaged, an embedding over the shards that changed it, weighted by documents. Changes are added up as integers, so their order doesn't matter. Only the model, which has a
+fixed size, and its changes go through the driver. Scoring reads every whole text in one pass without a shuffle.
 
 Thresholds are calibrated by language, in both directions. Where at least ``MIN_CALIBRATION`` clean calibration documents have a language, its
 floor is the score that at most ``MAX_FALSE`` of them exceed. The threshold lies halfway between the floor and the next score of
@@ -25,23 +25,28 @@ repeated labels of an id count once; of texts that share a labelled id one, the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import itertools
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, materialize, table
+from .runtime import bound_batches, drop_scratch, materialize, table
 from .wordhash import Words, hash_words
 
 FOLDS, HELD_OUT = 3, 1
-MAX_TOXIC, MAX_CLEAN = 3_000, 5_000
+#: Documents of a shard; labelled ids up to which they are sent to all workers, not joined; words of a step.
+SHARD_DOCS, HELD_LABELS, STEP_WORDS = 8_000, 1_000_000, 1 << 19
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, RATE, BATCH = 1 << 17, 8, (1, 2, 3), 8, 4, 0.1, 32
 MIN_DOCS = 3
 DEFAULT_THRESHOLD, MAX_FALSE, MIN_CALIBRATION, LOWEST, HIGHEST = 0.7, 0.002, 100, 0.35, 0.99
-#: Features of the sample that go to the driver, at 8 bytes a word.
-MAX_BYTES = 48 << 20
+#: What 1 is in the integers that changes are added up in.
+_ONE = 1 << 28
 _SPAN = 1 << 18
 
 
@@ -93,28 +98,18 @@ class ConvText:
         pooled = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self._responses(x)], axis=1)
         return 1 / (1 + np.exp(-(np.maximum(pooled, 0) @ self.weights + self.bias).astype(np.float64)))
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> ConvText:
-        """docs: three bucket numbers a word each, as rows."""
-        n = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    def begin(self, seen: np.ndarray, n: np.ndarray, seed: int = 7) -> Training | None:
+        """The model before the first round; None without documents of both classes. seen: documents of either class that hold a bucket, n: those of either class."""
         if not n.all():
-            return self
-        seen = np.zeros((2, BUCKETS), np.int64)
-        for d, y in zip(docs, labels, strict=True):
-            seen[y, np.unique(d)] += 1
+            return None
         known = seen.sum(0) >= MIN_DOCS
         ratio = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         rng = np.random.default_rng(seed)
         self.embedding[known] = rng.normal(0, 0.02, (known.sum(), DIM))
         self.embedding[known, 0] = np.clip(ratio[known], -3, 3) / 3
         state = [np.full(BUCKETS, 1e-3, np.float32), *(np.full(f.shape, 1e-2, np.float32) for f in self.filters), np.full(self.weights.shape, 1e-2, np.float32)]
-        importance = n.sum() / (2 * n)
         self.trained = True
-        for _ in range(epochs):
-            order = rng.permutation(len(docs))
-            for k in range(0, len(order), BATCH):
-                batch = order[k : k + BATCH]
-                self._step([docs[i] for i in batch], labels[batch], importance[labels[batch]], state, known)
-        return self
+        return Training(self, state, known, n.sum() / (2 * n))
 
     def _step(self, docs: list[np.ndarray], y: np.ndarray, importance: np.ndarray, state: list[np.ndarray], known: np.ndarray) -> None:
         buckets = np.concatenate(docs, axis=1)
@@ -161,6 +156,48 @@ class ConvText:
         value -= np.float32(RATE) * grad / np.sqrt(state)
 
 
+class Training:
+    """A model, the state of its steps, and what they need to know of all documents."""
+
+    def __init__(self, model: ConvText, state: list[np.ndarray], known: np.ndarray, importance: np.ndarray):
+        self.model, self.state, self.known, self.importance = model, state, known, importance
+
+    def copy(self) -> Training:
+        return copy.deepcopy(self)
+
+    def learn(self, docs: list[np.ndarray], y: list[int]) -> None:
+        y = np.array(y, np.int64)
+        self.model._step(docs, y, self.importance[y], self.state, self.known)
+
+    def _rows(self) -> np.ndarray:
+        """All parameters as rows of DIM and one more: those of buckets with their state, then the others, then the others' state."""
+        m = self.model
+        others = np.concatenate([*(f.ravel() for f in m.filters), *m.offsets, m.weights, [m.bias]])
+        state = np.concatenate([*(f.ravel() for f in self.state[1:])])
+        both = [np.pad(a, (0, -len(a) % DIM)).reshape(-1, DIM) for a in (others, state)]
+        out = np.zeros((BUCKETS + sum(map(len, both)), DIM + 1))
+        out[:BUCKETS, :DIM], out[:BUCKETS, DIM], out[BUCKETS:, :DIM] = m.embedding, self.state[0], np.concatenate(both)
+        return out
+
+    def changes(self, before: Training) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that differ, and by how much in parts of ``_ONE``; rows that aren't of buckets always."""
+        d = np.rint((self._rows() - before._rows()) * _ONE).astype(np.int64)
+        at = np.flatnonzero(d.any(1) | (np.arange(len(d)) >= BUCKETS))
+        return at, d[at]
+
+    def add(self, at: np.ndarray, change: np.ndarray) -> None:
+        rows = self._rows()
+        rows[at] += change
+        m, s = self.model, self.state
+        m.embedding, s[0] = rows[:BUCKETS, :DIM].astype(np.float32), rows[:BUCKETS, DIM].astype(np.float32)
+        flat = iter(rows[BUCKETS:, :DIM].ravel().astype(np.float32))
+        take = lambda a: np.fromiter(itertools.islice(flat, a.size), np.float32, a.size).reshape(a.shape)
+        m.filters, m.offsets, m.weights, m.bias = [take(f) for f in m.filters], [take(o) for o in m.offsets], take(m.weights), next(flat)
+        taken = sum(f.size for f in m.filters) + sum(o.size for o in m.offsets) + m.weights.size + 1
+        deque(itertools.islice(flat, -taken % DIM), 0)
+        s[1:] = [take(a) for a in s[1:]]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], folds: int, held_out: int) -> DataFrame:
     """doc_id, text, lang, y: at most ``most[y]`` documents of label y in the training fold, by the smallest hash of their id."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*most) & (fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -189,6 +226,19 @@ def bounded_features(features: DataFrame, most_bytes: int) -> pa.Table:
     return held.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()  # no more ids than the sample has
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, held_labels: int = HELD_LABELS) -> tuple[DataFrame, int]:
+    """Rows of ``docs`` with y (and how many ids have one): all whose id is labelled in the training fold."""
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    n = ids.count()
+    return docs.where(fold(F.col("doc_id"), folds) != held_out).join(F.broadcast(ids) if n <= held_labels else ids, "doc_id"), n
+
+
+def in_shards(rows: DataFrame, n: int, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """doc_id, y, lang, text, shard: a row an id, dealt by it and in the order of its hash, so the same wherever the rows come from."""
+    one = rows.repartition(max(1, round(n / shard_docs)), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("o"))
+    return one.select("doc_id", "y", "o.lang", "o.text", F.spark_partition_id().alias("shard")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+
+
 def pack(b: np.ndarray) -> np.ndarray:
     """Three bucket numbers a word, as rows, in one number a word."""
     x = b.astype(np.uint64)
@@ -215,35 +265,112 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: np.ndarray) -> dict[str,
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES, label: str = "toxic") -> tuple[ConvText, dict[str, float]]:
-    """The model, and thresholds by language. docs: doc_id, text, lang."""
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("lang", pa.string()), ("f", pa.binary())])
+def calibrated(scored: DataFrame) -> dict[str, float]:
+    """``calibrate`` over a written table (lang, y, score) of any size: only ranks up to the floor's are sorted, and a row a language comes back."""
+    clean = scored.where("y = 0 and lang <> ''")
+    n = clean.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CALIBRATION).withColumn("at", F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(MAX_FALSE))) + 1)
+    most = n.agg(F.max("at")).first()[0]
+    if most is None:
+        return {}
+    ranked = clean.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc()))).where(F.col("at") <= int(most))
+    floors = ranked.join(n, ["lang", "at"]).select("lang", F.col("score").alias("floor"))
+    toxic = scored.where("y = 1").join(floors, "lang").where("score > floor").groupBy("lang").agg(F.min("score").alias("above"))
+    out = {}
+    for r in floors.join(toxic, "lang", "left").collect():
+        t = (r["floor"] + r["above"]) / 2 if r["above"] is not None else max(DEFAULT_THRESHOLD, r["floor"] + 1e-6)
+        out[r["lang"]] = float(min(HIGHEST, max(LOWEST, t)))
+    return dict(sorted(out.items()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_SEEN = "bucket int, y int, n long"
+_CHANGES = f"k int, w long, {', '.join(f'd{i} long' for i in range(DIM + 1))}"
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, y, lang, text, shard -> doc_id, y, lang, shard, spare, f (three bucket numbers a word)."""
+    for batch in batches:
+        f = []
+        for words in hash_words(batch.column("text").to_pylist(), _SPAN):
+            b = pack(features(words))
+            f += [b[a:e].tobytes() for a, e in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+        spare = (batch.column("doc_id").to_numpy() * 2654435761 >> 7) % 5 == 0
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "lang", "shard")), pa.array(spare), pa.array(f, pa.binary())], names=["doc_id", "y", "lang", "shard", "spare", "f"])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """y, f -> documents of either class that hold a bucket; bucket BUCKETS is held by all."""
+    seen = np.zeros((2, BUCKETS + 1), np.int64)
+    for batch in batches:
+        for y, f in zip(batch.column("y").to_pylist(), batch.column("f"), strict=True):
+            seen[y, np.unique(unpack(np.frombuffer(f.as_buffer(), np.uint64)))] += 1
+            seen[y, BUCKETS] += 1
+    y, bucket = np.nonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(seen[y, bucket])], names=["bucket", "y", "n"])
+
+
+def _round(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, y, f -> what each shard changes in the model so far."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[int]]]:
+        docs, ys, size, at = [], [], 0, None
         for batch in batches:
-            f = []
-            for words in hash_words(batch.column("text").to_pylist(), _SPAN):
-                b = pack(features(words))
-                f += [b[a:e].tobytes() for a, e in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), pa.array(f, pa.binary())], schema=schema)
-
-    sample = labelled_sample(docs, labels, label, {1: max_toxic, 0: max_clean}, FOLDS, HELD_OUT)
-    got = bounded_features(sample.mapInArrow(run, "doc_id long, y int, lang string, f binary"), max_bytes)
-    ids = got.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    if not len(order):
-        return ConvText(), {}
-    ids, y = ids[order], got.column("y").to_numpy()[order].astype(np.int64)
-    langs = np.array(got.column("lang").to_pylist(), object)[order]
-    f = got.column("f")
-    x = [np.frombuffer(f[int(i)].as_py(), np.uint64) for i in order]
-    spare = (ids * 2654435761 >> 7) % 5 == 0
-    model = ConvText().fit([unpack(a) for a, s in zip(x, spare, strict=True) if not s], y[~spare])
-    if not model.trained:
+            for shard, y, f in zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), batch.column("f"), strict=True):
+                x = unpack(np.frombuffer(f.as_buffer(), np.uint64))
+                if docs and (shard != at or len(docs) == BATCH or size + x.shape[1] > STEP_WORDS):
+                    yield at, docs, ys
+                    docs, ys, size = [], [], 0
+                at = shard
+                docs.append(x)
+                ys.append(y)
+                size += x.shape[1]
+        if docs:
+            yield at, docs, ys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in itertools.groupby(steps(batches), key=lambda s: s[0]):
+            t, n = held.value.copy(), 0
+            for _, docs, ys in own:
+                t.learn(docs, ys)
+                n += len(docs)
+            k, d = t.changes(held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(np.full(len(k), n, np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in (d * n).T)], names=[c.split()[0] for c in _CHANGES.split(", ")])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", shard_docs: int = SHARD_DOCS) -> tuple[ConvText, dict[str, float]]:
+    """The model, and thresholds by language, from all labelled documents of the training fold. docs: doc_id, text, lang."""
+    context, model = docs.sparkSession.sparkContext, ConvText()
+    rows, n = labelled(docs, labels, label, FOLDS, HELD_OUT)
+    if not n:
         return model, {}
-    held = np.flatnonzero(spare)
-    s = np.concatenate([np.zeros(0), *(model.scores(unpack(x[i]), np.array([0, len(x[i])])) for i in held)])
-    return model, calibrate(s, y[held], langs[held])
+    hashed = materialize(in_shards(rows, n, shard_docs).mapInArrow(_hashed, "doc_id long, y int, lang string, shard int, spare boolean, f binary"), "labelled")
+    fit = hashed.where("not spare")
+    got = fit.select("y", "f").mapInArrow(_seen, _SEEN).groupBy("bucket", "y").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((2, BUCKETS + 1), np.int64)
+    seen[got.column("y").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    training = model.begin(seen[:, :BUCKETS], seen[:, BUCKETS])
+    if not training:
+        return model, {}
+    for _ in range(EPOCHS):
+        held = context.broadcast(training)
+        sums = fit.select("shard", "y", "f").mapInArrow(_round(held), _CHANGES).groupBy("k").agg(*(F.sum(c.split()[0]).alias(c.split()[0]) for c in _CHANGES.split(", ")[1:])).toArrow()
+        weight = sums.column("w").to_numpy().astype(np.float64) * _ONE
+        training.add(sums.column("k").to_numpy(), np.stack([sums.column(f"d{i}").to_numpy() / weight for i in range(DIM + 1)], axis=1))
+        held.unpersist()
+    done = context.broadcast(model)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(f.as_buffer(), np.uint64) for f in batch.column("f")]
+            s = [done.value.scores(unpack(a), np.array([0, len(a)])) for a in x]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("y"), pa.array(np.concatenate(s) if s else np.zeros(0), pa.float64())], names=["lang", "y", "score"])
+
+    scored = materialize(hashed.where("spare").select("lang", "y", "f").mapInArrow(rate, "lang string, y int, score double"), "calibration")
+    thresholds = calibrated(scored)
+    drop_scratch(hashed)
+    drop_scratch(scored)
+    return model, thresholds
 
 
 def score(docs: DataFrame, model: ConvText, thresholds: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

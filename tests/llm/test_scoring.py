@@ -539,6 +539,45 @@ def test_toxicity_held_out(spark):
     assert kept.columns == df.columns and abs(kept.count() - marks.count(0)) < 20
 
 
+def test_toxicity_learns_from_all(spark, monkeypatch):
+    """No labelled document of the training fold is left out, however many there are; several shards learn as one does."""
+    n = 13_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), F.when(F.col("id") % 3 == 0, "foulword").otherwise("kind")).alias("text"), F.lit("en").alias("lang"))
+    labels = df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    met, begin = [], toxicity.ConvText.begin
+    monkeypatch.setattr(toxicity.ConvText, "begin", lambda self, seen, n, **k: met.append((seen, n)) or begin(self, seen, n, **k))
+    for size in (20_000, 1_500):
+        model, thresholds = toxicity.train(toxicity._inputs(df), labels, shard_docs=size)
+        rows = toxicity.score(df, model, thresholds).where("toxic = (doc_id % 3 <> 0)")
+        assert rows.count() == 0 and thresholds.keys() == {"en"}
+    own = np.array([i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1 and (i * 2654435761 >> 7) % 5], np.int64)
+    for seen, totals in met:
+        assert totals.tolist() == [(own % 3 != 0).sum(), (own % 3 == 0).sum()] and seen.max() == totals.max()
+
+
+def test_rounds_of_one_shard_are_steps_in_order():
+    """Changes that are added up and averaged over one shard give the model that the steps give."""
+    rng = np.random.default_rng(2)
+    docs_, y = [rng.integers(0, 50, (3, 6)).astype(np.int32) for _ in range(40)], [i % 2 for i in range(40)]
+    first = toxicity.ConvText().begin(np.full((2, toxicity.BUCKETS), 5), np.array([20, 20]))
+    moved, summed = first.copy(), first.copy()
+    moved.learn(docs_, y)
+    at, change = moved.changes(first)
+    summed.add(at, change / toxicity._ONE)
+    assert all(np.allclose(a, b, atol=1e-7) for a, b in zip([summed.model.embedding, summed.model.weights, summed.model.bias, *summed.model.filters, *summed.model.offsets, *summed.state], [moved.model.embedding, moved.model.weights, moved.model.bias, *moved.model.filters, *moved.model.offsets, *moved.state], strict=True))
+    assert len(at) < 400 and not np.array_equal(moved.model.embedding, first.model.embedding)
+
+
+def test_thresholds_of_all_rows(spark):
+    """The distributed thresholds are those of the array version."""
+    rng = np.random.default_rng(3)
+    y, langs = (rng.random(4_000) < 0.2).astype(int), np.array([["en", "de", "", None, "xx"][i] for i in rng.choice(5, 4_000, p=[0.5, 0.3, 0.09, 0.09, 0.02])], object)
+    s = np.round(np.clip(rng.normal(0.2 + 0.5 * y, 0.2), 0, 1), 3)
+    df = spark.createDataFrame([(lang, int(a), float(b)) for lang, a, b in zip(langs, y, s, strict=True)], "lang string, y int, score double")
+    assert toxicity.calibrated(df) == toxicity.calibrate(s, y, langs) and len(toxicity.calibrated(df)) == 2
+    assert toxicity.calibrated(df.where("y = 1")) == {}
+
+
 def test_convolution_gradient():
     """A step's change of filters and weights against numerical derivatives of the log loss."""
     rng = np.random.default_rng(1)
