@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.porter import places, tokens
 from ..functions.text import project_body, project_recipients
-from ..scratch import written
+from ..scratch import bound_batches, written
 
 # Column weights, BM25 constants, query synonyms.
 WEIGHTS = {"subject": 10.0, "sender": 8.0, "recipients": 4.0, "body": 1.0}
@@ -29,6 +29,8 @@ SYNONYMS = {
     "refund": ("reimbursement", "credit"),
 }
 KEY = ["account", "message_id"]
+#: Postings and positions from which a task hands on what it has located.
+LOCATED_ROWS, LOCATED_PLACES = 1 << 15, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,7 @@ LOCATED = "account string, message_id string, doc bigint, col string, term strin
 
 
 def _located(stemmed: bool):
-    """account, message_id and the searched columns -> ``LOCATED``."""
+    """account, message_id and the searched columns -> ``LOCATED``, in batches of a bounded size, whatever that of the input's is."""
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -104,10 +106,22 @@ def _located(stemmed: bool):
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            row, doc, col, term, flat, ends, f, lead, total = [], [], [], [], [], [0], [], [], []
-            texts = [c.to_pylist() for c in batch.columns[len(KEY) :]]
+            row, doc, col, term, flat, ends, f, lead, total = out = [], [], [], [], [], [0], [], [], []
+
+            def handed(batch=batch, out=out):
+                row, doc, col, term, flat, ends, f, lead, total = out
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                keys = (batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(KEY)))
+                done = pa.RecordBatch.from_arrays([*keys, pa.array(doc, pa.int64()), pa.array(col, pa.string()), pa.array(term, pa.string()), positions, pa.array(f, pa.float64()), pa.array(lead, pa.bool_()), pa.array(total, pa.int64())], schema=schema)
+                for own in out:
+                    own.clear()
+                ends.append(0)
+                return done
+
             for i in range(batch.num_rows):
-                found = [(name, places(values[i], stemmed)) for name, values in zip(WEIGHTS, texts, strict=True)]
+                if len(row) >= LOCATED_ROWS or len(flat) >= LOCATED_PLACES:
+                    yield handed()
+                found = [(name, places(values[i].as_py(), stemmed)) for name, values in zip(WEIGHTS, batch.columns[len(KEY) :], strict=True)]
                 length = sum(len(at) for _, own in found for at in own.values())
                 if not length:
                     continue
@@ -129,14 +143,13 @@ def _located(stemmed: bool):
                     total.append(length)
                     led.add(t)
                 number += 1
-            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            keys = (batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(KEY)))
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(doc, pa.int64()), pa.array(col, pa.string()), pa.array(term, pa.string()), positions, pa.array(f, pa.float64()), pa.array(lead, pa.bool_()), pa.array(total, pa.int64())], schema=schema)
+            yield handed()
 
     return run
 
 
 def located(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+    bound_batches(rows.sparkSession)
     return rows.select(*KEY, *WEIGHTS).mapInArrow(_located(stemmed), LOCATED)
 
 
