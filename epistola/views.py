@@ -12,7 +12,7 @@ from .functions.classify import category, direction, flags, is_list
 from .operators.aggregate import bulk_counts, contact_rollup, domain_rollup, thread_rollup
 from .operators.interest import score_contacts
 from .operators.search import search_row
-from .scratch import delete_at_exit, exists, few, held_path
+from .scratch import bound_batches, delete_at_exit, exists, few, held_path
 from .streaming.segments import StoredIndex
 from .streaming.store import Store
 
@@ -22,6 +22,7 @@ DAY = 86_400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
