@@ -37,7 +37,7 @@ def _tools(spark: SparkSession, d: str) -> tuple[V.Mail, Tools]:
     labels = spark.createDataFrame([("a0", "STARRED", "Kept", "system", 0), ("a1", "STARRED", "Marked", "system", 0)], LABELS)
     profile = spark.createDataFrame([(f"a{i}", [f"flight {i}", "signup invoice"], 0) for i in range(3)], INTEREST_PROFILE)
     domains = mail.domains.withColumns({"category_note": F.lit(None).cast("string"), "categorized_at": F.lit(None).cast("long")})
-    return mail, Tools(spark, Index(mail.messages, mail.scored, domains, mail.threads, V.sync_runs(spark, d), labels, mail.index(), profile), NOW)
+    return mail, Tools(spark, Index(mail.messages, mail.scored, domains, mail.threads, V.sync_runs(spark, d), labels, V.Opened(mail.index), profile), NOW)
 
 
 def _first(mail: V.Mail):

@@ -138,6 +138,28 @@ def document_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     return stored_index(spark, sf_dir, "documents", lambda: search_row(document_messages(spark, sf_dir)), False, ("documents",))
 
 
+class Opened:
+    """A search index that is opened, and built where it isn't yet, by the first look-up, so that tools that look nothing up build none."""
+
+    def __init__(self, open_: Callable[[], StoredIndex]):
+        self._open = open_
+
+    @cached_property
+    def stored(self) -> StoredIndex:
+        return self._open()
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored.postings
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.stored.lengths
+
+    def hits(self, *args, **named) -> DataFrame:
+        return self.stored.hits(*args, **named)
+
+
 class Mail:
     """Messages and what is derived from them. Messages and contacts are opened where the engine's store holds them (``held``); the rest is derived from those."""
 

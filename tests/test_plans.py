@@ -3,9 +3,11 @@
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from epistola import views as V
+from epistola.operators import search as S
 from epistola.registry import QUERIES
 
 ONE_ROW_CROSS = {"search_bm25", "search_phrase", "search_stemmed", "threads_for_query", "tool_refresh_inbox"}  # the one row of statistics, or of the account that is listed
@@ -78,3 +80,37 @@ def test_questions_read_the_columns_they_need(spark, sf):
 def test_search_reads_the_terms_it_needs(spark, sf):
     text = plan(QUERIES["search_bm25"](spark, sf))
     assert re.search(r"PushedFilters: \[.*StringStartsWith\(term,thre\)", text) and "positions" not in "".join(re.findall(r"ReadSchema: (.*)", text))
+
+
+def test_located_batches_are_bounded(monkeypatch):
+    """However large the input's batches and texts are, what a task holds at once is bounded; the rows are those of one batch."""
+    context = type("Context", (), {"partitionId": lambda self: 3})()
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: context)
+    n = 400
+    text = pa.array([" ".join(f"w{i * j % 997}" for j in range(150)) for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * n), pa.array([str(i) for i in range(n)]), text, pa.array(["x y"] * n), pa.nulls(n, pa.string()), text], names=["account", "message_id", *S.WEIGHTS])
+    whole = pa.Table.from_batches(S._located(False)(iter([batch])))
+    monkeypatch.setattr(S, "LOCATED_ROWS", 1_000)
+    monkeypatch.setattr(S, "LOCATED_PLACES", 5_000)
+    parts = list(S._located(False)(iter([batch])))
+    assert len(parts) > 20 and max(b.num_rows for b in parts) <= 1_000 + 303 and pa.Table.from_batches(parts).equals(whole)
+
+
+@pytest.mark.parametrize("name", ["entities", "quoted_printable", "distill_pages"])
+def test_texts_go_to_python_in_small_batches(spark, sf, name):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        QUERIES[name](spark, sf)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("name", ["tool_modify_labels", "tool_domains_to_categorize", "tool_refresh_inbox", "tool_list_threads"])
+def test_tools_that_look_nothing_up_build_no_index(spark, sf, name, monkeypatch):
+    def never(*args, **named):
+        raise AssertionError("an index was opened")
+
+    monkeypatch.setattr("epistola.views.stored_index", never)
+    assert QUERIES[name](spark, sf).count() > 0
