@@ -774,3 +774,16 @@ def test_quality_scores_by_hand():
             assert abs(scores[k] - 1 / (1 + math.exp(-(model.slope * z + model.shift)))) < 1e-6
             at += 1
     assert at == len(SCORED)
+
+
+def test_measures_sort_without_comparators(spark):
+    """Sorting by a comparator calls an interpreted expression for each comparison; natural order gives the same counts and repeats."""
+    texts = ["a b c a b c d", "x y", "", "one two one two one two one", "b a B A b!"]
+    m = quality_rules.measures(docs(spark, *texts))
+    assert "array_sort" not in m._jdf.queryExecution().optimizedPlan().toString().replace("sort_array", "").lower() and "lambdafunction(if" not in m._jdf.queryExecution().optimizedPlan().toString()
+    for r in m.select("doc_id", "counts", "n_repeat_words").collect():
+        words = texts[r["doc_id"]].split()
+        own = [w.strip("!").lower() for w in words]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        assert sorted(c["n"] for c in r["counts"]) == sorted(own.count(w) for w in set(own)) and r["n_repeat_words"] == len(hit)
