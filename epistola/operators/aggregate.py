@@ -25,15 +25,16 @@ def touches(messages: DataFrame, own: DataFrame) -> DataFrame:
     """
     # mail without a thread, however much there is of it, is a thread of its own each: no task gathers it
     threaded = F.coalesce(F.col("thread_id") != "", F.lit(False))
-    m = with_addresses(messages).withColumn("thread", F.struct(F.when(threaded, F.col("thread_id")).alias("id"), F.when(~threaded, F.col("message_id")).alias("alone")))
+    m = messages.withColumn("thread", F.struct(F.when(threaded, F.col("thread_id")).alias("id"), F.when(~threaded, F.col("message_id")).alias("alone")))
     in_thread = Window.partitionBy("account", "thread").orderBy(F.col("internal_date").asc_nulls_first(), "message_id")
-    m = m.withColumn("first", threaded & (F.row_number().over(in_thread) == 1))
-    common = ["account", "message_id", "thread_id", "thread", "internal_date", "first", "unread", "starred", "important", "direction"]
-    got = m.where((F.col("direction") == "received") & F.col("sender").isNotNull()).select(*common, F.col("sender").alias("address"), display_name(F.col("from_addr")).alias("name"), F.lit(0).alias("pos"))
-    parts = F.concat(split_recipients(F.col("to_addr")), split_recipients(F.col("cc_addr")))
-    sent = m.where(F.col("direction") == "sent").select(*common, F.posexplode(parts).alias("pos", "part"))
-    sent = sent.select(*common, extract_address(F.col("part")).alias("address"), display_name(F.col("part")).alias("name"), "pos").where("address is not null")
-    both = got.unionByName(sent).join(few(own.select("account", "address").distinct()), ["account", "address"], "left_anti")
+    # people are cut out of the headers before rows are dealt: one shuffle, by thread, which serves both windows
+    got, sent = F.col("direction") == "received", F.col("direction") == "sent"
+    people = F.when(got, F.array("from_addr")).when(sent, F.concat(split_recipients(F.col("to_addr")), split_recipients(F.col("cc_addr"))))
+    common = ["account", "message_id", "thread_id", "thread", "internal_date", "unread", "starred", "important", "direction"]
+    m = m.select(*common, people.alias("people")).withColumn("first", threaded & (F.row_number().over(in_thread) == 1))
+    each = m.select(*common, "first", F.posexplode("people").alias("pos", "part"))
+    each = each.select(*common, "first", extract_address(F.col("part")).alias("address"), display_name(F.col("part")).alias("name"), "pos").where("address is not null")
+    both = each.join(few(own.select("account", "address").distinct()), ["account", "address"], "left_anti")
     before = Window.partitionBy("account", "thread", "address").orderBy(F.col("internal_date").asc_nulls_first(), F.col("message_id"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.max(F.col("direction") == "received").over(before), F.lit(False)) & threaded
     replied = (F.col("direction") == "sent") & earlier

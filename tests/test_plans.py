@@ -114,3 +114,11 @@ def test_tools_that_look_nothing_up_build_no_index(spark, sf, name, monkeypatch)
 
     monkeypatch.setattr("epistola.views.stored_index", never)
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_contacts_deal_mail_once(spark, sf):
+    """Both windows and the people of received and of sent mail come from one shuffle of messages by thread."""
+    from epistola.operators.aggregate import touches
+
+    text = plan(touches(V.messages(spark, sf), V.own_addresses(spark)))
+    assert len(re.findall(r"hashpartitioning\(account#\d+, thread#", text)) == 1
