@@ -71,10 +71,11 @@ def contact_parts(messages: DataFrame, own: DataFrame) -> DataFrame:
     fold = F.when(F.col("thread.id").isNotNull(), F.concat(F.lit("t:"), F.col("thread.id"))).otherwise(F.concat(F.lit("m:"), F.col("thread.alone")))
     order = F.struct(F.col("internal_date").isNotNull().alias("dated"), "internal_date", "message_id", "pos")
     named = F.when(F.col("name").isNotNull(), order)
-    return t.groupBy("account", fold.alias("fold"), "address").agg(
+    parts = t.groupBy("account", "thread", "address").agg(  # as the touches are dealt and sorted
         F.min_by("name", named).alias("name"), F.min(named).alias("named"), F.first(host_of(F.col("address"))).alias("domain"),
         *(_count(c).alias(n) for n, c in _contact_counts().items()), F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"),
     )
+    return parts.withColumn("fold", fold).drop("thread")
 
 
 def combine_contacts(parts: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import combine_contacts, contact_parts, thread_rollup
+from ..operators.merge import KEY
 from ..schemas import CONTACTS, IDENTITY, MESSAGES
 from ..scratch import drop, written
 from .store import MERGES, Store
@@ -27,6 +28,8 @@ CONTACT_PARTS = (
     "starred_count bigint, important_count bigint, first_seen bigint, last_seen bigint"
 )
 FOLDED = "version bigint"
+#: What a fold depends on: other columns may change without one.
+MAIL = ", ".join(c for c in MESSAGES.split(", ") if c.split()[0] in {"account", "message_id", "thread_id", "internal_date", "from_addr", "to_addr", "cc_addr", "subject", "is_list", "direction", "unread", "starred", "important", "body_state"})
 
 
 def _latest(key: list[str]):
@@ -65,16 +68,21 @@ def fold(store: Store) -> dict[str, int]:
     since, until = folded_version(store), store.version("messages")
     if since == until:
         return {"folds": 0, "contacts": 0}
-    changes = store.changes("messages", MESSAGES, since, until)
-    each = changes.select("account", F.explode(F.array(*(F.when(F.col(s).isNotNull(), fold_key(F.col(f"{s}.thread_id"), F.col("message_id"))) for s in ("before", "after")))).alias("fold"))
+    came, known = store.came(MAIL, since, until)
+    each = (came if known is None else came.join(known, KEY, "left_anti")).select("account", fold_key(F.col("thread_id"), F.col("message_id")).alias("fold"))
+    if known is not None:
+        changes = store.changes("messages", MAIL, since, until, known)
+        each = each.unionByName(changes.select("account", F.explode(F.array(*(F.when(F.col(s).isNotNull(), fold_key(F.col(f"{s}.thread_id"), F.col("message_id"))) for s in ("before", "after")))).alias("fold")))
     touched = written(each.where("fold is not null").distinct(), "touched")
     counted = {r["account"]: r["n"] for r in touched.groupBy("account").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = set(counted)
     if not of:
         store.write("folded", store.spark.createDataFrame([(until,)], FOLDED))
         return {"folds": 0, "contacts": 0}
-    mail = store.read("messages", MESSAGES, until, of).withColumn("fold", fold_key(F.col("thread_id"), F.col("message_id")))
-    mail = written(mail.join(touched, ["account", "fold"], "left_semi"), "touched-mail")
+    mail = store.messages(MAIL, until, of).withColumn("fold", fold_key(F.col("thread_id"), F.col("message_id")))
+    if store.manifest("messages", since)["parts"]:  # else all mail is touched
+        mail = mail.join(touched, ["account", "fold"], "left_semi")
+    mail = written(mail, "touched-mail")
     own = store.read("account_identity", IDENTITY).select("account", "address")
 
     # a touched thread that is gone keeps a row without values

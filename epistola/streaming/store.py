@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from ..errors import StoreError
 from ..operators.merge import KEY, reduce_arrivals
 from ..schemas import SCHEMA_VERSION, body_rank
+from ..scratch import FEW_ROWS, few, written
 
 #: Parts of an account from which they are merged for good; how often a commit is tried; versions of a whole-table kind that stay.
 MOST_PARTS, TRIES, KEPT_VERSIONS = 8, 200, 20
 
+_KEYS = "account string, message_id string"
+
 #: How the parts of a table are reduced: rows with their ``arrival`` to one row a key.
 MERGES: dict[str, Callable[[DataFrame], DataFrame]] = {"messages": reduce_arrivals}
 
@@ -147,7 +150,7 @@ class Store:
         paths = [f"{self._data(name)}/part={p['path']}" for p in parts]
         return self.spark.read.option("basePath", self._data(name)).schema(f"{schema}, part string").parquet(*paths)
 
-    def _rows(self, name: str, schema: str, manifest: dict, accounts: set[str] | None = None) -> DataFrame:
+    def _rows(self, name: str, schema: str, manifest: dict, accounts: set[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
         parts = [p for p in manifest["parts"] if accounts is None or p["account"] in accounts]
         if name not in MERGES:
             return self._read(name, schema, parts).drop("part")
@@ -156,14 +159,44 @@ class Store:
             by.setdefault(p["account"], []).append(p)
         whole = [p for own in by.values() if len(own) == 1 and own[0]["whole"] for p in own]
         rest = [p for p in parts if p not in whole]
-        out = self._read(name, schema, whole).drop("part")
+        of = (lambda rows: rows) if keys is None else (lambda rows: rows.join(keys, KEY, "left_semi"))
+        out = of(self._read(name, schema, whole).drop("part"))
         if not rest:
             return out
         # a row a part of the manifest, which the driver holds
         arrival = F.broadcast(self.spark.createDataFrame([(unquote(p["path"]), p["arrival"]) for p in rest], "part string, arrival long"))
-        merged = MERGES[name](self._read(name, schema, rest).join(arrival, "part").drop("part"))
+        merged = MERGES[name](of(self._read(name, schema, rest)).join(arrival, "part").drop("part"))
         return merged if not whole else out.unionByName(merged)
 
+    def messages(self, schema: str, version: int, accounts: set[str]) -> DataFrame:
+        """The messages of some accounts, as ``read`` gives them. Which keys have several rows is looked up first, in the keys alone; where those are few, only their rows are dealt to be merged."""
+        parts = [p for p in self.manifest("messages", version)["parts"] if p["account"] in accounts]
+        several = self._read("messages", f"{_KEYS}", parts).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
+        several = written(several, "several")
+        if several.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+            return self.read("messages", schema, version, accounts)
+        several = F.broadcast(several)
+        once = self._read("messages", schema, parts).drop("part").join(several, KEY, "left_anti")
+        return once.unionByName(self._rows("messages", schema, {"parts": parts}, None, several))
+
+    def added(self, name: str, since: int, until: int) -> list[dict]:
+        """The parts that came after version ``since``."""
+        out: list[dict] = []
+        for v in range(since + 1, until + 1):
+            m = self.manifest(name, v)
+            out += [p for p in m["parts"] if p["path"] in set(m["added"])]
+        return out
+
+    def came(self, schema: str, since: int, until: int) -> tuple[DataFrame, DataFrame | None]:
+        """Rows that were added to the messages after version ``since``, and those of their keys that it knew; None where it knew none. Only keys are compared."""
+        added = self.added("messages", since, until)
+        rows, accounts = self._read("messages", schema, added).drop("part"), {p["account"] for p in added}
+        old = [p for p in self.manifest("messages", since)["parts"] if p["account"] in accounts]
+        if not old or not added:
+            return rows, None
+        known = written(rows.select(*KEY).join(self._read("messages", _KEYS, old).select(*KEY), KEY, "left_semi").distinct(), "known")
+        return rows, None if known.isEmpty() else few(known)
+
     def read(self, name: str, schema: str, version: int | None = None, accounts: set[str] | None = None) -> DataFrame:
         """The table, as of its last version or an earlier one; of some accounts only, where it has parts by account."""
         return self._rows(name, schema, self.manifest(name, version), accounts)
@@ -280,17 +313,14 @@ class Store:
 
     # -- changes
 
-    def changes(self, name: str, schema: str, since: int, until: int | None = None) -> DataFrame:
+    def changes(self, name: str, schema: str, since: int, until: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """account, message_id, change (inserted, updated, demoted), before, after: what came or changed after version ``since``. Reads the parts that were added, and the touched accounts as they
-        were and are; keys that came again as they were aren't changes."""
+        were and are; keys that came again as they were aren't changes. ``among``: of the keys that came, those asked for."""
         last = self.version(name) if until is None else until
-        added: list[dict] = []
-        for v in range(since + 1, last + 1):
-            m = self.manifest(name, v)
-            added += [p for p in m["parts"] if p["path"] in set(m["added"])]
-        keys = self._read(name, schema, added).select(*KEY).distinct()
+        added = self.added(name, since, last)
+        keys = self._read(name, schema, added).select(*KEY).distinct() if among is None else among
         accounts = {p["account"] for p in added}
-        side = lambda v, n: self.read(name, schema, v, accounts).join(keys, KEY, "left_semi").select(*KEY, F.struct(*(c for c in self._names_of(schema) if c not in KEY)).alias(n))
+        side = lambda v, n: self._rows(name, schema, self.manifest(name, v), accounts, keys).select(*KEY, F.struct(*(c for c in self._names_of(schema) if c not in KEY)).alias(n))
         both = side(since, "before").join(side(last, "after"), KEY, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
         lower = body_rank(F.col("after.body_state")) > body_rank(F.col("before.body_state"))
         demoted = lower & (F.col("after.body_state") == "summary-only")

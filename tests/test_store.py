@@ -212,3 +212,37 @@ def test_folds_equal_a_rebuild(spark, tmp_path):
     store.put("messages", store.read("messages", MESSAGES).limit(5))  # rows that come again as they are
     assert D.fold(store) == {"folds": 0, "contacts": 0} and D.folded_version(store) == store.version("messages")
     assert [f.split()[0] for f in CONTACTS.split(", ")] == D.contacts(store).columns
+
+
+def test_messages_are_read_as_merged(spark, tmp_path, monkeypatch):
+    """Whether the keys with several rows are few or many; rows of one key in one part are merged, too."""
+    store, rng = T.Store(spark, f"file://{tmp_path}/store"), random.Random(11)
+    for turn in range(4):
+        rows = [{"message_id": str(i), "subject": f"s{turn}", "body_state": rng.choice(("meta", "full")), "thread_id": f"t{i % 3}"} for i in rng.sample(range(40), 15)]
+        for account in rng.sample("abc", 2):
+            store.put("messages", messages(spark, *rows, account=account).unionByName(messages(spark, rows[0], account=account)))
+        if turn == 1:
+            store.compact("messages", "a")
+    last = store.version("messages")
+    for version in (2, last):
+        expected = rows_of(store.read("messages", D.MAIL, version, {"a", "b"}))
+        assert rows_of(store.messages(D.MAIL, version, {"a", "b"}).select(*(f.split()[0] for f in D.MAIL.split(", ")))) == expected
+        monkeypatch.setattr(T, "FEW_ROWS", 0)
+        assert rows_of(store.messages(D.MAIL, version, {"a", "b"})) == expected
+        monkeypatch.undo()
+
+
+def test_a_fold_compares_only_what_was_known(spark, tmp_path, monkeypatch):
+    """New mail is folded without merging rows to compare them; known mail is compared, and what came again as it was isn't folded."""
+    store = T.Store(spark, f"file://{tmp_path}/store")
+    store.write("account_identity", spark.createDataFrame([("a", "me@x.org", "table", 0, 0)], IDENTITY))
+    asked, changes = [], store.changes
+    monkeypatch.setattr(store, "changes", lambda *args: asked.append(args) or changes(*args))
+    mail = lambda ids, **more: messages(spark, *({"message_id": str(i), "thread_id": f"t{i % 4}", "from_addr": f"P <p{i}@x.org>", "internal_date": i} | more for i in ids))
+    for k, ids in enumerate((range(8), range(8, 12))):
+        store.put("messages", mail(ids))
+        assert D.fold(store)["folds"] == 4 and not asked, k
+    store.put("messages", mail([0, 5]).unionByName(mail([6], subject="new")))
+    assert D.fold(store)["folds"] == 1 and len(asked) == 1
+    m = store.read("messages", MESSAGES)
+    assert rows_of(D.threads(store).select(*A.thread_rollup(m).columns)) == rows_of(A.thread_rollup(m))
