@@ -148,9 +148,36 @@ def _located(stemmed: bool):
     return run
 
 
-def located(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+def _in_runs(run):
+    """What ``run`` gives, sorted by term and message in runs of about ``LOCATED_ROWS``: rows of one term that lie together shrink where they are written and dealt.
+    Of a message's rows only that with its length names it; the others have its number."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sort(held):
+        table = pa.Table.from_batches(held)
+        at = table.schema.get_field_index("message_id")
+        named = pc.if_else(pc.is_null(table["term"]), table["message_id"], pa.scalar(None, pa.string()))
+        return table.set_column(at, table.schema.field(at), named).sort_by([("term", "ascending"), ("doc", "ascending")]).to_batches()
+
+    def runs(batches):
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LOCATED_ROWS:
+                yield from sort(held)
+                held, n = [], 0
+        if held:
+            yield from sort(held)
+
+    return runs
+
+
+def located(rows: DataFrame, stemmed: bool = True, in_runs: bool = False) -> DataFrame:
     bound_batches(rows.sparkSession)
-    return rows.select(*KEY, *WEIGHTS).mapInArrow(_located(stemmed), LOCATED)
+    run = _located(stemmed)
+    return rows.select(*KEY, *WEIGHTS).mapInArrow(_in_runs(run) if in_runs else run, LOCATED)
 
 
 def index_of(rows: DataFrame, stemmed: bool = True) -> SearchIndex:

@@ -32,8 +32,9 @@ def query(sql: str):
     return put
 
 
-def _tools(spark: SparkSession, d: str) -> tuple[V.Mail, Tools]:
-    mail = V.Mail(spark, d)
+def _tools(spark: SparkSession, d: str, people: bool = True) -> tuple[V.Mail, Tools]:
+    """people: whether the tool reads contacts, so that the engine's store should hold them."""
+    mail = V.Mail(spark, d, hold_contacts=people)
     labels = spark.createDataFrame([("a0", "STARRED", "Kept", "system", 0), ("a1", "STARRED", "Marked", "system", 0)], LABELS)
     profile = spark.createDataFrame([(f"a{i}", [f"flight {i}", "signup invoice"], 0) for i in range(3)], INTEREST_PROFILE)
     domains = mail.domains.withColumns({"category_note": F.lit(None).cast("string"), "categorized_at": F.lit(None).cast("long")})
@@ -131,7 +132,7 @@ def _starting(*stems: str) -> list[str]:
 @query("SELECT account || ':' || message_id AS ref FROM (" + bm25_sql(_MAIL_ROWS, _starting("purchas", "user"), "WHERE account = 'a1'", 15) + ")")
 def tool_search(spark: SparkSession, d: str) -> DataFrame:
     """O search, D1, G1, L2, L3, L5, I28: one account's best hits over the stored index"""
-    return _tools(spark, d)[1].search("purchases user", "a1").select("ref")
+    return _tools(spark, d, people=False)[1].search("purchases user", "a1").select("ref")
 
 
 @query(

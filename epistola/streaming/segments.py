@@ -1,7 +1,7 @@
 """The stored search index: immutable segments, updates by small ones, and a search that reads the best blocks only.
 
-A segment numbers its messages and cuts them into blocks of ``BLOCK_DOCS``. Its tables: ``docs`` (a row a message), ``postings`` (a row a term and column of a message, with the message's weighted count of the term and
-its length) and ``blocks`` (for each term and block: its messages, their highest count and their smallest length). Postings are dealt over files by ranges of (term, block), so a term that
+A segment numbers its messages and cuts them into blocks of ``BLOCK_DOCS``. Its tables: ``docs`` (a row a message), ``postings`` (a row a term and column of a message, with the message's number, account, weighted count of the term and
+length) and ``blocks`` (for each term and block: its messages, their highest count and their smallest length). Postings are dealt over files by ranges of (term, block), so a term that
 most messages hold fills many files, none above about ``FILE_ROWS`` rows, and a term or prefix still touches neighbouring files only, which a small ``directory`` names.
 
 An update writes one segment of the messages that changed, and for each older segment the list of its messages that are gone from it. How many messages and tokens live is kept as sums in the manifest. Segments merge when there are many, smaller ones first, or when
@@ -33,7 +33,7 @@ FILE_ROWS = 2_000_000
 #: Blocks that are scored first; blocks up to which all of them are; segments, share of gone messages and file names that are too many.
 FIRST_BLOCKS, FEW_BLOCKS, MOST_SEGMENTS, MOST_GONE, MOST_FILES = 16, 64, 8, 0.25, 1_000
 
-_POSTINGS = "term string, block long, doc long, account string, message_id string, col string, positions array<int>, f double, lead boolean, length long"
+_POSTINGS = "term string, block long, doc long, account string, col string, positions array<int>, f double, lead boolean, length long"
 _BLOCKS = "term string, block long, n long, most double, shortest long"
 _DOCS = "doc long, block long, account string, message_id string, length long"
 _GONE = "doc long, block long"
@@ -86,7 +86,7 @@ class StoredIndex:
         return segment | {"docs": size["n"], "length": size["l"], "gone_docs": 0, "gone_length": 0}
 
     def _segment_of(self, rows: DataFrame) -> dict:
-        t = written(located(rows, self.stemmed), "located")
+        t = written(located(rows, self.stemmed, in_runs=True), "located")
         n = t.where("term is not null").count()
         out = self._write(t.where("term is not null"), t.where("term is null").select("doc", *KEY, "length"), n)
         drop(t)
@@ -152,7 +152,7 @@ class StoredIndex:
         docs = reduce(DataFrame.unionByName, (self._live(s, self._table(s, "docs", _DOCS)).withColumn("s", F.lit(i)) for i, s in enumerate(old)))
         numbered = written(docs.select("s", F.col("doc").alias("old"), *KEY, "length").coalesce(max(1, sum(s["docs"] for s in old) // (1 << 20))).withColumn("doc", F.monotonically_increasing_id()), "numbered")
         each = reduce(DataFrame.unionByName, (self._table(s, "postings", _POSTINGS).withColumn("s", F.lit(i)) for i, s in enumerate(old)))
-        postings = each.withColumnRenamed("doc", "old").drop(*KEY, "length").join(numbered, ["s", "old"])
+        postings = each.withColumnRenamed("doc", "old").drop("account", "length").join(numbered, ["s", "old"])
         segment = self._write(postings, numbered, max(1, sum(s["rows"] for s in old)))
         drop(numbered)
 
@@ -171,7 +171,8 @@ class StoredIndex:
         if not parts:
             return SearchIndex(self.spark.createDataFrame([], POSTINGS), self.spark.createDataFrame([], LENGTHS))
         of = lambda table, schema, wanted: reduce(DataFrame.unionByName, (self._live(s, self._table(s, table, schema)).select(*(c.split()[0] for c in wanted.split(", "))) for s in parts))
-        return SearchIndex(of("postings", _POSTINGS, POSTINGS), of("docs", _DOCS, LENGTHS))
+        named = (self._live(s, self._table(s, "postings", _POSTINGS)).drop("account").join(self._table(s, "docs", _DOCS).select("doc", *KEY), "doc").select(*(c.split()[0] for c in POSTINGS.split(", "))) for s in parts)
+        return SearchIndex(reduce(DataFrame.unionByName, named), of("docs", _DOCS, LENGTHS))
 
     def terms(self) -> DataFrame:
         """term, n: the live messages that hold each term. Blocks are summed; only those with gone messages are counted anew."""
@@ -230,7 +231,7 @@ class StoredIndex:
         idf = [max(math.log((n_docs - n + 0.5) / (n + 0.5)), IDF_FLOOR) for n in df]
         total = sum(r["rows"] for r in seen.values())
         if k is None or min(total, sum((s["docs"] >> BLOCK_BITS) + 1 for s in parts)) <= few_blocks:
-            return Found(self._best(self._scores(held, stems, idf, mean), k, account), total, total)
+            return Found(self._best(self._scores(held, stems, idf, mean), k, account, parts), total, total)
         # what a message of each block can reach: of a phrase, the count of its rarest stem in the longest of the shortest messages
         by_stem = each.groupBy("s", "block", "phrase", "stem").agg(F.sum("most").alias("most"), F.min("shortest").alias("shortest"))
         sizes, weights = F.array(*(F.lit(len(own)) for own in stems)), F.array(*map(F.lit, idf))
@@ -239,12 +240,12 @@ class StoredIndex:
         bounds = written(by_phrase.groupBy("s", "block").agg((F.sum(F.get(weights, F.col("phrase")) * _part(F.col("f"), F.col("length"), mean)) * (1 + 1e-9)).alias("bound")), "bounds")
         first = [(r["s"], r["block"]) for r in bounds.orderBy(F.col("bound").desc()).limit(first_blocks).collect()]
         one_of = reduce(Column.__or__, ((F.col("s") == s) & F.col("block").isin([b for x, b in first if x == s]) for s in {s for s, _ in first}), F.lit(False))
-        found = [r["score"] for r in self._best(self._scores(held.where(one_of), stems, idf, mean), k, account).collect()]
+        found = [r["score"] for r in self._best(self._scores(held.where(one_of), stems, idf, mean), k, account, parts).select("score").collect()]
         threshold = -sorted(found)[k - 1] if len(found) >= k else 0.0
         above = bounds.where(F.col("bound") >= threshold).select("s", "block")
         n = above.count()
         read = held.join(F.broadcast(above) if n <= 100_000 else above, ["s", "block"], "left_semi")
-        return Found(self._best(self._scores(read, stems, idf, mean), k, account), bounds.count(), n)
+        return Found(self._best(self._scores(read, stems, idf, mean), k, account, parts), bounds.count(), n)
 
     def _frequencies(self, stems: list[list[tuple[str, bool]]], seen: dict, held: DataFrame, parts: list[dict]) -> list[int]:
         """Live messages that hold each phrase: for one that is a single term, by the sums of its blocks without those that are gone; for others they are counted."""
@@ -273,16 +274,21 @@ class StoredIndex:
 
     def _scores(self, held: DataFrame, stems: list[list[tuple[str, bool]]], idf: list[float], mean: float) -> DataFrame:
         counted = reduce(DataFrame.unionByName, (_places(held, own).withColumn("idf", F.lit(idf[i])) for i, own in enumerate(stems)))
-        return counted.groupBy("s", "doc").agg(F.first("account").alias("account"), F.first("message_id").alias("message_id"), (-F.sum(F.col("idf") * _part(F.col("f"), F.col("length"), mean))).alias("score"))
+        return counted.groupBy("s", "doc").agg(F.first("account").alias("account"), (-F.sum(F.col("idf") * _part(F.col("f"), F.col("length"), mean))).alias("score"))
 
-    def _best(self, scores: DataFrame, k: int | None, account: str | None) -> DataFrame:
+    def _best(self, scores: DataFrame, k: int | None, account: str | None, parts: list[dict]) -> DataFrame:
         if account:
             scores = scores.where(F.col("account") == account)
-        scores = scores.select(*KEY, "score")
+        scores = scores.select("s", "doc", "score")
         if k is None:
-            return scores
+            return self._named(scores, parts)
         nth = F.rank().over(Window.orderBy("score"))  # each task hands on its own k best and their ties
-        return scores.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+        return self._named(scores.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), parts)
+
+    def _named(self, scores: DataFrame, parts: list[dict]) -> DataFrame:
+        """account, message_id, score: postings only number their messages, and only hits are looked up."""
+        docs = reduce(DataFrame.unionByName, (self._table(p, "docs", _DOCS).select(F.lit(i).alias("s"), "doc", *KEY) for i, p in enumerate(parts)))
+        return docs.join(scores, ["s", "doc"]).select(*KEY, "score")
 
     def hits(self, phrases: list[Phrase], k: int | None = None, account: str | None = None) -> DataFrame:
         return self.search(phrases, k, account).hits
@@ -293,8 +299,8 @@ def _part(f: Column, length: Column, mean: float) -> Column:
 
 
 def _places(held: DataFrame, stems: list[tuple[str, bool]]) -> DataFrame:
-    """s, doc, account, message_id, length, f of the messages that hold a phrase. A single stem needs no positions."""
-    of = ["s", "doc", *KEY, "length"]
+    """s, doc, account, length, f of the messages that hold a phrase. A single stem needs no positions."""
+    of = ["s", "doc", "account", "length"]
     if len(stems) == 1:
         return held.where(term_matches(F.col("term"), *stems[0]) & F.col("lead")).groupBy(*of).agg(F.sum("f").alias("f"))
     out = None

@@ -163,8 +163,8 @@ class Opened:
 class Mail:
     """Messages and what is derived from them. Messages and contacts are opened where the engine's store holds them (``held``); the rest is derived from those."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, hold_contacts: bool = True):
+        self.spark, self.sf_dir, self.hold_contacts = spark, sf_dir, hold_contacts
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -172,7 +172,8 @@ class Mail:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return held(self.spark, self.sf_dir, "contacts", lambda: contact_rollup(self.messages, own_addresses(self.spark)))
+        make = lambda: contact_rollup(self.messages, own_addresses(self.spark))
+        return held(self.spark, self.sf_dir, "contacts", make) if self.hold_contacts else make()
 
     def index(self, stemmed: bool = True) -> StoredIndex:
         """The stored search index of the messages."""

@@ -117,3 +117,19 @@ def test_two_writers_of_an_index(spark, tmp_path):
     index.update(new, new.select("account", "message_id"))
     hits = lambda q: sorted(r["message_id"] for r in index.hits(S.parse(q, stemmed=False)).collect())
     assert (hits("one"), hits("two"), hits("other"), hits("mine")) == (["1"], [], ["3"], ["2"])
+
+
+def test_postings_come_in_runs_and_name_no_message(spark, tmp_path, monkeypatch):
+    """Rows are dealt in runs of a term, all of them, and only hits are looked up by name."""
+    monkeypatch.setattr(S, "LOCATED_ROWS", 50)
+    given = rows(spark, texts(random.Random(7), 60)).coalesce(1)
+    plain, runs = S.located(given, False).collect(), S.located(given, False, in_runs=True).collect()
+    once = lambda r: repr(r.asDict() | {"message_id": None if r["term"] else r["message_id"]})
+    assert sorted(map(once, plain)) == sorted(map(repr, (r.asDict() for r in runs)))
+    falls = lambda got: sum((a["term"] or "~") > (b["term"] or "~") for a, b in zip(got, got[1:], strict=False))
+    assert falls(runs) < falls(plain) / 5
+    index = G.StoredIndex(Store(spark, f"file://{tmp_path}/s"), stemmed=False)
+    index.rebuild(given)
+    assert "message_id" not in spark.read.parquet(index._path(index.segments()[0]["path"], "postings")).columns
+    phrases = S.parse("w1 w2-w1", False, False, False)
+    assert found(index.hits(phrases)) == found(S.bm25(S.build_index(given, False), phrases))
