@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, fresh_name, join_spread, materialize, table
+from .runtime import bound_batches, fresh_name, join_spread, materialize, release, table
 from .wordhash import Words, hash_words, mix
 
 WINDOW = 10
@@ -166,6 +166,7 @@ def _hashed(b: DataFrame) -> DataFrame:
     """item, n (words) and h (their hashes) of each benchmark text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for r in hash_words(batch.column(1).to_pylist()):
                 n = r.counts()
@@ -205,6 +206,7 @@ def _by_broadcast(d: DataFrame, b: DataFrame, window: int) -> DataFrame:
     index = _broadcast_index(b, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = index.value
         for batch in batches:
             out = []
@@ -237,6 +239,7 @@ def _windows(b: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """win, rare, key, at, n, words of distinct windows, and win, item. A rarest word is the rarest of the whole benchmark."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for item, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 h = np.frombuffer(raw.as_py(), np.uint64)
@@ -248,6 +251,7 @@ def _windows(b: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     each = materialize(b.mapInArrow(cut, "item string, words binary").select(win.alias("win"), "item", "words").distinct(), "windows")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for raw in batch.column(2):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_py(), np.int64))], names=["word"])
@@ -255,6 +259,7 @@ def _windows(b: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     counts = b.mapInArrow(words_of, "word long").groupBy("word").agg(F.count(F.lit(1)).alias("f"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.frombuffer(raw.as_py(), np.int64)
@@ -265,6 +270,7 @@ def _windows(b: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     rarest = ranked.groupBy("win").agg(F.min_by(F.struct("word", "at"), F.struct("f", "word", "at")).alias("r"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             at, raw = batch.column(2).to_pylist(), batch.column(3)
             keys = []
@@ -288,6 +294,7 @@ def _hits(rows: DataFrame, row: str, text: str, b: DataFrame, window: int, held_
         held = rows.sparkSession.sparkContext.broadcast(np.sort(rare.toArrow().column(0).to_numpy()).view(np.uint64))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = np.sort(held.value) if held else None
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -323,6 +330,7 @@ def _hits(rows: DataFrame, row: str, text: str, b: DataFrame, window: int, held_
 
 def _judged(rows: DataFrame, hits: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n = np.concatenate([np.zeros(0, np.int64), *(r.counts() for r in hash_words(batch.column(1).to_pylist()))])
             out = [_row(k, [(a["first"], a["end"]) for a in ranges or ()], set(items or ())) for k, ranges, items in zip(n.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -344,6 +352,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     index, at = _broadcast_index(b, window), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             clean = []
             for r in hash_words(batch.column(at).cast(pa.string()).to_pylist()):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cuckoo import CuckooFilter
-from .runtime import bound_batches, delete_at_exit, fresh_name, join_spread, materialize, scratch_path, table
+from .runtime import bound_batches, delete_at_exit, fresh_name, join_spread, materialize, release, scratch_path, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Largest size of what is sent to every worker: frequent keys (16 bytes each) and filters.
@@ -193,6 +193,7 @@ class LineStore:
         schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 count: Counter[bytes] = Counter()
                 for text in batch.column(0):
@@ -223,6 +224,7 @@ class LineStore:
         at, min_chars = names.index(text_col), self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             shards, raw, k1, k2 = sent.value
             test = _tester(shards, raw, (k1, k2))
             for batch in batches:
@@ -253,6 +255,7 @@ class LineStore:
         rows = self.spark.read.parquet(path)
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             test = _tester(*sent.value) if sent else None
             for batch in batches:
                 number, pos, digests = [], [], []

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import bound_batches, fresh_name, join_spread, materialize, table, without
+from .runtime import bound_batches, fresh_name, join_spread, materialize, release, table, without
 from .wordhash import hash_words, mix, shingles
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9998
@@ -94,6 +94,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([*longs, ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             first = 0
             for s, offsets in _sets(batch.column(2).to_pylist(), n):
@@ -115,6 +116,7 @@ def _packed_sets(n: int, held=None):
     smallest id; a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
@@ -252,6 +254,7 @@ def _grouped(d: DataFrame, n: int, threshold: float, recall: float, rows: int, b
     members_of = materialize(texts.groupBy("block").agg(F.collect_list(F.struct("c", "copies", "s")).alias("rows")), "sets")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for r in batch.column(0):
                 rows_ = r.as_py()
@@ -259,6 +262,7 @@ def _grouped(d: DataFrame, n: int, threshold: float, recall: float, rows: int, b
                     yield _link_batch(*_links(_unpacked(rows_), None, threshold))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 yield _link_batch(*_links(_unpacked(a.as_py()), _unpacked(b.as_py()), threshold))

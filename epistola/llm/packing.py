@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import keep, table
 
 CAPACITY, END_ID, SLACK = 2048, 1, 1 / 64
 #: Distinct chunks whose ids a worker remembers, in each of two generations: those of the younger one and those
@@ -71,7 +71,8 @@ class ChunkTokenizer:
     are remembered. With any other tokenizer, texts are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self._remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,7 +99,7 @@ class ChunkTokenizer:
                 text = low
         chunks = text.replace("\n", " ").split(" ")
         distinct = set(chunks)
-        if len(self._known) > REMEMBERED_CHUNKS:
+        if len(self._known) > (self._remembered or REMEMBERED_CHUNKS):
             self._older, self._known = self._known, {"": b""}
         known, older = self._known, self._older
         if missing := distinct.difference(known):
@@ -142,14 +143,9 @@ class ChunkTokenizer:
         return True
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
-    """One for each worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, remembered: int | None = None) -> ChunkTokenizer:
+    """One for each worker process, until a task of another operator runs there: what it remembers takes up to about 150 MB."""
+    return keep((ChunkTokenizer, path, remembered), lambda: ChunkTokenizer(path, remembered))
 
 
 def cut(tokens: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
@@ -207,10 +203,11 @@ class HarmonicPacker:
         return [x for pieces in bins for x in self._close(pieces)]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, slack: float = SLACK, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, slack: float = SLACK, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with
     ``with_ids``, its ids as little-endian unsigned 32-bit integers. Sequence ids are unique over the
-    result: the partition's number and a count within it. A task that runs again gives the same rows."""
+    result: the partition's number and a count within it. A task that runs again gives the same rows. remembered: chunks that a
+    worker remembers in place of ``REMEMBERED_CHUNKS``; fewer take less memory and more time, and give the same rows."""
     path = tokenizer_path or default_tokenizer()
     end = end_id.to_bytes(4, "little")
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -220,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, *, id_col
         return [(*p[:5], base + s, o, *p[5:]) for p, s, o in placed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, base, out = tokenizer(path), HarmonicPacker(capacity), TaskContext.get().partitionId() << 36, []
+        tokens, packer, base, out = tokenizer(path, remembered), HarmonicPacker(capacity), TaskContext.get().partitionId() << 36, []
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * len(schema)

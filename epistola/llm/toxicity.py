@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, drop_scratch, materialize, table
+from .runtime import bound_batches, drop_scratch, materialize, release, table
 from .wordhash import Words, hash_words
 
 FOLDS, HELD_OUT = 3, 1
@@ -296,6 +296,7 @@ _CHANGES = f"k int, w long, {', '.join(f'd{i} long' for i in range(DIM + 1))}"
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, y, lang, text, shard -> doc_id, y, lang, shard, part, f (three bucket numbers a word)."""
+    release()
     for batch in batches:
         f = []
         for words in hash_words(batch.column("text").to_pylist(), _SPAN):
@@ -307,6 +308,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """part, y, f -> documents of a part and class that hold a bucket; bucket BUCKETS is held by all."""
+    release()
     seen = np.zeros((PARTS, 2, BUCKETS + 1), np.int64)
     for batch in batches:
         for part, y, f in zip(batch.column("part").to_pylist(), batch.column("y").to_pylist(), batch.column("f"), strict=True):
@@ -335,6 +337,7 @@ def _round(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             yield at, docs, ys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for _, own in itertools.groupby(steps(batches), key=lambda s: s[0]):
             t, n = held.value.copy(), 0
             for _, docs, ys in own:
@@ -360,6 +363,7 @@ def _rate(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """lang, y, f -> lang, y, score by one model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = [np.frombuffer(f.as_buffer(), np.uint64) for f in batch.column("f")]
             s = [held.value.scores(unpack(a), np.array([0, len(a)])) for a in x]
@@ -404,6 +408,7 @@ def score(docs: DataFrame, model: ConvText, thresholds: dict[str, float], *, id_
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             s = [held.value.scores(features(w), w.offsets) for w in hash_words(batch.column(1).to_pylist(), _SPAN)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(s) if s else np.zeros(0), pa.float64())], schema=schema)
@@ -424,6 +429,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             s = np.concatenate([held.value.scores(features(w), w.offsets) for w in hash_words(batch.column(text_at).to_pylist(), _SPAN)]) if batch.num_rows else np.zeros(0)
             limit = np.array([thresholds.get(lang, DEFAULT_THRESHOLD) for lang in batch.column(lang_at).to_pylist()])
