@@ -101,6 +101,13 @@ class Store:
         at, files = self._fs(path)
         files.delete(at, True)
 
+    def _move(self, names: list[str], source: str, target: str) -> None:
+        at, files = self._fs(target)
+        files.mkdirs(at)
+        for n in names:
+            if not files.rename(self._fs(f"{source}/{n}")[0], self._fs(f"{target}/{n}")[0]):
+                raise StoreError(f"{source}/{n} can't be moved to {target}")
+
     def _data(self, name: str) -> str:
         return f"{self.path}/{name}/data"
 
@@ -233,13 +240,19 @@ class Store:
         raise StoreError(f"{name}: {TRIES} times another writer was first")
 
     def _stage(self, name: str, rows: DataFrame, batch: str | None = None) -> list[dict]:
-        """Parts of ``rows``, one for each batch and account, which no manifest names yet; one job."""
+        """Parts of ``rows``, one for each batch and account, which no manifest names yet; one job. It writes to a folder of its own, from which the parts are moved: a job that ends deletes the
+        unfinished files of all jobs that write to its folder, whose tasks then lose their rows without a word."""
         own = uuid.uuid4().hex
         number = F.col(batch).cast("string") if batch else F.lit("0")
         part = F.concat_ws("~", F.lit(own), number, F.coalesce("account", F.lit("")))
         out = rows.withColumn("part", part)
-        (out.drop(batch) if batch else out).write.mode("append").partitionBy("part").parquet(self._data(name))
-        found = [n.removeprefix("part=") for n in self._names(self._data(name)) if n.startswith(f"part={own}~")]
+        draft = f"{self.path}/{name}/draft/{own}"
+        try:
+            (out.drop(batch) if batch else out).write.partitionBy("part").parquet(draft)
+            found = [n.removeprefix("part=") for n in self._names(draft) if n.startswith(f"part={own}~")]
+            self._move([f"part={n}" for n in found], draft, self._data(name))
+        finally:
+            self._delete(draft)
         entry = lambda n: {"path": n, "account": unquote(n).split("~", 2)[2], "batch": int(unquote(n).split("~", 2)[1]), "arrival": 0, "whole": False}
         return sorted(map(entry, found), key=lambda e: e["batch"])
 

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -60,6 +61,41 @@ def test_accounts_sync_at_the_same_time(spark, tmp_path):
     assert store.read("account_identity", IDENTITY).count() == 8
 
 
+def test_a_commit_leaves_the_files_of_others_alone(spark, tmp_path):
+    """An account's file is being written while another's commit ends: no row of it is lost."""
+    store, go = T.Store(spark, f"file://{tmp_path}/store"), tmp_path / "go"
+
+    def waiting(batches):
+        for k, batch in enumerate(batches):
+            yield batch
+            for _ in range(300):
+                if k < 2 or go.exists():  # a batch's last bytes leave the worker with the next
+                    break
+                time.sleep(0.1)
+
+    rows = lambda account, n: messages(spark, *({"message_id": f"{account}-{i}", "internal_date": i, "snippet": "s" * 2000} for i in range(n)), account=account)
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "100", "spark.sql.maxConcurrentOutputFileWriters": "4"}  # rows go to the file as they come, unsorted
+    before = {k: spark.conf.get(k) for k in settings}
+    slow = rows("slow", 500).coalesce(1).mapInPandas(waiting, MESSAGES)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        with ThreadPoolExecutor(1) as pool:
+            put = pool.submit(store.put, "messages", slow)
+            while not (put.done() or list(tmp_path.glob("store/messages/**/_temporary/**/*.parquet"))):
+                time.sleep(0.05)
+            try:
+                store.put("messages", rows("quick", 5))
+            finally:
+                go.touch()
+            put.result()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["account"], r["count"]) for r in store.read("messages", MESSAGES).groupBy("account").count().collect()} == {("slow", 500), ("quick", 5)}
+    assert not list(tmp_path.glob("store/messages/draft/*"))
+
+
 def test_one_run_of_an_account(spark, tmp_path):
     """Of two drivers that enter the same account at once, one gets it."""
     path = f"file://{tmp_path}/store"
