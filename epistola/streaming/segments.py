@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StoreError
 from ..operators.search import B, IDF_FLOOR, K1, KEY, LENGTHS, POSTINGS, WEIGHTS, Phrase, SearchIndex, located, term_matches
-from ..scratch import drop, written
+from ..scratch import FEW_ROWS, drop, written
 from .store import KEPT_VERSIONS, TRIES, Store
 
 BLOCK_BITS = 9
@@ -231,7 +231,8 @@ class StoredIndex:
         idf = [max(math.log((n_docs - n + 0.5) / (n + 0.5)), IDF_FLOOR) for n in df]
         total = sum(r["rows"] for r in seen.values())
         if k is None or min(total, sum((s["docs"] >> BLOCK_BITS) + 1 for s in parts)) <= few_blocks:
-            return Found(self._best(self._scores(held, stems, idf, mean), k, account, parts), total, total)
+            most = sum(r["n"] for r in seen.values())
+            return Found(self._best(self._scores(held, stems, idf, mean), k, account, parts, most), total, total)
         # what a message of each block can reach: of a phrase, the count of its rarest stem in the longest of the shortest messages
         by_stem = each.groupBy("s", "block", "phrase", "stem").agg(F.sum("most").alias("most"), F.min("shortest").alias("shortest"))
         sizes, weights = F.array(*(F.lit(len(own)) for own in stems)), F.array(*map(F.lit, idf))
@@ -276,17 +277,20 @@ class StoredIndex:
         counted = reduce(DataFrame.unionByName, (_places(held, own).withColumn("idf", F.lit(idf[i])) for i, own in enumerate(stems)))
         return counted.groupBy("s", "doc").agg(F.first("account").alias("account"), (-F.sum(F.col("idf") * _part(F.col("f"), F.col("length"), mean))).alias("score"))
 
-    def _best(self, scores: DataFrame, k: int | None, account: str | None, parts: list[dict]) -> DataFrame:
+    def _best(self, scores: DataFrame, k: int | None, account: str | None, parts: list[dict], most: int | None = None) -> DataFrame:
         if account:
             scores = scores.where(F.col("account") == account)
         scores = scores.select("s", "doc", "score")
         if k is None:
-            return self._named(scores, parts)
+            return self._named(scores, parts, most)
         nth = F.rank().over(Window.orderBy("score"))  # each task hands on its own k best and their ties
         return self._named(scores.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), parts)
 
-    def _named(self, scores: DataFrame, parts: list[dict]) -> DataFrame:
-        """account, message_id, score: postings only number their messages, and only hits are looked up."""
+    def _named(self, scores: DataFrame, parts: list[dict], most: int | None = None) -> DataFrame:
+        """account, message_id, score: postings only number their messages, and only hits are looked up. Of ``most`` hits, where that is known, few are sent to all workers and more are dealt: a planner
+        goes by the files of their postings, which are far smaller than their rows, and keeps a broadcast that it has planned."""
+        if most is not None:
+            scores = F.broadcast(scores) if most <= FEW_ROWS else scores.hint("merge")
         docs = reduce(DataFrame.unionByName, (self._table(p, "docs", _DOCS).select(F.lit(i).alias("s"), "doc", *KEY) for i, p in enumerate(parts)))
         return docs.join(scores, ["s", "doc"]).select(*KEY, "score")
 

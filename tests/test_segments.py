@@ -49,6 +49,19 @@ def test_search_equals_a_search_of_everything(spark, tmp_path, monkeypatch):
         assert found(index.search(phrases, 5, account, first_blocks=2, few_blocks=0).hits) == best(of, 5)
 
 
+def test_many_hits_are_dealt(spark, tmp_path, monkeypatch):
+    """All hits of a common term are joined with their messages by shuffles, however small the files of their postings are; few are broadcast; both give the same rows."""
+    given = rows(spark, texts(random.Random(9), 300))
+    index, phrases = G.StoredIndex(Store(spark, f"file://{tmp_path}/s"), stemmed=False), S.parse("w0 w2", False, False, False)
+    index.rebuild(given)
+    few = index.hits(phrases)
+    want = found(few)
+    assert want and "BroadcastExchange" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(G, "FEW_ROWS", len(want) - 1, raising=False)
+    many = index.hits(phrases)
+    assert found(many) == want and "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_updates_equal_a_fresh_build(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_BITS", 3)
     monkeypatch.setattr(G, "MOST_SEGMENTS", 2)
